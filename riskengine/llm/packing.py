@@ -151,7 +151,7 @@ def pack(pieces: DataFrame, n_items: int, keys: tuple[str, ...] = ("doc_id", "st
     kept = pieces.select(*names)
     out = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "padded_length"))])
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         group = group.sort_values([length_col, *keys], ascending=[False, *[True] * len(keys)], kind="stable").reset_index(drop=True)
         bins, offsets = first_fit(group[length_col].to_numpy(), capacity)
         fill = np.bincount(bins, group[length_col].to_numpy()).astype(np.int64)[bins]
