@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(column: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,15 @@ def op2_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.digest_media(media_audio.store_texts(_table(spark, sf_dir, "documents")))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import lm_kneser_ney as lm
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5, 1))
+    model = lm.train(docs.filter("NOT held_out"))
+    found = lm.score(docs.select("text", F.struct("doc_id", "held_out").alias("key")), model, "key")
+    return found.select("key.doc_id", "key.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskengine.llm import simhash_anchor
 
@@ -43,7 +57,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op6_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
