@@ -56,8 +56,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """Fitted on labelled documents whose crc32 of the id is not divisible by 5."""
+    from riskengine.llm import toxicity_ftrl
+
+    return toxicity_ftrl.train(docs, labels.filter(~held_out("doc_id", 5, 0)))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import toxicity_ftrl
+
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity_ftrl.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("toxicity").alias("score"), toxicity_ftrl.is_toxic().cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op6_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op6_simhash, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
