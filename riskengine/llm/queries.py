@@ -49,6 +49,21 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def language_model(docs: DataFrame):
+    """Fitted on documents with a language whose crc32 of the id does not leave 1 when divided by 3."""
+    from riskengine.llm import langid_crf
+
+    return langid_crf.train(docs.filter(~held_out("doc_id", 3, 1)))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import langid_crf
+
+    docs = _table(spark, sf_dir, "documents")
+    found = langid_crf.predict(docs, language_model(docs))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskengine.llm import simhash_anchor
 
@@ -72,7 +87,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op6_simhash, op7_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op5_language_id, op6_simhash, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
