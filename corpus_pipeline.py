@@ -1,21 +1,70 @@
-"""The corpus pipeline: toxicity, language, near duplicates, benchmark passages, packing."""
+"""The corpus pipeline: toxicity, language, near duplicates, benchmark passages, packing.
+
+Every stage but the last keeps or drops whole rows of ``documents`` and leaves their
+columns as they are, whatever these are called; nulls, empty texts, repeated rows and
+empty tables are treated as the operators say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from riskengine.llm import decontamination, langid_crf, simhash_anchor, toxicity_ftrl
 from riskengine.llm import queries as q
 from riskengine.session import materialize
 
+#: A text is dropped where no language holds this share of its words.
+LEAST_LANGUAGE_SHARE = 0.5
+
+
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """Each row in one column beside its text, so that no operator's column clashes with it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones here, does not call toxic."""
+    model = q.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_ftrl.score(_as_rows(docs), model, keep=("_row",)).filter(~toxicity_ftrl.is_toxic()).select("_row.*")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose words are mostly of one language."""
+    found = langid_crf.predict(_as_rows(docs), q.language_model(docs), keep=("_row",))
+    return found.filter((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select("_row.*")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component, and one of repeated rows."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = _as_rows(docs).withColumns({"_id": F.col("_row.doc_id"), "_hash": F.xxhash64(F.col("_row.text"), F.to_json("_row"))})
+    found = simhash_anchor.near_duplicates(keyed.select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash").alias("key"), "text"), "key")
+    first = materialize(found.select(F.col("component_id._id").alias("first_id"), F.col("component_id._hash").alias("first_hash")).distinct(), "survivors")
+    kept = keyed.join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash")), "left_semi")
+    once = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*").select(*own)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """What is left as pieces of packed training sequences."""
     return q.packed_pieces(docs)
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language id", keep_known_languages),
+    ("near duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_documents),
+]
 
-#: Models are trained on the way, which SQL cannot express; tests hold the stages against brute force.
+#: Models are fitted on the way, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -49,6 +49,18 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+#: The url rules of op4.
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models learn from the urls that a rule decides."""
+    from riskengine.llm import url_filter
+
+    ruled = url_filter.apply_rules(_table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in RULES])
+    return url_filter.judge(ruled, url_filter.train(ruled)).select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def language_model(docs: DataFrame):
     """Fitted on documents with a language whose crc32 of the id does not leave 1 when divided by 3."""
     from riskengine.llm import langid_crf
@@ -86,8 +98,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("toxicity").alias("score"), toxicity_ftrl.is_toxic().cast("int").alias("predicted"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import decontamination
+
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op5_language_id, op6_simhash, op7_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op4_url_filter, op5_language_id, op6_simhash, op7_toxicity, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
