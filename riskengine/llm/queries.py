@@ -104,9 +104,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import license_scan
+
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with a stale last reply; masks as ``start-end`` texts."""
+    from riskengine.llm import preference_format as pf
+
+    found = pf.format_preferences(pf.stale_reply_pairs(pf.conversation_turns(_table(spark, sf_dir, "conversations"))))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias(c)
+    return found.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op4_url_filter, op5_language_id, op6_simhash, op7_toxicity, op8_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op4_url_filter, op5_language_id, op6_simhash, op7_toxicity, op8_decontamination, op9_license_scan, op10_preference_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from riskengine.llm import license_scan, preference_format
+
+    return {"op9_license_scan": license_scan.oracle(), "op10_preference_format": preference_format.ORACLE}
