@@ -85,7 +85,7 @@ def sequence_features(df: DataFrame) -> DataFrame:
     """Place in the user's history, changes from the record before, and gaps of under 30 seconds (a first record counts as one)."""
     w = Window.partitionBy(USER).orderBy(TIME, ROW)
     change = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0))
-    switches = {f"{c}_switch": (change(c) != 0).cast("int") for c in ("ProductCD", "addr1", "device_vendor") if c in df.columns}
+    switches = {f"{c}_switch": F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False)).cast("int") for c in ("ProductCD", "addr1", "device_vendor") if c in df.columns}
     return df.withColumns(
         {f"{USER}_dt_diff": change(TIME), "txn_sequence": F.row_number().over(w) - 1, "amt_change_abs": change(AMOUNT), "time_gap_anomaly": (change(TIME) < 30).cast("int")} | switches
     )
