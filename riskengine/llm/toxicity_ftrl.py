@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.llm.words import combine, mix, slices, split_words
+from riskengine.llm.words import combine, mix, slices, split_words, text_bytes
 
 #: Letters, digits and all bytes beyond ASCII make words.
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -60,14 +60,14 @@ def fit_ftrl(examples: list[np.ndarray], labels: list[int], bits: int, alpha: fl
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     rate = np.full((1 << bits) + 1, l1)
     rate[-1] = 0  # the intercept is not shrunk
-    examples = [np.append(x, 1 << bits) for x in examples]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= rate[i], 0.0, (np.sign(zi) * rate[i] - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for x, y in zip(examples, labels, strict=True):
+        for features, y in zip(examples, labels, strict=True):
+            x = np.append(features, np.uint32(1 << bits))
             w = weights(x)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             z[x] += g - (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / alpha * w
@@ -99,8 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             found = [(key[i:j] & ((1 << bits) - 1)).astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["o", "y", "x"])
 
-    got = sorted((r.o, r.y, bytes(r.x)) for r in rows.mapInArrow(run, "o long, y int, x binary").collect())
-    return fit_ftrl([np.frombuffer(x, "<u4").astype(np.int64) for _, _, x in got], [y for _, y, _ in got], bits, **rates)
+    got = rows.mapInArrow(run, "o long, y int, x binary").toArrow().combine_chunks().sort_by([("o", "ascending"), ("y", "ascending"), ("x", "ascending")])
+    raw, off = text_bytes(got.column("x"))
+    numbers, first = np.frombuffer(raw.tobytes(), "<u4"), off // 4
+    return fit_ftrl([numbers[i:j] for i, j in zip(first[:-1], first[1:], strict=True)], got.column("y").to_pylist(), bits, **rates)
 
 
 def score(docs: DataFrame, model: FtrlModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
