@@ -14,6 +14,7 @@ scanned each; an empty table gives an empty one; extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,7 @@ def template_grams(text: str) -> list[str]:
 def size_bounds(n: int, least: float) -> tuple[int, int]:
     """Sizes of sets that can have Dice ``least`` or more with one of ``n``."""
     ratio = least / (2 - least)
-    return int(-(-n * ratio // 1)), int(n / ratio)
+    return math.ceil(n * ratio - 1e-9), math.floor(n / ratio + 1e-9)
 
 
 def _segments(clean: Column) -> Column:
