@@ -55,7 +55,7 @@ class FtrlModel:
         return w
 
 
-def fit_ftrl(examples: list[np.ndarray], labels: list[int], bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4) -> FtrlModel:
+def fit_ftrl(examples: list[np.ndarray], labels: list[int], bits: int, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10) -> FtrlModel:
     """FTRL-proximal over examples of distinct feature numbers, in the given order, ``epochs`` times."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     rate = np.full((1 << bits) + 1, l1)
