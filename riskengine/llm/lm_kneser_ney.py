@@ -37,7 +37,7 @@ from riskengine.session import shared_path
 
 END_HASH = np.uint64(0x0E1D0E1D0E1D0E1D)
 HOT_SHARE = 1024
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 
 
 def local_folder(uri: str) -> str:

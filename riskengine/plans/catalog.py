@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskengine.functions import clean
 from riskengine.operators import evaluate as ev
@@ -733,3 +734,133 @@ def gbt_explanations(spark: SparkSession, d: str) -> DataFrame:
     tx = clean.card_features(_tx(spark, d)).withColumn("amt", F.col("TransactionAmt"))
     model = ml.fit_trees(tx, ["amt", "ProductCD", "card4"], "isFraud", rounds=3, depth=3)
     return ml.explain_trees(tx, model, ("TransactionID",))
+
+
+# --- further projections, filters, sources and sinks --------------------------------------
+
+
+@query("SELECT TRY_CAST(event_id AS BIGINT) AS event_id, CAST(event_type AS VARCHAR) AS event_type, TRY_CAST(props AS DOUBLE) AS props, TRY_CAST(value AS DOUBLE) AS value FROM events")
+def coerce_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Declared kinds for raw columns; what does not parse is null."""
+    return clean.coerce_schema(ad.read_table(spark, d, "events").select("event_id", "event_type", "props", "value"), {"event_id"}, {"event_type"})
+
+
+@query(f"""{TX} SELECT TransactionID, CAST(coalesce(CAST(addr1 AS BIGINT), -1) AS INT) AS addr1, CAST(NULL AS DOUBLE) AS "V1", TransactionAmt FROM tx""")
+def align_model_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The model's columns in order: filled ids, absent columns as nulls."""
+    return clean.align_columns(clean.fill_ids(clean.finite(_tx(spark, d)), ["addr1"]), ["TransactionID", "addr1", "V1", "TransactionAmt"])
+
+
+@query(f"{TX} SELECT TransactionID AS transaction_id, coalesce(card4, 'none') AS card4, coalesce(CASE WHEN TransactionID % 5 = 0 THEN NULL ELSE score END, 0) AS score FROM tx")
+def dashboard_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Raw values before engineered ones, dashboard names, and null scores as 0."""
+    tx = _tx(spark, d).select("TransactionID", F.col("card4").alias("raw_card4"), F.lit("none").alias("card4"), F.when(F.col("TransactionID") % 5 != 0, F.col("score")).alias("p"))
+    return clean.rename_columns(clean.prefer_raw(tx, ["TransactionID", "card4", "p"]), {"TransactionID": "transaction_id", "p": "score"})
+
+
+@query(f"{TXU} SELECT TransactionID, UID FROM tx WHERE UID IN (SELECT UID FROM tx GROUP BY UID HAVING count(*) > 1)")
+def active_users(spark: SparkSession, d: str) -> DataFrame:
+    """Records of users with more than one."""
+    df = _users(spark, d).select("TransactionID", "UID")
+    return df.join(df.groupBy("UID").agg(F.count("*").alias("n")).filter("n > 1"), "UID", "left_semi").select("TransactionID", "UID")
+
+
+@query(f"{TX} SELECT id, p, 'BLOCK' AS action FROM sc WHERE p > 0.8")
+def high_risk(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).withColumn("action", clean.tier(F.col("p"), 0.15, 0.75))
+    return s.filter((F.col("p") > 0.8) & F.col("action").isin("BLOCK")).select("id", "p", "action")
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL AND isfinite(value)")
+def finite_values(spark: SparkSession, d: str) -> DataFrame:
+    return clean.finite(ad.read_table(spark, d, "events").select("event_id", "value")).filter("value IS NOT NULL")
+
+
+@query(f"{TX} SELECT id, round(1 / (1 + exp(-(4 * p - 2 + 0.001 * amt))), 9) AS probability, CASE WHEN p > 0.8 THEN 'red' WHEN p > 0.4 THEN 'amber' ELSE 'green' END AS colour FROM sc")
+def log_odds(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    return s.select("id", F.round(clean.sigmoid(4 * F.col("p") - 2 + 0.001 * F.col("amt")), 9).alias("probability"), clean.band(F.col("p"), 0.8, 0.4).alias("colour"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0")
+def parse_messages(spark: SparkSession, d: str) -> DataFrame:
+    """JSON messages of the schema; one in seven is cut short here and goes to the dead letters."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType())])
+    return rd.parse_messages(_messages(spark, d), schema)[0]
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    e = ad.read_table(spark, d, "events")
+    text = F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(", "), F.substring("props", 2, 1000))
+    return e.select(F.when(F.col("event_id") % 7 == 0, F.substring(text, 1, 9)).otherwise(text).alias("value"))
+
+
+@query("SELECT '{\"event_i' AS original_message, 'parse error' AS error_reason FROM events WHERE event_id % 7 = 0")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType())])
+    return rd.parse_messages(_messages(spark, d), schema)[1].select("original_message", "error_reason")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, ts FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '2024-01-10 00:00:00') WHERE n = 1")
+def ttl_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last record that is within its hour to live at a given moment."""
+    e = ad.read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    live = e.filter(F.col("ts") <= now).withColumn("at", F.struct("ts", "event_id")).filter(F.col("ts") > now - F.expr("INTERVAL 1 HOUR"))
+    return live.groupBy("user_id").agg(F.max_by("event_id", "at").alias("event_id"))
+
+
+@query(f"{TX} SELECT TransactionID, 'a' AS part FROM tx WHERE TransactionID < 500 UNION ALL SELECT TransactionID, NULL FROM tx WHERE TransactionID BETWEEN 400 AND 600")
+def concat_rows(spark: SparkSession, d: str) -> DataFrame:
+    tx = _tx(spark, d).select("TransactionID")
+    return tx.filter("TransactionID < 500").withColumn("part", F.lit("a")).unionByName(tx.filter("TransactionID BETWEEN 400 AND 600"), allowMissingColumns=True)
+
+
+@query(f"{TX} SELECT DISTINCT card1, addr1 FROM tx")
+def distinct_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _tx(spark, d).select("card1", "addr1").dropDuplicates()
+
+
+@query(f"{TX}, i AS ({_IMPACT}) SELECT feature, round(sum(abs(impact)) / count(DISTINCT id), 6) AS value FROM i GROUP BY feature ORDER BY value DESC, feature LIMIT 2")
+def importance_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = _tx(spark, d).select(F.col("TransactionID").alias("id"), vw.linear_explanations(_WEIGHTS).alias("explanations"))
+    return _rounded(vw.mean_impacts(e), "value").orderBy(F.col("value").desc(), "feature").limit(2)
+
+
+@query()
+def drift_job(spark: SparkSession, d: str) -> DataFrame:
+    """The periodic drift job: important features' logs against the baseline."""
+    old, new = _halves(spark, d)
+    base = mo.baseline(mo.melt(old, list(_FEATURES)))
+    importance = spark.createDataFrame([("score", 1.5), ("TransactionAmt", 0.5), ("D1", 0.1)], "feature string, value double")
+    return vw.drift_report(vw.feature_log(new, list(_FEATURES), "TransactionID"), importance, base, top=2)
+
+
+@query()
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of 500 records, the same ones every time: the smallest hashes of the id."""
+    return _tx(spark, d).select("TransactionID", "TransactionAmt").orderBy(F.xxhash64("TransactionID", F.lit(42)), "TransactionID").limit(500)
+
+
+@query()
+def formatted_figures(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    return s.select("id", clean.currency(F.col("amt") * 1000).alias("amount"), clean.percent(F.col("p")).alias("share"), F.to_json(F.struct("id", "p")).alias("json"))
+
+
+@query()
+def mock_source(spark: SparkSession, d: str) -> DataFrame:
+    return rd.mock_transactions(ad.read_table(spark, d, "events").select("event_id"))
+
+
+@query()
+def replay_ids(spark: SparkSession, d: str) -> DataFrame:
+    tx = rd.missing_to_null(_tx(spark, d).select("TransactionDT", "TransactionID", "card4"))
+    return rd.with_replay_id(tx, ["TransactionDT", "TransactionID"], F.floor(F.col("TransactionDT") / 3600))
+
+
+@query()
+def hyper_search(spark: SparkSession, d: str) -> DataFrame:
+    """Random settings of boosted trees over expanding-window folds."""
+    df = fe.time_folds(clean.card_features(_tx(spark, d)), 2)
+    return ml.random_search(df, "fold", ["TransactionAmt", "ProductCD", "card4"], "isFraud", tries=2)
