@@ -7,7 +7,7 @@ empty tables are treated as the operators say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskengine.llm import decontamination, langid_crf, simhash_anchor, toxicity_ftrl
@@ -41,9 +41,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     keyed = _as_rows(docs).withColumns({"_id": F.col("_row.doc_id"), "_hash": F.xxhash64(F.col("_row.text"), F.to_json("_row"))})
     found = simhash_anchor.near_duplicates(keyed.select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash").alias("key"), "text"), "key")
     first = materialize(found.select(F.col("component_id._id").alias("first_id"), F.col("component_id._hash").alias("first_hash")).distinct(), "survivors")
-    kept = keyed.join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash")), "left_semi")
-    once = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*").select(*own)
+    once = keyed.dropDuplicates(["_id", "_hash"])  # repeated rows go before they are shuffled
+    kept = once.join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash")), "left_semi")
+    return kept.select("_row.*").select(*own)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
