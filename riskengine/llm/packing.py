@@ -5,10 +5,11 @@ dealt at random (by a hash) into groups of bounded expected size, and each group
 packed on its own. Only piece lengths and the caller's small columns have to move.
 
 Defined results: a null text is an empty one and has the end id alone; repeated rows
-are packed once each; ties in length go by id and start; an empty table gives an empty
-one; other columns of the input are not carried by ``tokenize_pieces`` and all carried
-by ``pack``, whose own columns (``sequence_id``, ``offset``, ``padded_length``) replace
-input columns of the same names.
+are packed once each, and rows with a null id or the same id are dealt apart like any
+others; ties in length go by id and start; an empty table gives an empty one; other
+columns of the input are not carried by ``tokenize_pieces`` and all carried by ``pack``,
+whose own columns (``sequence_id``, ``offset``, ``padded_length``) replace input columns
+of the same names.
 """
 
 from __future__ import annotations
@@ -113,6 +114,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def estimate_pieces(docs: DataFrame, text_col: str = "text", capacity: int = 2048, bytes_per_id: int = 4) -> int:
+    """About how many pieces ``tokenize_pieces`` makes, from the bytes of all texts."""
+    return docs.select(F.sum(1 + F.floor(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) / (capacity * bytes_per_id)))).first()[0] or 0
+
+
 def first_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """First-fit in the given order: each item's bin and offset in it.
 
@@ -143,6 +149,8 @@ def pack(pieces: DataFrame, n_items: int, keys: tuple[str, ...] = ("doc_id", "st
     """Pack rows with a length into sequences of at most ``capacity``.
 
     ``n_items`` is the number of rows, or one near it: it sets how many groups there are.
+    ``pieces`` should come straight from stored rows (a scan and per-row steps), as a row's
+    place in it takes part in dealing, so that rows alike in their keys do not meet in one group.
     ``sequence_id`` is unique over all groups, ``offset`` gapless from 0 in each sequence.
     ``padded_length`` is the sequence's length if that is a power of two, else ``capacity``.
     """
@@ -160,5 +168,5 @@ def pack(pieces: DataFrame, n_items: int, keys: tuple[str, ...] = ("doc_id", "st
         group["padded_length"] = np.where((fill & (fill - 1)) == 0, fill, capacity)
         return group[out.names]
 
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(*keys, F.lit("pack")), F.lit(groups)))
+    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, out)

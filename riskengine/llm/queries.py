@@ -31,7 +31,7 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     from riskengine.llm import packing
 
     pieces = packing.tokenize_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, docs.count())
+    return packing.pack(pieces, packing.estimate_pieces(docs))
 
 
 def op2_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
