@@ -6,8 +6,8 @@ order, with a learning rate per coordinate; L1 leaves few weights, which workers
 two short arrays.
 
 Defined results: null and empty texts have the intercept's score; null labels are not
-learned from; a text with several labels is toxic if one says so; repeated rows are
-scored each; without labelled rows every score is 0.5 less a hair, so nothing is
+learned from; a text with several labels is toxic if one says so; of several texts with
+one id the first in byte order is learned from; repeated rows are scored each; without labelled rows every score is 0.5 less a hair, so nothing is
 predicted toxic; extra columns do not matter.
 """
 
@@ -89,7 +89,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     known = known.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("_raw")).filter(F.octet_length("_raw") <= max_text_bytes)
-    rows = rows.join(F.broadcast(known), "_id").select(F.xxhash64("_id").alias("_order"), "_raw", "_y")
+    rows = rows.join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_raw").alias("_raw"), F.max("_y").alias("_y"))
+    rows = rows.select(F.xxhash64("_id").alias("_order"), "_raw", "_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_raw"):
