@@ -182,6 +182,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_w
     """Fit on about ``max_windows`` windows of ``window`` words, one from each text that a hash chooses.
 
     A window is taken at a hash-chosen word; the driver gets at most some hundred bytes for each.
+    Copies of a text in one language count once.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.encode(F.col(text_col), "UTF-8").alias("_raw")).filter("_lang IS NOT NULL AND octet_length(_raw) > 0")
     share = min(1.0, max_windows / max(1, docs.filter(F.col(lang_col).isNotNull()).count()))
@@ -199,7 +200,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_w
                 out.append(b" ".join(span))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["lang", "window", "h"])
 
-    rows = known.mapInArrow(run, "lang string, window binary, h long").collect()
+    rows = known.mapInArrow(run, "lang string, window binary, h long").distinct().collect()
     rows = sorted((r.h, r.lang, bytes(r.window)) for r in rows if r.window)
     return fit_crf([(lang, w) for _, lang, w in rows], bits, **rates)
 
