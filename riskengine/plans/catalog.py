@@ -810,10 +810,11 @@ def ttl_lookup(spark: SparkSession, d: str) -> DataFrame:
     return live.groupBy("user_id").agg(F.max_by("event_id", "at").alias("event_id"))
 
 
-@query(f"{TX} SELECT TransactionID, 'a' AS part FROM tx WHERE TransactionID < 500 UNION ALL SELECT TransactionID, NULL FROM tx WHERE TransactionID BETWEEN 400 AND 600")
+@query(f"{TX} SELECT TransactionID, 'event' AS part FROM tx UNION ALL SELECT o_orderkey, NULL FROM orders")
 def concat_rows(spark: SparkSession, d: str) -> DataFrame:
-    tx = _tx(spark, d).select("TransactionID")
-    return tx.filter("TransactionID < 500").withColumn("part", F.lit("a")).unionByName(tx.filter("TransactionID BETWEEN 400 AND 600"), allowMissingColumns=True)
+    """Rows of two tables one after the other; a column that one lacks is null there."""
+    tx = _tx(spark, d).select("TransactionID").withColumn("part", F.lit("event"))
+    return tx.unionByName(ad.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("TransactionID")), allowMissingColumns=True)
 
 
 @query(f"{TX} SELECT DISTINCT card1, addr1 FROM tx")
