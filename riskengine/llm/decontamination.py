@@ -1,13 +1,15 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by item-sized windows and weighted-shingle similarity.
 
-For a window of a text as long as an item (in words), the SimHash of its five-word
-shingles, each weighted by how often it occurs, is looked up in a multi-index: the 64
-bits are cut into eight blocks, and as two fingerprints within 31 bits agree in some
-block up to three bits, the items met in any block's bucket hold all within that radius.
-What is met is verified exactly: the weighted shingles that window and item share, twice,
-over the weight of both, has to be at least 0.8. A window that shares no shingle with an
-item has similarity zero, so only windows laid where a shingle of the item occurs, at its
-place in the item, are fingerprinted; that loses nothing.
+A window as long as an item (in words) is laid wherever a five-word shingle of the item
+occurs in a text, at its place in the item; the weighted shingles that window and item
+share, twice, over the weight of both, has to be at least 0.8. A window that shares no
+shingle with an item has similarity zero, so laying windows by shared shingles loses
+nothing, and every window laid is verified.
+
+Fingerprints of the windows take no part. A multi-index of SimHash blocks finds all pairs
+within a Hamming radius, but no radius both holds every pair of similarity 0.8 and leaves
+anything out: where two shingles alternate (A B A B A against B A B A B, similarity 0.8)
+every second pair is over 31 bits apart, and within 31 bits lie 45 % of unrelated pairs.
 
 Items come in blocks of bounded size, each broadcast on its own, so a benchmark of any
 size is scanned in as many passes as its size asks for.
@@ -32,9 +34,6 @@ from pyspark.sql import types as T
 from riskengine.llm.words import combine, mix, slices, split_words
 
 WIDTH = 5
-_POP = np.array([bin(v).count("1") for v in range(256)], np.uint8)
-_BLOCK_RADIUS = 3
-RADIUS = 8 * (_BLOCK_RADIUS + 1) - 1
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -46,30 +45,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_prints(all_shingles: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """SimHash of each run all_shingles[start:start+n], repeats counted."""
-    out, weight = np.zeros(len(start), np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)
-    at = 0
-    while at < len(start):
-        to = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 16)))
-        first = np.cumsum(n[at:to]) - n[at:to]
-        rows = np.repeat(start[at:to] - first, n[at:to]) + np.arange(n[at:to].sum())
-        bits = np.unpackbits(all_shingles[rows].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[at:to] = ((2 * total > n[at:to, None]) * weight).sum(axis=1, dtype=np.uint64)
-        at = to
-    return out
-
-
 @dataclass
 class ItemIndex:
-    """One block of items: their shingles with places, their fingerprints, and the multi-index."""
+    """One block of items: their shingles with places and weights."""
 
     ids: list
     size: np.ndarray  # words of each item
     width: np.ndarray  # words of its shingles
     n_shingles: np.ndarray
-    fingerprint: np.ndarray
     shingle: np.ndarray  # sorted, with item and place
     item: np.ndarray
     place: np.ndarray
@@ -82,24 +65,18 @@ class ItemIndex:
         hashes, size = words.hashes(), np.diff(words.first)
         keep = np.flatnonzero(size)
         width = np.minimum(size, WIDTH)
-        found, item, place, prints = [], [], [], []
+        found, item, place = [], [], []
         for k, i in enumerate(keep):
             s = shingles(hashes[words.first[i] : words.first[i + 1]], int(width[i]))
             found.append(s)
             item.append(np.full(len(s), k))
             place.append(np.arange(len(s)))
-            prints.append(window_prints(s, np.zeros(1, np.int64), np.array([len(s)]))[0])
         empty = np.zeros(0, np.int64)
         s, item, place = (np.concatenate(x) if x else empty for x in (found, item, place))
         s = s.astype(np.uint64)
         order = np.argsort(s, kind="stable")
         key, weight = np.unique(combine(s, item.astype(np.uint64)), return_counts=True)
-        return cls([items[i][0] for i in keep], size[keep], width[keep], np.array([len(x) for x in found], np.int64), np.array(prints, np.uint64), s[order], item[order], place[order], key, weight)
-
-    def met(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Whether the item is in the bucket of any block of the fingerprint and within the radius."""
-        apart = _POP[(prints ^ self.fingerprint[items]).view(np.uint8).reshape(-1, 8)]
-        return (apart.min(axis=1) <= _BLOCK_RADIUS) & (apart.sum(axis=1, dtype=np.int32) <= RADIUS)
+        return cls([items[i][0] for i in keep], size[keep], width[keep], np.array([len(x) for x in found], np.int64), s[order], item[order], place[order], key, weight)
 
 
 def find_items(texts: pa.Array, index: ItemIndex, least: float = 0.8) -> list[np.ndarray]:
@@ -135,7 +112,6 @@ def find_items(texts: pa.Array, index: ItemIndex, least: float = 0.8) -> list[np
         n = end - start - width + 1
         for part in np.array_split(np.arange(len(start)), max(1, int(n.sum()) >> 20)):
             part = part[n[part] > 0]
-            part = part[index.met(window_prints(s, start[part], n[part]), who[part])]
             if not len(part):
                 continue
             m = n[part]

@@ -460,15 +460,16 @@ def test_benchmark_passages_match_brute_force(spark, small, texts):
     assert left == set(some) - {k for k, _ in got}
 
 
-def test_multi_index_meets_all_in_radius():
-    index = de.ItemIndex.build([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}".encode()) for k in range(20)])
-    draw = np.random.default_rng(3)
-    for n in (0, 5, 16, 31):
-        p = index.fingerprint.copy()
-        for k in range(20):
-            for b in draw.choice(64, n, replace=False):
-                p[k] ^= np.uint64(1) << np.uint64(b)
-        assert index.met(p, np.arange(20)).all()
+def test_matches_whose_fingerprints_may_lie_far_apart():
+    """Two alternating shingles shifted by one, and passages whose last fifth is one word again and again."""
+    alternating = [(f"on {w} on {w} on {w} on {w} on", f"{w} on {w} on {w} on {w} on {w}") for w in ("na", "la", "ha", "so", "oh", "ah")]
+    passage = [[f"{w}{k}" for k in range(37)] for w in ("p", "q", "r", "s", "t", "u")]
+    ends = [(" ".join(p + [f"end{k}" for k in range(8)]), " ".join(p + ["tail"] * 8)) for p in passage]
+    items, texts = (dict(enumerate(x)) for x in zip(*alternating, *ends))
+    doc, who, _, _, alike = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    got, want = dict(zip(zip(doc.tolist(), who.tolist()), alike.tolist())), brute_matches(texts, items)
+    assert set(want) == {(k, k) for k in items}
+    assert got == pytest.approx({k: v[0] for k, v in want.items()})
 
 
 def test_decontamination_edges(spark, odd):
