@@ -1,10 +1,11 @@
 """Benchmark decontamination by item-sized windows and weighted-shingle similarity.
 
-A window as long as an item (in words) is laid wherever a five-word shingle of the item
-occurs in a text, at its place in the item; the weighted shingles that window and item
-share, twice, over the weight of both, has to be at least 0.8. A window that shares no
-shingle with an item has similarity zero, so laying windows by shared shingles loses
-nothing, and every window laid is verified.
+A window as long as an item (in words) slides over every start in a text; the weighted
+five-word shingles that window and item share, twice, over the weight of both, has to be
+at least 0.8. An occurrence of an item's shingle counts for the starts whose window holds
+it and fewer than the item's weight of the same shingle before it, and these starts are
+one interval. The number of intervals over a start is thus its exact shared weight, and
+all starts of a text are weighed at the cost of sorting the intervals' ends.
 
 Fingerprints of the windows take no part. A multi-index of SimHash blocks finds all pairs
 within a Hamming radius, but no radius both holds every pair of similarity 0.8 and leaves
@@ -16,8 +17,9 @@ size is scanned in as many passes as its size asks for.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than
 five words is one shingle, its whole sequence; a text shorter than an item is one window;
-for each text and item the most similar window is given, the first of equal ones;
-repeated rows are scanned each; empty tables give empty results.
+for each text and item the most similar window is given, of equal ones the first that has
+a shared shingle at its place in the item, or the first where none has; repeated rows are
+scanned each; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.llm.words import combine, mix, slices, split_words
+from riskengine.llm.words import Words, combine, mix, slices, split_words
 
 WIDTH = 5
 
@@ -47,17 +49,17 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """One block of items: their shingles with places and weights."""
+    """One block of items: the shingles of each with their weights and places."""
 
     ids: list
     size: np.ndarray  # words of each item
     width: np.ndarray  # words of its shingles
     n_shingles: np.ndarray
-    shingle: np.ndarray  # sorted, with item and place
+    shingle: np.ndarray  # sorted, with item: each pair once
     item: np.ndarray
-    place: np.ndarray
-    weight_key: np.ndarray  # sorted (shingle, item) keys and their weights
     weight: np.ndarray
+    begin: np.ndarray  # where the places of each pair begin
+    place: np.ndarray
 
     @classmethod
     def build(cls, items: list[tuple[object, bytes]]) -> ItemIndex:
@@ -74,63 +76,102 @@ class ItemIndex:
         empty = np.zeros(0, np.int64)
         s, item, place = (np.concatenate(x) if x else empty for x in (found, item, place))
         s = s.astype(np.uint64)
-        order = np.argsort(s, kind="stable")
-        key, weight = np.unique(combine(s, item.astype(np.uint64)), return_counts=True)
-        return cls([items[i][0] for i in keep], size[keep], width[keep], np.array([len(x) for x in found], np.int64), s[order], item[order], place[order], key, weight)
+        order = np.lexsort((place, item, s))
+        s, item, place = s[order], item[order], place[order]
+        begin = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (item[1:] != item[:-1])])) if len(s) else empty
+        return cls([items[i][0] for i in keep], size[keep], width[keep], np.array([len(x) for x in found], np.int64), s[begin], item[begin], np.diff(begin, append=len(s)), begin, place)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1 and so on, n[i] of them, for each i."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _slide(words: Words, s: np.ndarray, near: np.ndarray, index: ItemIndex, some: np.ndarray, width: int, least: float) -> list[np.ndarray]:
+    """The best window of each text and item, of the index's entries ``some`` and the shingles at ``near``."""
+    lo, hi = np.searchsorted(index.shingle[some], s[near], "left"), np.searchsorted(index.shingle[some], s[near], "right")
+    at, entry = np.repeat(near, hi - lo), some[_spread(lo, hi - lo)]
+    who, n_items, n_words = index.item[entry], len(index.ids), len(words.doc)
+    pair, n = np.unique(words.doc[at] * n_items + who, return_inverse=True, return_counts=True)[1:]
+    span = np.diff(words.first)
+
+    def similarity(shared: np.ndarray, doc: np.ndarray, who: np.ndarray) -> np.ndarray:
+        return 2 * shared / (np.minimum(index.size[who], span[doc]) - width + 1 + index.n_shingles[who])
+
+    enough = similarity(n[pair], words.doc[at], who) >= least
+    at, entry = at[enough], entry[enough]
+    order = np.argsort(words.doc[at] * len(index.item) + entry, kind="stable")
+    at, entry = at[order], entry[order]
+    doc, who = words.doc[at], index.item[entry]
+    first = words.first[doc]
+    last = np.maximum(first, words.first[doc + 1] - index.size[who])
+    # an occurrence counts from the start behind the one that is the item's weight of occurrences before it
+    number = np.arange(len(at))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (entry[1:] != entry[:-1])])[: len(at)]
+    before = number - index.weight[entry]
+    behind = np.where(before >= np.maximum.accumulate(np.where(new, number, 0)), at[np.maximum(before, 0)], -1)
+    low = np.maximum(np.maximum(at - index.n_shingles[who], behind) + 1, first)
+    high = np.minimum(at, last)
+    ok = low <= high
+    ends = np.concatenate([who[ok] * (n_words + 1) + low[ok], who[ok] * (n_words + 1) + high[ok] + 1])
+    spot, back = np.unique(ends, return_inverse=True)
+    cover = np.cumsum(np.bincount(back, np.repeat([1, -1], ok.sum()), len(spot)).astype(np.int64))
+    over = np.flatnonzero(cover)
+    item, start = np.divmod(spot[over], n_words + 1)
+    alike = similarity(cover[over], words.doc[start], item)
+    over, item, start, alike = (x[alike >= least] for x in (over, item, start, alike))
+    order = np.lexsort((start, -alike, item, words.doc[start]))
+    over, item, start, alike = (x[order] for x in (over, item, start, alike))
+    pair = words.doc[start] * n_items + item
+    best = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
+    over, item, start, alike, pair = (x[best] for x in (over, item, start, alike, pair))
+    if not len(pair):
+        return [doc[:0], item, start, start, alike]
+    # of equal windows, one with a shared shingle at its place goes first
+    mine = np.minimum(np.searchsorted(pair, doc * n_items + who), len(pair) - 1)
+    hit = np.flatnonzero(pair[mine] == doc * n_items + who)
+    placed = np.full(len(pair), n_words)
+    total, k = np.cumsum(index.weight[entry[hit]]), 0
+    while k < len(hit):  # a bounded number of places at once
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + (1 << 20), "right")))
+        n = index.weight[entry[hit[k:to]]]
+        h = np.repeat(hit[k:to], n)
+        a = np.clip(at[h] - index.place[_spread(index.begin[entry[hit[k:to]]], n)], first[h], last[h])
+        held = cover[np.searchsorted(spot, who[h] * (n_words + 1) + a, "right") - 1]
+        same = held == cover[over[mine[h]]]
+        np.minimum.at(placed, mine[h[same]], a[same])
+        k = to
+    doc = words.doc[start]
+    start = np.where(placed < n_words, placed, start)
+    end = np.minimum(start + index.size[item], words.first[doc + 1])
+    return [doc, item, start - words.first[doc], end - words.first[doc], alike]
 
 
 def find_items(texts: pa.Array, index: ItemIndex, least: float = 0.8) -> list[np.ndarray]:
     """Text number, item number, first word, last word + 1 and similarity of each match."""
     words = split_words(texts)
     hashes = words.hashes()
-    found: list[list[np.ndarray]] = [[], [], [], [], []]
+    found = [[np.zeros(0, np.int64)] * 5]
     for width in sorted(set(index.width.tolist())):
         # shingles that reach into the next text are left out
         s = shingles(hashes, width)
         whole = words.doc[: len(s)] == words.doc[width - 1 :] if len(s) else np.zeros(0, bool)
-        mine = index.width[index.item] == width
-        known, item, place = index.shingle[mine], index.item[mine], index.place[mine]
+        mine = np.flatnonzero(index.width[index.item] == width)
+        known = index.shingle[mine]
         table = np.zeros(1 << 20, bool)
         table[known & np.uint64((1 << 20) - 1)] = True
         near = np.flatnonzero(table[s & np.uint64((1 << 20) - 1)] & whole)
         lo, hi = np.searchsorted(known, s[near], "left"), np.searchsorted(known, s[near], "right")
         near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
-        windows = [np.zeros((0, 3), np.int64)]
-        cut = np.cumsum(hi - lo)
-        at = 0
-        while at < len(near):  # a bounded number of (place, item) pairs at once
-            to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + (1 << 20), "right")))
-            n = hi[at:to] - lo[at:to]
-            entry = np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc, who = np.repeat(words.doc[near[at:to]], n), item[entry]
-            first, last = words.first[doc], words.first[doc + 1]
-            start = np.clip(np.repeat(near[at:to], n) - place[entry], first, np.maximum(first, last - index.size[who]))
-            windows.append(np.unique(np.stack([start, who, doc], axis=1), axis=0))
-            at = to
-        start, who, doc = np.unique(np.concatenate(windows), axis=0).T
-        end = np.minimum(start + index.size[who], words.first[doc + 1])
-        n = end - start - width + 1
-        for part in np.array_split(np.arange(len(start)), max(1, int(n.sum()) >> 20)):
-            part = part[n[part] > 0]
-            if not len(part):
-                continue
-            m = n[part]
-            rows = np.repeat(start[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            key = combine(s[rows], np.repeat(who[part], m).astype(np.uint64))
-            at_key = np.minimum(np.searchsorted(index.weight_key, key), len(index.weight_key) - 1)
-            hit = index.weight_key[at_key] == key
-            both, count = np.unique(np.repeat(np.arange(len(part)), m)[hit] * len(index.weight_key) + at_key[hit], return_counts=True)
-            shared = np.bincount(both // len(index.weight_key), np.minimum(count, index.weight[both % len(index.weight_key)]), len(part))
-            alike = 2 * shared / (m + index.n_shingles[who[part]])
-            good = alike >= least
-            base = words.first[doc[part][good]]
-            for col, x in zip(found, (doc[part][good], who[part][good], start[part][good] - base, end[part][good] - base, alike[good]), strict=True):
-                col.append(x)
-    doc, who, start, end, alike = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
-    order = np.lexsort((start, -alike, who, doc))
-    doc, who, start, end, alike = (x[order] for x in (doc, who, start, end, alike))
-    best = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])) if len(doc) else order
-    return [x[best] for x in (doc, who, start, end, alike)]
+        # items in blocks of a bounded number of shared shingles; one item shares as many as the texts have at most
+        uses = np.cumsum(np.bincount(lo, minlength=len(known) + 1) - np.bincount(hi, minlength=len(known) + 1))[:-1]
+        shared = np.bincount(index.item[mine], uses, len(index.ids)).astype(np.int64)
+        block = (np.cumsum(shared) - shared) >> 20
+        for b in np.unique(block[shared > 0]):
+            found.append(_slide(words, s, near, index, mine[(block[index.item[mine]] == b) & (uses > 0)], width, least))
+    out = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.lexsort((out[1], out[0]))
+    return [x[order] for x in out]
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 8 << 20) -> Iterator[ItemIndex]:

@@ -472,6 +472,43 @@ def test_matches_whose_fingerprints_may_lie_far_apart():
     assert got == pytest.approx({k: v[0] for k, v in want.items()})
 
 
+def slid_matches(texts, items):
+    """The highest similarity of each text and item over every start of a window."""
+    out = {}
+    for (k, text), (i, item) in product(texts.items(), items.items()):
+        w, v = words_of(text), words_of(item)
+        width = min(5, len(v))
+        if v and len(w) >= width:
+            c, where = Counter(tuple(v[j : j + width]) for j in range(len(v) - width + 1)), [tuple(w[j : j + width]) for j in range(len(w) - width + 1)]
+            wins = [Counter(where[a : a + c.total()]) for a in range(max(0, len(w) - len(v)) + 1)]
+            best = max(2 * (win & c).total() / (win.total() + c.total()) for win in wins)
+            if best >= 0.8:
+                out[k, i] = best
+    return out
+
+
+def test_windows_slide_over_every_start():
+    """Passages with swapped halves or words put in, and random texts of few words against items cut from them."""
+    around, body = [f"x{k}" for k in range(150)], [f"w{k}" for k in range(100)]
+    inside = lambda v: " ".join(around + v + around)
+    more = lambda v, n, m: [f"c{k}" for k in range(m)] + v[m : len(v) // 2] + [f"n{k}" for k in range(n)] + v[len(v) // 2 : len(v) - m] + [f"d{k}" for k in range(m)]
+    items = {0: " ".join(body), 1: " ".join(body[:50])}
+    texts = {0: inside(body[50:] + body[:50]), 1: inside(body[25:50] + body[:25]), 2: inside(more(body[:50], 4, 2)), 3: inside(more(body, 12, 6))}
+    draw = np.random.default_rng(3)
+    for k in range(10, 60):
+        w = draw.integers(0, 1 + k % 4, 40).astype(str).tolist()
+        at, n = draw.integers(0, 30), draw.integers(1, 30)
+        v = w[at : at + n]
+        items[k], texts[k] = " ".join(v[n // 3 :] + v[: n // 3]), " ".join(w)
+    doc, who, start, end, alike = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    names, of = list(texts), list(items)
+    got = {(names[d], of[i]): x for d, i, x in zip(doc, who, alike, strict=True)}
+    assert {k: got[k] for k in [(0, 0), (1, 1), (2, 1), (3, 0)]} == pytest.approx({(0, 0): 0.958, (1, 1): 0.913, (2, 1): 0.826, (3, 0): 0.833}, abs=5e-4)
+    assert got == pytest.approx(slid_matches(texts, items))
+    for d, i, a, b, x in zip(doc, who, start, end, alike, strict=True):
+        assert slid_matches({0: " ".join(texts[names[d]].split()[a:b])}, {0: items[of[i]]})[0, 0] == pytest.approx(x)
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "same text here"), (None, "zzz"), (2, None)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in de.contaminated(odd, bench).collect()) == [(10, 1), (11, 1)]
