@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskengine.llm.samples import draw_by_label
 from riskengine.llm.words import Words, mix, slices, split_words
 
 #: ASCII letters and all bytes beyond ASCII make words.
@@ -182,11 +183,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_w
     """Fit on about ``max_windows`` windows of ``window`` words, one from each text that a hash chooses.
 
     A window is taken at a hash-chosen word; the driver gets at most some hundred bytes for each.
-    Copies of a text in one language count once.
+    Copies of a text in one language count once, and each language has a fair part of the windows.
     """
-    known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.encode(F.col(text_col), "UTF-8").alias("_raw")).filter("_lang IS NOT NULL AND octet_length(_raw) > 0")
-    share = min(1.0, max_windows / max(1, docs.filter(F.col(lang_col).isNotNull()).count()))
-    known = known.withColumn("_h", F.xxhash64("_raw")).filter(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.encode(F.col(text_col), "UTF-8").alias("_raw"), F.xxhash64(F.encode(F.col(text_col), "UTF-8")).alias("_h"), F.col(text_col).rlike(r"[A-Za-z]|[^\x00-\x7F]").alias("_has_word"))
+    known = draw_by_label(known.filter("_lang IS NOT NULL AND _has_word").drop("_has_word"), "_lang", "_h", max_windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_raw"):

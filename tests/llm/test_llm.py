@@ -277,9 +277,27 @@ def test_url_models_tell_classes_apart():
         assert np.exp(every).sum() == pytest.approx(1)
 
 
+def test_url_sample_keeps_rare_classes(spark):
+    rows = [("http://allowed.org/a", "allow")] * 3000 + [(f"http://allowed.org/{k}", "allow") for k in range(40)]
+    for k in range(5):  # whichever fifth its hash falls into
+        one = spark.createDataFrame([*rows, (f"http://blocked.net/{k}", "block")], "_url string, rule_verdict string").repartition(3)
+        model = uf.train(one, max_urls=30)
+        good, bad = model.ratios(pa.array([b"http://allowed.org/zz", f"http://blocked.net/{k}".encode()], pa.binary()))
+        assert good > 0 > bad
+
+
 # --- 5 languages
 
 
+def test_language_sample_counts_distinct_texts_of_each_language(spark, monkeypatch):
+    rows = [("xx", "one text again and again")] * 3000 + [("yy", f"yy text {chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(30)] * 20
+    rows += [("zz", "zz " + "".join(chr(97 + int(c)) for c in str(k))) for k in range(4000)] + [("nn", str(k)) for k in range(50)] + [("ww", "w"), (None, "no language")]
+    monkeypatch.setattr(crf, "fit_crf", lambda windows, bits: Counter(lang for lang, _ in windows))
+    got = crf.train(spark.createDataFrame(rows, "lang string, text string").repartition(3), max_windows=432)
+    assert (got["xx"], got["yy"], got["ww"]) == (1, 30, 1) and set(got) == {"xx", "yy", "zz", "ww"}
+    assert 320 < got["zz"] < 480
+
+
 def test_forward_backward_is_exact():
     draw = np.random.default_rng(2)
     size, a = [1, 4, 0, 3], draw.normal(size=(3, 3))
