@@ -10,6 +10,7 @@ from riskengine.operators import features as fe
 from riskengine.operators import learn as ml
 from riskengine.operators import monitor as mo
 from riskengine.operators.graph import connected_components
+from riskengine.plans import catalog as cat
 from riskengine.plans import views as vw
 from riskengine.sources import readers as rd
 from riskengine.streaming import streams as st
@@ -181,6 +182,13 @@ def test_messages_and_dead_letters(spark):
     assert bad.count() == 2 and bad.columns == ["original_message", "error_reason", "exception", "timestamp"]
 
 
+def test_long_messages_stay_whole(spark, tmp_path):
+    rows = [(1, '{"k": 5, "pad": "' + "x" * 3000 + '"}'), (7, '{"k": 6}')]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in cat.parse_messages(spark, str(tmp_path)).collect()] == [(1, 5)]
+    assert [r.original_message for r in cat.dead_letters(spark, str(tmp_path)).collect()] == ['{"event_i']
+
+
 def test_csv_round_trip_and_ids(spark, tmp_path):
     df = spark.createDataFrame([(1, "nan"), (2, "x")], "k long, s string")
     rd.write_table(df, str(tmp_path / "t"), fmt="csv")
