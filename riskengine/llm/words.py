@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -116,3 +118,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most_bytes, "right")))
             yield b.slice(at, to - at)
             at = to
+
+
+def keyed_text(df: DataFrame, text_col: str, keep: tuple[str, ...] | None) -> DataFrame:
+    """``row``, the columns ``keep`` in one, and the text as bytes; without ``keep`` the whole row, text and all."""
+    if keep is None:
+        return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return df.select(F.struct(*keep).alias("row"), F.encode(F.col(text_col), "UTF-8").alias("_raw"))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The rows and texts of ``keyed_text`` in runs as ``slices`` cuts them."""
+    for b in batches:
+        row = b.column(0)
+        texts = b.column(1) if b.num_columns > 1 else row.field(text_col)
+        named = pa.RecordBatch.from_arrays([row, texts], ["row", "_raw"])
+        for part in slices(iter([named]), "_raw", most_bytes):
+            yield part.column(0), part.column(1)

@@ -4,6 +4,7 @@ import math
 import os
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -450,8 +451,9 @@ def brute_matches(texts, items):
             s = [tuple(v[j : j + width]) for j in range(len(v) - width + 1)]
             c, known, best = Counter(s), set(s), (0, 0)
             where = [tuple(w[j : j + width]) for j in range(len(w) - width + 1)]
-            starts = {min(max(0, j - p), max(0, len(w) - len(v))) for j, x in enumerate(where) if x in known for p in range(len(s)) if s[p] == x}
-            for a in starts:
+            if not known & set(where):
+                continue
+            for a in range(max(0, len(w) - len(v)) + 1):
                 win = Counter(where[a : a + len(v) - width + 1])
                 best = max(best, (2 * sum((win & c).values()) / (win.total() + len(s)), -a))
             if best[0] >= 0.8:
@@ -472,10 +474,14 @@ def test_benchmark_passages_match_brute_force(spark, small, texts):
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
     assert (-1, 3) in got and (-3, 3) not in got and (-5, 900) in got
-    blocks = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in de.contaminated(df, bench, block_bytes=2000).collect()}
-    assert blocks == got
-    left = {r.doc_id for r in de.remove_contaminated(df, bench).collect()}
-    assert left == set(some) - {k for k, _ in got}
+    for most in (1 << 30, 9000):  # blocks of one pass, and several passes
+        blocks = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in de.contaminated(df, bench, block_bytes=2000, pass_bytes=most).collect()}
+        assert blocks == got
+    for sizes in ({}, {"block_bytes": 4000, "pass_bytes": 20000}):
+        left = {r.doc_id for r in de.remove_contaminated(df, bench, **sizes).collect()}
+        assert left == set(some) - {k for k, _ in got}
+    same = de.contaminated(df, bench.withColumnRenamed("item_id", "doc_id"), item_col="doc_id")
+    assert {(r.doc_id, r.item_doc_id) for r in same.collect()} == set(got)
 
 
 def test_matches_whose_fingerprints_may_lie_far_apart():
@@ -484,7 +490,8 @@ def test_matches_whose_fingerprints_may_lie_far_apart():
     passage = [[f"{w}{k}" for k in range(37)] for w in ("p", "q", "r", "s", "t", "u")]
     ends = [(" ".join(p + [f"end{k}" for k in range(8)]), " ".join(p + ["tail"] * 8)) for p in passage]
     items, texts = (dict(enumerate(x)) for x in zip(*alternating, *ends))
-    doc, who, _, _, alike = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    doc, who, _, _, alike, by_index = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    assert not by_index.all()  # the exact search finds what lies beyond the radius
     got, want = dict(zip(zip(doc.tolist(), who.tolist()), alike.tolist())), brute_matches(texts, items)
     assert set(want) == {(k, k) for k in items}
     assert got == pytest.approx({k: v[0] for k, v in want.items()})
@@ -518,7 +525,7 @@ def test_windows_slide_over_every_start():
         at, n = draw.integers(0, 30), draw.integers(1, 30)
         v = w[at : at + n]
         items[k], texts[k] = " ".join(v[n // 3 :] + v[: n // 3]), " ".join(w)
-    doc, who, start, end, alike = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    doc, who, start, end, alike, _ = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
     names, of = list(texts), list(items)
     got = {(names[d], of[i]): x for d, i, x in zip(doc, who, alike, strict=True)}
     assert {k: got[k] for k in [(0, 0), (1, 1), (2, 1), (3, 0)]} == pytest.approx({(0, 0): 0.958, (1, 1): 0.913, (2, 1): 0.826, (3, 0): 0.833}, abs=5e-4)
@@ -527,6 +534,49 @@ def test_windows_slide_over_every_start():
         assert slid_matches({0: " ".join(texts[names[d]].split()[a:b])}, {0: items[of[i]]})[0, 0] == pytest.approx(x)
 
 
+def test_index_finds_all_within_the_radius():
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 2**64, 300, dtype=np.uint64)
+    sizes = draw.integers(5, 9, 300)
+    index = de.HammingIndex.build(base, sizes)
+    for k in range(200):
+        y = int(base[k])
+        for b in draw.choice(64, int(draw.integers(0, 24)), replace=False):
+            y ^= 1 << int(b)
+        want = [i for i in range(300) if sizes[i] == sizes[k] and (int(base[i]) ^ y).bit_count() <= de.RADIUS]
+        assert index.search(np.array([y], np.uint64), int(sizes[k])).tolist() == want
+
+
+def test_window_fingerprints_are_majorities():
+    s = np.random.default_rng(9).integers(0, 2**64, 400, dtype=np.uint64)
+    for n, a, b in ((1, 0, 399), (7, 3, 100), (64, 10, 330), (400, 0, 0)):
+        want = [sum(1 << bit for bit in range(64) if 2 * sum(int(x) >> bit & 1 for x in s[k : k + n]) > n) for k in range(a, b + 1)]
+        assert de.window_prints(s, a, b, n).tolist() == want
+
+
+def test_index_recall_at_the_least_similarity():
+    """Items of 59 words whose text keeps just enough of the 55 shingles: the index alone finds 0.9 of them, the exact search all."""
+    draw = np.random.default_rng(11)
+    items, texts = [], []
+    for k in range(300):
+        item = [f"i{k}w{j}" for j in range(59)]
+        cut = int(draw.integers(1, 11))  # 11 shingles changed: one end of cut words and another of 11 - cut
+        text = [f"x{j}" for j in range(30)] + [f"c{j}" for j in range(cut)] + item[cut : 59 - (11 - cut)] + [f"d{j}" for j in range(41 - cut)]
+        items.append((k, " ".join(item).encode()))
+        texts.append(" ".join(text).encode())
+    doc, who, start, _, alike, by_index = de.find_items(pa.array(texts, pa.binary()), de.ItemIndex.build(items))
+    assert doc.tolist() == who.tolist() == list(range(300)) and start.max() <= 30
+    print(by_index.mean())
+    assert alike == pytest.approx(np.full(300, 0.8)) and by_index.mean() >= 0.9
+
+
+def test_repetitive_texts_take_linear_time():
+    items = [(k, " ".join([f"w{k % 3}"] * 400).encode()) for k in range(20)]
+    began = time.time()
+    doc, _, start, end, alike, _ = de.find_items(pa.array([" ".join(["w0"] * 8000).encode()], pa.binary()), de.ItemIndex.build(items))
+    assert len(doc) == 7 and set(start) == {0} and set(end) == {400} and set(alike) == {1.0} and time.time() - began < 20
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "same text here"), (None, "zzz"), (2, None)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in de.contaminated(odd, bench).collect()) == [(10, 1), (11, 1)]
