@@ -1,13 +1,15 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints are grouped first, so copies cost nothing further. The anchors are the
-words of a covering code: the direct product of two perfect binary [23,12] codes (each
-of covering radius 3) over the low 46 bits of the fingerprint. Every fingerprint has one
-home anchor, the code word within the covering radius of it in both halves, and is
-replicated to every anchor that lies within covering radius plus threshold: within 3+a
-and 3+b of its halves with a+b at most the threshold. If x and y differ in at most that
-many bits, x's home is such an anchor of y, so an equi-join of homes and replicas on the
-anchor meets every linked pair, and an exact count of differing bits decides it.
+words of a covering code over all 64 bits: the direct product of four perfect cyclic
+codes, [23,12] twice (covering radius 3), [15,11] and [3,1] (covering radius 1). Every
+fingerprint has one home anchor, the code word within the covering radius of it in each
+block, and is replicated to every anchor that lies within covering radius plus threshold:
+the blocks' distances beyond their radii add up to the threshold at most. If x and y
+differ in at most that many bits, x's home is such an anchor of y, so an equi-join of
+homes and replicas on the anchor meets every linked pair, and an exact count of differing
+bits decides it. There are 2**36 anchors and 166 replicas of a fingerprint on average
+(threshold 2), so a thousand million unlinked fingerprints meet about 2.4 times each.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other;
 texts of one or two words have the hash of their whole word sequence; repeated rows and
@@ -32,9 +34,8 @@ from riskengine.llm.words import slices
 from riskengine.operators.graph import connected_components
 from riskengine.session import materialize
 
-_BLOCK = 23
-_GENERATOR = 0b101011100011  # of the perfect [23,12] code
-_MASK = (1 << _BLOCK) - 1
+#: Length, generator polynomial and covering radius of the perfect cyclic codes, from the lowest bits on.
+_CODES = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (15, 0b10011, 1), (3, 0b111, 1))
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -88,58 +89,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.encode(F.col(text_col), "UTF-8").alias("_raw")).mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=1)
-def _code(threshold: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The syndrome table's rows and, for each excess distance 0..threshold, error patterns by syndrome.
+@lru_cache(maxsize=16)
+def _code(length: int, generator: int, radius: int, threshold: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The syndrome of each bit and, for each excess distance 0..threshold, error patterns by syndrome.
 
-    ``lists[c]`` is (patterns, first): the words at distance 3+c (or at most 3, for 0) from
-    v are v ^ patterns[first[s]:first[s+1]], with s the syndrome of v.
+    ``lists[c]`` is (patterns, first): the words at distance radius+c (or at most the radius,
+    for 0) from v are v ^ patterns[first[s]:first[s+1]], with s the syndrome of v.
     """
-    bit = np.zeros(_BLOCK, np.int64)
-    for k in range(_BLOCK):
+    checks = generator.bit_length() - 1
+    bit = np.zeros(length, np.int64)
+    for k in range(length):
         v = 1 << k
-        for j in range(_BLOCK - 1, 10, -1):
+        for j in range(length - 1, checks - 1, -1):
             if v >> j & 1:
-                v ^= _GENERATOR << (j - 11)
+                v ^= generator << (j - checks)
         bit[k] = v
     lists = []
     for c in range(threshold + 1):
-        sets = [s for w in (range(4) if c == 0 else [3 + c]) for s in combinations(range(_BLOCK), w)]
+        sets = [s for w in (range(radius + 1) if c == 0 else [radius + c]) for s in combinations(range(length), w)]
         pattern = np.array([sum(1 << k for k in s) for s in sets], np.int64)
         syndrome = np.array([np.bitwise_xor.reduce(bit[list(s)]) if s else 0 for s in sets], np.int64)
         order = np.argsort(syndrome, kind="stable")
-        lists.append((pattern[order], np.searchsorted(syndrome[order], np.arange(2049))))
+        lists.append((pattern[order], np.searchsorted(syndrome[order], np.arange((1 << checks) + 1))))
     return bit, lists
 
 
-def _syndrome(v: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    s = np.zeros(len(v), np.int64)
-    for k in range(_BLOCK):
-        s ^= bit[k] * ((v >> k) & 1)
-    return s
-
-
-def _spread(rows: np.ndarray, words: np.ndarray, bit: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code word) for each code word of one list around each word."""
-    pattern, first = lists
-    s = _syndrome(words, bit)
-    n = first[s + 1] - first[s]
-    at = np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.repeat(rows, n), np.repeat(words, n) ^ pattern[at]
-
-
 def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, excess) of all anchors in reach of each fingerprint; excess 0 is its home."""
-    bit, lists = _code(threshold)
-    low, high = fp & _MASK, (fp >> _BLOCK) & _MASK
-    out: list[list[np.ndarray]] = [[], [], []]
-    for a in range(threshold + 1):
-        rows, one = _spread(np.arange(len(fp)), low, bit, lists[a])
-        for b in range(threshold + 1 - a):
-            again, two = _spread(np.arange(len(rows)), high[rows], bit, lists[b])
-            for col, x in zip(out, (rows[again], one[again] | two << _BLOCK, np.full(len(two), a + b)), strict=True):
-                col.append(x)
-    return tuple(np.concatenate(c) for c in out)
+    """(row, anchor, excess) of all anchors in reach of each fingerprint (int64); excess 0 is its home."""
+    rows, anchor, excess, at = np.arange(len(fp)), np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.int64), 0
+    for length, generator, radius in _CODES:
+        bit, lists = _code(length, generator, radius, threshold)
+        word = (fp >> at & ((1 << length) - 1)).astype(np.int64)
+        syndrome = np.zeros(len(fp), np.int64)
+        for k in range(length):
+            syndrome ^= bit[k] * (word >> k & 1)
+        found: list[tuple[np.ndarray, ...]] = []
+        for c, (pattern, first) in enumerate(lists):
+            near = np.flatnonzero(excess + c <= threshold)
+            s = syndrome[rows[near]]
+            n = first[s + 1] - first[s]
+            near = np.repeat(near, n)
+            code = word[rows[near]] ^ pattern[np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            found.append((rows[near], anchor[near] | code.astype(np.uint64) << np.uint64(at), excess[near] + c))
+        rows, anchor, excess = (np.concatenate(x) for x in zip(*found, strict=True))
+        at += length
+    return rows, anchor.view(np.int64), excess
 
 
 def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
