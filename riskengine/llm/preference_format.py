@@ -6,10 +6,11 @@ mask of the character spans that are trained on: the assistant's texts with thei
 marks.
 
 Defined results: null roles are ``user`` and null texts empty; equal conversations have
-empty completions; a null conversation is one without turns; markers inside texts are
-broken up so that they cannot be taken for the format's own; turns are ordered by number,
-role and text, and repeated rows count once; rows without a conversation id belong to
-none; an empty table gives an empty one.
+empty completions; a null conversation is one without turns; markers inside roles and
+texts are broken up by a backslash, and backslashes doubled, so that they cannot be taken
+for the format's own and ``unescape`` gives back what was there; turns are ordered by
+number, role and text, and repeated rows count once; rows without a conversation id
+belong to none; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,23 @@ def conversation_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str
     return got.select(id_col, F.transform("_t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def escape(c: Column) -> Column:
+    """A text without the mark that begins a turn's head or end."""
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def escape_role(c: Column) -> Column:
+    """A role that does not end its head either."""
+    return F.replace(escape(c), F.lit("|>"), F.lit("|\\>"))
+
+
+def unescape(c: Column) -> Column:
+    """What ``escape`` or ``escape_role`` was given."""
+    return F.regexp_replace(c, r"(?s)\\(.)", "$1")
+
+
 def render_turn(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), F.replace(turn["text"], F.lit("<|"), F.lit("<\\|")), F.lit(END))
+    return F.concat(F.lit("<|"), escape_role(turn["role"]), F.lit("|>\n"), escape(turn["text"]), F.lit(END))
 
 
 def _render(turns: Column) -> Column:
@@ -41,7 +57,7 @@ def _mask(turns: Column) -> Column:
     """(start, end) character spans of the rendered turns that are trained on."""
     step = lambda acc, t: F.struct(
         (acc["at"] + F.length(render_turn(t))).alias("at"),
-        F.when(t["role"] == TRAINED_ROLE, F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["role"]) + 5).alias("start"), (acc["at"] + F.length(render_turn(t)) - 1).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+        F.when(t["role"] == TRAINED_ROLE, F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(F.lit(HEAD.format(TRAINED_ROLE)))).alias("start"), (acc["at"] + F.length(render_turn(t)) - 1).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
@@ -75,17 +91,23 @@ def stale_reply_pairs(conversations: DataFrame, id_col: str = "conv_id") -> Data
     return df.select(id_col, chosen.alias("chosen"), rejected.alias("rejected"))
 
 
-ORACLE = """
+def _escape_sql(c: str) -> str:
+    return f"replace(replace({c}, '\\', '\\\\'), '<|', '<\\|')"
+
+
+_TURN_SQL = f"lambda t: '<|' || replace({_escape_sql('t.role')}, '|>', '|\\>') || '|>' || chr(10) || {_escape_sql('t.text')} || '<|end|>' || chr(10)"
+
+ORACLE = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
 r AS (SELECT conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS pos FROM c),
 p AS (SELECT conv_id,
   CASE WHEN len(pos) > 0 THEN turns[:pos[-1]] ELSE turns END AS a,
-  CASE WHEN len(pos) > 0 THEN list_concat(turns[:pos[-1] - 1], [{'role': 'assistant', 'text': CASE WHEN len(pos) > 1 THEN turns[pos[-2]].text ELSE '' END}]) ELSE turns END AS b FROM r),
+  CASE WHEN len(pos) > 0 THEN list_concat(turns[:pos[-1] - 1], [{{'role': 'assistant', 'text': CASE WHEN len(pos) > 1 THEN turns[pos[-2]].text ELSE '' END}}]) ELSE turns END AS b FROM r),
 n AS (SELECT conv_id, a, b, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a)) AS n FROM p),
-s AS (SELECT conv_id, n, list_transform(a[:n], lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '<\\|') || '<|end|>' || chr(10)) AS p,
-  list_transform(a[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '<\\|') || '<|end|>' || chr(10)) AS x,
-  list_transform(b[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '<\\|') || '<|end|>' || chr(10)) AS y, a[n + 1:] AS ta, b[n + 1:] AS tb FROM n),
+s AS (SELECT conv_id, n, list_transform(a[:n], {_TURN_SQL}) AS p,
+  list_transform(a[n + 1:], {_TURN_SQL}) AS x,
+  list_transform(b[n + 1:], {_TURN_SQL}) AS y, a[n + 1:] AS ta, b[n + 1:] AS tb FROM n),
 m AS (SELECT *, list_transform(list_filter(range(1, len(x) + 1), lambda i: ta[i].role = 'assistant'), lambda i: (length(array_to_string(x[:i - 1], '')) + 14) || '-' || (length(array_to_string(x[:i], '')) - 1)) AS mx,
   list_transform(list_filter(range(1, len(y) + 1), lambda i: tb[i].role = 'assistant'), lambda i: (length(array_to_string(y[:i - 1], '')) + 14) || '-' || (length(array_to_string(y[:i], '')) - 1)) AS my FROM s)
 SELECT conv_id, CAST(n AS BIGINT) AS prompt_turns, array_to_string(p, '') AS prompt, array_to_string(x, '') AS chosen, array_to_string(y, '') AS rejected,
