@@ -166,6 +166,60 @@ def test_audio_damage_and_other_formats():
     assert ma.parse(b"").duration == 0 and ma.parse(b"\xff" * 100).frame_offset == []
 
 
+def frame(header, size, bits, body):
+    """A frame whose checksum, over ``bits`` bits of its body, is worked out bit by bit."""
+    c = 0xFFFF
+    for x in [int(i) for i in "".join(f"{i:08b}" for i in header[2:])] + [int(i) for i in "".join(f"{i:08b}" for i in body)][:bits]:
+        c = ((c << 1) ^ (0x8005 if (c >> 15) ^ x else 0)) & 0xFFFF
+    return header + struct.pack(">H", c) + body + bytes(size - 6 - len(body))
+
+
+def test_audio_checksums_of_all_layers():
+    draw = np.random.default_rng(5)
+    # Layer I, 448 kbit/s, 48 kHz: mono, stereo and joint stereo from subband 8
+    for last, bits in ((0xC0, 128), (0x00, 256), (0x50, 4 * (32 + 8))):
+        f = frame(bytes((0xFF, 0xFE, 0xE4, last)), 448, bits, draw.bytes(32))
+        a = ma.parse(f * 3)
+        assert (len(a.frame_offset), a.checked, a.good) == (3, 3, 3)
+        assert ma.parse((f[:8] + bytes((f[8] ^ 1,)) + f[9:]) * 3).good == 0
+    # Layer II: with all allocations zero and with all set, each set one adds two bits a channel
+    for head, size, sums, subbands in (
+        ((0xFF, 0xFC, 0xA4, 0x00), 576, 2 * (44 + 36 + 8), 54),  # 192 kbit/s, 48 kHz, stereo: 27 subbands
+        ((0xFF, 0xFC, 0xC0, 0x00), 835, 2 * (44 + 36 + 14), 60),  # 256 kbit/s, 44.1 kHz, stereo: 30 subbands
+        ((0xFF, 0xFC, 0x28, 0xC0), 216, 8 + 30, 12),  # 48 kbit/s, 32 kHz, mono: 12 subbands
+        ((0xFF, 0xFC, 0x24, 0xC0), 144, 8 + 18, 8),  # 48 kbit/s, 48 kHz, mono: 8 subbands
+        ((0xFF, 0xF4, 0x84, 0xC0), 384, 16 + 21 + 38, 30),  # MPEG-2, 64 kbit/s, 24 kHz, mono
+    ):
+        assert ma.read_header(bytes(head), 0).size == size
+        for body, extra in ((bytes(100), 0), (b"\xff" * 100, 2 * subbands)):
+            a = ma.parse(frame(bytes(head), size, sums + extra, body) * 3)
+            assert (a.checked, a.good) == (3, 3)
+    joint = frame(bytes((0xFF, 0xFC, 0xA4, 0x40)), 576, 4 * 4 * 2 + (7 * 4 + 12 * 3 + 4 * 2) + 2 * 54, b"\xff" * 100)  # from subband 4 on both channels share
+    assert ma.parse(joint * 2).good == 2
+
+
+def test_audio_delay_free_format_and_tags():
+    silent = ma._SILENT[5]
+    lame = silent + b"Info" + struct.pack(">III", 11, 4, 0) [:4] + struct.pack(">II", 4, 960) + struct.pack(">I", 50) + b"LAME3.100" + bytes(12) + bytes((0x24, 0x03, 0x00)) + bytes(20)
+    b = lame + bytes(192 - len(lame)) + (silent + bytes(192 - len(silent))) * 4
+    a = ma.parse(b)
+    assert (a.vbr["delay"], a.vbr["padding"], a.trimmed, a.vbr["encoder"]) == (576, 768, 1344, "LAME3.100")
+    assert a.duration == ma.Fraction(4 * 1152 - 1344, 48000) and a.first_sample == [0, 1152, 2304, 3456]
+    free = bytes((0xFF, 0xFB, 0x04, 0xC0)) + b"x" * 996  # no bit rate, 48 kHz
+    padded = bytes((0xFF, 0xFB, 0x06, 0xC0)) + b"x" * 997
+    a = ma.parse(free * 3 + padded + free)
+    assert a.frame_size == [1000, 1000, 1000, 1001, 1000] and a.skipped_bytes == 0 and a.duration == ma.Fraction(5 * 1152, 48000)
+    text = b"\x00A\xff\x00B"  # unsynchronised: 0xFF 0x00 stands for 0xFF
+    tags = {
+        "2.2": b"ID3\x02\x00\x00" + ma._syncsafe(6 + 3) + b"TT2\x00\x00\x03\x00ab",
+        "2.3": b"ID3\x03\x00\xc0" + ma._syncsafe(10 + 10 + 5) + struct.pack(">I", 6) + bytes(6) + b"TIT2" + struct.pack(">I", 4) + bytes(2) + text,
+        "2.4": b"ID3\x04\x00\x40" + ma._syncsafe(6 + 10 + 9) + ma._syncsafe(6) + bytes(2) + b"TIT2" + ma._syncsafe(9) + b"\x00\x03" + ma._syncsafe(4) + text,
+    }
+    said = {k: ma.parse(t + b) for k, t in tags.items()}
+    assert {k: next(iter(a.tags.values())) for k, a in said.items()} == {"2.2": "ab", "2.3": "A\xffB", "2.4": "A\xffB"}
+    assert all(a.frame_offset[0] == len(tags[k]) + 192 for k, a in said.items())
+
+
 def test_audio_table(spark, small, texts, odd):
     import hashlib
 
@@ -173,6 +227,8 @@ def test_audio_table(spark, small, texts, odd):
         raw = texts[r.doc_id].encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        n = len(r.seek_offsets)
+        assert ma.Fraction(r.duration_num, r.duration_den) == ma.Fraction(1152 * n, 48000) and r.seek_samples == [1152 * k for k in range(n)]
     media = ma.store_texts(odd)
     assert ma.digest_media(media).filter("n_bytes = 0").count() == 2 and ma.read_media(media).count() == odd.count()
     assert ma.digest_media(ma.store_texts(odd.limit(0))).count() == 0
