@@ -28,5 +28,20 @@ def draw_by_label(rows: DataFrame, label: str, hash_col: str, most: int) -> Data
     sizes = {r[0]: max(1, r[1]) for r in rows.groupBy(label).agg(F.approx_count_distinct(hash_col, 0.02)).collect()}
     part = fair_part(list(sizes.values()), most)
     cuts = [(k, max(1, int(min(1.0, part / n) * _RANGE))) for k, n in sizes.items()]
-    cut = rows.sparkSession.createDataFrame(cuts, f"{label} string, _cut long")
+    cut = rows.sparkSession.createDataFrame(cuts, rows.select(label).schema.add("_cut", "long"))
     return rows.join(F.broadcast(cut), label).filter(F.pmod(hash_col, F.lit(_RANGE)) < F.col("_cut")).select(*rows.columns)
+
+
+def keep_bytes(rows: DataFrame, label: str, hash_col: str, of: str, most: int) -> DataFrame:
+    """The rows whose hash chooses them: about ``most`` bytes of column ``of``, up to a fair part of each label.
+
+    A label with no more bytes than its part keeps all its rows. ``rows`` is read twice.
+    """
+    sizes = {r[0]: r[1] or 0 for r in rows.groupBy(label).agg(F.sum(F.octet_length(of))).collect()}
+    part = fair_part(list(sizes.values()), most, 0)
+    cuts = [(k, int(min(1.0, part / max(1, n)) * _RANGE)) for k, n in sizes.items()]
+    if all(c == _RANGE for _, c in cuts):
+        return rows
+    cut = rows.sparkSession.createDataFrame(cuts, rows.select(label).schema.add("_cut", "long"))
+    chosen = F.pmod(F.xxhash64(hash_col, F.lit("bytes")), F.lit(_RANGE)) < F.col("_cut")
+    return rows.join(F.broadcast(cut), label).filter(chosen).select(*rows.columns)
