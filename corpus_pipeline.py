@@ -18,32 +18,33 @@ from riskengine.session import materialize
 LEAST_LANGUAGE_SHARE = 0.5
 
 
-def _as_rows(docs: DataFrame) -> DataFrame:
-    """Each row in one column beside its text, so that no operator's column clashes with it."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones here, does not call toxic."""
     model = q.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_ftrl.score(_as_rows(docs), model, keep=("_row",)).filter(~toxicity_ftrl.is_toxic()).select("_row.*")
+    return toxicity_ftrl.score(docs, model, keep=None).filter(~toxicity_ftrl.is_toxic()).select("row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose words are mostly of one language."""
-    found = langid_crf.predict(_as_rows(docs), q.language_model(docs), keep=("_row",))
-    return found.filter((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select("_row.*")
+    found = langid_crf.predict(docs, q.language_model(docs), keep=None)
+    return found.filter((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, and one of repeated rows."""
+    """The document with the smallest id of each component, and one of repeated rows.
+
+    The survivors' keys are chosen first, so whole rows are shuffled once, to meet them.
+    Rows repeated in all columns share a key; they are made one before they are shuffled.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = _as_rows(docs).withColumns({"_id": F.col("_row.doc_id"), "_hash": F.xxhash64(F.col("_row.text"), F.to_json("_row"))})
-    found = simhash_anchor.near_duplicates(keyed.select(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash").alias("key"), "text"), "key")
-    first = materialize(found.select(F.col("component_id._id").alias("first_id"), F.col("component_id._hash").alias("first_hash")).distinct(), "survivors")
-    once = keyed.dropDuplicates(["_id", "_hash"])  # repeated rows go before they are shuffled
-    kept = once.join(first, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash")), "left_semi")
-    return kept.select("_row.*").select(*own)
+    row = F.struct(*own)
+    keyed = docs.select(row.alias("_row"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(F.to_json(row)).alias("hash")).alias("_key"))
+    found = simhash_anchor.near_duplicates(keyed.select("_key", F.col("_row.text").alias("text")), "_key")
+    first = found.filter(F.col("_key") == F.col("component_id")).groupBy("_key").count()
+    first = materialize(first, "survivors")
+    once = keyed.join(first.filter("count = 1"), "_key", "left_semi")
+    repeated = keyed.join(first.filter("count > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(repeated).select("_row.*").select(*own)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
