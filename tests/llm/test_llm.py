@@ -662,8 +662,18 @@ def test_sql_parity(spark, small, name):
 def test_license_edges(spark, odd):
     mit = ls.TEMPLATES[1][1]
     cases = {1: mit, 2: "code\n" + mit.replace("without", "with out") + "\nmore", 3: "\n".join(mit.split(",")), 4: "released UNDER the -- mit   license", 5: "under the license", 6: None, 7: ""}
-    got = {(r.doc_id, r.kind): r.license_id for r in ls.scan_licenses(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    rows = ls.scan_licenses(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.kind): r.license_id for r in rows if r.kind != "window"}
+    assert {(r.doc_id, r.position, r.license_id) for r in rows if r.kind == "window"} == {(1, 0, "MIT"), (2, 1, "MIT"), (3, 0, "MIT"), (4, 0, "MIT")}
     assert got == {(1, "line"): "MIT", (2, "line"): "MIT", (2, "paragraph"): "MIT", (2, "text"): "MIT", (3, "text"): "MIT", (3, "paragraph"): "MIT", (4, "line"): "MIT"}
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    bodies = {t: name for name, t in ls.TEMPLATES if len(t) > 100}
+    inside = {k: f"# some code here\n{wrap(t, 9)}\nimport os and more\n" + "other words " * 30 for k, t in enumerate(bodies)}
+    inside[100] = "x " * 50 + ls.TEMPLATES[9][1] + " y" * 50  # inside a longer line
+    rows = ls.scan_licenses(spark.createDataFrame(list(inside.items()), "doc_id long, text string")).filter("kind = 'window' AND dice = 1").collect()
+    for k, name in enumerate(bodies.values()):
+        assert (k, 3, name) in {(r.doc_id, r.position, r.license_id) for r in rows if r.doc_id == k}  # after "some code here"
+    assert [(r.position, r.license_id) for r in rows if r.doc_id == 100] == [(50, "BSD-3-Clause")]
     assert ls.scan_licenses(odd).count() == 0 and ls.scan_licenses(odd.limit(0)).count() == 0
     plan = ls.scan_licenses(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
