@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,16 +35,20 @@ def load_encoder(path: str):
     """A function from a text to its ids (uint32), without special tokens.
 
     ``path`` is a `tokenizers` JSON file. Where it is a plain byte-level BPE whose ids
-    are its merge ranks, the same vocabulary is run by the faster tiktoken; tests hold
-    the two against each other.
+    are its merge ranks, the same vocabulary is run by the faster tiktoken, and the file
+    itself is loaded only for a text with a long run; tests hold the two against each other.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    @lru_cache(maxsize=1)
+    def slow():
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+        return found
 
     def by_tokenizers(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
     ranks = _ranks(path)
     if ranks is None:
@@ -160,13 +164,16 @@ def pack(pieces: DataFrame, n_items: int, keys: tuple[str, ...] = ("doc_id", "st
     out = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "padded_length"))])
 
     def run(key, group):
-        group = group.sort_values([length_col, *keys], ascending=[False, *[True] * len(keys)], kind="stable").reset_index(drop=True)
-        bins, offsets = first_fit(group[length_col].to_numpy(), capacity)
-        fill = np.bincount(bins, group[length_col].to_numpy()).astype(np.int64)[bins]
-        group["sequence_id"] = (int(key[0]) << 32) + bins
-        group["offset"] = offsets
-        group["padded_length"] = np.where((fill & (fill - 1)) == 0, fill, capacity)
-        return group[out.names]
+        # Arrow keeps long ids whole beside nulls, which pandas would turn into doubles
+        order = pc.sort_indices(group, [(length_col, "descending"), *[(c, "ascending") for c in keys]])
+        group = group.select(names).take(order)
+        sizes = group.column(length_col).to_numpy()
+        bins, offsets = first_fit(sizes, capacity)
+        fill = np.bincount(bins, sizes).astype(np.int64)[bins]
+        padded = np.where((fill & (fill - 1)) == 0, fill, capacity)
+        for c, x in (("sequence_id", (key[0].as_py() << 32) + bins), ("offset", offsets), ("padded_length", padded)):
+            group = group.append_column(c, pa.array(x.astype(np.int64)))
+        return group
 
     dealt = kept.withColumn("_group", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, out)
+    return dealt.groupBy("_group").applyInArrow(run, out)
