@@ -12,32 +12,26 @@ from pyspark.sql import types as T
 
 
 def case_map(c: Column, table: dict, default) -> Column:
-    """A literal lookup; null and unknown values get the default."""
-    out = F.lit(default)
-    for k, v in reversed(table.items()):
-        out = F.when(c == k, F.lit(v)).otherwise(out)
-    return out
+    """A literal lookup (one constant map, however long the table); null and unknown values get the default."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), F.lit(default))
 
 
 def first_match(c: Column, cases: list[tuple[str, int]], default: int) -> Column:
-    """The value of the first pattern that a text matches; null matches none."""
-    out = F.lit(default)
-    for pattern, v in reversed(cases):
-        out = F.when(c.rlike(pattern), F.lit(v)).otherwise(out)
-    return out
+    """The value of the first case of which a text contains one of the parts between bars; null contains none.
+
+    The cases are one constant array, so the compiled code stays small.
+    """
+    parts = F.array(*[F.struct(F.lit(x).alias("part"), F.lit(v).alias("value")) for of, v in cases for x in of.split("|")])
+    return F.coalesce(F.get(F.filter(parts, lambda p: F.contains(c, p["part"])), F.lit(0))["value"], F.lit(default))
 
 
 # Fixed values of the encodings, which a model fitted elsewhere relies on.
 EMAIL_ALIASES = {"gmail": "gmail.com", "nan": "unknown"}
 FREE_PROVIDERS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "mail.ru", "yandex.ru", "protonmail.com")
-VENDOR_GROUPS = {
-    "google": ("gmail", "googlemail"),
-    "microsoft": ("hotmail", "outlook", "msn", "live"),
-    "yahoo": ("yahoo", "ymail", "rocketmail"),
-    "apple": ("icloud", "me", "mac"),
-    "isp": ("comcast", "verizon", "att", "sbcglobal"),
-    "privacy": ("protonmail", "anonymous", "mailinator"),
-}
+VENDORS = {
+    "gmail": "google", "googlemail": "google", "hotmail": "microsoft", "outlook": "microsoft", "msn": "microsoft", "live": "microsoft", "yahoo": "yahoo", "ymail": "yahoo", "rocketmail": "yahoo",
+    "icloud": "apple", "me": "apple", "mac": "apple", "comcast": "isp", "verizon": "isp", "att": "isp", "sbcglobal": "isp", "protonmail": "privacy", "anonymous": "privacy", "mailinator": "privacy",
+}
 VENDOR_IDS = {"google": 1, "microsoft": 2, "yahoo": 3, "apple": 4, "isp": 5, "privacy": 6}
 VENDOR_RISK = {"google": 0, "microsoft": 0, "yahoo": 0, "apple": 0, "isp": -1, "privacy": 5}
 SUFFIX_IDS = {"com": 1, "net": 2, "edu": 3, "org": 4, "mx": 5, "es": 6, "de": 7}
@@ -77,16 +71,15 @@ def clean_email(c: Column) -> Column:
 def email_columns(c: Column, prefix: str) -> dict[str, Column]:
     """Features of one mail domain. ``c`` is the cleaned domain."""
     vendor, suffix = F.substring_index(c, ".", 1), F.substring_index(c, ".", -1)
-    group = case_map(vendor, {v: g for g, of in VENDOR_GROUPS.items() for v in of}, "unknown")
     digit = c.rlike("[0-9]").cast("int")
     return {
         f"{prefix}_length": F.length(c),
         f"{prefix}_has_digits": digit,
         f"{prefix}_is_free": c.isin(*FREE_PROVIDERS).cast("int"),
-        f"{prefix}_vendor_id": case_map(group, VENDOR_IDS, 0),
+        f"{prefix}_vendor_id": case_map(vendor, {v: VENDOR_IDS[g] for v, g in VENDORS.items()}, 0),
         f"{prefix}_suffix_id": case_map(suffix, SUFFIX_IDS, 0),
         f"{prefix}_country_id": case_map(suffix, COUNTRY_IDS, 0),
-        f"{prefix}_risk_score": case_map(group, VENDOR_RISK, 1) + digit + F.when(vendor.rlike("temp|fake|trash"), 3).otherwise(0),
+        f"{prefix}_risk_score": case_map(vendor, {v: VENDOR_RISK[g] for v, g in VENDORS.items()}, 1) + digit + F.when(vendor.rlike("temp|fake|trash"), 3).otherwise(0),
     }
 
 
@@ -169,14 +162,18 @@ def normalise_days(tx: DataFrame) -> DataFrame:
 
 
 def amount_features(tx: DataFrame) -> DataFrame:
-    """Round and odd amounts. Cents are taken from the amount rounded to them, so no binary remainder decides."""
+    """Round and odd amounts. Parts are taken from the amount in thousandths, rounded, so no binary remainder decides.
+
+    Sub-cent digits count: 59.065 has the decimal part 0.065 and the cents value 65. Null
+    amounts have the parts of 0 and are not suspicious.
+    """
     amt = F.col("TransactionAmt")
-    cents = F.round(F.coalesce(amt, F.lit(0.0)) * 100).cast("long")
-    last = F.pmod(cents, F.lit(100))
-    odd = (F.pmod(cents, F.lit(10000)) == 0).cast("int") + (F.pmod(cents, F.lit(10000)) == 9900).cast("int") + last.isin(99, 95, 90, 49, 0).cast("int")
+    mills = F.round(F.coalesce(amt, F.lit(0.0)) * 1000).cast("long")
+    last, hundred = F.pmod(mills, F.lit(1000)), F.pmod(mills, F.lit(100000))
+    odd = (hundred == 0).cast("int") + (hundred == 99000).cast("int") + last.isin(990, 950, 900, 490, 0).cast("int")
     return tx.withColumns({
-        "TransactionAmt_log": F.log1p(amt), "TransactionAmt_suspicious": F.when(amt.isNull(), 0).otherwise(odd), "cents_value": (last * 10).cast("int"),
-        "is_exact_dollars": (last == 0).cast("int"), "is_99_cents": (last == 99).cast("int"), "TransactionAmt_decimal": last / 100,
+        "TransactionAmt_log": F.log1p(amt), "TransactionAmt_suspicious": F.when(amt.isNull(), 0).otherwise(odd), "cents_value": last.cast("int"),
+        "is_exact_dollars": (last == 0).cast("int"), "is_99_cents": (last >= 990).cast("int"), "TransactionAmt_decimal": last / 1000,
     })
 
 

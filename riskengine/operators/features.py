@@ -1,17 +1,17 @@
 """Identity keys, per-user windows, learned encodings and sharing degrees.
 
-Everything per user is one window partition (the key) with one order (time, id), so all
-of it shares a single exchange and sort. Learned state is tables, joined back by key.
+Windows per user go within spans of time, so that no user has to fit one task. Learned
+state is tables that can be saved, joined back by key.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskengine.operators.ordering import number_rows
+from riskengine.operators.ordering import exact_quantiles, first_rows, number_rows
 
 USER, TIME, ROW, AMOUNT = "UID", "TransactionDT", "TransactionID", "TransactionAmt"
 
@@ -69,59 +69,113 @@ def velocity(df: DataFrame, hours: tuple[int, ...] = (1, 12, 24), fill_single: b
 
     Records of the same second are not counted. Users with one record have count 0 and a
     null sum unless ``fill_single``; users with several have 0 where nothing came before.
+    A user's history is split into spans as long as the longest window, each with a copy of
+    the span before, so a user with very many records does not meet one task. Records
+    without a time or a user have no counts and sums.
     """
-    every = Window.partitionBy(USER)
-    several = F.count(F.lit(1)).over(every) > 1
-    out = {}
+    span = max(hours) * 3600
+    at = F.floor(F.col(TIME) / span)
+    copies = F.array(F.struct(at.alias("_span"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_span"), F.lit(False).alias("_own")))
+    known = F.col(TIME).isNotNull() & F.col(USER).isNotNull()
+    split = df.filter(known).select("*", F.inline(copies))
+    # a copy only needs what the sums need
+    light = split.select(*[c if c in (USER, TIME, AMOUNT) else F.when(F.col("_own"), F.col(c)).alias(c) for c in df.columns], "_span", "_own")
+    sums = {}
     for h in hours:
-        w = Window.partitionBy(USER).orderBy(TIME).rangeBetween(-h * 3600, -1)
-        total = F.coalesce(F.sum(AMOUNT).over(w), F.lit(0.0))
-        total = total if fill_single else F.when(several, total)
-        out |= {f"{USER}_count_{h}h": F.count(AMOUNT).over(w), f"{USER}_amt_sum_{h}h": total, f"{USER}_velocity_{h}h": total / h}
-    return df.withColumns(out)
-
-
-def sequence_features(df: DataFrame) -> DataFrame:
-    """Place in the user's history, changes from the record before, and gaps of under 30 seconds (a first record counts as one)."""
-    w = Window.partitionBy(USER).orderBy(TIME, ROW)
-    change = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0))
-    switches = {f"{c}_switch": F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False)).cast("int") for c in ("ProductCD", "addr1", "device_vendor") if c in df.columns}
-    return df.withColumns(
-        {f"{USER}_dt_diff": change(TIME), "txn_sequence": F.row_number().over(w) - 1, "amt_change_abs": change(AMOUNT), "time_gap_anomaly": (change(TIME) < 30).cast("int")} | switches
+        w = Window.partitionBy(USER, "_span").orderBy(TIME).rangeBetween(-h * 3600, -1)
+        sums |= {f"{USER}_count_{h}h": F.count(AMOUNT).over(w), f"{USER}_amt_sum_{h}h": F.coalesce(F.sum(AMOUNT).over(w), F.lit(0.0))}
+    out = light.withColumns(sums).filter("_own").drop("_span", "_own")
+    if not fill_single:
+        single = df.filter(known).groupBy(USER).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(USER, F.lit(True).alias("_single"))
+        out = out.join(single, USER, "left").withColumns({f"{USER}_amt_sum_{h}h": F.when(F.col("_single").isNull(), F.col(f"{USER}_amt_sum_{h}h")) for h in hours}).drop("_single")
+    out = out.withColumns({f"{USER}_velocity_{h}h": F.col(f"{USER}_amt_sum_{h}h") / h for h in hours})
+    return out.unionByName(df.filter(~known), allowMissingColumns=True)
+
+
+def sequence_features(df: DataFrame, span: int = 86400) -> DataFrame:
+    """Place in the user's history, changes from the record before, and gaps of under 30 seconds (a first record counts as one).
+
+    Windows go within a user's days; a day's first record takes the one before from a table
+    with one row for each user and day, so a user with very many records is spread out.
+    """
+    changed = [c for c in ("ProductCD", "addr1", "device_vendor") if c in df.columns]
+    seen = {f"_{c}": F.col(c) for c in (TIME, AMOUNT, *changed)}
+    own = df.withColumn("_day", F.floor(F.col(TIME) / span))
+    last = own.groupBy(USER, "_day").agg(F.max_by(F.struct(*[c.alias(n) for n, c in seen.items()]), F.struct(TIME, ROW)).alias("_r"), F.count(F.lit(1)).alias("_k"))
+    days = Window.partitionBy(USER).orderBy("_day")
+    before = last.select(F.col(USER).alias("_u"), F.col("_day").alias("_d"), F.lag("_r").over(days).alias("_last"), (F.sum("_k").over(days) - F.col("_k")).alias("_before"))
+    w = Window.partitionBy(USER, "_day").orderBy(TIME, ROW)
+    run = own.withColumns({"_prev": F.lag(F.struct(*[c.alias(n) for n, c in seen.items()])).over(w), "_place": F.row_number().over(w) - 1})
+    run = run.join(before, F.col(USER).eqNullSafe(F.col("_u")) & F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_prev", F.coalesce("_prev", "_last"))
+    change = lambda c: F.coalesce(F.col(c) - F.col(f"_prev._{c}"), F.lit(0))
+    switches = {f"{c}_switch": F.coalesce(F.col(c) != F.col(f"_prev._{c}"), F.lit(False)).cast("int") for c in changed}
+    out = run.withColumns(
+        {f"{USER}_dt_diff": change(TIME), "txn_sequence": F.col("_before") + F.col("_place"), "amt_change_abs": change(AMOUNT), "time_gap_anomaly": (change(TIME) < 30).cast("int")} | switches
     )
+    return out.drop("_day", "_prev", "_place", "_u", "_d", "_last", "_before")
 
 
-def distinct_per_group(df: DataFrame, group: str, counted: str, out: str) -> DataFrame:
-    """How many different ``counted`` values a row's group has; 0 where the group is null.
+def distinct_per_group(df: DataFrame, group: str, counted: dict[str, str]) -> DataFrame:
+    """How many different values of some columns (``counted``: column to name) a row's group has; 0 where the group is null.
 
-    Spark has no distinct window count, so pairs are made distinct first (which levels hot
-    groups), counted and joined back.
+    Spark has no distinct window count, so all counts of a group are one aggregation (which
+    makes pairs distinct first and so levels hot groups) and one join back.
     """
-    n = df.filter(F.col(group).isNotNull() & F.col(counted).isNotNull()).select(group, counted).distinct().groupBy(group).agg(F.count("*").alias(out))
-    return df.join(n, group, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    n = df.filter(F.col(group).isNotNull()).groupBy(group).agg(*[F.count_distinct(c).alias(out) for c, out in counted.items()])
+    return df.join(n, group, "left").withColumns({out: F.coalesce(out, F.lit(0)) for out in counted.values()})
 
 
 def sharing_degrees(df: DataFrame) -> DataFrame:
     """How many users share a device maker or an address, and how many addresses and domains a card has."""
-    for group, counted, out in (
-        ("device_vendor", USER, "device_vendor_degree"), ("addr1", USER, "addr1_degree"), ("DeviceInfo", "card1", "cards_per_device"),
-        ("card1", "addr1", "unique_addrs_per_card"), ("card1", "P_emaildomain", "unique_emails_per_card"),
+    for group, counted in (
+        ("device_vendor", {USER: "device_vendor_degree"}), ("addr1", {USER: "addr1_degree"}), ("DeviceInfo", {"card1": "cards_per_device"}),
+        ("card1", {"addr1": "unique_addrs_per_card", "P_emaildomain": "unique_emails_per_card"}),
     ):
-        if {group, counted} <= set(df.columns):
-            df = distinct_per_group(df, group, counted, out)
+        counted = {c: out for c, out in counted.items() if c in df.columns}
+        if group in df.columns and counted:
+            df = distinct_per_group(df, group, counted)
     both = (F.col("device_vendor_degree") + F.col("addr1_degree")) / 2
     return df.withColumn("multi_entity_sharing", F.when(F.col("device_vendor").isNotNull() & F.col("addr1").isNotNull(), both))
 
 
+# The keys that encodings are learned for.
+GROUP_KEYS = ("card1", "card4", "addr1", "P_emaildomain_vendor_id", "ProductCD")
+COUNT_KEYS = (USER, "card1", "addr1", "card4", "P_emaildomain_vendor_id", "device_vendor")
+RISK_KEYS = ("addr1", "card4", "P_emaildomain_vendor_id", "device_vendor", "device_info_combo", "card_email_combo", "ProductCD", "card6", "os_type", "browser_type", "hour_of_day")
+
+
 @dataclass
 class Encoders:
-    """Fitted tables: user statistics, group means, frequencies, risk rates; and the global figures."""
+    """Fitted tables: ``users``, ``keys`` (count, mean amount and labels of each key's values) and ``totals`` (one row).
 
-    users: DataFrame
-    group_means: dict[str, DataFrame] = field(default_factory=dict)
-    frequencies: dict[str, DataFrame] = field(default_factory=dict)
-    rates: dict[str, DataFrame] = field(default_factory=dict)
-    totals: DataFrame | None = None
+    ``groups``, ``counted`` and ``risky`` are the keys that means, frequencies and rates are applied for.
+    """
+
+    users: DataFrame | None
+    keys: DataFrame
+    totals: DataFrame
+    groups: tuple[str, ...] = ()
+    counted: tuple[str, ...] = ()
+    risky: tuple[str, ...] = ()
+    smoothing: float = 500.0
+
+    def save(self, folder: str) -> None:
+        """Write the tables, the keys' by key, and what they are applied for."""
+        spark = self.totals.sparkSession
+        self.totals.write.mode("overwrite").parquet(f"{folder}/totals")
+        if self.users is not None:
+            self.users.write.mode("overwrite").parquet(f"{folder}/users")
+        self.keys.write.mode("overwrite").partitionBy("key").parquet(f"{folder}/keys")
+        spark.createDataFrame([(list(self.groups), list(self.counted), list(self.risky), self.smoothing, self.users is not None)], "groups array<string>, counted array<string>, risky array<string>, smoothing double, users boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/applied")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Encoders:
+        read = lambda name: spark.read.parquet(f"{folder}/{name}")
+        a = read("applied").first()
+        return cls(read("users") if a.users else None, spark.read.schema(_KEYS_SCHEMA).parquet(f"{folder}/keys"), read("totals"), tuple(a.groups), tuple(a.counted), tuple(a.risky), a.smoothing)
+
+
+_KEYS_SCHEMA = "value string, n long, mean double, labelled long, positive long, key string"
 
 
 def user_statistics(df: DataFrame) -> DataFrame:
@@ -130,50 +184,67 @@ def user_statistics(df: DataFrame) -> DataFrame:
     return df.groupBy(USER).agg(F.min(TIME).alias("first_seen"), F.avg(AMOUNT).alias("user_mean"), std.alias("user_std"))
 
 
-def global_statistics(df: DataFrame, label: str = "isFraud") -> DataFrame:
-    """One row: mean and deviation of the log amount, deciles of the amount, and the fraud rate."""
+def totals(df: DataFrame, label: str = "isFraud") -> DataFrame:
+    """One row: mean and deviation of the log amount, and the fraud rate."""
     log = F.log1p(AMOUNT)
-    return df.agg(F.avg(log).alias("log_mean"), F.stddev_samp(log).alias("log_std"), F.percentile(AMOUNT, F.array(*[F.lit(k / 10) for k in range(11)])).alias("deciles"), F.avg(label).alias("fraud_rate"))
+    return df.agg(F.avg(log).alias("log_mean"), F.stddev_samp(log).alias("log_std"), F.avg(label).alias("fraud_rate"))
 
 
-def group_means(df: DataFrame, key: str, value: str = AMOUNT) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias("mean"))
-
-
-def frequencies(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+def global_statistics(df: DataFrame, label: str = "isFraud") -> DataFrame:
+    """``totals`` with the deciles of the amount."""
+    return totals(df, label).crossJoin(F.broadcast(exact_quantiles(df, AMOUNT, [k / 10 for k in range(11)]).withColumnRenamed("q", "deciles")))
 
 
-def smoothed_rates(df: DataFrame, key: str, label: str = "isFraud", smoothing: float = 500.0) -> DataFrame:
-    """``(n * mean + s * global) / (n + s)`` of a label by key; null keys and labels are not learned from."""
-    total = df.agg(F.avg(label).alias("_all"))
-    by = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(label).alias("n"), F.sum(label).alias("s"))
-    return by.crossJoin(F.broadcast(total)).select(key, ((F.col("s") + smoothing * F.col("_all")) / (F.col("n") + smoothing)).alias("rate"))
+def key_statistics(df: DataFrame, keys: tuple[str, ...], label: str = "isFraud") -> DataFrame:
+    """``key``, ``value``, ``n``, ``mean`` (amount), ``labelled`` and ``positive`` of all keys in one aggregation; nulls are left out."""
+    said = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in keys])).alias("_k")
+    long = df.select(F.col(AMOUNT), F.col(label).alias("_y"), said).select(AMOUNT, "_y", "_k.*").filter("value IS NOT NULL")
+    return long.groupBy("key", "value").agg(F.count("*").alias("n"), F.avg(AMOUNT).alias("mean"), F.count("_y").alias("labelled"), F.sum("_y").cast("long").alias("positive"))
 
 
-def fit_encoders(df: DataFrame, groups: list[str], counted: list[str], risky: list[str], label: str = "isFraud") -> Encoders:
-    return Encoders(user_statistics(df), {c: group_means(df, c) for c in groups}, {c: frequencies(df, c) for c in counted}, {c: smoothed_rates(df, c, label) for c in risky}, global_statistics(df, label))
+def fit_encoders(df: DataFrame, groups: tuple[str, ...] = GROUP_KEYS, counted: tuple[str, ...] = COUNT_KEYS, risky: tuple[str, ...] = RISK_KEYS, label: str = "isFraud", users: bool = True) -> Encoders:
+    """Fit the keys that are there, and users if wanted; each table is one aggregation over the records."""
+    groups, counted, risky = (tuple(c for c in names if c in df.columns) for names in (groups, counted, risky))
+    keys = tuple(dict.fromkeys((*groups, *counted, *risky)))
+    found = key_statistics(df, keys, label) if keys else df.sparkSession.createDataFrame([], _KEYS_SCHEMA)
+    return Encoders(user_statistics(df) if users else None, found, totals(df, label), groups, counted, risky)
 
 
-def apply_encoders(df: DataFrame, enc: Encoders) -> DataFrame:
-    """Adds what the tables say of each record; unknown keys get the defaults of their kind."""
+def apply_users(df: DataFrame, enc: Encoders) -> DataFrame:
+    """``days_since_first_txn`` and ``user_amt_zscore``; an unknown user is seen first now and has its own mean."""
     amt = F.col(AMOUNT)
-    if enc.totals is not None:
-        t = enc.totals.select(F.col("log_mean").alias("_lm"), F.col("log_std").alias("_ls"), F.col("fraud_rate").alias("_rate"))
-        df = df.crossJoin(F.broadcast(t)).withColumn(f"{AMOUNT}_log_z", (F.log1p(amt) - F.col("_lm")) / F.greatest(F.col("_ls"), F.lit(1e-6)))
-    df = df.join(enc.users, USER, "left").withColumns({
+    return df.join(enc.users, USER, "left").withColumns({
         "days_since_first_txn": (F.col(TIME) - F.coalesce("first_seen", TIME)) / 86400,
         "user_amt_zscore": (amt - F.coalesce(F.col("user_mean"), amt)) / F.coalesce(F.col("user_std"), F.lit(1.0)),
     }).drop("first_seen", "user_mean", "user_std")
-    for c, t in enc.group_means.items():
-        df = df.join(t, c, "left").withColumn(f"Amt_div_{c}_mean", amt / (F.coalesce(F.col("mean"), amt) + 1e-5)).drop("mean")
-    for c, t in enc.frequencies.items():
-        df = df.join(t, c, "left").withColumn(f"{c}_freq_enc", F.coalesce("n", F.lit(0))).drop("n")
-    for c, t in enc.rates.items():
-        df = df.join(t, c, "left").withColumn(f"{c}_fraud_rate", F.coalesce("rate", "_rate")).drop("rate")
-    if enc.rates:
-        df = df.withColumn("composite_risk_score", sum((F.col(f"{c}_fraud_rate") for c in enc.rates), F.lit(0.0)) / len(enc.rates))
-    return df.drop("_lm", "_ls", "_rate")
+
+
+def apply_totals(df: DataFrame, enc: Encoders) -> DataFrame:
+    """``TransactionAmt_log_z``; ``_rate``, the share of fraud, stays for ``apply_keys``."""
+    t = enc.totals.select(F.col("log_mean").alias("_lm"), F.col("log_std").alias("_ls"), F.col("fraud_rate").alias("_rate"))
+    return df.crossJoin(F.broadcast(t)).withColumn(f"{AMOUNT}_log_z", (F.log1p(AMOUNT) - F.col("_lm")) / F.greatest(F.col("_ls"), F.lit(1e-6))).drop("_lm", "_ls")
+
+
+def apply_keys(df: DataFrame, enc: Encoders) -> DataFrame:
+    """Amounts against group means, frequencies and smoothed rates; each key is joined once. Unknown values get the defaults of their kind."""
+    amt, s = F.col(AMOUNT), enc.smoothing
+    for c in dict.fromkeys((*enc.groups, *enc.counted, *enc.risky)):
+        t = enc.keys.filter(F.col("key") == c).select(F.col("value").alias("_v"), F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("labelled").alias("_l"), F.col("positive").alias("_p"))
+        df = df.join(t, F.col(c).cast("string") == F.col("_v"), "left")
+        out = {f"Amt_div_{c}_mean": amt / (F.coalesce(F.col("_mean"), amt) + 1e-5)} if c in enc.groups else {}
+        if c in enc.counted:
+            out[f"{c}_freq_enc"] = F.coalesce("_n", F.lit(0))
+        if c in enc.risky:
+            out[f"{c}_fraud_rate"] = F.coalesce((F.coalesce("_p", F.lit(0)) + s * F.col("_rate")) / (F.col("_l") + s), F.col("_rate"))
+        df = df.withColumns(out).drop("_v", "_n", "_mean", "_l", "_p")
+    if enc.risky:
+        df = df.withColumn("composite_risk_score", sum((F.col(f"{c}_fraud_rate") for c in enc.risky), F.lit(0.0)) / len(enc.risky))
+    return df.drop("_rate")
+
+
+def apply_encoders(df: DataFrame, enc: Encoders) -> DataFrame:
+    """Adds all that the tables say of each record."""
+    return apply_keys(apply_users(apply_totals(df, enc), enc), enc)
 
 
 def null_shares(df: DataFrame) -> DataFrame:
@@ -195,9 +266,14 @@ def _by_time(df: DataFrame) -> DataFrame:
     return number_rows(df, [TIME, ROW], F.floor(F.col(TIME) / 3600), "_at", "_n")
 
 
+def train_rows(df: DataFrame, share: float = 0.85) -> Column:
+    """Whether a record is among the first int(n * share) by time and id, as a condition that scans can apply."""
+    return first_rows(df, [TIME, ROW], F.floor(F.col(TIME) / 3600), share)
+
+
 def time_split(df: DataFrame, share: float = 0.85) -> DataFrame:
     """``is_train``: whether a record is among the first int(n * share) by time and id."""
-    return _by_time(df).withColumn("is_train", (F.col("_at") < F.floor(F.col("_n") * share)).cast("int")).drop("_at", "_n")
+    return df.withColumn("is_train", train_rows(df, share).cast("int"))
 
 
 def time_folds(df: DataFrame, splits: int = 5) -> DataFrame:

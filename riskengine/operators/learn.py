@@ -14,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,12 +74,17 @@ def apply_pca(df: DataFrame, fitted: PcaGroups) -> DataFrame:
     return df
 
 
-def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """Boosted trees; the rarer class weighs by the ratio of the classes. Nulls are -999."""
+def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 42, held: Column | None = None) -> PipelineModel:
+    """Boosted trees; the rarer class weighs by the ratio of the classes. Nulls are -999.
+
+    Rows for which ``held`` is true are not learned from: rounds stop when they no longer help on these.
+    """
     n = df.agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
     weight = F.when(F.col(label) == 1, float(n.b) / max(1, n.a)).otherwise(1.0)
-    rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"))
+    rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), (held if held is not None else F.lit(False)).alias("_held"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed)
+    if held is not None:
+        trees = trees.setValidationIndicatorCol("_held")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
 
 
@@ -107,6 +112,20 @@ def random_search(df: DataFrame, folds: str, features: list[str], label: str, tr
     return spark.createDataFrame(out, "rounds int, depth int, auc double")
 
 
+def expanding_cv(df: DataFrame, test: DataFrame, folds: str, features: list[str], label: str, top: int = 50, **settings) -> tuple[DataFrame, DataFrame]:
+    """Trees fitted on each expanding window, stopped early on the fold behind it.
+
+    Gives ``test`` with ``probability``, the mean of the folds' models, and the mean
+    ``importance`` of each ``feature`` over the folds, largest first.
+    """
+    last, models = df.agg(F.max(folds)).first()[0], []
+    for k in range(1, last + 1):
+        models.append(fit_trees(df.filter(F.col(folds) <= k), features, label, held=F.col(folds) == k, **settings))
+        test = score_trees(test, models[-1]).withColumnRenamed("probability", f"_p{k}")
+    scored = test.withColumn("probability", sum((F.col(f"_p{k}") for k in range(1, last + 1)), F.lit(0.0)) / last).drop(*[f"_p{k}" for k in range(1, last + 1)])
+    return scored, df.sparkSession.createDataFrame(importances(models, top), "feature string, importance double")
+
+
 def importances(models: list[PipelineModel], top: int = 50) -> list[tuple[str, float]]:
     """Mean importance of each feature over the folds' models, largest first."""
     names = models[0].stages[0].getInputCols()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskengine.operators.ordering import exact_quantiles
+
 SPARSE, PSI_RED, NULL_RED = 0.8, 0.2, 0.1
 
 
@@ -122,13 +124,15 @@ def correlated_pairs(df: DataFrame, columns: list[str], most: float = 0.0, null_
 
 def psi_by_quantiles(a: DataFrame, b: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """PSI of a numeric column between two tables on the deciles of the first; empty bins count as 1e-4."""
-    q = a.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("q"))
+    q = exact_quantiles(a, value, [k / bins for k in range(bins + 1)]).select(F.array_distinct("q").alias("q"))
+
     def shares(t: DataFrame, name: str) -> DataFrame:
         v = t.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").crossJoin(F.broadcast(q))
         inside = (F.col("v") >= F.get("q", F.lit(0))) & (F.col("v") <= F.element_at("q", -1))
         at = F.when(inside, F.least(F.size(F.filter("q", lambda e: e <= F.col("v"))) - 1, F.size("q") - 2))
         s = v.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy()))
         return s.filter("bin IS NOT NULL").select("bin", F.col("s").alias(name))
+
     j = shares(a, "e").join(shares(b, "o"), "bin", "full")
     e, o = F.coalesce("e", F.lit(1e-4)), F.coalesce("o", F.lit(1e-4))
     return j.agg(F.coalesce(F.sum((e - o) * F.ln(e / o)), F.lit(0.0)).alias("psi"))
@@ -163,3 +167,24 @@ def density(df: DataFrame, value: str, points: int = 100) -> DataFrame:
     grid = grid.select("k", "n", "h", (F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"))
     z = (F.col("x") - F.col("v")) / F.col("h")
     return v.groupBy("v").agg(F.count("*").alias("m")).crossJoin(F.broadcast(grid)).groupBy("k", "x", "n", "h").agg(F.sum(F.col("m") * F.exp(-z * z / 2)).alias("t")).select("k", "x", (F.col("t") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density"))
+
+
+def psi_table(a: DataFrame, b: DataFrame, columns: list[str], top: int = 15) -> DataFrame:
+    """``feature``, ``psi`` and ``status`` of numeric columns between two tables; the ``top`` largest, largest first."""
+    parts = [psi_by_quantiles(a, b, c).select(F.lit(c).alias("feature"), "psi") for c in columns]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    status = F.when(F.col("psi") > 0.2, "critical").when(F.col("psi") > 0.1, "warning").otherwise("stable")
+    return out.withColumn("status", status).orderBy(F.col("psi").desc(), "feature").limit(top)
+
+
+def quality_report(a: DataFrame, b: DataFrame, columns: list[str], label: str, tested: int = 20) -> DataFrame:
+    """Signal, redundancy and stability of features of two tables with a label: ``feature``, ``ks``, ``strength``, ``twin``
+    (the column it correlates with most) and ``twin_r``, ``psi`` and ``status`` (of the first ``tested``), strongest first."""
+    ks = ks_scores(melt(a.unionByName(b), columns, (label,)).withColumnRenamed(label, "y")).select("feature", "ks", "strength")
+    pairs = correlated_pairs(a, columns)
+    both = pairs.select(F.col("a").alias("feature"), F.col("b").alias("twin"), "r").unionByName(pairs.select(F.col("b").alias("feature"), F.col("a").alias("twin"), "r"))
+    twin = both.groupBy("feature").agg(F.max_by("twin", F.struct("r", "twin")).alias("twin"), F.max("r").alias("twin_r"))
+    drifted = psi_table(a, b, columns[:tested], tested)
+    return ks.join(twin, "feature", "left").join(drifted, "feature", "left").orderBy(F.col("ks").desc(), "feature")

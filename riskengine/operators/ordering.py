@@ -27,3 +27,51 @@ def number_rows(df: DataFrame, order: list[str], bucket: Column, number: str = "
 
 def ranged_join(ranked: DataFrame, shift: DataFrame) -> DataFrame:
     return ranked.join(shift, F.col("_bucket").eqNullSafe(F.col("_b")))
+
+
+def first_rows(df: DataFrame, order: list[str], bucket: Column, share: float) -> Column:
+    """Whether a row is among the first int(n * share) in the order of two columns, as a condition on them.
+
+    Three counts find the row where the rest begins: of the buckets, of the first column's
+    values in one bucket, and of the rows with one value. The driver gets one row of each,
+    and rows are neither numbered nor joined. Nulls go first.
+    """
+    at, row = order
+
+    def reach(counts: DataFrame, key: str, wanted: Column) -> DataFrame:
+        """The key in which place ``wanted`` (from 0) lies, and the rows before it."""
+        run = counts.withColumns({"_upto": F.sum("_n").over(Window.orderBy(F.col(key).asc_nulls_first())), "_all": F.sum("_n").over(Window.partitionBy())})
+        return run.withColumn("_want", wanted).filter((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") <= F.col("_want"))).select(key, "_want", (F.col("_upto") - F.col("_n")).alias("_before"))
+
+    keyed = df.select(F.col(at).alias("_t"), F.col(row).alias("_r"), bucket.alias("_b"))
+    found = reach(keyed.groupBy("_b").agg(F.count("*").alias("_n")), "_b", F.floor(F.col("_all") * share)).first()
+    if found is None:  # share 1, or no rows
+        return F.lit(True)
+    inside = keyed.filter(F.col("_b").eqNullSafe(F.lit(found["_b"])))
+    second = reach(inside.groupBy("_t").agg(F.count("*").alias("_n")), "_t", F.lit(found["_want"] - found["_before"])).first()
+    same = inside.filter(F.col("_t").eqNullSafe(F.lit(second["_t"])))
+    edge = reach(same.groupBy("_r").agg(F.count("*").alias("_n")), "_r", F.lit(second["_want"] - second["_before"])).first()
+
+    def before(c: str, value) -> Column:
+        return F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < value)
+
+    return F.coalesce(before(at, second["_t"]) | (F.col(at).eqNullSafe(F.lit(second["_t"])) & before(row, edge["_r"])), F.lit(False))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], ranges: int = 1024) -> DataFrame:
+    """One row with the array ``q`` of quantiles (linear between neighbours) of the values that are not null.
+
+    Equal values are counted first; running counts go within ranges of values and are
+    shifted by those of the ranges before, so no task gets all different values.
+    """
+    points = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    span = points.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * ranges), F.lit(0))
+    ranged = points.crossJoin(F.broadcast(span)).withColumn("_b", at)
+    sums = ranged.groupBy("_b").agg(F.sum("m").alias("_n"))
+    shift = sums.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    run = ranged.join(F.broadcast(shift), "_b").withColumn("_upto", F.col("_before") + F.sum("m").over(Window.partitionBy("_b").orderBy("v")))
+    place = lambda p, how: F.max(F.when((how((F.col("_all") - 1) * p) < F.col("_upto")) & (how((F.col("_all") - 1) * p) >= F.col("_upto") - F.col("m")), F.col("v")))
+    row = run.agg(F.max("_all").alias("n"), *[place(p, how).alias(f"{name}{k}") for k, p in enumerate(shares) for name, how in (("a", F.floor), ("b", F.ceil))])
+    part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    return row.select(F.array(*[F.col(f"a{k}") + part(p) * (F.col(f"b{k}") - F.col(f"a{k}")) for k, p in enumerate(shares)]).alias("q"))

@@ -10,6 +10,7 @@ from riskengine.functions import clean
 from riskengine.operators import evaluate as ev
 from riskengine.operators import features as fe
 from riskengine.operators import monitor as mo
+from riskengine.operators import scoring as sc
 from riskengine.plans import views as vw
 from riskengine.sources import adapters as ad
 from riskengine.operators import learn as ml
@@ -64,7 +65,7 @@ def matches(column: str, cases: list, default: int = 0) -> str:
 
 # --- cleaning -----------------------------------------------------------------------------
 
-_GROUP = {v: g for g, of in clean.VENDOR_GROUPS.items() for v in of}
+_GROUP = clean.VENDORS
 
 
 def _email_sql(c: str) -> str:
@@ -140,9 +141,9 @@ def d_norm(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(clean.normalise_days(_tx(spark, d)).select("TransactionID", "D1_norm"), "D1_norm")
 
 
-@query(f"""{TX}, c AS (SELECT TransactionID, TransactionAmt, CAST(round(TransactionAmt * 100) AS BIGINT) AS c FROM tx)
-SELECT TransactionID, round(ln(1 + TransactionAmt), 6) AS TransactionAmt_log, CAST(c % 10000 = 0 AS INT) + CAST(c % 10000 = 9900 AS INT) + CAST(c % 100 IN (99, 95, 90, 49, 0) AS INT) AS TransactionAmt_suspicious,
- CAST(c % 100 * 10 AS INT) AS cents_value, CAST(c % 100 = 0 AS INT) AS is_exact_dollars, CAST(c % 100 = 99 AS INT) AS is_99_cents, round(c % 100 / CAST(100 AS DOUBLE), 6) AS TransactionAmt_decimal FROM c""")
+@query(f"""{TX}, c AS (SELECT TransactionID, TransactionAmt, CAST(round(TransactionAmt * 1000) AS BIGINT) AS c FROM tx)
+SELECT TransactionID, round(ln(1 + TransactionAmt), 6) AS TransactionAmt_log, CAST(c % 100000 = 0 AS INT) + CAST(c % 100000 = 99000 AS INT) + CAST(c % 1000 IN (990, 950, 900, 490, 0) AS INT) AS TransactionAmt_suspicious,
+ CAST(c % 1000 AS INT) AS cents_value, CAST(c % 1000 = 0 AS INT) AS is_exact_dollars, CAST(c % 1000 BETWEEN 990 AND 999 AS INT) AS is_99_cents, round(c % 1000 / CAST(1000 AS DOUBLE), 6) AS TransactionAmt_decimal FROM c""")
 def amount_features(spark: SparkSession, d: str) -> DataFrame:
     a = clean.amount_features(_tx(spark, d).select("TransactionID", "TransactionAmt")).drop("TransactionAmt")
     return _rounded(a, "TransactionAmt_log", "TransactionAmt_decimal")
@@ -158,13 +159,15 @@ def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     return _users(spark, d).select("TransactionID", "UID", fe.hash_bucket(F.col("UID")).alias("UID_hash"))
 
 
-@query(f"""{TXU}, {_DEVICE}, k AS (SELECT t.TransactionID, concat(t.ProductCD, '_', coalesce(t.card4, 'nan')) AS product_network_combo, concat(CAST(t.card1 AS VARCHAR), '_', CAST(coalesce(CAST(t.addr1 AS BIGINT), -1) AS VARCHAR)) AS card1_addr1_combo,
- concat(CAST(os_type AS VARCHAR), '_', CAST(browser_type AS VARCHAR)) AS os_browser_combo, concat(CAST(browser_type AS VARCHAR), '_', CAST(coalesce(screen_width, -1) AS VARCHAR)) AS device_info_combo FROM tx t JOIN dev USING (TransactionID))
-SELECT *, CAST(dense_rank() OVER (ORDER BY product_network_combo) - 1 AS INT) AS product_network_combo_code, CAST(dense_rank() OVER (ORDER BY os_browser_combo) - 1 AS INT) AS os_browser_combo_code FROM k""")
+_COMBOS = ("device_info_combo", "card_email_combo", "product_network_combo", "card1_addr1_combo", "os_browser_combo")
+
+
+@query(f"""{TXU}, {_DEVICE}, e AS (SELECT TransactionID, {{vendor}} AS vid FROM tx), k AS (SELECT t.TransactionID, concat(t.ProductCD, '_', coalesce(t.card4, 'nan')) AS product_network_combo, concat(CAST(t.card1 AS VARCHAR), '_', CAST(coalesce(CAST(t.addr1 AS BIGINT), -1) AS VARCHAR)) AS card1_addr1_combo,
+ concat(CAST(os_type AS VARCHAR), '_', CAST(browser_type AS VARCHAR)) AS os_browser_combo, concat(CAST(browser_type AS VARCHAR), '_', CAST(coalesce(screen_width, -1) AS VARCHAR)) AS device_info_combo, concat(t.card1, '_', vid) AS card_email_combo FROM tx t JOIN dev USING (TransactionID) JOIN e USING (TransactionID))
+SELECT *, {', '.join(f'CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INT) AS {c}_code' for c in _COMBOS)} FROM k""".replace("{vendor}", case("split_part(" + _EMAIL.format(c="P_emaildomain") + ", '.', 1)", {v: clean.VENDOR_IDS[g] for v, g in clean.VENDORS.items()}, 0)))
 def combination_codes(spark: SparkSession, d: str) -> DataFrame:
-    df = fe.with_combinations(clean.device_features(_tx(spark, d)))
-    df = df.select("TransactionID", "product_network_combo", "card1_addr1_combo", "os_browser_combo", "device_info_combo")
-    return fe.category_codes(df, ["product_network_combo", "os_browser_combo"])[0]
+    df = fe.with_combinations(clean.email_features(clean.device_features(_tx(spark, d)))).select("TransactionID", *_COMBOS)
+    return fe.category_codes(df, list(_COMBOS))[0]
 
 
 def _window_sql(h: int) -> str:
@@ -218,45 +221,60 @@ def time_series_folds(spark: SparkSession, d: str) -> DataFrame:
     return fe.time_folds(_tx(spark, d).select("TransactionID", "TransactionDT"), 5).select("TransactionID", "fold")
 
 
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    """Encoders fitted on the first 85 % of the records and applied to the rest."""
-    df = fe.time_split(_users(spark, d))
-    enc = fe.fit_encoders(df.filter("is_train = 1"), ["card1", "card4", "ProductCD"], ["UID", "card1", "addr1", "card4"], ["card4", "ProductCD", "addr1"])
-    return fe.apply_encoders(df.filter("is_train = 0"), enc)
+_VENDOR_ID = case("split_part(" + _EMAIL.format(c="P_emaildomain") + ", '.', 1)", {v: clean.VENDOR_IDS[g] for v, g in clean.VENDORS.items()}, 0)
+_PREP = f"""{TXU}, {_DEVICE}, e AS (SELECT TransactionID, {_VENDOR_ID} AS "P_emaildomain_vendor_id" FROM tx),
+prep AS (SELECT tx.TransactionID, UID, tx.TransactionDT, tx.TransactionAmt, tx.isFraud, tx.card1, tx.addr1, {case('tx.ProductCD', clean.PRODUCTS, 0)} AS "ProductCD", {case('lower(card4)', clean.CARD_NETWORKS, -1)} AS card4, {case('lower(card6)', clean.CARD_KINDS, -1)} AS card6,
+ "P_emaildomain_vendor_id", device_vendor, os_type, browser_type, hour(TIMESTAMP '2017-11-30 00:00:00' + to_seconds(tx.TransactionDT)) AS hour_of_day, concat(browser_type, '_', coalesce(screen_width, -1)) AS device_info_combo, concat(tx.card1, '_', "P_emaildomain_vendor_id") AS card_email_combo
+ FROM tx JOIN dev USING (TransactionID) JOIN e USING (TransactionID))"""
+_ENC = f"{_PREP}, {_SPLIT.replace('FROM tx)', 'FROM prep)')}, a AS (SELECT * FROM s WHERE is_train = 1), b AS (SELECT * FROM s WHERE is_train = 0)"
 
 
-_ENC = f"{TXU}, {_SPLIT}, a AS (SELECT * FROM s WHERE is_train = 1), b AS (SELECT * FROM s WHERE is_train = 0)"
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned and encoded records with user and combined keys, before anything learned."""
+    return sc.prepare(_tx(spark, d), ad.EPOCH)
 
 
-@query(f"""{_ENC} SELECT b.TransactionID, {', '.join(f'coalesce(f_{c}.n, 0) AS {c}_freq_enc' for c in ('UID', 'card1', 'addr1', 'card4'))} FROM b
-{' '.join(f'LEFT JOIN (SELECT {c}, count(*) AS n FROM a WHERE {c} IS NOT NULL GROUP BY {c}) f_{c} ON b.{c} = f_{c}.{c}' for c in ('UID', 'card1', 'addr1', 'card4'))}""")
-def freq_encode(spark: SparkSession, d: str) -> DataFrame:
-    return _encoded(spark, d).select("TransactionID", *[f"{c}_freq_enc" for c in ("UID", "card1", "addr1", "card4")])
+def _encoded(spark: SparkSession, d: str, **parts) -> tuple[DataFrame, fe.Encoders]:
+    """The last 15 % of the records, and encoders fitted on those before, written and read back."""
+    df = _prepared(spark, d)
+    cut, folder = fe.train_rows(df), shared_path(spark, "encoders")
+    fe.fit_encoders(df.filter(cut), **parts).save(folder)
+    return df.filter(~cut), fe.Encoders.load(spark, folder)
 
 
-_RISKY = ("card4", "ProductCD", "addr1")
+_NO_KEYS = {"groups": (), "counted": (), "risky": ()}
+
+
+@query(f"""{_ENC} SELECT b.TransactionID, {', '.join(f'coalesce(f_{c}.n, 0) AS "{c}_freq_enc"' for c in fe.COUNT_KEYS)} FROM b
+{' '.join(f'LEFT JOIN (SELECT {c}, count(*) AS n FROM a WHERE {c} IS NOT NULL GROUP BY {c}) f_{c} ON b.{c} = f_{c}.{c}' for c in fe.COUNT_KEYS)}""")
+def freq_encode(spark: SparkSession, d: str) -> DataFrame:
+    rest, enc = _encoded(spark, d, users=False, groups=(), risky=())
+    return fe.apply_keys(rest, enc).select("TransactionID", *[f"{c}_freq_enc" for c in fe.COUNT_KEYS])
 
 
-@query(f"""{_ENC}, g AS (SELECT avg(isFraud) AS m FROM a), j AS (SELECT b.TransactionID, {', '.join(f'coalesce(r_{c}.r, m) AS r{k}' for k, c in enumerate(_RISKY))} FROM b CROSS JOIN g
-{' '.join(f'LEFT JOIN (SELECT {c}, (sum(isFraud) + 500 * max(m)) / (count(isFraud) + 500) AS r FROM a CROSS JOIN g WHERE {c} IS NOT NULL GROUP BY {c}) r_{c} ON b.{c} = r_{c}.{c}' for c in _RISKY)})
-SELECT TransactionID, {', '.join(f'round(r{k}, 6) AS "{c}_fraud_rate"' for k, c in enumerate(_RISKY))}, round((r0 + r1 + r2) / 3, 6) AS composite_risk_score FROM j""")
+@query(f"""{_ENC}, g AS (SELECT avg(isFraud) AS m FROM a), j AS (SELECT b.TransactionID, {', '.join(f'coalesce(r_{c}.r, m) AS r{k}' for k, c in enumerate(fe.RISK_KEYS))} FROM b CROSS JOIN g
+{' '.join(f'LEFT JOIN (SELECT {c}, (sum(isFraud) + 500 * max(m)) / (count(isFraud) + 500) AS r FROM a CROSS JOIN g WHERE {c} IS NOT NULL GROUP BY {c}) r_{c} ON b.{c} = r_{c}.{c}' for c in fe.RISK_KEYS)})
+SELECT TransactionID, {', '.join(f'round(r{k}, 6) AS "{c}_fraud_rate"' for k, c in enumerate(fe.RISK_KEYS))}, round(({' + '.join(f'r{k}' for k in range(len(fe.RISK_KEYS)))}) / {len(fe.RISK_KEYS)}, 6) AS composite_risk_score FROM j""")
 def target_encode(spark: SparkSession, d: str) -> DataFrame:
-    names = [f"{c}_fraud_rate" for c in _RISKY] + ["composite_risk_score"]
-    return _rounded(_encoded(spark, d).select("TransactionID", *names), *names)
+    names = [f"{c}_fraud_rate" for c in fe.RISK_KEYS] + ["composite_risk_score"]
+    rest, enc = _encoded(spark, d, users=False, groups=(), counted=())
+    return _rounded(fe.apply_keys(fe.apply_totals(rest, enc), enc).select("TransactionID", *names), *names)
 
 
-@query(f"""{_ENC} SELECT b.TransactionID, {', '.join(f'round(b.TransactionAmt / (coalesce(g_{c}.m, b.TransactionAmt) + 1e-5), 6) AS "Amt_div_{c}_mean"' for c in ('card1', 'card4', 'ProductCD'))} FROM b
-{' '.join(f'LEFT JOIN (SELECT {c}, avg(TransactionAmt) AS m FROM a WHERE {c} IS NOT NULL GROUP BY {c}) g_{c} ON b.{c} = g_{c}.{c}' for c in ('card1', 'card4', 'ProductCD'))}""")
+@query(f"""{_ENC} SELECT b.TransactionID, {', '.join(f'round(b.TransactionAmt / (coalesce(g_{c}.m, b.TransactionAmt) + 1e-5), 6) AS "Amt_div_{c}_mean"' for c in fe.GROUP_KEYS)} FROM b
+{' '.join(f'LEFT JOIN (SELECT {c}, avg(TransactionAmt) AS m FROM a WHERE {c} IS NOT NULL GROUP BY {c}) g_{c} ON b.{c} = g_{c}.{c}' for c in fe.GROUP_KEYS)}""")
 def group_ratio(spark: SparkSession, d: str) -> DataFrame:
-    names = [f"Amt_div_{c}_mean" for c in ("card1", "card4", "ProductCD")]
-    return _rounded(_encoded(spark, d).select("TransactionID", *names), *names)
+    names = [f"Amt_div_{c}_mean" for c in fe.GROUP_KEYS]
+    rest, enc = _encoded(spark, d, users=False, counted=(), risky=())
+    return _rounded(fe.apply_keys(rest, enc).select("TransactionID", *names), *names)
 
 
 @query(f"""{_ENC}, u AS (SELECT UID, min(TransactionDT) AS f, avg(TransactionAmt) AS m, coalesce(nullif(stddev_samp(TransactionAmt), 0), 1) AS sd FROM a GROUP BY UID), g AS (SELECT avg(ln(1 + TransactionAmt)) AS lm, stddev_samp(ln(1 + TransactionAmt)) AS ls FROM a)
 SELECT TransactionID, round((TransactionAmt - coalesce(m, TransactionAmt)) / coalesce(sd, 1), 5) AS user_amt_zscore, round((TransactionDT - coalesce(f, TransactionDT)) / CAST(86400 AS DOUBLE), 5) AS days_since_first_txn, round((ln(1 + TransactionAmt) - lm) / greatest(ls, 1e-6), 5) AS "TransactionAmt_log_z" FROM b LEFT JOIN u USING (UID) CROSS JOIN g""")
 def user_zscore(spark: SparkSession, d: str) -> DataFrame:
     names = ["user_amt_zscore", "days_since_first_txn", "TransactionAmt_log_z"]
-    return _rounded(_encoded(spark, d).select("TransactionID", *names), *names, places=5)
+    rest, enc = _encoded(spark, d, **_NO_KEYS)
+    return _rounded(fe.apply_totals(fe.apply_users(rest, enc), enc).select("TransactionID", *names), *names, places=5)
 
 
 @query(f"""{TX}, q AS (SELECT quantile_cont(TransactionAmt, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q, avg(ln(1 + TransactionAmt)) AS lm, stddev_samp(ln(1 + TransactionAmt)) AS ls, avg(isFraud) AS fr FROM tx)
@@ -512,7 +530,8 @@ def series_running(spark: SparkSession, d: str) -> DataFrame:
 e AS (SELECT seq, ts, cumulative_savings, cumulative_loss, row_number() OVER (ORDER BY ts, seq) - 1 AS i, count(*) OVER () AS n FROM k WHERE n = 1 OR s <> cumulative_savings OR l <> cumulative_loss)
 SELECT seq, ts, cumulative_savings, cumulative_loss FROM e WHERE i % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR i = n - 1""")
 def series_dedupe_decimate(spark: SparkSession, d: str) -> DataFrame:
-    return vw.decimate(vw.drop_repeats(_series(spark, d), ["ts", "seq"]), ["ts", "seq"], 100)
+    hour = F.floor(F.col("ts") / 3600)
+    return vw.decimate(vw.drop_repeats(_series(spark, d), ["ts", "seq"], hour), ["ts", "seq"], hour, 100)
 
 
 _WEIGHTS = {"TransactionAmt": 0.01, "addr1": -0.002, "score": 1.5}
@@ -672,8 +691,8 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{TXU} SELECT TransactionID, UID, count(TransactionAmt) OVER w AS count_24h, round(coalesce(sum(TransactionAmt) OVER w, 0), 2) AS amt_sum_24h FROM tx WINDOW w AS (PARTITION BY UID ORDER BY TransactionDT RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING)")
 def stream_velocity(spark: SparkSession, d: str) -> DataFrame:
-    users = fe.with_user(clean.normalise_days(_stream(spark, d))).select("TransactionID", "UID", "TransactionDT", "TransactionAmt")
-    out = st.run_to_table(st.keyed_velocity(users, 24), "append", "stream-velocity")
+    users = fe.with_user(clean.normalise_days(_stream(spark, d))).select("TransactionID", "UID", "TransactionDT", "TransactionAmt", "ts")
+    out = st.run_to_table(st.keyed_velocity(users, 24, event_time="ts", epoch=ad.EPOCH), "append", "stream-velocity")
     return _rounded(out, "amt_sum_24h", places=2)
 
 
@@ -718,14 +737,14 @@ def gbt_score(spark: SparkSession, d: str) -> DataFrame:
     """Trees fitted on the first 85 % of the records, scored on the rest."""
     df = fe.time_split(clean.amount_features(clean.card_features(clean.device_features(_users(spark, d)))))
     names = ["TransactionAmt", "ProductCD", "card4", "card6", "os_type", "browser_type", "device_vendor", "TransactionAmt_suspicious"]
-    model = ml.fit_trees(df.filter("is_train = 1"), names, "isFraud", rounds=10, depth=4)
+    model = ml.fit_trees(df.filter("is_train = 1"), names, "isFraud")
     return ml.score_trees(df.filter("is_train = 0"), model).select("TransactionID", "isFraud", "probability")
 
 
 @query()
 def adversarial_validation(spark: SparkSession, d: str) -> DataFrame:
     old, new = _halves(spark, d)
-    return ml.adversarial(old, new, list(_FEATURES), trees=20)
+    return ml.adversarial(old, new, list(_FEATURES))
 
 
 @query()
@@ -828,19 +847,19 @@ def importance_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vw.mean_impacts(e), "value").orderBy(F.col("value").desc(), "feature").limit(2)
 
 
-@query()
+@query(f"""SELECT * FROM ({ORACLES['psi_drift']}) WHERE feature IN (SELECT feature FROM ({TX}, {_HALVES}, i AS ({_IMPACT.replace('FROM tx', 'FROM h WHERE live = 0')}) SELECT feature, sum(abs(impact)) / count(DISTINCT id) AS value FROM i GROUP BY feature) ORDER BY value DESC, feature LIMIT 2)""")
 def drift_job(spark: SparkSession, d: str) -> DataFrame:
     """The periodic drift job: important features' logs against the baseline."""
     old, new = _halves(spark, d)
     base = mo.baseline(mo.melt(old, list(_FEATURES)))
-    importance = spark.createDataFrame([("score", 1.5), ("TransactionAmt", 0.5), ("D1", 0.1)], "feature string, value double")
-    return vw.drift_report(vw.feature_log(new, list(_FEATURES), "TransactionID"), importance, base, top=2)
+    importance = vw.mean_impacts(old.select(F.col("TransactionID").alias("id"), vw.linear_explanations(_WEIGHTS).alias("explanations")))
+    return _rounded(vw.drift_report(vw.feature_log(new, list(_FEATURES), "TransactionID"), importance, base, top=2), "psi", "null_drift")
 
 
-@query()
+@query(f"{TX} SELECT TransactionID, TransactionAmt FROM tx ORDER BY md5(CAST(TransactionID AS VARCHAR)), TransactionID LIMIT 500")
 def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
     """A sample of 500 records, the same ones every time: the smallest hashes of the id."""
-    return _tx(spark, d).select("TransactionID", "TransactionAmt").orderBy(F.xxhash64("TransactionID", F.lit(42)), "TransactionID").limit(500)
+    return _tx(spark, d).select("TransactionID", "TransactionAmt").orderBy(F.md5(F.col("TransactionID").cast("string")), "TransactionID").limit(500)
 
 
 @query()
@@ -854,7 +873,7 @@ def mock_source(spark: SparkSession, d: str) -> DataFrame:
     return rd.mock_transactions(ad.read_table(spark, d, "events").select("event_id"))
 
 
-@query()
+@query(f"{TX} SELECT TransactionDT, TransactionID, card4, 'tx_' || CAST(row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS VARCHAR) AS transaction_id FROM tx")
 def replay_ids(spark: SparkSession, d: str) -> DataFrame:
     tx = rd.missing_to_null(_tx(spark, d).select("TransactionDT", "TransactionID", "card4"))
     return rd.with_replay_id(tx, ["TransactionDT", "TransactionID"], F.floor(F.col("TransactionDT") / 3600))
@@ -863,5 +882,121 @@ def replay_ids(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hyper_search(spark: SparkSession, d: str) -> DataFrame:
     """Random settings of boosted trees over expanding-window folds."""
-    df = fe.time_folds(clean.card_features(_tx(spark, d)), 2)
+    df = fe.time_folds(clean.card_features(_tx(spark, d)), 3)
     return ml.random_search(df, "fold", ["TransactionAmt", "ProductCD", "card4"], "isFraud", tries=2)
+
+
+@query()
+def cv_score(spark: SparkSession, d: str) -> DataFrame:
+    """The rest's scores by the mean of three expanding windows' trees, each stopped early on its fold."""
+    df, names = clean.card_features(clean.device_features(_tx(spark, d))), ["TransactionAmt", "ProductCD", "card4", "card6", "os_type", "device_vendor"]
+    cut = fe.train_rows(df)
+    return ml.expanding_cv(fe.time_folds(df.filter(cut), 3), df.filter(~cut), "fold", names, "isFraud", rounds=10)[0].select("TransactionID", "isFraud", "probability")
+
+
+# --- the whole way from raw records to reports ---------------------------------------------
+
+_LINEAR = {
+    "amounts": ({"TransactionAmt_log": 0.8, "card4_fraud_rate": 4.0, "device_vendor_freq_enc": 0.0001, "user_amt_zscore": 0.3, "TransactionAmt_suspicious": 0.5}, -3.0),
+    "products": ({"ProductCD_fraud_rate": 6.0, "Amt_div_card1_mean": 0.2}, -1.0),
+}
+_SHARES, _CURVE = {"amounts": 0.7, "products": 0.3}, (4.0, -2.0)
+
+
+def _linear_sql(name: str) -> str:
+    weights, bias = _LINEAR[name]
+    return f"1 / (1 + exp(-(CAST({bias} AS DOUBLE) + {' + '.join(f'CAST({w} AS DOUBLE) * {c}' for c, w in sorted(weights.items()))})))"
+
+
+def _rate_sql(c: str) -> str:
+    return f"(SELECT {c}, (sum(isFraud) + 500 * max(m)) / (count(isFraud) + 500) AS r FROM a CROSS JOIN g WHERE {c} IS NOT NULL GROUP BY {c}) r_{c} ON b.{c} = r_{c}.{c}"
+
+
+@query(f"""{_ENC}, g AS (SELECT avg(isFraud) AS m FROM a), u AS (SELECT UID, avg(TransactionAmt) AS m, coalesce(nullif(stddev_samp(TransactionAmt), 0), 1) AS sd FROM a GROUP BY UID),
+f AS (SELECT b.TransactionID, b.TransactionDT, b.TransactionAmt, b.isFraud, ln(1 + b.TransactionAmt) AS "TransactionAmt_log", (b.TransactionAmt - coalesce(u.m, b.TransactionAmt)) / coalesce(sd, 1) AS user_amt_zscore, coalesce(r_card4.r, g.m) AS card4_fraud_rate, coalesce(r_ProductCD.r, g.m) AS "ProductCD_fraud_rate",
+ coalesce(v.n, 0) AS device_vendor_freq_enc, b.TransactionAmt / (coalesce(c1.m, b.TransactionAmt) + 1e-5) AS "Amt_div_card1_mean", CAST(round(b.TransactionAmt * 1000) AS BIGINT) AS mills,
+ CAST(mills % 100000 = 0 AS INT) + CAST(mills % 100000 = 99000 AS INT) + CAST(mills % 1000 IN (990, 950, 900, 490, 0) AS INT) AS "TransactionAmt_suspicious"
+ FROM b CROSS JOIN g LEFT JOIN u USING (UID) LEFT JOIN {_rate_sql('card4')} LEFT JOIN {_rate_sql('ProductCD')} LEFT JOIN (SELECT device_vendor, count(*) AS n FROM a GROUP BY device_vendor) v ON b.device_vendor = v.device_vendor LEFT JOIN (SELECT card1, avg(TransactionAmt) AS m FROM a GROUP BY card1) c1 ON b.card1 = c1.card1),
+ens AS (SELECT *, {' + '.join(f'{w} * ({_linear_sql(n)})' for n, w in _SHARES.items())} AS raw FROM f), p AS (SELECT *, 1 / (1 + exp(-({_CURVE[0]} * raw + ({_CURVE[1]})))) AS p FROM ens)
+SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, round(p, 4) AS probability, CAST(p >= 0.75 AS INT) AS is_fraud, isFraud AS y_true, CASE WHEN p >= 0.75 THEN 'BLOCK' WHEN p >= 0.15 THEN 'REVIEW' ELSE 'APPROVE' END AS action, TransactionAmt AS amount,
+ strftime(TIMESTAMP '2017-11-30 00:00:00' + to_seconds(TransactionDT), '%Y-%m-%dT%H:%M:%S') AS timestamp FROM p""")
+def score_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records to report rows by a saved and reloaded model: encoders of the first 85 %, two linear models, a calibration, tiers."""
+    df, cut, model = _scoring_model(spark, d)
+    now = F.timestamp_seconds(F.col("TransactionDT") + ad.EPOCH)
+    return model.score(df.filter(~cut), now)
+
+
+def _scoring_model(spark: SparkSession, d: str):
+    df = _tx(spark, d)
+    cut, folder = fe.train_rows(df), shared_path(spark, "scoring-model")
+    enc = fe.fit_encoders(sc.prepare(df.filter(cut), ad.EPOCH), ("card1",), ("device_vendor",), ("card4", "ProductCD"))
+    sc.ScoringModel(enc, {n: sc.LinearScorer(*m) for n, m in _LINEAR.items()}, _SHARES, ad.EPOCH, _CURVE).save(spark, folder)
+    return df, cut, sc.ScoringModel.load(spark, folder)
+
+
+@query(ORACLES["score_pipeline"])
+def stream_score_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The same model over a stream: raw records are scored in each micro-batch and written to all tables; returns the report rows."""
+    _, cut, model = _scoring_model(spark, d)
+    stream = _stream(spark, d).filter(~cut)
+
+    def score(batch: DataFrame) -> DataFrame:
+        p = model.probabilities(model.features(batch))
+        return p.select(F.col("TransactionID").alias("id"), F.col("isFraud").alias("y"), "p", F.col("TransactionAmt").alias("amt"), F.col("ts").alias("happened"), F.col("user_amt_zscore"))
+
+    tables = st.ScoringTables(shared_path(spark, "scored"))
+    tables.start(stream, rd.Settings(), score=lambda b: score(b).withColumn("seconds", F.unix_seconds("happened")), log=("user_amt_zscore", "seconds")).awaitTermination()
+    when = tables.history(spark, 1 << 40).filter("feature = 'seconds'").select("id", F.col("value").cast("long").alias("_s"))
+    said = tables.predictions(spark).join(when, "id")
+    return said.select(
+        F.col("id").cast("string").alias("transaction_id"), F.round("p", 4).alias("probability"), "is_fraud", "y_true", "action", F.col("amt").alias("amount"), sc.iso_time(F.timestamp_seconds("_s")).alias("timestamp")
+    )
+
+
+@query(f"SELECT *, CAST(least(total, 1000) AS BIGINT) AS queue_depth, CAST(12.5 AS DOUBLE) AS live_latency_ms, total AS total_lifetime_count, CAST({THRESHOLD} AS DOUBLE) AS threshold, '2024-01-10T00:00:00' AS updated_at FROM ({ORACLES['confusion_pnl']})")
+def business_report(spark: SparkSession, d: str) -> DataFrame:
+    return sc.business_report(_scored(spark, d), THRESHOLD, 12.5, F.lit("2024-01-10 00:00:00").cast("timestamp"))
+
+
+@query(f"SELECT CASE WHEN n >= 1000 THEN threshold ELSE 0.75 END AS threshold, n FROM ({ORACLES['best_threshold_cost']}), ({TX} SELECT count(*) AS n FROM sc WHERE y IS NOT NULL AND p IS NOT NULL)")
+def reoptimised_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sc.reoptimised(_scored(spark, d), 0.75), "threshold")
+
+
+def _psi_sql(c: str) -> str:
+    return f"""(WITH q AS (SELECT list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM h WHERE live = 0),
+k AS (SELECT live, CASE WHEN {c} BETWEEN q[1] AND q[-1] THEN least(len(list_filter(q, lambda e: e <= {c})) - 1, len(q) - 2) END AS bin FROM h, q WHERE {c} IS NOT NULL),
+n AS (SELECT live, count(*) AS n FROM k GROUP BY live), s AS (SELECT live, bin, count(*) AS m FROM k WHERE bin IS NOT NULL GROUP BY ALL),
+x AS (SELECT coalesce(e.m / CAST(ne.n AS DOUBLE), 1e-4) AS e, coalesce(a.m / CAST(na.n AS DOUBLE), 1e-4) AS a FROM (SELECT DISTINCT bin FROM s) b LEFT JOIN s e ON e.bin = b.bin AND e.live = 0 LEFT JOIN s a ON a.bin = b.bin AND a.live = 1 JOIN n ne ON ne.live = 0 JOIN n na ON na.live = 1)
+SELECT '{c}' AS feature, sum((e - a) * ln(e / a)) AS psi FROM x)"""
+
+
+@query(f"""{TX}, {_HALVES} SELECT feature, round(psi, 6) AS psi, CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'warning' ELSE 'stable' END AS status FROM ({' UNION ALL '.join(f'FROM {_psi_sql(c)}' for c in _FEATURES)}) ORDER BY psi DESC, feature LIMIT 3""")
+def psi_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The three least stable features."""
+    return _rounded(mo.psi_table(*_halves(spark, d), list(_FEATURES), 3), "psi")
+
+
+_TWINS = " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS twin, abs(corr(coalesce(CAST({a} AS DOUBLE), -999), coalesce(CAST({b} AS DOUBLE), -999))) AS r FROM h WHERE live = 0" for a in _FEATURES for b in _FEATURES if a != b)
+
+
+@query(f"""SELECT k.feature, k.ks, k.strength, twin, round(r, 6) AS twin_r, psi, status FROM ({ORACLES['ks_score']}) k JOIN (SELECT * FROM ({TX}, {_HALVES} {_TWINS}) QUALIFY row_number() OVER (PARTITION BY feature ORDER BY r DESC, twin DESC) = 1) t USING (feature)
+LEFT JOIN ({ORACLES['psi_heads'].replace('LIMIT 3', '')}) p USING (feature)""")
+def feature_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Signal, redundancy and stability of each feature."""
+    return _rounded(mo.quality_report(*_halves(spark, d), list(_FEATURES), "isFraud"), "ks", "twin_r", "psi")
+
+
+@query(ORACLES["simulation_table"])
+def simulation_map(spark: SparkSession, d: str) -> DataFrame:
+    """The simulation table as one map by threshold, as the API gives it, and as rows again."""
+    t = ev.simulation_table(_scored(spark, d))
+    packed = t.agg(F.map_from_entries(F.collect_list(F.struct("threshold", F.struct("precision", "recall", "insult_rate").alias("v")))).alias("m"))
+    return packed.select(F.explode("m").alias("threshold", "v")).select("threshold", "v.*")
+
+
+@query(f"""{TX} SELECT feature, round(share, 6) AS null_share FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS INT)) AS share FROM tx" for c in _NULLABLE)})""")
+def null_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each column is missing; those of over 0.99 go at fit time."""
+    return _rounded(fe.null_shares(_tx(spark, d).select(*_NULLABLE)), "null_share")

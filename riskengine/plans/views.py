@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskengine.operators.graph import connected_components
+from riskengine.operators.ordering import number_rows
 
 
 def running_series(df: DataFrame, threshold: float, order: str = "seq") -> DataFrame:
@@ -20,19 +21,24 @@ def running_series(df: DataFrame, threshold: float, order: str = "seq") -> DataF
     return run.select(order, "ts", (F.col("rs") + F.col("bs")).alias("cumulative_savings"), (F.col("rl") + F.col("bl")).alias("cumulative_loss"))
 
 
-def drop_repeats(series: DataFrame, order: list[str], measures: tuple[str, ...] = ("cumulative_savings", "cumulative_loss")) -> DataFrame:
-    """Points that differ from the one before in some measure; the first is kept. For series of bounded length."""
-    w = Window.orderBy(*order)
-    same = F.lit(True)
-    for m in measures:
-        same = same & F.lag(m).over(w).eqNullSafe(F.col(m))
-    return series.withColumns({"_same": same, "_n": F.row_number().over(w)}).filter("NOT _same OR _n = 1").drop("_same", "_n")
+def drop_repeats(series: DataFrame, order: list[str], bucket: Column, measures: tuple[str, ...] = ("cumulative_savings", "cumulative_loss")) -> DataFrame:
+    """Points that differ from the one before in some measure; the first is kept.
+
+    ``bucket`` grows (or stays) with the order. Points are compared within their bucket; a
+    bucket's first one is compared with the last of the bucket before, from a table with one
+    row for each bucket.
+    """
+    now, at = F.struct(*measures), F.struct(*order)
+    own = series.withColumn("_b", bucket)
+    last = own.groupBy("_b").agg(F.max_by(now, at).alias("_m")).select(F.col("_b").alias("_c"), F.lag("_m").over(Window.orderBy("_b")).alias("_last"))
+    run = own.withColumn("_prev", F.lag(now).over(Window.partitionBy("_b").orderBy(*order))).join(F.broadcast(last), F.col("_b").eqNullSafe(F.col("_c")))
+    before = F.coalesce("_prev", "_last")
+    return run.filter(before.isNull() | (before != now)).drop("_b", "_c", "_prev", "_last")
 
 
-def decimate(series: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
-    """About ``most`` points at even steps, with the last one."""
-    w = Window.orderBy(*order)
-    df = series.withColumns({"_n": F.row_number().over(w) - 1, "_all": F.count(F.lit(1)).over(Window.partitionBy())})
+def decimate(series: DataFrame, order: list[str], bucket: Column, most: int = 1000) -> DataFrame:
+    """About ``most`` points at even steps, with the last one; numbered bucket by bucket."""
+    df = number_rows(series, order, bucket, "_n", "_all")
     return df.filter((F.col("_n") % F.ceil(F.col("_all") / most) == 0) | (F.col("_n") == F.col("_all") - 1)).drop("_n", "_all")
 
 

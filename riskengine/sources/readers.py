@@ -31,9 +31,13 @@ def stream_csv(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(path)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, offsets: str = "latest") -> DataFrame:
-    """A topic as a stream of ``value`` texts. The checkpoint keeps the offsets; a connector package has to be installed."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offsets).load()
+def stream_kafka(spark: SparkSession, servers: str, topic: str, offsets: str = "latest", batch_rows: int | None = None) -> DataFrame:
+    """A topic as a stream of ``value`` texts, at most ``batch_rows`` in a micro-batch.
+
+    The checkpoint keeps the offsets; a connector package has to be installed.
+    """
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offsets)
+    raw = (raw.option("maxOffsetsPerTrigger", batch_rows) if batch_rows else raw).load()
     return raw.select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset", "timestamp")
 
 

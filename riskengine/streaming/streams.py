@@ -6,17 +6,20 @@ run again after a failure replaces itself; the checkpoint keeps offsets and stat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskengine.functions.clean import tier
+from riskengine.plans.views import mean_impacts, merge_importance
 from riskengine.session import shared_path
 from riskengine.sources.readers import Settings, dead_letters
 
@@ -34,31 +37,50 @@ def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: tuple[str, ...])
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def keyed_velocity(df: DataFrame, hours: int, user: str = "UID", time: str = "TransactionDT", amount: str = "TransactionAmt", row: str = "TransactionID") -> DataFrame:
+def _ids_as_text(df: DataFrame, row: str, event_time: str | None, late: str) -> DataFrame:
+    """Ids as text, as pandas would turn long ids beside a null into doubles; with a watermark if there is an event time."""
+    df = df.withColumn(row, F.col(row).cast("string"))
+    return df.withWatermark(event_time, late) if event_time else df
+
+
+def _expire(state: GroupState, seconds: float) -> None:
+    """Let the state go once the watermark passes an event time."""
+    state.setTimeoutTimestamp(int(max(seconds * 1000, state.getCurrentWatermarkMs() + 1)))
+
+
+def keyed_velocity(df: DataFrame, hours: int, user: str = "UID", time_col: str = "TransactionDT", amount: str = "TransactionAmt", row: str = "TransactionID", event_time: str | None = None, late: str = "1 day", epoch: int = 0) -> DataFrame:
     """Count and sum of the user's amounts in the hours before each record, over all micro-batches.
 
     A user's state is the records of the last ``hours`` only. Records of a batch see each
     other in time order; one that comes later than a batch with newer records sees what the
-    state still holds.
+    state still holds. With ``event_time`` (the column of ``time_col`` plus ``epoch`` as a
+    timestamp) a user's state goes when the watermark is ``hours`` past the last record.
     """
     span = hours * 3600
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, amounts = (np.array(x, float) for x in state.get) if state.exists else (np.zeros(0), np.zeros(0))
-        new = pd.concat(frames).sort_values([time, row], kind="stable")
-        at = np.concatenate([times, new[time].to_numpy(float)])
+        new = pd.concat(frames).sort_values([time_col, row], kind="stable")
+        at = np.concatenate([times, new[time_col].to_numpy(float)])
         amt = np.concatenate([amounts, new[amount].to_numpy(float)])
         order = np.argsort(at, kind="stable")
         at, amt = at[order], amt[order]
         known = ~np.isnan(amt)
         n, total = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0.0], np.cumsum(np.where(known, amt, 0.0))])
-        lo, hi = np.searchsorted(at, new[time] - span, "left"), np.searchsorted(at, new[time], "left")
+        lo, hi = np.searchsorted(at, new[time_col] - span, "left"), np.searchsorted(at, new[time_col], "left")
         keep = at >= at[-1] - span
         state.update((at[keep].tolist(), amt[keep].tolist()))
+        if event_time:
+            _expire(state, at[-1] + span + epoch)
         yield pd.DataFrame({row: new[row], user: key[0], f"count_{hours}h": n[hi] - n[lo], f"amt_sum_{hours}h": total[hi] - total[lo]})
 
-    out = f"{row} long, {user} string, count_{hours}h long, amt_sum_{hours}h double"
-    return df.groupBy(user).applyInPandasWithState(step, out, "times array<double>, amounts array<double>", "append", GroupStateTimeout.NoTimeout)
+    out = f"{row} string, {user} string, count_{hours}h long, amt_sum_{hours}h double"
+    how = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    found = _ids_as_text(df, row, event_time, late).groupBy(user).applyInPandasWithState(step, out, "times array<double>, amounts array<double>", "append", how)
+    return found.withColumn(row, F.col(row).cast(df.schema[row].dataType))
 
 
 def throttle_points(at: np.ndarray, delta: np.ndarray, seconds: float, least: float, last_at: float | None, last_total: float, total: float) -> tuple[list[tuple[int, float]], float | None, float, float]:
@@ -80,13 +102,15 @@ def throttled(df: DataFrame, seconds: float, least: float) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_at, last_total, total = state.get if state.exists else (None, 0.0, 0.0)
-        new = pd.concat(frames).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
+        new = pd.concat(frames).assign(_n=lambda x: x["seq"].str.len()).sort_values(["at", "_n", "seq"], kind="stable").reset_index(drop=True)
         out, last_at, last_total, total = throttle_points(new["at"].to_numpy(), new["delta"].to_numpy(), seconds, least, last_at, last_total, total)
         state.update((last_at, last_total, total))
         rows = new.iloc[[k for k, _ in out]]
         yield pd.DataFrame({"series": key[0], "seq": rows["seq"].to_numpy(), "at": rows["at"].to_numpy(), "total": [t for _, t in out]})
 
-    return df.groupBy("series").applyInPandasWithState(step, "series string, seq long, at double, total double", "last_at double, last_total double, total double", "append", GroupStateTimeout.NoTimeout)
+    kind = "last_at double, last_total double, total double"
+    found = _ids_as_text(df, "seq", None, "").groupBy("series").applyInPandasWithState(step, "series string, seq string, at double, total double", kind, "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("seq", F.col("seq").cast(df.schema["seq"].dataType))
 
 
 def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -105,39 +129,55 @@ class ScoringTables:
     """The scoring stream's tables in one folder."""
 
     folder: str
+    refresh_seconds: int = 300
+    _monitored: tuple[float, list[str]] = (0.0, [])
 
     @classmethod
     def under(cls, folder: str) -> ScoringTables:
         return cls(folder)
 
-    def start(self, scored: DataFrame, settings: Settings, demo: bool = True, seconds: int | None = None) -> StreamingQuery:
-        """Tier a stream of ``id``, ``y``, ``p``, ``amt`` and write each batch to all tables.
+    def start(self, stream: DataFrame, settings: Settings, demo: bool = True, seconds: int | None = None, score: Callable[[DataFrame], DataFrame] | None = None, log: tuple[str, ...] = (), send: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+        """Score and tier a stream and write each batch to all tables.
 
-        The thresholds are read anew for each batch from the ``config`` table, so what a
+        ``score`` turns a batch of raw records into ``id``, ``y``, ``p``, ``amt`` and the
+        columns ``log``, whose values are kept for drift; without it the stream has these.
+        ``send`` gets each batch of predictions too (a Kafka batch writer, say). The
+        thresholds are read anew for each batch from the ``config`` table, so what a
         re-optimisation publishes takes effect. Truth is kept only in demo mode. A batch
-        whose scoring fails goes to the dead letters and the stream goes on. ``seconds``
-        triggers by time; without it the stream ends with what there is now.
+        whose scoring fails goes to the dead letters and the stream goes on; a failed write
+        fails the batch, which is then run again and replaces itself. ``seconds`` triggers by
+        time; without it the stream ends with what there is now.
         """
-        spark = scored.sparkSession
+        spark = stream.sparkSession
 
         def write(batch: DataFrame, number: int) -> None:
-            batch = batch.persist()
+            hard = self.threshold(spark, settings.hard_threshold)
+            soft = min(settings.soft_threshold, hard * 0.999)
+            truth = F.col("y") if demo else F.lit(None).cast("int")
+            out = None
+            try:
+                rows = score(batch) if score else batch
+                out = rows.select("id", truth.alias("y_true"), "p", "amt", tier(F.col("p"), soft, hard).alias("action"), (F.col("p") >= hard).cast("int").alias("is_fraud"), F.current_timestamp().alias("written"), *log).persist()
+                out.count()
+            except Exception as e:  # scoring alone; nothing has been written yet
+                letters = batch.select(F.to_json(F.struct("*")).alias("original_message"))
+                self._put(dead_letters(letters, "scoring failed", F.lit(str(e)[:500])), "dead_letters", number)
+                return
             try:
-                hard = self.threshold(spark, settings.hard_threshold)
-                soft = min(settings.soft_threshold, hard * 0.999)
-                truth = F.col("y") if demo else F.lit(None).cast("int")
-                out = batch.select("id", truth.alias("y_true"), "p", "amt", tier(F.col("p"), soft, hard).alias("action"), (F.col("p") >= hard).cast("int").alias("is_fraud"), F.current_timestamp().alias("written"))
-                self._put(out, "predictions", number)
-                self._put(out.filter("is_fraud = 1"), "alerts", number)
+                said = out.drop(*log)
+                self._put(said, "predictions", number)
+                self._put(said.filter("is_fraud = 1"), "alerts", number)
+                if log:
+                    self._put(out.select("id", "written", *[F.col(c).cast("double").alias(c) for c in log]).unpivot(["id", "written"], list(log), "feature", "value"), "history", number)
                 caught, missed = ((F.col("y_true") == 1) & (F.col("is_fraud") == k) for k in (1, 0))
                 figures = out.agg(F.count("*").alias("n"), F.count_if(F.col("is_fraud") == 1).alias("fraud"), *[F.coalesce(F.sum(F.when(c, F.col("amt"))), F.lit(0.0)).alias(m) for c, m in ((caught, "savings"), (missed, "loss"))])
                 self._put(figures, "counters", number)
-            except Exception as e:
-                self._put(dead_letters(batch.select(F.to_json(F.struct("*")).alias("original_message")), "scoring failed", F.lit(str(e)[:500])), "dead_letters", number)
+                if send:
+                    send(said)
             finally:
-                batch.unpersist()
+                out.unpersist()
 
-        w = scored.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(write)
+        w = stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(write)
         return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
     def _put(self, df: DataFrame, table: str, number: int) -> None:
@@ -146,18 +186,92 @@ class ScoringTables:
     def predictions(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/predictions")
 
+    def recent(self, spark: SparkSession, n: int = 1000) -> DataFrame:
+        """The newest predictions."""
+        return self.predictions(spark).orderBy(F.col("batch").desc(), F.col("id").desc()).limit(n)
+
+    def alerts(self, spark: SparkSession, n: int = 100) -> DataFrame:
+        """The newest alerts."""
+        return spark.read.parquet(f"{self.folder}/alerts").orderBy(F.col("batch").desc(), F.col("id").desc()).limit(n)
+
+    def lookup(self, spark: SparkSession, key, now: Column | None = None, ttl_seconds: int = 3600) -> DataFrame:
+        """A record's last prediction, with its explanations, if it is within its time to live."""
+        said = self.enriched(spark).filter((F.col("id") == key) & (F.unix_seconds(now if now is not None else F.current_timestamp()) - F.unix_seconds("written") < ttl_seconds))
+        return said.orderBy(F.col("batch").desc()).limit(1)
+
+    def history(self, spark: SparkSession, n: int = 1000) -> DataFrame:
+        """The newest ``n`` values of each logged feature."""
+        w = Window.partitionBy("feature").orderBy(F.col("batch").desc(), F.col("id").desc())
+        return spark.read.parquet(f"{self.folder}/history").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+    def enrich(self, spark: SparkSession, explain: Callable[[DataFrame], DataFrame], alpha: float = 0.1, top: int = 50) -> StreamingQuery:
+        """A second stream over the written predictions that explains them, and averages what is important.
+
+        ``explain`` gives ``id`` and ``explanations`` of a batch. A batch that fails is marked
+        so, with the error, and moves no importance.
+        """
+        schema = self.predictions(spark).drop("batch").schema
+
+        def write(batch: DataFrame, number: int) -> None:
+            try:
+                said = explain(batch).select("id", "explanations", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error")).persist()
+                said.count()
+            except Exception as e:
+                self._put(batch.select("id", F.lit(None).cast(_IMPACTS).alias("explanations"), F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error")), "explanations", number)
+                return
+            self._put(said, "explanations", number)
+            self._put(self._averaged(spark, said, number, alpha, top), "importance", number)
+            said.unpersist()
+
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.folder}/predictions")
+        return stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint-enrich").trigger(availableNow=True).foreachBatch(write).start()
+
+    def _averaged(self, spark: SparkSession, said: DataFrame, number: int, alpha: float, top: int) -> DataFrame:
+        """The moving average of importances after a batch, from the one before it."""
+        new = mean_impacts(said)
+        old = self.importance(spark, number)
+        merged = new if old is None else merge_importance(old, new, alpha)
+        return merged.orderBy(F.col("value").desc(), "feature").limit(top)
+
+    def importance(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The newest importances, or those before a batch; None if there are none yet."""
+        try:
+            all_ = spark.read.parquet(f"{self.folder}/importance")
+        except AnalysisException:
+            return None
+        all_ = all_ if before is None else all_.filter(F.col("batch") < before)
+        last = all_.agg(F.max("batch").alias("b")).first().b
+        return None if last is None else all_.filter(F.col("batch") == last).select("feature", "value")
+
+    def monitored(self, spark: SparkSession, n: int = 50) -> list[str]:
+        """The most important features, read anew at most every ``refresh_seconds``."""
+        at, names = self._monitored
+        if not names or time.monotonic() - at > self.refresh_seconds:
+            found = self.importance(spark)
+            names = [] if found is None else [r.feature for r in found.orderBy(F.col("value").desc(), "feature").limit(n).collect()]
+            self._monitored = (time.monotonic(), names)
+        return names
+
+    def enriched(self, spark: SparkSession) -> DataFrame:
+        """Predictions with their explanations and ``status``: processing, ready or failed."""
+        said = self.predictions(spark)
+        try:
+            more = spark.read.parquet(f"{self.folder}/explanations").drop("batch").dropDuplicates(["id"])
+        except AnalysisException:
+            return said.select("*", F.lit(None).cast(_IMPACTS).alias("explanations"), F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error"))
+        return said.join(more, "id", "left").withColumn("status", F.coalesce("status", F.lit("processing")))
+
     def totals(self, spark: SparkSession) -> DataFrame:
         """The counters over all batches; a replayed batch counts once."""
         return spark.read.parquet(f"{self.folder}/counters").agg(*[F.sum(c).alias(c) for c in ("n", "fraud", "savings", "loss")])
 
     def publish_threshold(self, spark: SparkSession, value: float) -> None:
-        spark.createDataFrame([(float(value),)], "hard double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/config")
+        """Write a new version; readers take the newest whole one."""
+        spark.createDataFrame([(float(value),)], "hard double").coalesce(1).write.parquet(f"{self.folder}/config/version={time.time_ns()}")
 
     def threshold(self, spark: SparkSession, default: float) -> float:
-        from pyspark.errors import AnalysisException
-
         try:
-            row = spark.read.schema("hard double").parquet(f"{self.folder}/config").first()
+            row = spark.read.schema("hard double, version long").parquet(f"{self.folder}/config").orderBy(F.col("version").desc()).first()
         except AnalysisException:  # nothing was published yet
             return default
         return row.hard if row else default
@@ -175,6 +289,16 @@ class ScoringTables:
         return best, n
 
 
+_IMPACTS = "array<struct<feature:string,impact:double>>"
+
+
+def throughput(query: StreamingQuery) -> dict[str, float]:
+    """Rows, rows a second and milliseconds a row over the batches that the query still knows."""
+    done = [p for p in query.recentProgress if p.numInputRows]
+    rows, ms = sum(p.numInputRows for p in done), sum(p.batchDuration for p in done)
+    return {"rows": float(rows), "rows_per_second": 1000 * rows / ms if ms else 0.0, "latency_ms": ms / rows if rows else 0.0}
+
+
 def retain(spark: SparkSession, table: str, seconds: int, now: float) -> DataFrame:
     """The rows of a prediction table that are younger than its time to live."""
     return spark.read.parquet(table).filter(F.lit(now) - F.unix_timestamp("written") < seconds)
