@@ -1,7 +1,7 @@
 """Session construction and the shared working folder.
 
 Intermediate tables and checkpoints go to the folder the cluster names in
-``spark.checkpoint.dir``; only where that setting is absent (local runs, tests)
+``spark.checkpoint.dir``; only where that setting is absent on a local master (tests)
 is a folder of our own created.
 """
 
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="riskengine-")

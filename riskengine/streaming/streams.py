@@ -157,18 +157,18 @@ class ScoringTables:
             out = None
             try:
                 rows = score(batch) if score else batch
-                out = rows.select("id", truth.alias("y_true"), "p", "amt", tier(F.col("p"), soft, hard).alias("action"), (F.col("p") >= hard).cast("int").alias("is_fraud"), F.current_timestamp().alias("written"), *log).persist()
+                out = rows.select("id", truth.alias("y_true"), "p", "amt", tier(F.col("p"), soft, hard).alias("action"), (F.col("p") >= hard).cast("int").alias("is_fraud"), F.current_timestamp().alias("written"), *[F.col(c).cast("double").alias(f"_log_{c}") for c in log]).persist()
                 out.count()
             except Exception as e:  # scoring alone; nothing has been written yet
                 letters = batch.select(F.to_json(F.struct("*")).alias("original_message"))
                 self._put(dead_letters(letters, "scoring failed", F.lit(str(e)[:500])), "dead_letters", number)
                 return
             try:
-                said = out.drop(*log)
+                said = out.drop(*[f"_log_{c}" for c in log])
                 self._put(said, "predictions", number)
                 self._put(said.filter("is_fraud = 1"), "alerts", number)
                 if log:
-                    self._put(out.select("id", "written", *[F.col(c).cast("double").alias(c) for c in log]).unpivot(["id", "written"], list(log), "feature", "value"), "history", number)
+                    self._put(out.select("id", "written", *[F.col(f"_log_{c}").alias(c) for c in log]).unpivot(["id", "written"], list(log), "feature", "value"), "history", number)
                 caught, missed = ((F.col("y_true") == 1) & (F.col("is_fraud") == k) for k in (1, 0))
                 figures = out.agg(F.count("*").alias("n"), F.count_if(F.col("is_fraud") == 1).alias("fraud"), *[F.coalesce(F.sum(F.when(c, F.col("amt"))), F.lit(0.0)).alias(m) for c, m in ((caught, "savings"), (missed, "loss"))])
                 self._put(figures, "counters", number)

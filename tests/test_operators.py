@@ -49,9 +49,9 @@ def test_browser_priority(spark):
 
 
 def test_amounts_by_cents(spark):
-    df = clean.amount_features(spark.createDataFrame([(100.0,), (99.99,), (49.95,), (123.45,), (0.29,), (None,)], "TransactionAmt double"))
-    got = [(r.TransactionAmt_suspicious, r.cents_value) for r in df.collect()]
-    assert got == [(2, 0), (1, 990), (1, 950), (0, 450), (0, 290), (0, 0)]
+    df = clean.amount_features(spark.createDataFrame([(100.0,), (99.99,), (49.95,), (123.45,), (0.29,), (None,), (59.065,), (0.995,)], "TransactionAmt double"))
+    got = [(r.TransactionAmt_suspicious, r.cents_value, r.TransactionAmt_decimal, r.is_exact_dollars, r.is_99_cents) for r in df.collect()]
+    assert got == [(2, 0, 0.0, 1, 0), (1, 990, 0.99, 0, 1), (1, 950, 0.95, 0, 0), (0, 450, 0.45, 0, 0), (0, 290, 0.29, 0, 0), (0, 0, 0.0, 1, 0), (0, 65, 0.065, 0, 0), (0, 995, 0.995, 0, 1)]
 
 
 def test_screen_rows_stand_alone(spark):
@@ -280,12 +280,115 @@ def test_nulls_everywhere_and_empty_tables(spark, small):
     assert fe.apply_encoders(fe.with_user(gone), enc).count() == 5
 
 
-def test_one_exchange_for_all_user_windows(spark, small):
-    from riskengine.plans import catalog
+def test_hot_users_are_split(spark):
+    """A user's windows are dealt by spans of time, and give what windows over the whole history give."""
+    draw = np.random.default_rng(2)
+    rows = [(k, int(draw.integers(0, 10 * 86400)), float(draw.integers(1, 50)), "hot" if k % 3 else f"u{k}") for k in range(900)]
+    df = spark.createDataFrame(rows, TX)
+    got = {r.TransactionID: r for r in fe.sequence_features(fe.velocity(df)).collect()}
+    assert len(got) == 900
+    by: dict = {}
+    for k, t, a, u in sorted(rows, key=lambda r: (r[1], r[0])):
+        past = by.setdefault(u, [])
+        for h in (1, 12, 24):
+            near = [x for s, x in past if t - h * 3600 <= s < t]
+            assert getattr(got[k], f"UID_count_{h}h") == len(near) and (got[k][f"UID_amt_sum_{h}h"] or 0.0) == pytest.approx(sum(near))
+        assert (got[k].UID_amt_sum_1h is None) == (u != "hot")
+        assert got[k].txn_sequence == len(past) and got[k].UID_dt_diff == (t - past[-1][0] if past else 0)
+        past.append((t, a))
+    for plan in (fe.velocity(df, fill_single=True), fe.sequence_features(df)):
+        assert "Exchange hashpartitioning(UID" in (text := plan._jdf.queryExecution().executedPlan().toString())
+        assert "_span" in text or "_day" in text
+
+
+def test_split_condition_and_quantiles(spark):
+    draw = np.random.default_rng(4)
+    rows = [(int(draw.integers(0, 40)), int(draw.integers(0, 20000)), float(draw.integers(0, 30)) if k % 7 else None, "u") for k in range(500)]
+    df = spark.createDataFrame([(k, r[1], r[2], r[3]) for k, r in enumerate(rows)] + [(500, None, 1.0, "u")], TX)
+    order = sorted(df.collect(), key=lambda r: (r.TransactionDT is not None, r.TransactionDT or 0, r.TransactionID))
+    for share in (0.0, 0.001, 0.5, 0.85, 1.0):
+        assert {r.TransactionID for r in df.filter(fe.train_rows(df, share)).collect()} == {r.TransactionID for r in order[: int(501 * share)]}
+    assert df.limit(0).filter(fe.train_rows(df.limit(0))).count() == 0
+    known = [r[2] for r in rows if r[2] is not None] + [1.0]
+    q = one(fe.exact_quantiles(df, "TransactionAmt", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))
+    assert q == pytest.approx(np.quantile(known, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).tolist())
+
+
+def test_saved_models_score_alike(spark, small, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from riskengine.operators import scoring as sc
+    from riskengine.sources import adapters as ad
+
+    tx = ad.transactions(spark, small)
+    df = sc.prepare(tx, ad.EPOCH)
+    enc = fe.fit_encoders(df)
+    ready = fe.apply_encoders(df, enc)
+    trees = ml.fit_trees(ready, ["TransactionAmt", "ProductCD", "card4_fraud_rate"], "isFraud", rounds=2, depth=2)
+    fitted = ml.fit_calibration(ml.score_trees(ready, trees).select(F.col("isFraud").alias("y"), F.col("probability").alias("p"), F.lit(1.0).alias("amt")), "platt")
+    model = sc.ScoringModel(enc, {"trees": trees, "line": sc.LinearScorer({"TransactionAmt_log": 0.1, "absent": 3.0}, -1.0)}, {"trees": 0.5, "line": 0.5}, ad.EPOCH, fitted, rd.Settings(hard_threshold=0.6))
+    model.save(spark, str(tmp_path / "m"))
+    back = sc.ScoringModel.load(spark, str(tmp_path / "m"))
+    assert isinstance(back.calibration, LogisticRegressionModel) and back.settings == model.settings and back.encoders.risky == enc.risky
+    names = ["transaction_id", "probability", "is_fraud", "y_true", "action", "amount"]
+    one_, two = (sorted(m.score(tx).select(*names).collect()) for m in (model, back))
+    assert one_ == two and len(one_) == tx.count()
+    lone = spark.createDataFrame([(7, 5.0, 100, "W")], "TransactionID long, TransactionAmt double, TransactionDT long, ProductCD string").unionByName(tx.limit(0), allowMissingColumns=True)
+    assert back.score(lone).count() == 1
+
+
+def test_stream_tables(spark, tmp_path):
+    """Fan-out, histories, enrichment with moving averages, versions of the threshold, failed scoring and failed writes."""
+    for k in range(3):
+        spark.createDataFrame([(100 * k + i, i % 2, i / 100, float(i)) for i in range(100)], "id long, y int, p double, amt double").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = lambda: spark.readStream.schema("id long, y int, p double, amt double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    sent = []
+    tables = st.ScoringTables(str(tmp_path / "out"), refresh_seconds=0)
+    q = tables.start(stream(), rd.Settings(), log=("amt",), score=lambda b: b.withColumn("p", F.col("p") * 1.0), send=lambda b: sent.append(b.count()))
+    q.awaitTermination()
+    assert sent == [100] * 3 and tables.predictions(spark).count() == 300 and st.throughput(q)["rows"] == 300
+    assert tables.history(spark, 150).count() == 150 and tables.recent(spark, 5).count() == 5 and tables.alerts(spark).count() == 75
+    assert {r.status for r in tables.enriched(spark).collect()} == {"processing"} and tables.monitored(spark) == []
+    impact = lambda b: b.select("id", F.array(*[F.struct(F.lit(n).alias("feature"), (F.col("amt") * w).alias("impact")) for n, w in (("a", 2.0), ("b", -1.0))]).alias("explanations"))
+    tables.enrich(spark, impact).awaitTermination()
+    assert {r.feature: r.value for r in tables.importance(spark).collect()} == pytest.approx({"a": 99.0, "b": 49.5}) and tables.monitored(spark) == ["a", "b"]
+    found = tables.lookup(spark, 205).first()
+    assert found.status == "ready" and found.explanations[0].impact == 10.0 and tables.lookup(spark, 205, F.current_timestamp() + F.expr("INTERVAL 2 HOURS")).count() == 0
+    tables.publish_threshold(spark, 0.4)
+    tables.publish_threshold(spark, 0.3)
+    assert tables.threshold(spark, 0.75) == 0.3
+    bad = st.ScoringTables(str(tmp_path / "bad"))
+    bad.start(stream(), rd.Settings(), score=lambda b: b.select(F.raise_error(F.lit("no model")).alias("id"), "y", "p", "amt")).awaitTermination()
+    letters = spark.read.parquet(str(tmp_path / "bad/dead_letters"))
+    assert letters.count() == 300 and "no model" in letters.first().exception
+    full = st.ScoringTables(str(tmp_path / "full"))
+    with pytest.raises(Exception, match="disk"):
+        full.start(stream(), rd.Settings(), send=lambda b: (_ for _ in ()).throw(OSError("disk"))).awaitTermination()
+    assert not (tmp_path / "full/dead_letters").exists()
+
+
+def test_state_ends_with_the_watermark(spark, tmp_path):
+    rows = [(k, (k + 24) * 3600, 1.0, "a" if k < 5 else "b") for k in range(200)]
+    full = spark.createDataFrame(rows, TX).withColumn("ts", F.timestamp_seconds("TransactionDT"))
+    for k in range(4):
+        full.filter(f"TransactionID BETWEEN {50 * k} AND {50 * k + 49}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    path = str(tmp_path / "out")
+    q = st.keyed_velocity(stream, 24, event_time="ts", late="1 hour").writeStream.option("checkpointLocation", f"{path}-c").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
+    q.awaitTermination()
+    got = {r.TransactionID: r.count_24h for r in spark.read.parquet(path).collect()}
+    assert got == {k: min(k if k < 5 else k - 5, 24) for k in range(200)}
+    assert q.lastProgress.stateOperators[0].numRowsTotal == 1  # only b is left
 
-    df = fe.sequence_features(fe.velocity(catalog._users(spark, small)))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(UID") == 1
+
+def test_cv_averages_folds(spark):
+    draw = np.random.default_rng(1)
+    rows = [(k, k, float(draw.random()), float(draw.random()), 0) for k in range(400)]
+    df = spark.createDataFrame([(i, t, a, b, int(a > 0.6)) for i, t, a, b, _ in rows], "TransactionID long, TransactionDT long, a double, b double, y int")
+    scored, top = ml.expanding_cv(fe.time_folds(df, 2), df, "fold", ["a", "b"], "y", rounds=3, depth=2)
+    found = top.collect()
+    assert [r.feature for r in found] == ["a", "b"] and found[0].importance > 0.9
+    assert scored.count() == 400 and one(ev.roc_auc(scored.select("y", F.col("probability").alias("p"), F.lit(1.0).alias("amt")))) > 0.99
 
 
 def test_scan_reads_only_used_columns(spark, small):
