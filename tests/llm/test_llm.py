@@ -4,6 +4,8 @@ import math
 import os
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -132,6 +134,15 @@ def test_packing_edges(odd):
     assert kept.columns == [*[c for c in odd.columns if c != "offset"], "length", "sequence_id", "offset", "padded_length"] and kept.count() == odd.count()
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    big = [9007199254740993, 9007199254740995, None, None, -(2**63), 2**63 - 1]
+    rows = q.packed_pieces(spark.createDataFrame([(k, "some text") for k in big], "doc_id long, text string").coalesce(1)).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted((r.doc_id for r in rows), key=key) == sorted(big, key=key)
+    named = q.packed_pieces(spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string")).collect()
+    assert {r.doc_id for r in named} == {"a", None}
+
+
 # --- 2 audio
 
 
@@ -343,9 +354,114 @@ def test_url_sample_keeps_rare_classes(spark):
         assert good > 0 > bad
 
 
+def test_markov_models_match_dictionaries():
+    """Contexts of up to three bytes, each mixed with the next shorter one by the number of bytes seen after it."""
+    draw = np.random.default_rng(6)
+    urls = ["".join(draw.choice(list("ab/."), int(draw.integers(1, 12)))).encode() for _ in range(60)]
+    model = uf.MarkovModel.fit(urls, 3)
+    after: dict = defaultdict(Counter)
+    padded = lambda u: [0, 0, 0, *u, 0]
+    for u in urls:
+        b = padded(u)
+        for i in range(3, len(b)):
+            for k in range(4):
+                after[tuple(b[i - k : i])][b[i]] += 1
+
+    def p(context, x, k=3):
+        low = p(context, x, k - 1) if k else 1 / 256
+        seen = after.get(tuple(context[3 - k :]), {})
+        return (seen.get(x, 0) + len(seen) * low) / (sum(seen.values()) + len(seen)) if seen else low
+
+    for u in [*urls[:20], b"zz", b"a" * 30]:
+        b = padded(u)
+        symbol, context, _ = uf._grams(pa.array([u], pa.binary()), 3)
+        want = [math.log(p(b[i - 3 : i], b[i])) for i in range(3, len(b))]
+        assert model.log_likelihoods(symbol, context).tolist() == pytest.approx(want)
+
+
+def test_long_urls_are_learned_from(spark):
+    rows = [(f"http://g{k}.org/" + "ab" * 2000, "allow") for k in range(20)] + [(f"http://h{k}.org/" + "yz" * 2000, "block") for k in range(20)]
+    good, bad = uf.train(spark.createDataFrame(rows, "_url string, rule_verdict string")).ratios(pa.array([b"http://x.org/" + b"ab" * 50, b"http://x.org/" + b"yz" * 50], pa.binary()))
+    assert good > 0 > bad
+
+
 # --- 5 languages
 
 
+def some_crf():
+    draw = np.random.default_rng(3)
+    windows = [(lang, " ".join("".join(draw.choice(list(a), 5)) for _ in range(24)).encode()) for lang, a in (("en", "abcde"), ("de", "defgh"), ("fr", "ghijk")) for _ in range(20)]
+    return crf.fit_crf(windows, 12)
+
+
+def test_word_features_match_loops(monkeypatch):
+    """n-grams of 1 to 4 bytes between marks, and the word itself; scores are the same however bytes are cut into blocks."""
+    model, texts = some_crf(), ["hello a é ñandú", "x" * 300 + " bb", ""]
+    words = wd.split_words(pa.array(texts), crf.WORD_BYTES)
+    h = words.hashes()
+    features, first = crf.word_features(words.lower, words.start, words.end, h, 12)
+    slot = lambda x: int(wd.mix(np.array([x], np.uint64))[0] >> np.uint64(52))
+    spelled = [words.lower[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
+    for k, w in enumerate(spelled):
+        marked = b"\x01" + w + b"\x02"
+        grams = [slot((int.from_bytes(marked[i : i + n], "little") * 8 + n) % 2**64) for n in range(1, 5) for i in range(len(marked) - n + 1)]
+        assert Counter(features[first[k] : first[k + 1]].tolist()) == Counter([*grams, slot((int(h[k]) + 77) % 2**64)])
+    want = model.emissions(features, first)
+    for block in (5, 64, 1 << 16):
+        monkeypatch.setattr(crf, "_BLOCK", block)
+        assert model.word_scores(words.lower, words.start, words.end, h) == pytest.approx(want)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """A step of the fit moves each weight as the differences of the log-likelihood say."""
+    windows = [("a", b"xy yx"), ("b", b"zz xz"), ("b", b"z")]
+    model = crf.fit_crf(windows, 8, epochs=1, batch=1 << 10, rate=1e-3, l2=0.0)
+    words = wd.split_words(pa.array([w for _, w in windows], pa.binary()), crf.WORD_BYTES)
+    features, first = crf.word_features(words.lower, words.start, words.end, words.hashes(), 8)
+    gold = np.array([0, 0, 1, 1, 1])
+    flat = crf.CrfModel(["a", "b"], 8, np.zeros((256, 2)), np.zeros((2, 2)))
+
+    def likelihood(weight):
+        flat.weight = weight
+        p = crf.marginals(flat.emissions(features, first), np.arange(6), np.zeros((2, 2)))
+        return np.log(p[np.arange(5), gold]).sum()
+
+    for slot in np.unique(features)[:12]:
+        for k in range(2):
+            step = np.zeros((256, 2))
+            step[slot, k] = 1e-4
+            slope = (likelihood(step) - likelihood(-step)) / 2e-4
+            assert abs(slope) < 1e-9 or np.sign(model.weight[slot, k]) == np.sign(slope)
+
+
+def test_long_texts_are_labelled_in_pieces():
+    model, draw = some_crf(), np.random.default_rng(4)
+    raw = " ".join("".join(draw.choice(list("abcdefghijk"), 4)) for _ in range(5000)).encode()
+    texts = pa.array([raw], pa.binary())
+    words, p = crf._word_marginals(model, texts)
+    parts = list(crf.long_marginals(model, np.frombuffer(raw, np.uint8), 3000))
+    assert len(parts) > 5 and np.concatenate([x for _, _, x in parts]) == pytest.approx(p)
+    assert np.concatenate([w.start + at for at, w, _ in parts]).tolist() == words.start.tolist()
+
+
+def test_distinct_words_of_a_long_text_take_little_memory():
+    """20 MB of different words, labelled in a process that may hold 700 MB beyond what it begins with."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from riskengine.llm import langid_crf as crf
+model = crf.CrfModel(["a", "b", "c", "d"], 16, np.random.default_rng(0).normal(size=(1 << 16, 4)), np.zeros((4, 4)))
+raw = np.frombuffer(b"".join(b"%09x " % (k * 7919) for k in range(2_000_000)), np.uint8)
+texts = pa.array([raw.tobytes()], pa.binary())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+total, letter = crf._language_sums(model, texts)
+assert letter[0] and abs(total.sum() - total.sum(axis=1)[0]) < 1 and total.sum() > 1e6
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 200
+
+
 def test_language_sample_counts_distinct_texts_of_each_language(spark, monkeypatch):
     rows = [("xx", "one text again and again")] * 3000 + [("yy", f"yy text {chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(30)] * 20
     rows += [("zz", "zz " + "".join(chr(97 + int(c)) for c in str(k))) for k in range(4000)] + [("nn", str(k)) for k in range(50)] + [("ww", "w"), (None, "no language")]
@@ -482,6 +598,60 @@ def test_ftrl_is_sparse_and_learns():
     assert len(m.index) < 500
 
 
+def test_toxicity_features_match_loops(monkeypatch):
+    """Words, neighbours and words with one between; the same however a long text is cut."""
+    texts = ["The cat, the HAT sat 9 é", "one", "", "a b"] + [" ".join(f"w{k % 37}{'x' * (k % 5)}" for k in range(400))]
+    hashed = lambda w: wd.hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+    want = []
+    for t in texts:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+        h = [hashed(w) for w in words]
+        found = {int(wd.mix(x + np.uint64(1))[0] >> np.uint64(44)) for x in h}
+        found |= {int(wd.combine(a, b + np.uint64(gap))[0] >> np.uint64(44)) for gap in (1, 2) for a, b in zip(h, h[gap:], strict=False)}
+        want.append(found)
+    who, what, n = tox.text_features(pa.array(texts), 20)
+    assert n == len(texts) and [set(what[who == k].tolist()) for k in range(n)] == want
+    for most in (60, 400):
+        monkeypatch.setattr(tox, "_PIECE", most)
+        monkeypatch.setattr(tox._cut, "__defaults__", (most,))
+        assert set(tox.text_features(pa.array(texts[-1:]), 20)[1].tolist()) == want[-1]
+        assert set(tox.text_features(pa.array(["q" * 500 + " r " + "s" * 700 + " t u " + "v" * 90]), 20)[1].tolist()) == set(tox._features(wd.split_words(pa.array(["q" * 500 + " r " + "s" * 700 + " t u " + "v" * 90]), tox.WORD_BYTES), 20)[1].tolist())
+
+
+def test_ftrl_matches_a_plain_loop():
+    draw = np.random.default_rng(7)
+    rows = [np.unique(draw.integers(0, 60, 8)).astype(np.uint32) for _ in range(80)]
+    labels = [int(3 in r or 5 in r) for r in rows]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        cut = 0.0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= cut else (math.copysign(cut, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for r, y in zip(rows, labels, strict=True):
+            of = [*r.tolist(), "bias"]
+            w = {i: weight(i) for i in of}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in of:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    m = tox.fit_ftrl(rows, labels, 6, alpha, beta, l1, l2, 3)
+    assert m.dense().tolist() == pytest.approx([weight(i) for i in range(64)]) and m.intercept == pytest.approx(weight("bias"))
+
+
+def test_long_labelled_texts_carry_the_signal(spark):
+    """Only texts of over 16 KB are labelled; the sample in bytes keeps rows of both labels."""
+    filler = " ".join(f"word{k}" for k in range(3000))
+    docs = spark.createDataFrame([(k, filler + (" vile" if k % 2 else " kind")) for k in range(40)] + [(100, "vile"), (101, "kind")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for sizes in ({}, {"max_bytes": 400_000}):
+        model = tox.train(docs, labels, **sizes)
+        got = {r.doc_id: r.toxicity for r in tox.score(docs, model).filter("doc_id >= 100").collect()}
+        assert got[100] > got[101]
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (5, None), (None, 1), (10, 0)], "doc_id long, toxic int")
     model = tox.train(odd, labels)
