@@ -87,7 +87,9 @@ def _segments(clean: Column) -> Column:
     paragraphs = F.filter(F.transform(F.split(clean, r"\n *\n"), piece("paragraph")), lambda x: x["many"])
     whole = F.filter(F.transform(F.array(clean), piece("text")), lambda x: x["many"])
     known = F.filter(F.concat(lines, paragraphs, whole), lambda x: x["segment"] != "")
-    return F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["position"].alias("position"), F.array_distinct(_pairs(F.split(x["segment"], " "))).alias("grams")))
+    # an array of one binds the words, which are split once so
+    grams = lambda x: F.get(F.transform(F.array(F.split(x["segment"], " ")), lambda w: F.array_distinct(_pairs(w))), F.lit(0))
+    return F.transform(known, lambda x: F.struct(x["kind"].alias("kind"), x["position"].alias("position"), grams(x).alias("grams")))
 
 
 def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -105,10 +107,6 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     grams = [template_grams(t) for _, t in templates]
     bounds = [size_bounds(len(g), least) for g in grams]
     anywhere = sorted({x for g in grams for x in g})
-    of = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
-    grams_of = lambda k: F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in grams]), k + 1)
-    dice = lambda g, k: 2 * F.size(F.array_intersect(g, grams_of(k))) / (F.size(g) + of(map(len, grams), k))
-
     df = docs.select(F.col(id_col).alias("_id"), F.lower(F.regexp_replace(F.col(text_col), r"[^\p{L}\p{N}\n]+", " ")).alias("_clean"))
     df = _once(df.filter("_clean IS NOT NULL"), ["_id", "_clean"], words=F.split(_flat(F.col("_clean")), " "))
     df = _once(df, ["_id", "_clean"], pairs=_pairs(F.col("words")))
@@ -118,23 +116,33 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     df = _once(df, ["_id", "_clean", "pairs"], fit=F.array_compact(F.array(*fits))).filter(F.size("fit") > 0)
 
     df = _once(df, ["_id", "pairs", "fit"], segments=_segments(F.col("_clean")))
-    within = lambda g, k: F.size(g).between(of((lo for lo, _ in bounds), k), of((hi for _, hi in bounds), k))
-    best = lambda g: F.array_max(F.transform(F.filter("fit", lambda k: within(g, k)), lambda k: F.struct(dice(g, k).alias("dice"), (-k).alias("k"))))
-    lines = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["position"].alias("position"), best(x["grams"]).alias("best")))
-
-    long = [max(1, len(template_words(t)) - 1) for _, t in templates]  # grams in a window
+    sizes = [max(1, len(template_words(t)) - 1) for _, t in templates]  # grams in a window
+    chosen = lambda k: F.array_contains("fit", F.lit(k))
+
+    def dice(g: Column, k: int) -> Column:
+        """Of a template and a set of grams. Templates are written out one by one, so their grams are constant sets."""
+        return 2 * F.size(F.filter(g, lambda x: x.isin(grams[k]))) / (F.size(g) + len(grams[k]))
+
+    def best(g: Column) -> Column:
+        fitting = [F.when(chosen(k) & F.size(g).between(*bounds[k]), F.struct(dice(g, k).alias("dice"), F.lit(-k).alias("k"))) for k in range(len(templates))]
+        return F.array_max(F.array_compact(F.array(*fitting)))
+
+    def window(k: int) -> Column:
+        """The best window of a template, as a segment."""
+        near = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.get("pairs", i).isin(grams[k]))
+        dense = F.flatten(F.transform(F.array(near), lambda p: F.filter(p, lambda at, i: F.get(p, i + (bounds[k][0] - 1)) < at + sizes[k])))
+        of = lambda at: F.get(F.transform(F.array(F.array_distinct(F.slice("pairs", at + 1, sizes[k]))), lambda g: dice(g, k)), F.lit(0))
+        top = F.array_max(F.transform(dense, lambda at: F.struct(of(at).alias("dice"), (-at).alias("at"))))
+        said = F.transform(F.array(top), lambda x: F.struct(F.lit("window").alias("kind"), (-x["at"]).cast("long").alias("position"), F.struct(x["dice"].alias("dice"), F.lit(-k).alias("k")).alias("best")))
+        return F.when(chosen(k), F.get(said, F.lit(0)))
 
-    def window(k: Column) -> Column:
-        """The best window of a template: its Dice, and its place as a number that is greater for earlier ones."""
-        near = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.array_contains(grams_of(k), F.get("pairs", i)))
-        dense = F.transform(F.array(near), lambda p: F.filter(p, lambda at, i: F.get(p, i + of((lo for lo, _ in bounds), k) - 1) < at + of(long, k)))
-        cut = lambda at: F.array_distinct(F.slice("pairs", at + 1, of(long, k)))
-        return F.array_max(F.transform(F.get(dense, F.lit(0)), lambda at: F.struct(dice(cut(at), k).alias("dice"), (-at).alias("at"))))
-
-    windows = F.transform(F.transform("fit", lambda k: F.struct(k.alias("k"), window(k).alias("best"))), lambda x: F.struct(F.lit("window").alias("kind"), (-x["best"]["at"]).cast("long").alias("position"), F.struct(x["best"]["dice"].alias("dice"), (-x["k"]).alias("k")).alias("best")))
-    found = df.select("_id", F.explode(F.filter(F.concat(lines, windows), lambda x: x["best"]["dice"] >= least)).alias("_s"))
+    lines = F.transform("segments", lambda x: F.struct(x["kind"].alias("kind"), x["position"].alias("position"), best(x["grams"]).alias("best")))
+    windows = F.array_compact(F.array(*[window(k) for k in range(len(templates))]))
+    df = _once(df, ["_id"], found=F.concat(lines, windows))
+    df = df.select("_id", F.explode("found").alias("_s")).filter(F.col("_s.best.dice") >= least)
     k = -F.col("_s.best.k")
-    return found.select(F.col("_id").alias(id_col), "_s.kind", "_s.position", of([t[0] for t in templates], k).alias("license_id"), k.cast("long").alias("template"), F.col("_s.best.dice").alias("dice"))
+    named = F.element_at(F.array(*[F.lit(t[0]) for t in templates]), k + 1)
+    return df.select(F.col("_id").alias(id_col), "_s.kind", "_s.position", named.alias("license_id"), k.cast("long").alias("template"), F.col("_s.best.dice").alias("dice"))
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> str:
