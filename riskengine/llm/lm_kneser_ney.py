@@ -1,20 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model over a corpus.
+"""Interpolated modified Kneser-Ney n-gram model over a corpus.
 
-Spark counts words and word pairs: each task sums its own texts first, then partial
-counts are dealt by hash into shards, and each shard's exact sums are stored as sorted
-arrays in the shared folder. Workers memory-map these and look words and pairs up by
-binary search of sorted needles. A word's id is its place among all sorted word hashes,
-so a pair is one 64-bit key. Pairs are dealt by their first word; a first word that
-makes up more than 1/1024 of the corpus is dealt by its second word as well.
+Spark counts words, then n-grams of the highest order, and from the distinct ones of each
+order how many different words stand before those of the next lower order. Tasks sum their
+own texts first; partial counts are dealt by hash into shards, and each shard's exact sums
+are stored as sorted hash arrays in the shared folder. Workers memory-map these and look
+n-grams up by binary search of sorted needles. A word's id is its place among all sorted
+word hashes, ids go through the shuffles, and an n-gram's key is a 64-bit hash of its ids.
+N-grams are dealt by their context; a context of frequent words only (each over 1/1024 of
+the corpus) is dealt by the last word as well, and what its parts say is summed after.
 
 Layout under the model's folder: ``w<s>.hash.npy``/``w<s>.count.npy`` (words and counts),
-``w<s>.left.npy`` (distinct left neighbours), ``p<s>.one.npy`` (pairs seen once),
-``p<s>.many.npy``/``p<s>.count.npy`` (the others), ``p<s>.ctx.npy``/``p<s>.mass.npy``
-(first words and the discounts' shares by count 1, 2, 3 and more).
-
-Defined results: null and empty texts are the end token alone; repeated rows count each
-time; a null id counts as training; with no training text every score is zero; an empty
-table gives an empty one; extra columns are carried by ``score`` only if asked for.
+``w<s>.left.npy`` (distinct left neighbours); for each order k from 2 on ``g<k>.<s>.one.npy``
+(n-grams of count 1), ``g<k>.<s>.many.npy``/``g<k>.<s>.count.npy`` (the others),
+``c<k>.<s>.one.npy`` (contexts of total 1), ``c<k>.<s>.key.npy``/``c<k>.<s>.stat.npy`` (total
+and numbers of n-grams with count 1, 2, 3 and more of the others), and ``h<k>.<s>`` the same
+for contexts of frequent words. A shard without rows has no files.
+
+Texts begin with as many start marks as the order asks for. Defined results: null and
+empty texts are the end token alone; repeated rows count each time; a null id counts as
+training; with no training text every score is zero; an empty table gives an empty one;
+extra columns are carried by ``score`` only if asked for.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.llm.words import mix, slices, split_words
+from riskengine.llm.words import combine, mix, slices, split_words, text_bytes
 from riskengine.session import shared_path
 
 END_HASH = np.uint64(0x0E1D0E1D0E1D0E1D)
@@ -48,6 +53,9 @@ def local_folder(uri: str) -> str:
     return found.path
 
 
+_EMPTY = {"count": np.uint32, "left": np.uint32, "stat": np.uint32}
+
+
 def _save(path: str, array: np.ndarray) -> None:
     """Write an array whole or not at all, so a repeated task does no harm."""
     part = f"{path}.{uuid.uuid4().hex}"
@@ -62,7 +70,11 @@ def _shrink(counts: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _map(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    """A stored array; an empty one where no row went to the shard."""
+    if os.path.exists(path):
+        return np.load(path, mmap_mode="r")
+    kind = path.split(".")[-2]
+    return np.zeros((0, 4) if kind == "stat" else 0, _EMPTY.get(kind, np.uint64))
 
 
 def _find(sorted_array: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +106,13 @@ class Model:
     """What workers need besides the mapped files; its size does not grow with the corpus but for the shard count."""
 
     folder: str
+    order: int
     word_bits: int
-    pair_bits: int
+    gram_bits: int
     base: np.ndarray  # first id of each word shard, and the number of words
     n_tokens: int
-    n_docs: int
-    hot: np.ndarray  # sorted ids of frequent first words
-    hot_ones: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))  # their pairs with count 1, 2, 3+
-    pair_discount: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    word_discount: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    hot: np.ndarray  # sorted ids of frequent words
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)  # of counts 1, 2, 3+ by order
     left_total: int = 0
     left_counts: np.ndarray = field(default_factory=lambda: np.zeros(3))  # words with 1, 2, 3+ left neighbours
 
@@ -124,36 +134,38 @@ class Model:
         edges = np.searchsorted(ids, self.base)
         for s in range(len(self.base) - 1):
             if edges[s] < edges[s + 1]:
-                out[edges[s] : edges[s + 1]] = _map(f"{self.folder}/w{s}.{name}.npy")[ids[edges[s] : edges[s + 1]] - self.base[s]]
+                stored = _map(f"{self.folder}/w{s}.{name}.npy")
+                if len(stored):
+                    out[edges[s] : edges[s + 1]] = stored[ids[edges[s] : edges[s + 1]] - self.base[s]]
         return out
 
-    def pair_shard(self, keys: np.ndarray) -> np.ndarray:
-        first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        at, hot = _find(self.hot.astype(np.uint64), first)
-        return (mix(np.where(hot, second + np.uint64(1), first + np.uint64(1 << 40))) >> np.uint64(64 - self.pair_bits)).astype(np.int64) if self.pair_bits else np.zeros(len(keys), np.int64)
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pair keys."""
-        out, shard = np.zeros(len(keys), np.int64), self.pair_shard(keys)
-        order = np.argsort(shard, kind="stable")
-        for s, at in _runs(shard, order):
-            _, one = _find(_map(f"{self.folder}/p{s}.one.npy"), keys[at])
-            where, many = _find(_map(f"{self.folder}/p{s}.many.npy"), keys[at])
+    def are_hot(self, ids: np.ndarray) -> np.ndarray:
+        return _find(self.hot, ids)[1]
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.gram_bits)).astype(np.int64) if self.gram_bits else np.zeros(len(keys), np.int64)
+
+    def counts(self, k: int, keys: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct n-grams of order ``k``, which are dealt by the hashes ``dealt``."""
+        out, shard = np.zeros(len(keys), np.int64), self.shard(dealt)
+        for s, at in _runs(shard, np.argsort(shard, kind="stable")):
+            _, one = _find(_map(f"{self.folder}/g{k}.{s}.one.npy"), keys[at])
+            where, many = _find(_map(f"{self.folder}/g{k}.{s}.many.npy"), keys[at])
             out[at[one]] = 1
-            out[at[many]] = _map(f"{self.folder}/p{s}.count.npy")[where[many]]
+            out[at[many]] = _map(f"{self.folder}/g{k}.{s}.count.npy")[where[many]]
         return out
 
-    def backoff_mass(self, ids: np.ndarray) -> np.ndarray:
-        """For sorted distinct first words, the count mass that the discounts leave to the lower order."""
-        ones = np.zeros((len(ids), 3))
-        at, hot = _find(self.hot, ids)
-        ones[hot] = self.hot_ones[at[hot]]
-        rest = np.flatnonzero(~hot)
-        shard = self.pair_shard(ids[rest].astype(np.uint64) << np.uint64(32))
-        for s, k in _runs(shard, np.argsort(shard, kind="stable")):
-            where, hit = _find(_map(f"{self.folder}/p{s}.ctx.npy"), ids[rest[k]])
-            ones[rest[k[hit]]] = _map(f"{self.folder}/p{s}.mass.npy")[where[hit]]
-        return ones @ self.pair_discount
+    def contexts(self, k: int, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Total and numbers of n-grams with count 1, 2 and 3+ behind sorted distinct contexts of order ``k``; zeros where unseen."""
+        out, shard = np.zeros((len(keys), 4), np.int64), self.shard(keys)
+        for name, some in (("c", np.flatnonzero(~hot)), ("h", np.flatnonzero(hot))):
+            for s, at in _runs(shard[some], np.argsort(shard[some], kind="stable")):
+                at = some[at]
+                _, one = _find(_map(f"{self.folder}/{name}{k}.{s}.one.npy"), keys[at])
+                where, many = _find(_map(f"{self.folder}/{name}{k}.{s}.key.npy"), keys[at])
+                out[at[one]] = (1, 1, 0, 0)
+                out[at[many]] = _map(f"{self.folder}/{name}{k}.{s}.stat.npy")[where[many]]
+        return out
 
 
 def _segments(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -163,41 +175,91 @@ def _segments(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int,
 
 
 def _runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places of its rows, which ``order`` sorts by shard."""
     if len(order):
         cut = np.flatnonzero(np.diff(shard[order])) + 1
         for at in np.split(order, cut):
             yield int(shard[at[0]]), at
 
 
+def _fold(hashed: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+    """The hash of n-grams from that of all words but the last, and the last words' ids."""
+    last = ids.astype(np.uint64) + np.uint64(1)
+    return mix(last) if hashed is None else combine(hashed, last)
+
+
 def _tokens(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all tokens of a batch, the id before each, and the place after each text's end token."""
-    words = split_words(texts)
+    """Ids of all tokens of a batch with start marks, the places of those that are predicted, and the number of these before each text's end."""
+    words, pad = split_words(texts), model.order - 1
     distinct, place = np.unique(np.append(words.hashes(), END_HASH), return_inverse=True)
     ids = model.word_ids(distinct)[place]
-    n, ends = words.n_docs, words.first[1:] + np.arange(words.n_docs)
-    now = np.empty(len(words.start) + n, np.int64)
-    now[np.arange(len(words.start)) + words.doc] = ids[:-1]
-    now[ends] = ids[-1]
-    before = np.roll(now, 1)
-    before[words.first[:-1] + np.arange(n)] = model.n_words
-    return now, before, ends + 1
+    n = words.n_docs
+    seq = np.full(len(words.start) + n * (pad + 1), model.n_words, np.int64)
+    at = np.arange(len(words.start)) + words.doc * (pad + 1) + pad
+    ends = words.first[1:] + np.arange(n) * (pad + 1) + pad
+    seq[at], seq[ends] = ids[:-1], ids[-1]
+    return seq, np.sort(np.concatenate([at, ends])), words.first[1:] + np.arange(n) + 1
+
+
+def _hashes(seq: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1 on, the hashes of the n-grams that end at each place; the first places have none of their own."""
+    out = [_fold(None, seq)]
+    for _ in range(order - 1):
+        before = np.concatenate([out[-1][:1], out[-1][:-1]]) if len(seq) else out[-1]
+        out.append(_fold(before, seq))
+    return out
+
+
+def _all_hot(hot: np.ndarray, width: int) -> np.ndarray:
+    """Whether the ``width`` tokens before each place are all frequent."""
+    out = np.ones(len(hot), bool)
+    for k in range(1, width + 1):
+        out[k:] &= hot[:-k]
+    return out
+
 
+def _bits(size: int, per_shard: int) -> int:
+    return max(0, size // per_shard).bit_length()
 
-def _bits(n_docs: int, per_shard: int) -> int:
-    return min(14, max(0, (max(1, n_docs) // per_shard).bit_length()))
 
+_ROWS = "kind int, shard int, ids binary, n long, n1 long, n2 long, n3 long"
+_GRAMS, _CONTEXTS, _FIGURES = 0, 1, 2
 
-def train(docs: DataFrame, text_col: str = "text", docs_per_shard: int = 4096) -> Model:
+
+def _rows(kind: int, shard: np.ndarray, ids: np.ndarray, *n: np.ndarray) -> pa.Table:
+    """Rows of a stage: ``ids`` has a row of numbers for each, which become its bytes."""
+    raw = np.ascontiguousarray(ids)
+    width = raw.nbytes // len(raw) if len(raw) else 0
+    off = pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32))
+    n = [*n, *[np.zeros(len(raw), np.int64)] * (4 - len(n))]
+    cols = [np.full(len(raw), kind, np.int32), shard.astype(np.int32), pa.Array.from_buffers(pa.binary(), len(raw), [None, off, pa.py_buffer(raw.tobytes())]), *[x.astype(np.int64) for x in n]]
+    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["kind", "shard", "ids", "n", "n1", "n2", "n3"])
+
+
+def _bytes_of(t: pa.Table, kind: type) -> np.ndarray:
+    """The numbers that ``_rows`` was given, one row each."""
+    parts = [text_bytes(c)[0] for c in t.column("ids").chunks]
+    return np.frombuffer(np.concatenate(parts).tobytes(), kind).reshape(t.num_rows, -1)
+
+
+def _figures(order: int, *n: int) -> pa.Table:
+    return _rows(_FIGURES, np.array([order]), np.zeros((1, 1), np.uint32), *[np.array([x]) for x in n])
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_shard: int = 12 << 20) -> Model:
     """Count all texts and store the model in the shared folder.
 
-    The driver gets one row for each shard and each frequent word only.
+    The driver gets some rows for each shard and each frequent word only. A shard is as
+    large as ``bytes_per_shard`` of text make it, however large the corpus is.
     """
+    if order < 1:
+        raise ValueError("the order is 1 at least")
     uri = shared_path(docs.sparkSession, "kneser-ney")
     folder = local_folder(uri)
     os.makedirs(folder)
     texts = docs.select(F.encode(F.col(text_col), "UTF-8").alias("_raw"))
-    n_docs = docs.count()
-    model = Model(folder, _bits(n_docs, docs_per_shard), _bits(2 * n_docs, docs_per_shard), np.zeros(2, np.int64), 0, n_docs, np.zeros(0, np.int64))
+    size = texts.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
+    model = Model(folder, order, _bits(size, bytes_per_shard), _bits(2 * size, bytes_per_shard), np.zeros(2, np.int64), 0, np.zeros(0, np.int64))
     word_bits = model.word_bits
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,92 +283,118 @@ def train(docs: DataFrame, text_col: str = "text", docs_per_shard: int = 4096) -
     sizes = np.zeros(1 << word_bits, np.int64)
     for r in rows:
         sizes[r.shard] = r.words
-    for s in np.flatnonzero(sizes == 0):
-        for name, kind in (("hash", np.uint64), ("count", np.uint32), ("left", np.uint32)):
-            _save(f"{folder}/w{s}.{name}.npy", np.zeros(0, kind))
     model.base = np.concatenate([[0], np.cumsum(sizes)])
-    if model.n_words >= (1 << 31) - 2:
-        raise ValueError("over 2^31 distinct words do not fit the pair keys")
+    if model.n_words >= (1 << 32) - 2:
+        raise ValueError("over 2^32 distinct words do not fit the ids")
     model.n_tokens = sum(r.n for r in rows if r.at < 0)
     hot = [int(model.base[r.shard]) + r.at for r in rows if r.at >= 0 and r.n * HOT_SHARE >= model.n_tokens]
-    model.hot = np.array(sorted(hot + [model.n_words] * (n_docs * HOT_SHARE >= model.n_tokens)), np.int64)
+    model.hot = np.array(sorted([*hot, model.n_words]), np.int64)  # the start mark is always one
 
-    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_raw", _BATCH):
-            now, before, _ = _tokens(model, b.column(0))
-            key, n = np.unique(before.astype(np.uint64) << np.uint64(32) | now.astype(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(model.pair_shard(key).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["shard", "pair", "n"])
-
-    def store_pairs(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        key, n = _sum_by_key(t.column("pair").to_numpy().view(np.uint64), t.column("n").to_numpy())
-        _save(f"{folder}/p{s}.one.npy", key[n == 1])
-        _save(f"{folder}/p{s}.many.npy", key[n > 1])
-        _save(f"{folder}/p{s}.count.npy", _shrink(n[n > 1]))
-        first = (key >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        ones = np.stack([np.add.reduceat((n == 1).astype(np.int64), at), np.add.reduceat((n == 2).astype(np.int64), at), np.add.reduceat((n > 2).astype(np.int64), at)], axis=1)
-        _, is_hot = _find(model.hot, first[at])
-        _save(f"{folder}/p{s}.ctx.npy", first[at][~is_hot].astype(np.uint32))
-        _save(f"{folder}/p{s}.mass.npy", _shrink(ones[~is_hot].ravel()).reshape(-1, 3))
-        word, left = np.unique((key & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        hot_id, hot_n = np.repeat(first[at][is_hot], 3), ones[is_hot].ravel()
-        # ids below zero: the frequent first words' counts, three for each, then the numbers of pairs with count 1 to 4
-        place = np.searchsorted(model.hot, hot_id) * 3 + np.tile([0, 1, 2], int(is_hot.sum()))
-        few = np.array([(n == k).sum() for k in (1, 2, 3, 4)])
-        ids = np.concatenate([word, -1 - place, -1 - 3 * len(model.hot) - np.arange(4)])
-        shard = np.where(ids < 0, -1, np.searchsorted(model.base, ids, "right") - 1)
-        return pa.table({"shard": pa.array(shard.astype(np.int32)), "id": pa.array(ids), "n": pa.array(np.concatenate([left, hot_n, few]).astype(np.int64))})
-
-    def store_left(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        ids, n = _sum_by_key(t.column("id").to_numpy(), t.column("n").to_numpy())
-        if s >= 0:
-            left = np.zeros(model.base[s + 1] - model.base[s], np.int64)
-            left[ids - model.base[s]] = n
-            _save(f"{folder}/w{s}.left.npy", _shrink(left))
-            ids, n = np.arange(6), np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [(n > 2).sum(), n.sum()])
-        return pa.table({"id": pa.array(ids.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    pairs = texts.mapInArrow(pair_counts, "shard int, pair long, n long").groupBy("shard").applyInArrow(store_pairs, "shard int, id long, n long")
-    rows = pairs.groupBy("shard").applyInArrow(store_left, "id long, n long").collect()
-    below, above = np.zeros(3 * len(model.hot) + 4, np.int64), np.zeros(6, np.int64)
-    for r in rows:
-        if r.id < 0:
-            below[-1 - r.id] += r.n
-        else:
-            above[r.id] += r.n
-    model.hot_ones = below[: 3 * len(model.hot)].reshape(-1, 3).astype(float)
-    model.pair_discount, model.word_discount = _discounts(below[-4:]), _discounts(above[:4])
-    model.left_total, model.left_counts = int(above[5]), np.array([above[0], above[1], above[4]], float)
-    for s in range(1 << model.pair_bits):
-        if not os.path.exists(f"{folder}/p{s}.one.npy"):
-            for name, empty in (("one", np.zeros(0, np.uint64)), ("many", np.zeros(0, np.uint64)), ("count", np.zeros(0, np.uint32)), ("ctx", np.zeros(0, np.uint32)), ("mass", np.zeros((0, 3), np.uint32))):
-                _save(f"{folder}/p{s}.{name}.npy", empty)
+            seq, pred, _ = _tokens(model, b.column(0))
+            h = _hashes(seq, order)
+            key, first, n = np.unique(h[-1][pred], return_index=True, return_counts=True)
+            at = pred[first]
+            ids = np.stack([seq[at - k] for k in range(order - 1, -1, -1)], axis=1).astype(np.uint32)
+            dealt = np.where(_all_hot(model.are_hot(seq), order - 1)[at], key, h[-2][at - 1]) if order > 1 else key
+            if order > 1:
+                yield from _rows(_GRAMS, model.shard(dealt), ids, n).to_batches()
+            else:  # of order 1 the counts themselves are discounted
+                word = np.searchsorted(model.base, ids[:, 0], "right") - 1
+                yield from _rows(_GRAMS, word, ids, n).to_batches()
+
+    def stage(k: int):
+        """Store the n-grams of order ``k`` of one shard and count what stands before those of order ``k - 1``."""
+
+        def run(t: pa.Table) -> pa.Table:
+            kind, s = t.column("kind")[0].as_py(), t.column("shard")[0].as_py()
+            if kind == _FIGURES:
+                return t
+            n = t.column("n").to_numpy()
+            if kind == _CONTEXTS:  # the parts of frequent contexts of the order above
+                key = _bytes_of(t, np.uint64)[:, 0]
+                parts = [_sum_by_key(key, t.column(c).to_numpy()) for c in ("n", "n1", "n2", "n3")]
+                _store_contexts(f"{folder}/h{k + 1}.{s}", parts[0][0], np.stack([x for _, x in parts], axis=1))
+                return _figures(0, 0)
+            ids = _bytes_of(t, np.uint32)
+            h, above = None, None
+            for col in ids.T:
+                h, above = _fold(h, col), h
+            if k == 1:
+                found, n = _sum_by_key(ids[:, 0].astype(np.int64), n)
+                left = np.zeros(model.base[s + 1] - model.base[s], np.int64)
+                left[found - model.base[s]] = n
+                _save(f"{folder}/w{s}.left.npy", _shrink(left))
+                return pa.concat_tables([_figures(1, *[(n == c).sum() for c in (1, 2, 3, 4)]), _figures(0, (n == 1).sum(), (n == 2).sum(), (n > 2).sum(), n.sum())])
+            place = np.argsort(h, kind="stable")
+            new = np.concatenate([[True], h[place][1:] != h[place][:-1]])
+            first = np.flatnonzero(new)
+            n, place = np.add.reduceat(n[place], first), place[first]
+            h, above, ids = h[place], above[place], ids[place]
+            _save(f"{folder}/g{k}.{s}.one.npy", h[n == 1])
+            _save(f"{folder}/g{k}.{s}.many.npy", h[n > 1])
+            _save(f"{folder}/g{k}.{s}.count.npy", _shrink(n[n > 1]))
+            by = np.argsort(above, kind="stable")
+            key, first = np.unique(above[by], return_index=True)
+            stat = np.stack([np.add.reduceat(x[by].astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)], axis=1)
+            hot = np.logical_and.reduce([model.are_hot(ids[by[first], j].astype(np.int64)) for j in range(k - 1)])
+            _store_contexts(f"{folder}/c{k}.{s}", key[~hot], stat[~hot])
+            out = [_figures(k, *[(n == c).sum() for c in (1, 2, 3, 4)]), _rows(_CONTEXTS, model.shard(key[hot]), key[hot][:, None], *stat[hot].T)]
+            lower = ids[:, 1:]
+            g, ctx = None, None
+            for col in lower.T:
+                g, ctx = _fold(g, col), g
+            g, at, left = np.unique(g, return_index=True, return_counts=True)
+            if k == 2:
+                shard = np.searchsorted(model.base, lower[at, 0], "right") - 1
+            else:
+                frequent = np.logical_and.reduce([model.are_hot(lower[at, j].astype(np.int64)) for j in range(k - 2)])
+                shard = model.shard(np.where(frequent, g, ctx[at]))
+            out.append(_rows(_GRAMS, shard, lower[at], left))
+            return pa.concat_tables(out)
+
+        return run
+
+    df = texts.mapInArrow(gram_counts, _ROWS)
+    for k in range(order, 0, -1):
+        df = df.groupBy("kind", "shard").applyInArrow(stage(k), _ROWS)
+    few = {k: np.zeros(4, np.int64) for k in range(order + 1)}
+    for r in df.collect():
+        few[r.shard] += (r.n, r.n1, r.n2, r.n3)
+    model.discounts = {k: _discounts(few[k]) for k in range(1, order + 1)}
+    model.left_total, model.left_counts = int(few[0][3]), few[0][:3].astype(float)
     return model
 
 
-def log_probabilities(model: Model, now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: log10 of the model's and of the base probability, and whether training has it."""
-    ids, place = np.unique(np.concatenate([now, before]), return_inverse=True)
+def _store_contexts(path: str, key: np.ndarray, stat: np.ndarray) -> None:
+    one = stat[:, 0] == 1
+    _save(f"{path}.one.npy", key[one])
+    _save(f"{path}.key.npy", key[~one])
+    _save(f"{path}.stat.npy", _shrink(stat[~one].ravel()).reshape(-1, 4))
+
+
+def log_probabilities(model: Model, seq: np.ndarray, pred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each predicted token: log10 of the model's and of the base probability, and whether training has it."""
+    ids, word = np.unique(seq[pred], return_inverse=True)
     count, left = model.of_words(ids, "count"), model.of_words(ids, "left")
-    count_before = np.where(ids == model.n_words, model.n_docs, count)
-    mass = model.backoff_mass(ids)
-    discount = lambda n, d: np.concatenate([[0.0], d])[np.minimum(n, 3)]
+    cut = lambda n, k: np.concatenate([[0.0], model.discounts[k]])[np.minimum(n, 3)]
     if model.left_total:
-        uniform = (model.left_counts @ model.word_discount) / model.left_total / (model.n_words + 1)
-        lower = (left - discount(left, model.word_discount)) / model.left_total + uniform
+        uniform = (model.left_counts @ model.discounts[1]) / model.left_total / (model.n_words + 1)
+        p = ((left - cut(left, 1)) / model.left_total + uniform)[word]
     else:
-        lower = np.ones(len(ids))
+        p = np.ones(len(pred))
     base = np.log10((count + 0.5) / (model.n_tokens + 0.5 * (model.n_words + 1)))
-    w, h = place[: len(now)], place[len(now) :]
-    key, again = np.unique(before.astype(np.uint64) << np.uint64(32) | now.astype(np.uint64), return_inverse=True)
-    n = model.pair_counts(key)
-    top = (n - discount(n, model.pair_discount))[again]
-    seen = count_before[h] > 0
-    total = np.maximum(count_before[h], 1)
-    p = np.where(seen, top / total + mass[h] / total * lower[w], lower[w])
-    return np.log10(p), base[w], count[w] > 0
+    h, hot = _hashes(seq, model.order), model.are_hot(seq)
+    for k in range(2, model.order + 1):
+        gram, above, frequent = h[k - 1][pred], h[k - 2][pred - 1], _all_hot(hot, k - 1)[pred]
+        key, first, back = np.unique(gram, return_index=True, return_inverse=True)
+        n = model.counts(k, key, np.where(frequent[first], key, above[first]))[back]
+        key, first, back = np.unique(above, return_index=True, return_inverse=True)
+        stat = model.contexts(k, key, frequent[first])[back]
+        total = np.maximum(stat[:, 0], 1)
+        p = np.where(stat[:, 0] > 0, (n - cut(n, k)) / total + stat[:, 1:] @ model.discounts[k] / total * p, p)
+    return np.log10(p), base[word], count[word] > 0
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,8 +403,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_raw", _BATCH):
-            now, before, ends = _tokens(model, b.column(1))
-            p, base, known = log_probabilities(model, now, before)
+            seq, pred, ends = _tokens(model, b.column(1))
+            p, base, known = log_probabilities(model, seq, pred)
             first = np.concatenate([[0], ends[:-1]])
             n, total = ends - first, np.add.reduceat(p, first)
             cols = [b.column(0), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(total), pa.array(10 ** np.minimum(300, -total / n))]

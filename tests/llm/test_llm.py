@@ -248,46 +248,48 @@ def test_audio_table(spark, small, texts, odd):
 # --- 3 language model
 
 
-def brute_model(train):
-    """Interpolated modified Kneser-Ney over bigrams, with dictionaries."""
-    seqs = [["<s>", *words_of(t), "</s>"] for t in train]
-    pairs = Counter((a, b) for s in seqs for a, b in zip(s, s[1:], strict=False))
-    count = Counter(w for s in seqs for w in s[1:])
-    left = Counter(b for _, b in pairs)
-    ctx = defaultdict(list)
-    for (a, _), n in pairs.items():
-        ctx[a].append(n)
+def brute_model(train, order=2):
+    """Interpolated modified Kneser-Ney of any order, with dictionaries."""
+    seqs = [["<s>"] * (order - 1) + [*words_of(t), "</s>"] for t in train]
+    count = Counter(w for s in seqs for w in s[order - 1 :])
+    grams = {order: Counter(tuple(s[i - order + 1 : i + 1]) for s in seqs for i in range(order - 1, len(s)))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
     of = lambda values: lm._discounts(np.array([sum(v == k for v in values) for k in (1, 2, 3, 4)]))
-    d2, d1 = of(pairs.values()), of(left.values())
-    cut = lambda n, d: 0.0 if n == 0 else d[min(n, 3) - 1]
-    v, total = len(count), len(pairs)
-    spare = sum(cut(n, d1) for n in left.values()) / total / (v + 1)
-
-    def p(a, b):
-        low = (left[b] - cut(left[b], d1)) / total + spare
-        if a not in ctx:
-            return low
-        n = pairs[a, b]
-        return (n - cut(n, d2) + sum(cut(x, d2) for x in ctx[a]) * low) / sum(ctx[a])
+    d = {k: of(g.values()) for k, g in grams.items()}
+    cut = lambda n, k: 0.0 if n == 0 else d[k][min(n, 3) - 1]
+    behind = {k: defaultdict(list) for k in grams}
+    for k, g in grams.items():
+        for x, n in g.items():
+            behind[k][x[:-1]].append(n)
+    mass = {k: {c: (sum(cut(x, k) for x in after), sum(after)) for c, after in b.items()} for k, b in behind.items()}
+
+    def p(*gram):
+        k, n, (spare, total) = len(gram), grams[len(gram)][gram], mass[len(gram)].get(gram[:-1], (0, 0))
+        low = p(*gram[1:]) if k > 1 else 1 / (len(count) + 1)
+        return (n - cut(n, k) + spare * low) / total if total else low
 
     return p, count
 
 
-def test_model_is_kneser_ney(spark, texts):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_model_is_kneser_ney(spark, texts, order, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_SHARE", 300)
     train = [t for k, t in texts.items() if k % 4 == 0]
-    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    p, count = brute_model(train)
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), order=order, bytes_per_shard=20000)
+    p, count = brute_model(train, order)
     n, v = sum(count.values()), len(count)
-    assert (model.n_tokens, model.n_words) == (n, v)
-    some = {k: t for k, t in texts.items() if k % 9 == 1} | {-1: "", -2: "never seen wordz"}
+    assert (model.n_tokens, model.n_words) == (n, v) and model.gram_bits > 2 and len(model.hot) > 3
+    some = {k: t for k, t in texts.items() if k % 9 == 1 or k % 40 == 0} | {-1: "", -2: "never seen wordz"}
     got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(some.items()), "doc_id long, text string"), model).collect()}
     for k, t in some.items():
-        s = ["<s>", *words_of(t), "</s>"]
-        assert got[k].score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(s, s[1:], strict=False)))
-        assert got[k].base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s[1:]))
-        assert (got[k].n_tokens, got[k].n_known) == (len(s) - 1, sum(w in count for w in s[1:]))
-    for a in ("<s>", b"the", "nothing"):
-        assert sum(p(a, b) for b in count) + p(a, "unseen") == pytest.approx(1)
+        s = ["<s>"] * (order - 1) + [*words_of(t), "</s>"]
+        grams = [s[i - order + 1 : i + 1] for i in range(order - 1, len(s))]
+        assert got[k].score == pytest.approx(sum(math.log10(p(*g)) for g in grams))
+        assert got[k].base_score == pytest.approx(sum(math.log10((count[g[-1]] + 0.5) / (n + 0.5 * (v + 1))) for g in grams))
+        assert (got[k].n_tokens, got[k].n_known) == (len(grams), sum(g[-1] in count for g in grams))
+    for a in ([], ["<s>"] * 3, [b"the"] * 3, ["nothing"] * 3):
+        assert sum(p(*a[: order - 1], b) for b in count) + p(*a[: order - 1], "unseen") == pytest.approx(1) if len(a) >= order - 1 else True
 
 
 def test_model_beats_base_on_held_out(spark, small):
