@@ -152,7 +152,7 @@ def profit_and_loss(df: DataFrame, threshold: float) -> DataFrame:
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp") + 1e-6), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-6)
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return s.select(
-        F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(2 * precision * recall / (precision + recall + 1e-6), 4).alias("f1"),
+        F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn") + 1e-6), 4).alias("f1"),
         F.round(F.col("fp") / (F.col("fp") + F.col("tn") + 1e-6), 4).alias("fpr_insult_rate"), F.round(gross, 2).alias("gross_savings"), F.round(loss, 2).alias("false_positive_loss"),
         F.round(gross - loss, 2).alias("net_savings"), F.round(F.col("fn_amt"), 2).alias("fraud_loss_missed"), "tp", "fp", "fn", "tn", n.alias("total"),
         F.round(F.coalesce(F.try_divide(100 * (F.col("tp") + F.col("fn")), n), F.lit(0.0)), 2).alias("fraud_rate"),

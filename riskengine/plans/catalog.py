@@ -303,7 +303,7 @@ _SUMS = f"coalesce(sum(amt) FILTER (y = 1 AND {_HIT}), 0) AS ta, coalesce(sum(am
 
 
 @query(f"""{TX}, c AS (SELECT {_COUNTS}, {_SUMS} FROM sc), m AS (SELECT *, tp / (tp + fp + 1e-6) AS pr, tp / (tp + fn + 1e-6) AS re FROM c)
-SELECT round(pr, 4) AS precision, round(re, 4) AS recall, round(2 * pr * re / (pr + re + 1e-6), 4) AS f1, round(fp / (fp + tn + 1e-6), 4) AS fpr_insult_rate, round(ta + 30 * tp, 2) AS gross_savings, round(12.5 * fp + 0.15 * fa, 2) AS false_positive_loss,
+SELECT round(pr, 4) AS precision, round(re, 4) AS recall, round(2 * tp / (2 * tp + fp + fn + 1e-6), 4) AS f1, round(fp / (fp + tn + 1e-6), 4) AS fpr_insult_rate, round(ta + 30 * tp, 2) AS gross_savings, round(12.5 * fp + 0.15 * fa, 2) AS false_positive_loss,
  round(ta + 30 * tp - (12.5 * fp + 0.15 * fa), 2) AS net_savings, round(ma, 2) AS fraud_loss_missed, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, CAST(tp + fp + fn + tn AS BIGINT) AS total, round(100.0 * (tp + fn) / (tp + fp + fn + tn), 2) AS fraud_rate FROM m""")
 def confusion_pnl(spark: SparkSession, d: str) -> DataFrame:
     return ev.profit_and_loss(_scored(spark, d), THRESHOLD)
