@@ -222,28 +222,45 @@ def _bits(size: int, per_shard: int) -> int:
     return max(0, size // per_shard).bit_length()
 
 
-_ROWS = "kind int, shard int, ids binary, n long, n1 long, n2 long, n3 long"
+_ROWS = "kind int, shard int, rows long, packed binary"
 _GRAMS, _CONTEXTS, _FIGURES = 0, 1, 2
 
 
-def _rows(kind: int, shard: np.ndarray, ids: np.ndarray, *n: np.ndarray) -> pa.Table:
-    """Rows of a stage: ``ids`` has a row of numbers for each, which become its bytes."""
-    raw = np.ascontiguousarray(ids)
-    width = raw.nbytes // len(raw) if len(raw) else 0
-    off = pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32))
-    n = [*n, *[np.zeros(len(raw), np.int64)] * (4 - len(n))]
-    cols = [np.full(len(raw), kind, np.int32), shard.astype(np.int32), pa.Array.from_buffers(pa.binary(), len(raw), [None, off, pa.py_buffer(raw.tobytes())]), *[x.astype(np.int64) for x in n]]
-    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["kind", "shard", "ids", "n", "n1", "n2", "n3"])
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers as their bytes, place by place (which compresses well), with their widths before."""
+    parts = []
+    for c in columns:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(c) or int(c.max()) < 1 << 8 * w)
+        parts.append(bytes([width]) + np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _bytes_of(t: pa.Table, kind: type) -> np.ndarray:
-    """The numbers that ``_rows`` was given, one row each."""
-    parts = [text_bytes(c)[0] for c in t.column("ids").chunks]
-    return np.frombuffer(np.concatenate(parts).tobytes(), kind).reshape(t.num_rows, -1)
+def _unpack(packed: bytes, rows: int) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(raw):
+        width = raw[at]
+        planes = np.frombuffer(raw, np.uint8, rows * width, at + 1).reshape(width, rows)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += 1 + rows * width
+    return out
+
+
+def _rows(kind: int, shard: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """One packed row for each shard; the columns' rows keep their order within it."""
+    order = np.argsort(shard, kind="stable")
+    found = [(s, len(at), _pack([c[at] for c in columns])) for s, at in _runs(shard, order)]
+    return pa.table([pa.array([kind] * len(found), pa.int32()), pa.array([s for s, _, _ in found], pa.int32()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.binary())], ["kind", "shard", "rows", "packed"])
+
+
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    """The columns of all packed rows, one after the other."""
+    parts = [_unpack(x, n) for x, n in zip(t.column("packed").to_pylist(), t.column("rows").to_pylist(), strict=True)]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def _figures(order: int, *n: int) -> pa.Table:
-    return _rows(_FIGURES, np.array([order]), np.zeros((1, 1), np.uint32), *[np.array([x]) for x in n])
+    return _rows(_FIGURES, np.array([order]), *[np.array([x], np.int64) for x in (*n, *[0] * (4 - len(n)))])
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_shard: int = 12 << 20) -> Model:
@@ -295,14 +312,15 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
             seq, pred, _ = _tokens(model, b.column(0))
             h = _hashes(seq, order)
             key, first, n = np.unique(h[-1][pred], return_index=True, return_counts=True)
-            at = pred[first]
-            ids = np.stack([seq[at - k] for k in range(order - 1, -1, -1)], axis=1).astype(np.uint32)
+            by = np.lexsort([seq[pred[first] - k] for k in range(order)])  # by the first word, then the others
+            key, n, at = key[by], n[by], pred[first][by]
+            ids = [seq[at - k] for k in range(order - 1, -1, -1)]
             dealt = np.where(_all_hot(model.are_hot(seq), order - 1)[at], key, h[-2][at - 1]) if order > 1 else key
             if order > 1:
-                yield from _rows(_GRAMS, model.shard(dealt), ids, n).to_batches()
+                yield from _rows(_GRAMS, model.shard(dealt), *ids, n).to_batches()
             else:  # of order 1 the counts themselves are discounted
-                word = np.searchsorted(model.base, ids[:, 0], "right") - 1
-                yield from _rows(_GRAMS, word, ids, n).to_batches()
+                word = np.searchsorted(model.base, ids[0], "right") - 1
+                yield from _rows(_GRAMS, word, *ids, n).to_batches()
 
     def stage(k: int):
         """Store the n-grams of order ``k`` of one shard and count what stands before those of order ``k - 1``."""
@@ -311,13 +329,13 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
             kind, s = t.column("kind")[0].as_py(), t.column("shard")[0].as_py()
             if kind == _FIGURES:
                 return t
-            n = t.column("n").to_numpy()
+            *found, n = _columns(t)
             if kind == _CONTEXTS:  # the parts of frequent contexts of the order above
-                key = _bytes_of(t, np.uint64)[:, 0]
-                parts = [_sum_by_key(key, t.column(c).to_numpy()) for c in ("n", "n1", "n2", "n3")]
+                parts = [_sum_by_key(found[0], x.astype(np.int64)) for x in (*found[1:], n)]
                 _store_contexts(f"{folder}/h{k + 1}.{s}", parts[0][0], np.stack([x for _, x in parts], axis=1))
                 return _figures(0, 0)
-            ids = _bytes_of(t, np.uint32)
+            n, ids = n.astype(np.int64), np.stack(found, axis=1).astype(np.uint32)
+            del found
             h, above = None, None
             for col in ids.T:
                 h, above = _fold(h, col), h
@@ -340,7 +358,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
             stat = np.stack([np.add.reduceat(x[by].astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)], axis=1)
             hot = np.logical_and.reduce([model.are_hot(ids[by[first], j].astype(np.int64)) for j in range(k - 1)])
             _store_contexts(f"{folder}/c{k}.{s}", key[~hot], stat[~hot])
-            out = [_figures(k, *[(n == c).sum() for c in (1, 2, 3, 4)]), _rows(_CONTEXTS, model.shard(key[hot]), key[hot][:, None], *stat[hot].T)]
+            out = [_figures(k, *[(n == c).sum() for c in (1, 2, 3, 4)]), _rows(_CONTEXTS, model.shard(key[hot]), key[hot], *stat[hot].T)]
             lower = ids[:, 1:]
             g, ctx = None, None
             for col in lower.T:
@@ -351,7 +369,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
             else:
                 frequent = np.logical_and.reduce([model.are_hot(lower[at, j].astype(np.int64)) for j in range(k - 2)])
                 shard = model.shard(np.where(frequent, g, ctx[at]))
-            out.append(_rows(_GRAMS, shard, lower[at], left))
+            by = np.lexsort(lower[at].T[::-1])
+            out.append(_rows(_GRAMS, shard[by], *lower[at][by].T, left[by]))
             return pa.concat_tables(out)
 
         return run
@@ -361,7 +380,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
         df = df.groupBy("kind", "shard").applyInArrow(stage(k), _ROWS)
     few = {k: np.zeros(4, np.int64) for k in range(order + 1)}
     for r in df.collect():
-        few[r.shard] += (r.n, r.n1, r.n2, r.n3)
+        few[r.shard] += np.array(_unpack(bytes(r.packed), r.rows), np.int64)[:, 0]
     model.discounts = {k: _discounts(few[k]) for k in range(1, order + 1)}
     model.left_total, model.left_counts = int(few[0][3]), few[0][:3].astype(float)
     return model
