@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskengine.session import shared_path
+
 
 def tokenizer_path() -> str:
     """The installed byte-level BPE vocabulary."""
@@ -119,11 +121,33 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is written to the shared folder and read back from there."""
+    from riskengine.llm import warc
+
+    archive = warc.archive_pages(_table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return warc.read_back(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import prefix_trie as trie
+
+    nodes = trie.build(trie.share_openings(trie.numbered_turns(_table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskengine.llm import whitening
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return whitening.transform(rows, whitening.fit(rows))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op4_url_filter, op5_language_id, op6_simhash, op7_toxicity, op8_decontamination, op9_license_scan, op10_preference_format)}
+    return {f.__name__: f for f in (op1_packing, op2_media_audio, op3_lm_score, op4_url_filter, op5_language_id, op6_simhash, op7_toxicity, op8_decontamination, op9_license_scan, op10_preference_format, op11_warc, op12_prefix_trie, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from riskengine.llm import license_scan, preference_format
+    from riskengine.llm import license_scan, preference_format, prefix_trie, warc
 
-    return {"op9_license_scan": license_scan.oracle(), "op10_preference_format": preference_format.ORACLE}
+    return {"op9_license_scan": license_scan.oracle(), "op10_preference_format": preference_format.ORACLE, "op11_warc": warc.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
