@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskengine.operators.ordering import exact_quantiles, first_rows, number_rows
+from riskengine.operators.ordering import exact_quantiles, first_rows, number_rows, ranged
 
 USER, TIME, ROW, AMOUNT = "UID", "TransactionDT", "TransactionID", "TransactionAmt"
 
@@ -60,8 +60,10 @@ def category_codes(df: DataFrame, columns: list[str], fitted: dict[str, DataFram
 
 
 def dense_codes(values: DataFrame) -> DataFrame:
-    """Distinct ``_v`` (texts) numbered from 0 in order."""
-    return number_rows(values, ["_v"], F.substring("_v", 1, 2), "_code").withColumn("_code", F.col("_code").cast("int"))
+    """Distinct ``_v`` (texts) numbered from 0 in order; ranges of texts are split by sampled beginnings."""
+    leads = ranged(values.select(F.left("_v", F.lit(64)).alias("_lead")).distinct(), "_lead", bucket="_range")
+    split = values.withColumn("_lead", F.left("_v", F.lit(64))).join(leads, "_lead")
+    return number_rows(split, ["_v"], F.col("_range"), "_code").select("_v", F.col("_code").cast("int").alias("_code"))
 
 
 def velocity(df: DataFrame, hours: tuple[int, ...] = (1, 12, 24), fill_single: bool = False) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +12,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskengine.operators.evaluate import known, roc_auc
+from riskengine.session import shared_path
 
 
 def fit_calibration(df: DataFrame, how: str = "isotonic", least: int = 50):
@@ -143,49 +142,99 @@ def adversarial(a: DataFrame, b: DataFrame, features: list[str], trees: int = 10
     return roc_auc(scored).select(F.col("roc_auc").alias("auc"), (F.col("roc_auc") > most).alias("drifted"), F.lit(",".join(n for _, n in top)).alias("top_features"))
 
 
-def _tree_rows(node) -> tuple:
-    """An MLlib tree as nested tuples: (value, cover) or (feature, threshold, left, right, cover)."""
-    if node.numDescendants() == 0:
-        return node.prediction(), float(node.impurityStats().rawCount())
-    s = node.split()
-    left, right = _tree_rows(node.leftChild()), _tree_rows(node.rightChild())
-    return s.featureIndex(), s.threshold(), left, right, left[-1] + right[-1]
+#: The weight of a tree and its nodes: for each node (feature, threshold, left, right, cover, value); a leaf's feature is -1.
+Tree = tuple[float, list[tuple[int, float, int, int, float, float]]]
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf's value and its path: for each feature on it the interval that leads here and the share of rows that pass its splits."""
+
+    value: float
+    feature: np.ndarray
+    above: np.ndarray
+    upto: np.ndarray
+    share: np.ndarray
+
+
+def leaves(tree: Tree) -> list[Leaf]:
+    """The leaves of a tree; splits of one feature on a path are one interval."""
+    weight, nodes = tree
+    out, todo = [], [(0, {})]
+    while todo:
+        k, path = todo.pop()
+        feature, threshold, left, right, cover, value = nodes[k]
+        if feature < 0:
+            used = sorted(path)
+            at = np.array([path[f] for f in used]).reshape(len(used), 3)
+            out.append(Leaf(weight * value, np.array(used, int), at[:, 0], at[:, 1], at[:, 2]))
+            continue
+        lo, hi, share = path.get(feature, (-np.inf, np.inf, 1.0))
+        todo.append((left, path | {feature: (lo, min(hi, threshold), share * nodes[left][4] / cover)}))
+        todo.append((right, path | {feature: (max(lo, threshold), hi, share * nodes[right][4] / cover)}))
+    return out
+
 
+def path_shares(share: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """For each row of ``taken`` (which features of a path a record passes) the Shapley shares of a leaf of value 1.
+
+    A feature that is not known passes with its share of the rows. The weight of a subset of
+    k of the other m - 1 features, k! (m - 1 - k)! / m!, is the integral of t^k (1 - t)^(m - 1 - k)
+    from 0 to 1, so the sum over all subsets is the integral of the product of
+    share * (1 - t) + passes * t over the others: a polynomial, which Gauss-Legendre nodes
+    integrate exactly. A path of m features costs m squared, not 2^m, and nothing cancels.
+    """
+    m = taken.shape[1]
+    node, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t = (node + 1) / 2
+    factor = share[None, :, None] * (1 - t) + taken[:, :, None] * t
+    others = factor.prod(axis=1)[:, None, :] / factor
+    return (taken - share) * (others @ (weight / 2))
 
-def tree_value(tree: tuple, x: np.ndarray, fixed: frozenset[int]) -> np.ndarray:
-    """A tree's mean value for each row when only the features in ``fixed`` are known."""
-    if len(tree) == 2:
-        return np.full(len(x), tree[0])
-    f, t, left, right, cover = tree
-    a, b = tree_value(left, x, fixed), tree_value(right, x, fixed)
-    return np.where(x[:, f] <= t, a, b) if f in fixed else (left[-1] * a + right[-1] * b) / cover
 
+def shapley(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Each feature's exact Shapley share of the weighted trees' sum, by the rows that the trees saw.
 
-def shapley(trees: list[tuple[float, tuple]], x: np.ndarray) -> np.ndarray:
-    """Each feature's exact Shapley share of the weighted trees' sum; a tree costs 2 to the number of its features."""
+    Records that pass the same splits of a path share their figures, so a leaf costs its
+    path's features for each record and their square for each of the patterns that occur.
+    """
     out = np.zeros(x.shape)
-    for w, tree in trees:
-        used = sorted(_features(tree))
-        value = {frozenset(s): tree_value(tree, x, frozenset(s)) for k in range(len(used) + 1) for s in combinations(used, k)}
-        for s, v in value.items():
-            for f in used:
-                if f not in s:
-                    share = factorial(len(s)) * factorial(len(used) - len(s) - 1) / factorial(len(used))
-                    out[:, f] += w * share * (value[s | {f}] - v)
+    for leaf in (leaf for tree in trees for leaf in leaves(tree)):
+        m = len(leaf.feature)
+        if not m:
+            continue
+        values = x[:, leaf.feature]
+        taken = (values > leaf.above) & (values <= leaf.upto)
+        code = taken @ (1 << np.arange(m, dtype=np.int64))
+        some = np.arange(1 << m) if 1 << m <= len(x) else np.unique(code)
+        found = path_shares(leaf.share, (some[:, None] >> np.arange(m) & 1).astype(float)) * leaf.value
+        out[:, leaf.feature] += found[np.searchsorted(some, code)]
     return out
 
 
-def _features(tree: tuple) -> set[int]:
-    return set() if len(tree) == 2 else {tree[0]} | _features(tree[2]) | _features(tree[3])
+def mean_value(trees: list[Tree]) -> float:
+    """The trees' mean over the rows they saw, which the shares are differences from."""
+    return float(sum(leaf.value * leaf.share.prod() for tree in trees for leaf in leaves(tree)))
+
 
+def model_trees(model: PipelineModel) -> list[Tree]:
+    """The trees of a fitted model, from the tables that it is saved as."""
+    gbt, path = model.stages[1], shared_path(SparkSession.active(), "trees")
+    gbt.write().save(path)
+    nodes: dict[int, dict[int, tuple]] = {}
+    for r in SparkSession.active().read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        s = r.split
+        leaf = r.leftChild < 0
+        nodes.setdefault(r.treeID, {})[r.id] = (-1 if leaf else s.featureIndex, 0.0 if leaf else s.leftCategoriesOrThreshold[0], r.leftChild, r.rightChild, float(r.rawCount), r.prediction)
+    return [(float(w), [nodes[t][k] for k in sorted(nodes[t])]) for t, w in enumerate(gbt.treeWeights)]
 
-def model_trees(model: PipelineModel) -> list[tuple[float, tuple]]:
-    gbt = model.stages[1]
-    return [(w, _tree_rows(t._java_obj.rootNode())) for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)]
 
+def explain_trees(df: DataFrame, model: PipelineModel, keep: tuple[str, ...], top: int | None = None) -> DataFrame:
+    """``keep`` and ``explanations``, the features' exact contributions to the trees' raw score.
 
-def explain_trees(df: DataFrame, model: PipelineModel, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and ``explanations``, the features' exact contributions to the trees' raw score."""
+    With ``top`` only those of the ``top`` largest impacts, largest first. The trees' leaves
+    go to the tasks with the function; they do not grow with the rows.
+    """
     names, trees = model.stages[0].getInputCols(), model_trees(model)
     rows = df.select(F.struct(*keep).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(f"_f_{c}") for c in names])
     part = T.StructType([T.StructField("feature", T.StringType()), T.StructField("impact", T.DoubleType())])
@@ -200,4 +249,8 @@ def explain_trees(df: DataFrame, model: PipelineModel, keep: tuple[str, ...]) ->
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, len(names)), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), lists.cast(of)], ["_key", "explanations"])
 
-    return rows.mapInArrow(run, schema).select("_key.*", "explanations")
+    found = rows.mapInArrow(run, schema)
+    if top is not None:
+        ordered = F.sort_array(F.transform("explanations", lambda e: F.struct(F.abs(e["impact"]).alias("size"), e.alias("e"))), asc=False)
+        found = found.withColumn("explanations", F.slice(ordered["e"], 1, top))
+    return found.select("_key.*", "explanations")

@@ -58,20 +58,54 @@ def first_rows(df: DataFrame, order: list[str], bucket: Column, share: float) ->
     return F.coalesce(before(at, second["_t"]) | (F.col(at).eqNullSafe(F.lit(second["_t"])) & before(row, edge["_r"])), F.lit(False))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float], ranges: int = 1024) -> DataFrame:
-    """One row with the array ``q`` of quantiles (linear between neighbours) of the values that are not null.
+#: Sampled values for each range, and how many ranges the first of two looks leaves.
+_SAMPLED, _LOOK = 16, 32
+
 
-    Equal values are counted first; running counts go within ranges of values and are
-    shifted by those of the ranges before, so no task gets all different values.
+def ranged(points: DataFrame, value: str, keys: tuple[str, ...] = (), ranges: int = 1024, bucket: str = "_b") -> DataFrame:
+    """``bucket``: the range, from 0, of a value that is not null; of each of ``keys`` about equally many rows are in one.
+
+    ``points`` has each value once. Some 16 for each range are sampled by a hash of the
+    value, sorted, and every 16th splits two ranges, so that a few values far from the rest
+    do not leave all others in one range. The sample is the same whenever it is drawn. The
+    splitters are broadcast: ``ranges`` values for each of ``keys``, which are features or the like.
+    """
+    rows = points.withColumn("_all", F.lit(0)) if not keys else points
+    by = keys or ("_all",)
+    size = rows.groupBy(*by).agg(F.count(value).alias("_size"))
+    drawn = rows.join(F.broadcast(size), [*by]).filter(F.pmod(F.xxhash64(value), F.col("_size")) < ranges * _SAMPLED)
+    sample = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_s"))
+    spots = F.sequence(F.lit(1), F.lit(max(1, ranges - 1)))
+    cuts = sample.select(*by, F.array_distinct(F.transform(spots, lambda k: F.get("_s", F.floor(k * F.size("_s") / ranges).cast("int")))).alias("_cuts"))
+    cuts = cuts.withColumn("_first", F.filter("_cuts", lambda _, k: k % _LOOK == 0))
+    # the range is the number of splitters up to the value, found in two looks
+    block = F.size(F.filter("_first", lambda x: x <= F.col(value)))
+    inside = F.size(F.filter(F.slice("_cuts", (block - 1) * _LOOK + 1, F.lit(_LOOK)), lambda x: x <= F.col(value)))
+    at = F.when(block == 0, 0).otherwise((block - 1) * _LOOK + inside)
+    return rows.join(F.broadcast(cuts), [*by]).withColumn(bucket, at).drop("_cuts", "_first", "_all")
+
+
+def grouped_quantiles(long: DataFrame, shares: list[float], keys: tuple[str, ...] = ("feature",), value: str = "value", ranges: int = 256) -> DataFrame:
+    """``keys`` and the array ``q`` of quantiles (linear between neighbours) of the values that are not null, of all groups at once.
+
+    Equal values are counted first; running counts go within sampled ranges of values and
+    are shifted by those of the ranges before, so no task gets all different values of a
+    group. The table is read once for any number of groups; one without values has no row.
     """
-    points = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
-    span = points.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * ranges), F.lit(0))
-    ranged = points.crossJoin(F.broadcast(span)).withColumn("_b", at)
-    sums = ranged.groupBy("_b").agg(F.sum("m").alias("_n"))
-    shift = sums.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    run = ranged.join(F.broadcast(shift), "_b").withColumn("_upto", F.col("_before") + F.sum("m").over(Window.partitionBy("_b").orderBy("v")))
-    place = lambda p, how: F.max(F.when((how((F.col("_all") - 1) * p) < F.col("_upto")) & (how((F.col("_all") - 1) * p) >= F.col("_upto") - F.col("m")), F.col("v")))
-    row = run.agg(F.max("_all").alias("n"), *[place(p, how).alias(f"{name}{k}") for k, p in enumerate(shares) for name, how in (("a", F.floor), ("b", F.ceil))])
+    points = long.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    split = ranged(points, "v", keys, ranges)
+    sums = split.groupBy(*keys, "_b").agg(F.sum("m").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    shift = sums.select(*keys, "_b", (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_of"))
+    run = split.withColumn("_in", F.sum("m").over(Window.partitionBy(*keys, "_b").orderBy("v"))).join(shift, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.col("_in"))
+    spot = lambda p, how: how((F.col("_of") - 1) * p)
+    place = lambda p, how: F.max(F.when((spot(p, how) < F.col("_upto")) & (spot(p, how) >= F.col("_upto") - F.col("m")), F.col("v")))
+    row = run.groupBy(*keys).agg(F.max("_of").alias("n"), *[place(p, how).alias(f"{name}{k}") for k, p in enumerate(shares) for name, how in (("a", F.floor), ("b", F.ceil))])
     part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
-    return row.select(F.array(*[F.col(f"a{k}") + part(p) * (F.col(f"b{k}") - F.col(f"a{k}")) for k, p in enumerate(shares)]).alias("q"))
+    return row.select(*keys, F.array(*[F.col(f"a{k}") + part(p) * (F.col(f"b{k}") - F.col(f"a{k}")) for k, p in enumerate(shares)]).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], ranges: int = 1024) -> DataFrame:
+    """One row with the array ``q`` of ``grouped_quantiles`` over all rows; nulls in it if there is no value."""
+    one = grouped_quantiles(df.select(F.lit(0).alias("_one"), F.col(value).cast("double").alias("_value")), shares, ("_one",), "_value", ranges)
+    return one.agg(F.coalesce(F.first("q"), F.array(*[F.lit(None).cast("double")] * len(shares))).alias("q"))

@@ -423,12 +423,17 @@ def nearest_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Records before and after the middle of the test year."""
-    tx = _tx(spark, d)
-    mid = tx.agg(F.avg("TransactionDT").alias("m"))
-    both = tx.crossJoin(F.broadcast(mid)).withColumn("live", (F.col("TransactionDT") >= F.col("m")).cast("int")).drop("m")
+    both = _both_halves(spark, d)
     return both.filter("live = 0"), both.filter("live = 1")
 
 
+def _both_halves(spark: SparkSession, d: str) -> DataFrame:
+    """All records, with ``live`` for those from the middle on; one number comes to the driver."""
+    tx = _tx(spark, d)
+    mid = tx.agg(F.avg("TransactionDT").alias("m")).first().m
+    return tx.withColumn("live", (F.col("TransactionDT") >= F.lit(mid)).cast("int"))
+
+
 _HALVES = "h AS (SELECT tx.*, CAST(TransactionDT >= (SELECT avg(TransactionDT) FROM tx) AS INT) AS live FROM tx)"
 _FEATURES = ("TransactionAmt", "addr1", "D1", "score")
 _LONG = "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, live, isFraud AS y FROM h" for c in _FEATURES) + ")"
@@ -450,8 +455,7 @@ s AS (SELECT f.feature, greatest(coalesce(e.m, 0) / CAST(b.known AS DOUBLE), 1e-
 p AS (SELECT feature, sum((z - x) * ln(z / x)) AS psi, max(nd) AS nd FROM s GROUP BY feature)
 SELECT feature, round(psi, 6) AS psi, round(nd, 6) AS null_drift, CASE WHEN psi > 0.2 OR nd > 0.1 THEN 'RED' ELSE 'GREEN' END AS status FROM p""")
 def psi_drift(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _halves(spark, d)
-    return _rounded(mo.drift(mo.baseline(mo.melt(old, list(_FEATURES))), mo.melt(new, list(_FEATURES))), "psi", "null_drift")
+    return _rounded(mo.drift_between(mo.melt(_both_halves(spark, d), list(_FEATURES), ("live",))), "psi", "null_drift")
 
 
 @query(f"""{TX}, {_HALVES}, q AS (SELECT list_distinct(quantile_cont(TransactionAmt, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS q0 FROM h WHERE live = 0), q1 AS (SELECT list_sort(q0) AS q FROM q),

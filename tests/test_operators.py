@@ -261,11 +261,9 @@ def test_tree_explanations_add_up(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
     model = ml.fit_trees(df, ["a", "b"], "y", rounds=3, depth=2)
     got = ml.explain_trees(df, model, ("id",)).collect()
-    trees = ml.model_trees(model)
-    x = np.array([r[1:3] for r in rows])
-    full = sum(w * ml.tree_value(t, x, frozenset((0, 1))) for w, t in trees)
-    base = sum(w * ml.tree_value(t, x, frozenset())[0] for w, t in trees)
-    assert [sum(e.impact for e in r.explanations) + base for r in sorted(got)] == pytest.approx(full.tolist())
+    raw = model.stages[1].transform(model.stages[0].transform(df)).select("id", "rawPrediction").collect()
+    base = ml.mean_value(ml.model_trees(model))
+    assert [sum(e.impact for e in r.explanations) + base for r in sorted(got)] == pytest.approx([float(r.rawPrediction[1]) for r in sorted(raw)])
 
 
 def test_nulls_everywhere_and_empty_tables(spark, small):
