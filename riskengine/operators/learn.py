@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskengine.operators.evaluate import known, roc_auc
+from riskengine.operators.search import SPACE, Range, search
 from riskengine.session import shared_path
 
 
@@ -73,15 +74,22 @@ def apply_pca(df: DataFrame, fitted: PcaGroups) -> DataFrame:
     return df
 
 
-def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 42, held: Column | None = None) -> PipelineModel:
+def fit_trees(
+    df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 42, held: Column | None = None,
+    step: float = 0.1, least_rows: int = 1, rows_share: float = 1.0, features_share: float = 1.0, least_gain: float = 0.0,
+) -> PipelineModel:
     """Boosted trees; the rarer class weighs by the ratio of the classes. Nulls are -999.
 
+    ``step`` is the learning rate; a tree sees ``rows_share`` of the rows, a split
+    ``features_share`` of the features; a leaf has ``least_rows`` and a split ``least_gain``.
     Rows for which ``held`` is true are not learned from: rounds stop when they no longer help on these.
     """
     n = df.agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
     weight = F.when(F.col(label) == 1, float(n.b) / max(1, n.a)).otherwise(1.0)
     rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), (held if held is not None else F.lit(False)).alias("_held"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=step, minInstancesPerNode=least_rows, subsamplingRate=rows_share, minInfoGain=least_gain)
+    if features_share < 1:
+        trees = trees.setFeatureSubsetStrategy(str(features_share))
     if held is not None:
         trees = trees.setValidationIndicatorCol("_held")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
@@ -96,19 +104,22 @@ def score_trees(df: DataFrame, model: PipelineModel) -> DataFrame:
     return model.stages[1].transform(v).select(*own.columns, vector_to_array("probability")[1].alias("probability"))
 
 
-def random_search(df: DataFrame, folds: str, features: list[str], label: str, tries: int = 5, seed: int = 42) -> DataFrame:
-    """``rounds``, ``depth``, ``auc`` of random settings, each the mean over expanding-window folds."""
-    draw, spark, out = np.random.default_rng(seed), df.sparkSession, []
-    last = df.agg(F.max(folds)).first()[0]
-    for _ in range(tries):
-        rounds, depth = int(draw.integers(5, 30)), int(draw.integers(2, 7))
-        aucs = []
-        for k in range(1, last + 1):
-            model = fit_trees(df.filter(F.col(folds) < k), features, label, rounds, depth)
-            test = score_trees(df.filter(F.col(folds) == k), model).select(F.col(label).alias("y"), F.col("probability").alias("p"))
-            aucs.append(roc_auc(test).first().roc_auc)
-        out.append((rounds, depth, float(np.mean(aucs))))
-    return spark.createDataFrame(out, "rounds int, depth int, auc double")
+def fold_score(df: DataFrame, folds: str, features: list[str], label: str, **settings) -> float:
+    """The mean ROC AUC over expanding-window folds of trees with some settings."""
+    last, aucs = df.agg(F.max(folds)).first()[0] or 0, []
+    for k in range(1, last + 1):
+        model = fit_trees(df.filter(F.col(folds) < k), features, label, **settings)
+        test = score_trees(df.filter(F.col(folds) == k), model).select(F.col(label).alias("y"), F.col("probability").alias("p"))
+        aucs.append(roc_auc(test).first().roc_auc)
+    return float(np.mean(aucs)) if aucs else 0.5
+
+
+def settings_search(df: DataFrame, folds: str, features: list[str], label: str, tries: int = 20, seed: int = 42, space: dict[str, Range] | None = None, at_random: int = 10) -> DataFrame:
+    """``try``, each setting and ``auc`` of the tries of a Parzen search, in order; ``df`` is read for each, so it should be a table."""
+    space = SPACE if space is None else space
+    done = search(lambda settings: fold_score(df, folds, features, label, **settings), space, tries, seed, at_random)
+    kinds = ", ".join(f"{n} {'int' if r.whole else 'double'}" for n, r in space.items())
+    return df.sparkSession.createDataFrame([(k, *[s[n] for n in space], auc) for k, (s, auc) in enumerate(done)], f"try int, {kinds}, auc double")
 
 
 def expanding_cv(df: DataFrame, test: DataFrame, folds: str, features: list[str], label: str, top: int = 50, **settings) -> tuple[DataFrame, DataFrame]:

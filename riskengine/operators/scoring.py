@@ -10,15 +10,22 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskengine.functions import clean
-from riskengine.operators import evaluate, learn
+from riskengine.operators import evaluate, learn, monitor
 from riskengine.operators import features as fe
+from riskengine.session import materialize, shared_path
 from riskengine.sources.readers import Settings
 
 
+#: Raw columns that features are made of, by kind; those that a batch lacks are null.
+_RAW = {"double": ("addr1", "D1"), "string": ("ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", "id_30", "id_31", "id_33", "DeviceInfo", "DeviceType")}
+
+
 def prepare(tx: DataFrame, epoch: int) -> DataFrame:
     """Raw records with all features that need nothing learned: cleaned texts, codes, times, user and combined keys."""
+    tx = tx.withColumns({c: F.lit(None).cast(kind) for kind, names in _RAW.items() for c in names if c not in tx.columns})
     df = clean.normalise_days(clean.time_features(tx, epoch))
     df = fe.with_user(clean.amount_features(df))
     return fe.with_combinations(clean.card_features(clean.device_features(clean.email_features(df))))
@@ -42,6 +49,7 @@ class ScoringModel:
 
     ``calibration`` is a pair (slope, offset) of a logistic curve, a fitted MLlib model, or
     None for none. Trees take their features by name; a feature that a batch lacks is null.
+    ``baseline`` holds the distributions that ``drift`` compares with.
     """
 
     encoders: fe.Encoders
@@ -50,6 +58,20 @@ class ScoringModel:
     epoch: int
     calibration: tuple[float, float] | IsotonicRegressionModel | LogisticRegressionModel | None = None
     settings: Settings = field(default_factory=Settings)
+    baseline: DataFrame | None = None
+
+    def feature_lists(self) -> dict[str, list[str]]:
+        """The features of each member, in the order it takes them."""
+        return {n: sorted(m.weights) if isinstance(m, LinearScorer) else list(m.stages[0].getInputCols()) for n, m in self.members.items()}
+
+    def explain(self, tx: DataFrame, member: str, top: int = 10, keep: tuple[str, ...] = (fe.ROW,)) -> DataFrame:
+        """``keep`` and the ``top`` largest contributions to a member's raw score."""
+        df, names = self.features(tx), self.members[member].stages[0].getInputCols()
+        return learn.explain_trees(df.withColumns({c: F.lit(None).cast("double") for c in names if c not in df.columns}), self.members[member], keep, top)
+
+    def drift(self, tx: DataFrame) -> DataFrame:
+        """How far the features of raw records have moved from the baseline."""
+        return monitor.drift(self.baseline, monitor.melt(self.features(tx), [r.feature for r in self.baseline.select("feature").collect()]))
 
     def features(self, tx: DataFrame) -> DataFrame:
         return fe.apply_encoders(prepare(tx, self.epoch), self.encoders)
@@ -83,12 +105,15 @@ class ScoringModel:
         for name, m in self.members.items():
             if not isinstance(m, LinearScorer):
                 m.write().overwrite().save(f"{folder}/members/{name}")
+        if self.baseline is not None:
+            self.baseline.write.mode("overwrite").parquet(f"{folder}/baseline")
         kind = type(self.calibration).__name__
         if kind not in ("tuple", "NoneType"):
             self.calibration.write().overwrite().save(f"{folder}/calibration")
         said = {
             "linear": {n: asdict(m) for n, m in self.members.items() if isinstance(m, LinearScorer)}, "trees": [n for n, m in self.members.items() if not isinstance(m, LinearScorer)], "shares": self.shares,
             "epoch": self.epoch, "calibration": kind, "curve": self.calibration if kind == "tuple" else None, "settings": asdict(self.settings),
+            "features": self.feature_lists(), "baseline": self.baseline is not None,
         }
         spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
 
@@ -100,7 +125,44 @@ class ScoringModel:
         kinds = {"IsotonicRegressionModel": IsotonicRegressionModel, "LogisticRegressionModel": LogisticRegressionModel}
         kind = said["calibration"]
         calibration = tuple(said["curve"]) if kind == "tuple" else kinds[kind].load(f"{folder}/calibration") if kind in kinds else None
-        return cls(fe.Encoders.load(spark, f"{folder}/encoders"), members, said["shares"], said["epoch"], calibration, Settings(**said["settings"]))
+        return cls(fe.Encoders.load(spark, f"{folder}/encoders"), members, said["shares"], said["epoch"], calibration, Settings(**said["settings"]), spark.read.parquet(f"{folder}/baseline") if said.get("baseline") else None)
+
+
+def numeric_features(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
+    """The columns that models can learn from, in order."""
+    kinds = (T.NumericType, T.BooleanType)
+    return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name not in (fe.ROW, fe.TIME, "isFraud", *skip)]
+
+
+#: Settings of the ensemble's members.
+MEMBERS = {"deep": {"rounds": 50, "depth": 6}, "shallow": {"rounds": 50, "depth": 3, "seed": 7}}
+
+
+def fit_model(tx: DataFrame, epoch: int, members: dict[str, dict] | None = None, share: float = 0.85, skip: tuple[str, ...] = (), settings: Settings | None = None) -> ScoringModel:
+    """A model of all keys and features from labelled raw records, the first ``share`` of them by time.
+
+    Encoders learn from these; boosted trees learn from their features and stop early on the
+    records behind, by which the members' shares (in proportion to ROC AUC above one half)
+    and the isotonic calibration are found too. The baseline of drift is of the first part.
+    """
+    cut, spark = fe.train_rows(tx, share), tx.sparkSession
+    ready = materialize(prepare(tx, epoch), "prepared")
+    folder = shared_path(spark, "encoders")
+    fe.fit_encoders(ready.filter(cut)).save(folder)
+    enc = fe.Encoders.load(spark, folder)
+    full = materialize(fe.apply_encoders(ready, enc), "encoded")
+    names = numeric_features(full, skip)
+    fitted = {n: learn.fit_trees(full, names, "isFraud", held=~cut, **s) for n, s in (members or MEMBERS).items()}
+    rest = full.filter(~cut)
+    for n, m in fitted.items():
+        rest = learn.score_trees(rest, m).withColumnRenamed("probability", f"_p_{n}")
+    rest = materialize(rest.select(F.col("isFraud").alias("y"), F.col(fe.AMOUNT).alias("amt"), *[f"_p_{n}" for n in fitted]), "held")
+    better = {n: max(0.0, (evaluate.roc_auc(rest.select("y", F.col(f"_p_{n}").alias("p"), "amt")).first().roc_auc or 0.5) - 0.5) for n in fitted}
+    total = sum(better.values())
+    shares = {n: b / total if total else 1 / len(fitted) for n, b in better.items()}
+    calibration = learn.fit_calibration(rest.withColumn("p", evaluate.weighted_score({f"_p_{n}": w for n, w in shares.items()})))
+    base = materialize(monitor.baseline(monitor.melt(full.filter(cut), names)), "baseline")
+    return ScoringModel(enc, fitted, shares, epoch, calibration, settings or Settings(), base)
 
 
 def iso_time(ts: Column) -> Column:

@@ -14,7 +14,8 @@ from riskengine.operators import scoring as sc
 from riskengine.plans import views as vw
 from riskengine.sources import adapters as ad
 from riskengine.operators import learn as ml
-from riskengine.session import shared_path
+from riskengine.operators.search import SPACE, Range
+from riskengine.session import materialize, shared_path
 from riskengine.sources import readers as rd
 from riskengine.streaming import streams as st
 
@@ -751,12 +752,40 @@ def adversarial_validation(spark: SparkSession, d: str) -> DataFrame:
     return ml.adversarial(old, new, list(_FEATURES))
 
 
+#: Features of the explained trees.
+_EXPLAINED = (
+    "TransactionAmt", "TransactionAmt_log", "TransactionAmt_decimal", "TransactionAmt_suspicious", "TransactionAmt_log_z", "ProductCD", "card1", "card4", "card6", "addr1", "M1", "M4", "D1", "D1_norm",
+    "hour_of_day", "day_of_week", "day_of_month", "P_emaildomain_length", "P_emaildomain_vendor_id", "P_emaildomain_risk_score", "R_emaildomain_length", "R_emaildomain_vendor_id", "email_match_status",
+    "screen_width", "screen_height", "screen_area", "os_type", "browser_type", "device_vendor", "device_type", "days_since_first_txn", "user_amt_zscore", "Amt_div_card1_mean", "Amt_div_addr1_mean",
+    "card1_freq_enc", "UID_freq_enc", "card4_fraud_rate", "ProductCD_fraud_rate", "hour_of_day_fraud_rate", "composite_risk_score",
+)
+
+
 @query()
 def gbt_explanations(spark: SparkSession, d: str) -> DataFrame:
-    """Exact contributions of each feature to a small forest's score (the mean over all orders of features)."""
-    tx = clean.card_features(_tx(spark, d)).withColumn("amt", F.col("TransactionAmt"))
-    model = ml.fit_trees(tx, ["amt", "ProductCD", "card4"], "isFraud", rounds=3, depth=3)
-    return ml.explain_trees(tx, model, ("TransactionID",))
+    """Exact contributions of each of 40 features to the raw score of 50 rounds of trees of depth 6, for every record."""
+    df = _prepared(spark, d)
+    cut, folder = fe.train_rows(df), shared_path(spark, "encoders")
+    df = materialize(df, "prepared")
+    fe.fit_encoders(df.filter(cut)).save(folder)
+    full = materialize(fe.apply_encoders(df, fe.Encoders.load(spark, folder)).select("TransactionID", "isFraud", "TransactionDT", *_EXPLAINED), "encoded")
+    model = ml.fit_trees(full.filter(cut), list(_EXPLAINED), "isFraud", rounds=50, depth=6)
+    return ml.explain_trees(full, model, ("TransactionID",))
+
+
+@query()
+def trained_score_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records to report rows with their ten largest contributions, by a trained ensemble of all keys, saved and reloaded.
+
+    It is fitted on the first 85 % of the records, as ``fit_model`` does, and scores the rest.
+    """
+    df = _tx(spark, d)
+    cut, folder = fe.train_rows(df), shared_path(spark, "trained-model")
+    sc.fit_model(df.filter(cut).drop("score"), ad.EPOCH).save(spark, folder)
+    model = sc.ScoringModel.load(spark, folder)
+    rest = df.filter(~cut).drop("score")
+    said = model.explain(rest, "deep").select(F.col("TransactionID").cast("string").alias("transaction_id"), "explanations")
+    return model.score(rest, F.timestamp_seconds(F.col("TransactionDT") + ad.EPOCH)).join(said, "transaction_id")
 
 
 # --- further projections, filters, sources and sinks --------------------------------------
@@ -883,11 +912,16 @@ def replay_ids(spark: SparkSession, d: str) -> DataFrame:
     return rd.with_replay_id(tx, ["TransactionDT", "TransactionID"], F.floor(F.col("TransactionDT") / 3600))
 
 
+#: Ranges of the query's search: those of production but for rounds and depth, which are what one machine can fit.
+_SEARCHED = SPACE | {"rounds": Range(5, 15, whole=True), "depth": Range(2, 6, whole=True)}
+
+
 @query()
 def hyper_search(spark: SparkSession, d: str) -> DataFrame:
-    """Random settings of boosted trees over expanding-window folds."""
-    df = fe.time_folds(clean.card_features(_tx(spark, d)), 3)
-    return ml.random_search(df, "fold", ["TransactionAmt", "ProductCD", "card4"], "isFraud", tries=2)
+    """Settings of boosted trees by a Parzen search over expanding-window folds."""
+    names = ["TransactionAmt", "ProductCD", "card4"]
+    df = materialize(fe.time_folds(clean.card_features(_tx(spark, d)), 3).select("fold", "isFraud", *names), "folds")
+    return ml.settings_search(df, "fold", names, "isFraud", tries=6, space=_SEARCHED, at_random=3)
 
 
 @query()
