@@ -7,21 +7,22 @@ run again after a failure replaces itself; the checkpoint keeps offsets and stat
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException, PythonException, SparkRuntimeException,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskengine.functions.clean import tier
 from riskengine.plans.views import mean_impacts, merge_importance
 from riskengine.session import shared_path
 from riskengine.sources.readers import Settings, dead_letters
+from riskengine.streaming.state import ThrottleState, VelocityState, throttle_points, use_rocksdb  # noqa: F401
+from riskengine.streaming.tables import BatchTable, delete, exists, folder_names, last_batch, newest_of_key, newest_rows, summed, write_once
 
 
 def tumbling(df: DataFrame, ts: str, length: str, late: str, keys: tuple[str, ...], amount: str, slide: str | None = None) -> DataFrame:
@@ -43,73 +44,31 @@ def _ids_as_text(df: DataFrame, row: str, event_time: str | None, late: str) ->
     return df.withWatermark(event_time, late) if event_time else df
 
 
-def _expire(state: GroupState, seconds: float) -> None:
-    """Let the state go once the watermark passes an event time."""
-    state.setTimeoutTimestamp(int(max(seconds * 1000, state.getCurrentWatermarkMs() + 1)))
-
-
 def keyed_velocity(df: DataFrame, hours: int, user: str = "UID", time_col: str = "TransactionDT", amount: str = "TransactionAmt", row: str = "TransactionID", event_time: str | None = None, late: str = "1 day", epoch: int = 0) -> DataFrame:
     """Count and sum of the user's amounts in the hours before each record, over all micro-batches.
 
-    A user's state is the records of the last ``hours`` only. Records of a batch see each
-    other in time order; one that comes later than a batch with newer records sees what the
-    state still holds. With ``event_time`` (the column of ``time_col`` plus ``epoch`` as a
-    timestamp) a user's state goes when the watermark is ``hours`` past the last record.
+    A user's state is the records of the last ``hours`` in a piece for each hour (see
+    ``VelocityState``), so a batch of a user with many records reads and writes few of them.
+    Records of a batch see each other in time order; one that comes later than a batch with
+    newer records sees what the state still holds. With ``event_time`` (the column of
+    ``time_col`` plus ``epoch`` as a timestamp) an hour goes by a timer when the watermark is
+    ``hours`` past it. Records without a time have no counts and sums.
     """
-    span = hours * 3600
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, amounts = (np.array(x, float) for x in state.get) if state.exists else (np.zeros(0), np.zeros(0))
-        new = pd.concat(frames).sort_values([time_col, row], kind="stable")
-        at = np.concatenate([times, new[time_col].to_numpy(float)])
-        amt = np.concatenate([amounts, new[amount].to_numpy(float)])
-        order = np.argsort(at, kind="stable")
-        at, amt = at[order], amt[order]
-        known = ~np.isnan(amt)
-        n, total = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0.0], np.cumsum(np.where(known, amt, 0.0))])
-        lo, hi = np.searchsorted(at, new[time_col] - span, "left"), np.searchsorted(at, new[time_col], "left")
-        keep = at >= at[-1] - span
-        state.update((at[keep].tolist(), amt[keep].tolist()))
-        if event_time:
-            _expire(state, at[-1] + span + epoch)
-        yield pd.DataFrame({row: new[row], user: key[0], f"count_{hours}h": n[hi] - n[lo], f"amt_sum_{hours}h": total[hi] - total[lo]})
-
+    use_rocksdb(df.sparkSession)
     out = f"{row} string, {user} string, count_{hours}h long, amt_sum_{hours}h double"
-    how = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
-    found = _ids_as_text(df, row, event_time, late).groupBy(user).applyInPandasWithState(step, out, "times array<double>, amounts array<double>", "append", how)
+    state = VelocityState(hours, user, time_col, amount, row, epoch, event_time is not None)
+    found = _ids_as_text(df, row, event_time, late).groupBy(user).transformWithStateInPandas(state, out, "Append", "EventTime" if event_time else "None")
     return found.withColumn(row, F.col(row).cast(df.schema[row].dataType))
 
 
-def throttle_points(at: np.ndarray, delta: np.ndarray, seconds: float, least: float, last_at: float | None, last_total: float, total: float) -> tuple[list[tuple[int, float]], float | None, float, float]:
-    """Which points of a running sum are emitted: the first, and those ``seconds`` after the last or ``least`` away from it."""
-    out = []
-    for k in range(len(at)):
-        total += float(delta[k])
-        if last_at is None or at[k] - last_at >= seconds or abs(total - last_total) >= least:
-            out.append((k, total))
-            last_at, last_total = float(at[k]), total
-    return out, last_at, last_total, total
-
-
 def throttled(df: DataFrame, seconds: float, least: float) -> DataFrame:
     """A running sum of ``delta`` for each ``series``, emitted at most every ``seconds`` unless it moved by ``least``.
 
     Input: ``series``, ``seq``, ``at``, ``delta``; the state is three numbers a series.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_at, last_total, total = state.get if state.exists else (None, 0.0, 0.0)
-        new = pd.concat(frames).assign(_n=lambda x: x["seq"].str.len()).sort_values(["at", "_n", "seq"], kind="stable").reset_index(drop=True)
-        out, last_at, last_total, total = throttle_points(new["at"].to_numpy(), new["delta"].to_numpy(), seconds, least, last_at, last_total, total)
-        state.update((last_at, last_total, total))
-        rows = new.iloc[[k for k, _ in out]]
-        yield pd.DataFrame({"series": key[0], "seq": rows["seq"].to_numpy(), "at": rows["at"].to_numpy(), "total": [t for _, t in out]})
-
-    kind = "last_at double, last_total double, total double"
-    found = _ids_as_text(df, "seq", None, "").groupBy("series").applyInPandasWithState(step, "series string, seq string, at double, total double", kind, "append", GroupStateTimeout.NoTimeout)
+    use_rocksdb(df.sparkSession)
+    out = "series string, seq string, at double, total double"
+    found = _ids_as_text(df, "seq", None, "").groupBy("series").transformWithStateInPandas(ThrottleState(seconds, least), out, "Append", "None")
     return found.withColumn("seq", F.col("seq").cast(df.schema["seq"].dataType))
 
 
@@ -124,19 +83,33 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/state" if mode == "complete" else f"{path}/batch=*")
 
 
+#: Errors of the records or of the scoring code. Others (a lost executor, a full disk) fail the batch, which Spark runs again.
+_OF_SCORING = (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException, PythonException, SparkRuntimeException,
+    ArithmeticError, AssertionError, AttributeError, LookupError, TypeError, ValueError,
+)
+
+
 @dataclass
 class ScoringTables:
-    """The scoring stream's tables in one folder."""
+    """The scoring stream's tables in one folder, each of batches with a base that ``compact`` merges them into."""
 
     folder: str
     refresh_seconds: int = 300
+    buckets: int = 32
     _monitored: tuple[float, list[str]] = (0.0, [])
 
     @classmethod
     def under(cls, folder: str) -> ScoringTables:
         return cls(folder)
 
-    def start(self, stream: DataFrame, settings: Settings, demo: bool = True, seconds: int | None = None, score: Callable[[DataFrame], DataFrame] | None = None, log: tuple[str, ...] = (), send: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    def table(self, name: str) -> BatchTable:
+        return BatchTable(f"{self.folder}/{name}", "id" if name in ("predictions", "explanations") else None, self.buckets)
+
+    def start(
+        self, stream: DataFrame, settings: Settings, demo: bool = True, seconds: int | None = None, score: Callable[[DataFrame], DataFrame] | None = None, log: tuple[str, ...] = (),
+        send: Callable[[DataFrame], None] | None = None, message_id: str | None = None, event_time: str | None = None, late: str = "1 hour", jobs: dict[str, tuple[float, Callable[[], object]]] | None = None,
+    ) -> StreamingQuery:
         """Score and tier a stream and write each batch to all tables.
 
         ``score`` turns a batch of raw records into ``id``, ``y``, ``p``, ``amt`` and the
@@ -144,13 +117,21 @@ class ScoringTables:
         ``send`` gets each batch of predictions too (a Kafka batch writer, say). The
         thresholds are read anew for each batch from the ``config`` table, so what a
         re-optimisation publishes takes effect. Truth is kept only in demo mode. A batch
-        whose scoring fails goes to the dead letters and the stream goes on; a failed write
-        fails the batch, which is then run again and replaces itself. ``seconds`` triggers by
-        time; without it the stream ends with what there is now.
+        that cannot be scored, for its records or for the code, goes to the dead letters and
+        the stream goes on; any other error fails the batch, which is then run again and
+        replaces itself. With ``message_id`` a message that is delivered again within
+        ``late`` of its ``event_time`` counts once, whatever batch it comes in. ``jobs`` are
+        run behind a batch once their seconds have passed since they last ran, also by
+        another run of the stream. ``seconds`` triggers by time; without it the stream ends
+        with what there is now.
         """
         spark = stream.sparkSession
+        if message_id:
+            stream = stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([message_id])
 
         def write(batch: DataFrame, number: int) -> None:
+            if exists(spark, self._mark(number)):  # whole already; only Spark's own note of it was lost
+                return
             hard = self.threshold(spark, settings.hard_threshold)
             soft = min(settings.soft_threshold, hard * 0.999)
             truth = F.col("y") if demo else F.lit(None).cast("int")
@@ -159,32 +140,45 @@ class ScoringTables:
                 rows = score(batch) if score else batch
                 out = rows.select("id", truth.alias("y_true"), "p", "amt", tier(F.col("p"), soft, hard).alias("action"), (F.col("p") >= hard).cast("int").alias("is_fraud"), F.current_timestamp().alias("written"), *[F.col(c).cast("double").alias(f"_log_{c}") for c in log]).persist()
                 out.count()
-            except Exception as e:  # scoring alone; nothing has been written yet
+            except _OF_SCORING as e:  # nothing has been written yet
                 letters = batch.select(F.to_json(F.struct("*")).alias("original_message"))
-                self._put(dead_letters(letters, "scoring failed", F.lit(str(e)[:500])), "dead_letters", number)
+                self.table("dead_letters").put(dead_letters(letters, "scoring failed", F.lit(str(e)[:500])), number)
                 return
             try:
                 said = out.drop(*[f"_log_{c}" for c in log])
-                self._put(said, "predictions", number)
-                self._put(said.filter("is_fraud = 1"), "alerts", number)
+                self.table("predictions").put(said, number)
+                self.table("alerts").put(said.filter("is_fraud = 1"), number)
                 if log:
-                    self._put(out.select("id", "written", *[F.col(f"_log_{c}").alias(c) for c in log]).unpivot(["id", "written"], list(log), "feature", "value"), "history", number)
+                    self.table("history").put(out.select("id", "written", *[F.col(f"_log_{c}").alias(c) for c in log]).unpivot(["id", "written"], list(log), "feature", "value"), number)
                 caught, missed = ((F.col("y_true") == 1) & (F.col("is_fraud") == k) for k in (1, 0))
-                figures = out.agg(F.count("*").alias("n"), F.count_if(F.col("is_fraud") == 1).alias("fraud"), *[F.coalesce(F.sum(F.when(c, F.col("amt"))), F.lit(0.0)).alias(m) for c, m in ((caught, "savings"), (missed, "loss"))])
-                self._put(figures, "counters", number)
+                figures = out.agg(F.count("*").alias("n"), F.count("y_true").alias("known"), F.count_if(F.col("is_fraud") == 1).alias("fraud"), *[F.coalesce(F.sum(F.when(c, F.col("amt"))), F.lit(0.0)).alias(m) for c, m in ((caught, "savings"), (missed, "loss"))])
+                self.table("counters").put(figures, number)
                 if send:
                     send(said)
             finally:
                 out.unpersist()
+            write_once(spark, self._mark(number), {"batch": number})
+            self._run_due(spark, jobs or {})
 
         w = stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(write)
         return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
-    def _put(self, df: DataFrame, table: str, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={number}")
+    def _mark(self, number: int) -> str:
+        """The file that says that all tables have a batch."""
+        return f"{self.folder}/commits/{number:012d}.json"
+
+    def _run_due(self, spark: SparkSession, jobs: dict[str, tuple[float, Callable[[], object]]]) -> None:
+        for name, (every, job) in jobs.items():
+            now = time.time()
+            ran = [int(n.removesuffix(".json")) for n in folder_names(spark, f"{self.folder}/jobs/{name}") if n.endswith(".json")]
+            if not ran or now - max(ran) / 1000 >= every:
+                job()
+                write_once(spark, f"{self.folder}/jobs/{name}/{int(now * 1000)}.json", {"at": now})
+                for old in ran:
+                    delete(spark, f"{self.folder}/jobs/{name}/{old}.json")
 
     def predictions(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/predictions")
+        return self.table("predictions").read(spark)
 
     def recent(self, spark: SparkSession, n: int = 1000) -> DataFrame:
         """The newest predictions."""
@@ -192,38 +186,69 @@ class ScoringTables:
 
     def alerts(self, spark: SparkSession, n: int = 100) -> DataFrame:
         """The newest alerts."""
-        return spark.read.parquet(f"{self.folder}/alerts").orderBy(F.col("batch").desc(), F.col("id").desc()).limit(n)
+        return self.table("alerts").read(spark).orderBy(F.col("batch").desc(), F.col("id").desc()).limit(n)
 
     def lookup(self, spark: SparkSession, key, now: Column | None = None, ttl_seconds: int = 3600) -> DataFrame:
-        """A record's last prediction, with its explanations, if it is within its time to live."""
-        said = self.enriched(spark).filter((F.col("id") == key) & (F.unix_seconds(now if now is not None else F.current_timestamp()) - F.unix_seconds("written") < ttl_seconds))
+        """A record's last prediction, with its explanations, if it is within its time to live.
+
+        One bucket of the base and the batches since the last merge are read.
+        """
+        said = self.enriched(spark, key).filter(F.unix_seconds(now if now is not None else F.current_timestamp()) - F.unix_seconds("written") < ttl_seconds)
         return said.orderBy(F.col("batch").desc()).limit(1)
 
     def history(self, spark: SparkSession, n: int = 1000) -> DataFrame:
         """The newest ``n`` values of each logged feature."""
-        w = Window.partitionBy("feature").orderBy(F.col("batch").desc(), F.col("id").desc())
-        return spark.read.parquet(f"{self.folder}/history").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+        return newest_rows(n, ["id"], ("feature",))(self.table("history").read(spark))
 
-    def enrich(self, spark: SparkSession, explain: Callable[[DataFrame], DataFrame], alpha: float = 0.1, top: int = 50) -> StreamingQuery:
-        """A second stream over the written predictions that explains them, and averages what is important.
+    def compact(self, spark: SparkSession, ttl_seconds: int | None = 3600, alerts: int = 100, points: int = 1000, now: Column | None = None) -> None:
+        """Merge all tables' batches into their bases and let go what is no longer asked for.
 
-        ``explain`` gives ``id`` and ``explanations`` of a batch. A batch that fails is marked
-        so, with the error, and moves no importance.
+        Predictions and explanations keep the newest row of each id within its time to live,
+        alerts the newest ones, histories the newest points of each feature, importances the
+        last batch; counters become one row. Dead letters stay. Where a second stream
+        explains predictions, only batches that it has read are merged.
         """
-        schema = self.predictions(spark).drop("batch").schema
+        read = self._explained_upto(spark)
+        self.table("predictions").compact(spark, newest_of_key("id", ttl_seconds, now), read)
+        explained = self.table("predictions").read(spark)
+        if explained is not None:
+            ids = explained.select("id").distinct()
+            self.table("explanations").compact(spark, lambda rows: newest_of_key("id")(rows.join(ids, "id", "left_semi")))
+        self.table("alerts").compact(spark, newest_rows(alerts, ["id"]))
+        self.table("history").compact(spark, newest_rows(points, ["id"], ("feature",)))
+        self.table("importance").compact(spark, last_batch)
+        self.table("counters").compact(spark, summed(_COUNTED))
+
+    def _explained_upto(self, spark: SparkSession) -> int | None:
+        """The last batch that the enrichment has finished; None if there is no enrichment."""
+        if not exists(spark, f"{self.folder}/checkpoint-enrich"):
+            return None
+        table = self.table("explanations")
+        return max([-1, *table.bases(spark), *table.batches(spark)])
 
-        def write(batch: DataFrame, number: int) -> None:
-            try:
-                said = explain(batch).select("id", "explanations", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error")).persist()
-                said.count()
-            except Exception as e:
-                self._put(batch.select("id", F.lit(None).cast(_IMPACTS).alias("explanations"), F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error")), "explanations", number)
-                return
-            self._put(said, "explanations", number)
-            self._put(self._averaged(spark, said, number, alpha, top), "importance", number)
-            said.unpersist()
+    def enrich(self, spark: SparkSession, explain: Callable[[DataFrame], DataFrame], alpha: float = 0.1, top: int = 50) -> StreamingQuery:
+        """A second stream over the finished batches that explains their predictions, and averages what is important.
+
+        It reads the marks of finished batches, one at a time, so a batch that is still
+        being written or replaced is never read. ``explain`` gives ``id`` and
+        ``explanations`` of a batch. A batch that fails is marked so, with the error, and
+        moves no importance.
+        """
 
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.folder}/predictions")
+        def write(marks: DataFrame, _: int) -> None:
+            for number in sorted(r.batch for r in marks.collect()):
+                rows = self.predictions(spark).filter(F.col("batch") == number).drop("batch")
+                try:
+                    said = explain(rows).select("id", "explanations", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error")).persist()
+                    said.count()
+                except _OF_SCORING as e:
+                    self.table("explanations").put(rows.select("id", F.lit(None).cast(_IMPACTS).alias("explanations"), F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error")), number)
+                    continue
+                self.table("explanations").put(said, number)
+                self.table("importance").put(self._averaged(spark, said, number, alpha, top), number)
+                said.unpersist()
+
+        stream = spark.readStream.schema("batch long").option("maxFilesPerTrigger", 1).json(f"{self.folder}/commits")
         return stream.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint-enrich").trigger(availableNow=True).foreachBatch(write).start()
 
     def _averaged(self, spark: SparkSession, said: DataFrame, number: int, alpha: float, top: int) -> DataFrame:
@@ -235,9 +260,8 @@ class ScoringTables:
 
     def importance(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """The newest importances, or those before a batch; None if there are none yet."""
-        try:
-            all_ = spark.read.parquet(f"{self.folder}/importance")
-        except AnalysisException:
+        all_ = self.table("importance").read(spark)
+        if all_ is None:
             return None
         all_ = all_ if before is None else all_.filter(F.col("batch") < before)
         last = all_.agg(F.max("batch").alias("b")).first().b
@@ -252,43 +276,53 @@ class ScoringTables:
             self._monitored = (time.monotonic(), names)
         return names
 
-    def enriched(self, spark: SparkSession) -> DataFrame:
-        """Predictions with their explanations and ``status``: processing, ready or failed."""
-        said = self.predictions(spark)
-        try:
-            more = spark.read.parquet(f"{self.folder}/explanations").drop("batch").dropDuplicates(["id"])
-        except AnalysisException:
+    def enriched(self, spark: SparkSession, key=None) -> DataFrame:
+        """Predictions (of one id, or all) with the newest explanations of their batch or a later one, and ``status``: processing, ready or failed."""
+        said = self.table("predictions").read(spark, key)
+        more = self.table("explanations").read(spark, key)
+        if more is None:
             return said.select("*", F.lit(None).cast(_IMPACTS).alias("explanations"), F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error"))
-        return said.join(more, "id", "left").withColumn("status", F.coalesce("status", F.lit("processing")))
+        last = more.groupBy("id").agg(F.max_by(F.struct("explanations", "status", "error"), "batch").alias("_e"), F.max("batch").alias("_at"))
+        # an explanation of an earlier prediction of the same id does not explain this one
+        both = said.join(last, "id", "left").withColumn("_e", F.when(F.col("_at") >= F.col("batch"), F.col("_e")))
+        return both.select(*said.columns, "_e.explanations", F.coalesce("_e.status", F.lit("processing")).alias("status"), "_e.error")
 
     def totals(self, spark: SparkSession) -> DataFrame:
         """The counters over all batches; a replayed batch counts once."""
-        return spark.read.parquet(f"{self.folder}/counters").agg(*[F.sum(c).alias(c) for c in ("n", "fraud", "savings", "loss")])
+        return self.table("counters").read(spark).agg(*[F.sum(c).alias(c) for c in _COUNTED])
 
-    def publish_threshold(self, spark: SparkSession, value: float) -> None:
-        """Write a new version; readers take the newest whole one."""
-        spark.createDataFrame([(float(value),)], "hard double").coalesce(1).write.parquet(f"{self.folder}/config/version={time.time_ns()}")
+    def publish_threshold(self, spark: SparkSession, value: float, seen: int = 0) -> None:
+        """Write a new version, with the rows it was found on; readers take the newest whole one."""
+        spark.createDataFrame([(float(value), seen)], "hard double, seen long").coalesce(1).write.parquet(f"{self.folder}/config/version={time.time_ns()}")
 
-    def threshold(self, spark: SparkSession, default: float) -> float:
+    def _published(self, spark: SparkSession):
         try:
-            row = spark.read.schema("hard double, version long").parquet(f"{self.folder}/config").orderBy(F.col("version").desc()).first()
+            return spark.read.schema("hard double, seen long, version long").parquet(f"{self.folder}/config").orderBy(F.col("version").desc()).first()
         except AnalysisException:  # nothing was published yet
-            return default
+            return None
+
+    def threshold(self, spark: SparkSession, default: float) -> float:
+        row = self._published(spark)
         return row.hard if row else default
 
-    def reoptimise(self, spark: SparkSession, least_new: int = 1000, seen: int = 0) -> tuple[float | None, int]:
-        """Publish the cheapest threshold if there are ``least_new`` rows more than ``seen``."""
+    def reoptimise(self, spark: SparkSession, least_new: int = 1000, seen: int | None = None) -> tuple[float | None, int]:
+        """Publish the cheapest threshold if there are ``least_new`` rows more than ``seen``, by default those of the last time."""
         from riskengine.operators.evaluate import best_threshold_cost
 
+        if seen is None:
+            last = self._published(spark)
+            seen = last.seen if last else 0
         rows = self.predictions(spark).filter("y_true IS NOT NULL").select(F.col("y_true").alias("y"), "p", "amt")
-        n = rows.count()
+        n = self.totals(spark).first().known or 0
         if n - seen < least_new:
             return None, seen
         best = best_threshold_cost(rows).first().threshold
-        self.publish_threshold(spark, best)
+        self.publish_threshold(spark, best, n)
         return best, n
 
 
+#: What is counted over all batches; ``known`` are rows with a truth.
+_COUNTED = ("n", "known", "fraud", "savings", "loss")
 _IMPACTS = "array<struct<feature:string,impact:double>>"
 
 
