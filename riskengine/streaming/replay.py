@@ -10,8 +10,7 @@ A record is a line (line ends within quotes are not understood). The first line
 names its columns; those of the schema that it lacks are null. A last line without an end
 counts once the file has not changed for ``batch_seconds``. Spark does not tell a source
 where its checkpoint stands before it asks for more, so what was read is also noted in the
-file ``position``, by which batches have their size from the first one after a restart on;
-it may lag by a batch, and never decides what is read. The driver looks for the ends
+file ``position``, by which batches have their size from the first one after a restart on. The driver looks for the ends
 of ``batch_rows`` lines; the lines themselves are read in tasks, some megabytes each.
 """
 
@@ -168,10 +167,18 @@ class ReplayReader(DataSourceStreamReader):
                         to = f["at"] if to == at + _SPLIT else to
                     out.append(Part(name, f["header"], at, to))
                     at = to
-        if self._at is None:
-            self._at = end
+        # Spark has the batch in its log by now: it is run, or run again, before any other
+        self._at = end
+        self._note(end)
         return out
 
+    def _note(self, end: dict) -> None:
+        if self.position:
+            fs, path = _open(self.position)
+            with fs.open_output_stream(f"{path}.part") as f:
+                f.write(json.dumps(end).encode())
+            fs.move(f"{path}.part", path)
+
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.folder)
         with fs.open_input_file(partition.path) as f:
@@ -183,11 +190,7 @@ class ReplayReader(DataSourceStreamReader):
         yield from pc.read_csv(io.BytesIO(header + body), convert_options=texts).cast(kinds).to_batches()
 
     def commit(self, end: dict) -> None:
-        if self.position:
-            fs, path = _open(self.position)
-            with fs.open_output_stream(f"{path}.part") as f:
-                f.write(json.dumps(end).encode())
-            fs.move(f"{path}.part", path)
+        pass
 
     def stop(self) -> None:
         pass
