@@ -261,6 +261,7 @@ def test_a_running_replay_sees_changes_and_goes_on_after_a_restart(spark, tmp_pa
             while time.time() < end and not (run.got and run.got[-1][1] == want):
                 time.sleep(0.1)
             assert run.got[-1][1] == want
+        time.sleep(2)
     finally:
         q.stop()
     assert [ids for _, ids in run.got] == [[0, 1, 2], [3, 4], [50]]
