@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _constant(value: str | int) -> str:
+    """A value as SQL writes it; constants of many values are parsed at once instead of being put together one by one."""
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def case_map(c: Column, table: dict, default) -> Column:
     """A literal lookup (one constant map, however long the table); null and unknown values get the default."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), F.lit(default))
+    return F.coalesce(F.try_element_at(F.expr(f"map({', '.join(_constant(x) for pair in table.items() for x in pair)})"), c), F.lit(default))
 
 
 def first_match(c: Column, cases: list[tuple[str, int]], default: int) -> Column:
@@ -21,7 +26,7 @@ def first_match(c: Column, cases: list[tuple[str, int]], default: int) -> Column
 
     The cases are one constant array, so the compiled code stays small.
     """
-    parts = F.array(*[F.struct(F.lit(x).alias("part"), F.lit(v).alias("value")) for of, v in cases for x in of.split("|")])
+    parts = F.expr("array(" + ", ".join(f"named_struct('part', {_constant(x)}, 'value', {v})" for of, v in cases for x in of.split("|")) + ")")
     return F.coalesce(F.get(F.filter(parts, lambda p: F.contains(c, p["part"])), F.lit(0))["value"], F.lit(default))
 
 

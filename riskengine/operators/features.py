@@ -6,8 +6,11 @@ state is tables that can be saved, joined back by key.
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,19 +165,22 @@ class Encoders:
     smoothing: float = 500.0
 
     def save(self, folder: str) -> None:
-        """Write the tables, the keys' by key, and what they are applied for."""
-        spark = self.totals.sparkSession
-        self.totals.write.mode("overwrite").parquet(f"{folder}/totals")
+        """Write the tables, the keys' by key, and with the totals what they are applied for; the tables are written beside each other."""
+        said = {n: F.lit(json.dumps(getattr(self, n))) for n in ("groups", "counted", "risky")}
+        totals = self.totals.select("log_mean", "log_std", "fraud_rate", F.struct(*[c.alias(n) for n, c in said.items()], F.lit(self.smoothing).alias("smoothing"), F.lit(self.users is not None).alias("users")).alias("applied"))
+        jobs = [lambda: totals.write.mode("overwrite").parquet(f"{folder}/totals"), lambda: self.keys.write.mode("overwrite").partitionBy("key").parquet(f"{folder}/keys")]
         if self.users is not None:
-            self.users.write.mode("overwrite").parquet(f"{folder}/users")
-        self.keys.write.mode("overwrite").partitionBy("key").parquet(f"{folder}/keys")
-        spark.createDataFrame([(list(self.groups), list(self.counted), list(self.risky), self.smoothing, self.users is not None)], "groups array<string>, counted array<string>, risky array<string>, smoothing double, users boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/applied")
+            jobs.append(lambda: self.users.write.mode("overwrite").parquet(f"{folder}/users"))
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.totals.sparkSession)(job)) for job in jobs]:
+                done.result()
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Encoders:
-        read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        a = read("applied").first()
-        return cls(read("users") if a.users else None, spark.read.schema(_KEYS_SCHEMA).parquet(f"{folder}/keys"), read("totals"), tuple(a.groups), tuple(a.counted), tuple(a.risky), a.smoothing)
+        totals = spark.read.parquet(f"{folder}/totals")
+        a = totals.select("applied.*").first()
+        names = (tuple(json.loads(a[n])) for n in ("groups", "counted", "risky"))
+        return cls(spark.read.parquet(f"{folder}/users") if a.users else None, spark.read.schema(_KEYS_SCHEMA).parquet(f"{folder}/keys"), totals.drop("applied"), *names, a.smoothing)
 
 
 _KEYS_SCHEMA = "value string, n long, mean double, labelled long, positive long, key string"
@@ -227,21 +233,41 @@ def apply_totals(df: DataFrame, enc: Encoders) -> DataFrame:
     return df.crossJoin(F.broadcast(t)).withColumn(f"{AMOUNT}_log_z", (F.log1p(AMOUNT) - F.col("_lm")) / F.greatest(F.col("_ls"), F.lit(1e-6))).drop("_lm", "_ls")
 
 
+#: A key of at most so many values is looked up in a map in one broadcast row; a larger one is joined.
+_FEW = 64
+
+
 def apply_keys(df: DataFrame, enc: Encoders) -> DataFrame:
-    """Amounts against group means, frequencies and smoothed rates; each key is joined once. Unknown values get the defaults of their kind."""
+    """Amounts against group means, frequencies and smoothed rates. Unknown values get the defaults of their kind.
+
+    The driver gets one count for each key. Keys of few values make one row of maps, which
+    is broadcast; each of the others is joined once, in two steps of columns for all of them.
+    """
     amt, s = F.col(AMOUNT), enc.smoothing
-    for c in dict.fromkeys((*enc.groups, *enc.counted, *enc.risky)):
-        t = enc.keys.filter(F.col("key") == c).select(F.col("value").alias("_v"), F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("labelled").alias("_l"), F.col("positive").alias("_p"))
-        df = df.join(t, F.col(c).cast("string") == F.col("_v"), "left")
-        out = {f"Amt_div_{c}_mean": amt / (F.coalesce(F.col("_mean"), amt) + 1e-5)} if c in enc.groups else {}
+    keys = list(dict.fromkeys((*enc.groups, *enc.counted, *enc.risky)))
+    sizes = {r.key: r["count"] for r in enc.keys.groupBy("key").count().collect()}
+    few = [c for c in keys if sizes.get(c, 0) <= _FEW]
+    said = F.struct("n", "mean", "labelled", "positive")
+    if few:
+        entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("key") == c, F.struct("value", said))))
+        df = df.crossJoin(F.broadcast(enc.keys.filter(F.col("key").isin(few)).agg(*[entry(c).alias(f"_m_{c}") for c in few])))
+    for c in keys:
+        if c not in few:
+            t = enc.keys.filter(F.col("key") == c).select(F.col("value").alias(f"_v_{c}"), said.alias(f"_s_{c}"))
+            df = df.join(t, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+    df = df.withColumns({f"_s_{c}": F.try_element_at(f"_m_{c}", F.col(c).cast("string")) for c in few})
+    out = {}
+    for c in keys:
+        if c in enc.groups:
+            out[f"Amt_div_{c}_mean"] = amt / (F.coalesce(F.col(f"_s_{c}.mean"), amt) + 1e-5)
         if c in enc.counted:
-            out[f"{c}_freq_enc"] = F.coalesce("_n", F.lit(0))
+            out[f"{c}_freq_enc"] = F.coalesce(f"_s_{c}.n", F.lit(0))
         if c in enc.risky:
-            out[f"{c}_fraud_rate"] = F.coalesce((F.coalesce("_p", F.lit(0)) + s * F.col("_rate")) / (F.col("_l") + s), F.col("_rate"))
-        df = df.withColumns(out).drop("_v", "_n", "_mean", "_l", "_p")
+            out[f"{c}_fraud_rate"] = F.coalesce((F.coalesce(f"_s_{c}.positive", F.lit(0)) + s * F.col("_rate")) / (F.col(f"_s_{c}.labelled") + s), F.col("_rate"))
+    df = df.withColumns(out)
     if enc.risky:
         df = df.withColumn("composite_risk_score", sum((F.col(f"{c}_fraud_rate") for c in enc.risky), F.lit(0.0)) / len(enc.risky))
-    return df.drop("_rate")
+    return df.drop("_rate", *[f"{p}_{c}" for p in ("_s", "_m", "_v") for c in keys])
 
 
 def apply_encoders(df: DataFrame, enc: Encoders) -> DataFrame:
