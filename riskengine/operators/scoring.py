@@ -165,6 +165,29 @@ def fit_model(tx: DataFrame, epoch: int, members: dict[str, dict] | None = None,
     return ScoringModel(enc, fitted, shares, epoch, calibration, settings or Settings(), base)
 
 
+# What the dashboard shows of a record, in its order.
+DASHBOARD = (
+    "P_emaildomain", "TransactionAmt", "ProductCD", "card4", "TransactionAmt_log", "TransactionAmt_suspicious", "cents_value", "country", "composite_risk_score", "DeviceType", "os_browser_combo",
+    "UID_velocity_1h", "UID_velocity_12h", "UID_velocity_24h", "multi_entity_sharing", "card_email_combo", "device_info_combo", "P_emaildomain_risk_score", "email_match_status", "P_emaildomain_is_free",
+    "ProductCD_switch", "user_amt_zscore", "Amt_div_card1_mean", "hour_of_day", "day_of_week", "time_gap_anomaly", "screen_area", "addr1_fraud_rate", "addr1_degree",
+)
+
+
+def dashboard_features(tx: DataFrame, epoch: int) -> DataFrame:
+    """Prepared records with the country, the users' windows and sharing degrees; ``_raw`` has what the dashboard shows unchanged."""
+    raw = F.struct(*[F.col(c) for c in DASHBOARD if c in tx.columns]).alias("_raw")
+    df = prepare(clean.set_country(tx.select("*", raw)), epoch)
+    return fe.sharing_degrees(fe.sequence_features(fe.velocity(df.drop("DeviceInfo"))))
+
+
+def dashboard(features: DataFrame, keep: tuple[str, ...] = (fe.ROW,)) -> DataFrame:
+    """``keep`` and all names of ``DASHBOARD``: a record's raw value where it came with one, else the engineered one; null for one that is not there."""
+    raw = set(features.schema["_raw"].dataType.names) if "_raw" in features.columns else set()
+    have = set(features.columns)
+    pick = lambda c: F.col(f"_raw.{c}") if c in raw else F.col(c) if c in have else F.lit(None).cast("double")
+    return features.select(*keep, *[pick(c).alias(c) for c in DASHBOARD])
+
+
 def iso_time(ts: Column) -> Column:
     """A time to the second in ISO form."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -810,6 +810,33 @@ def dashboard_projection(spark: SparkSession, d: str) -> DataFrame:
     return clean.rename_columns(clean.prefer_raw(tx, ["TransactionID", "card4", "p"]), {"TransactionID": "transaction_id", "p": "score"})
 
 
+def _oracle_columns(name: str, *columns: str) -> str:
+    return f"(SELECT TransactionID, {', '.join(columns)} FROM ({ORACLES[name]}))"
+
+
+_SHOWN = {
+    "amount_features": ("TransactionAmt_log", "TransactionAmt_suspicious", "cents_value"), "clean_country": ("country",), "combination_codes": ("os_browser_combo", "card_email_combo", "device_info_combo"),
+    "velocity_windows": ("UID_velocity_1h", "UID_velocity_12h", "UID_velocity_24h"), "graph_degrees": ("multi_entity_sharing", "addr1_degree"), "sequence_features": ("ProductCD_switch", "time_gap_anomaly"),
+    "clean_email_features": ('"P_emaildomain_risk_score"', "email_match_status", '"P_emaildomain_is_free"'), "time_features": ("hour_of_day", "day_of_week"), "clean_device_features": ("screen_area",),
+    "user_zscore": ("user_amt_zscore",), "group_ratio": ('"Amt_div_card1_mean"',),
+}
+
+
+@query(f"""{TX} SELECT TransactionID, tx."P_emaildomain", tx.TransactionAmt, tx."ProductCD", tx.card4, tx."DeviceType", composite_risk_score, addr1_fraud_rate, {', '.join(c for names in _SHOWN.values() for c in names)}
+FROM tx JOIN {_oracle_columns('target_encode', 'composite_risk_score', 'addr1_fraud_rate')} USING (TransactionID) {' '.join(f'JOIN {_oracle_columns(n, *c)} USING (TransactionID)' for n, c in _SHOWN.items())}""")
+def dashboard_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All 29 dashboard columns of the last 15 % of the records: raw values, user windows, degrees and encodings of those before."""
+    tx = _tx(spark, d)
+    cut, folder = fe.train_rows(tx), shared_path(spark, "encoders")
+    df = materialize(sc.dashboard_features(tx, ad.EPOCH), "dashboard")
+    fe.fit_encoders(df.filter(cut)).save(folder)
+    out = sc.dashboard(fe.apply_encoders(df.filter(~cut), fe.Encoders.load(spark, folder)))
+    places = {6: ("TransactionAmt_log", "composite_risk_score", "addr1_fraud_rate", "UID_velocity_1h", "UID_velocity_12h", "UID_velocity_24h", "Amt_div_card1_mean"), 5: ("user_amt_zscore",)}
+    for n, names in places.items():
+        out = _rounded(out, *names, places=n)
+    return out
+
+
 @query(f"{TXU} SELECT TransactionID, UID FROM tx WHERE UID IN (SELECT UID FROM tx GROUP BY UID HAVING count(*) > 1)")
 def active_users(spark: SparkSession, d: str) -> DataFrame:
     """Records of users with more than one."""
