@@ -52,10 +52,10 @@ def category_codes(df: DataFrame, columns: list[str], fitted: dict[str, DataFram
 
     The dictionaries are fitted on ``df`` unless given, and belong with the model.
     """
-    fitted = dict(fitted or {})
+    fitted, source = dict(fitted or {}), df  # not the joined rows, by which the plan would grow with each column
     for c in columns:
         if c not in fitted:
-            values = df.filter(F.col(c).isNotNull()).select(F.col(c).alias("_v")).distinct()
+            values = source.filter(F.col(c).isNotNull()).select(F.col(c).alias("_v")).distinct()
             fitted[c] = dense_codes(values)
         df = df.join(fitted[c].withColumnRenamed("_code", f"{c}_code"), F.col(c) == F.col("_v"), "left").drop("_v")
         df = df.withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
