@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows, verified by weighted shingles.
 
 A window as long as an item (in words) slides over every start in a text where it can
-hold a shingle of that item. Windows and items have SimHash fingerprints of their
-five-word shingles; a multi-index over six blocks of the 64 bits, each searched to a
-radius of two bits, finds every item of the window's size within 17 bits. What it finds
-is verified exactly: the weighted shingles that window and item share, twice, over the
-weight of both, has to be at least 0.8.
-
-No radius holds every pair of similarity 0.8 and leaves anything out (where two shingles
-alternate, A B A B A against B A B A B, every second pair is over 31 bits apart). So text
-and item that share enough shingles to reach the similarity, but have no window within
-the radius, are verified in the same way after the others, and no match is lost.
+hold a shingle of that item. Windows and items have four SimHash fingerprints each of
+their five-word shingles; a multi-index over six blocks of the 64 bits, each searched to a
+radius of two bits, finds every item of the window's size within 17 bits in any of the
+four. What it finds, and nothing else, is verified exactly: the weighted shingles that
+window and item share, twice, over the weight of both, has to be at least 0.8.
+
+The index holds all fingerprints within the radius; how many pairs of similarity 0.8 lie
+within it is a matter of chance (of pairs just at 0.8 about 0.9 by one fingerprint and
+0.999 by one of four; where a fifth of the window is one word again and again, 0.54 and 0.97; more similar pairs are closer). An item of fewer than 16 different
+shingles has a fingerprint that a few of them decide (where two shingles alternate, A B A B
+A against B A B A B, every second pair is over 31 bits apart), so such items, and they
+alone, are searched for by their shingles.
 
 An occurrence of an item's shingle counts for the starts whose window holds it and fewer
 than the item's weight of the same shingle before it, and these starts are one interval.
@@ -50,8 +52,14 @@ WIDTH = 5
 RADIUS, BLOCK_RADIUS = 17, 2
 #: First bit and width of each block.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: What each of the fingerprints adds to the shingles' hashes before they are mixed again.
+SEEDS = tuple(np.uint64(k) for k in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Items of fewer different shingles are not left to the fingerprints.
+LEAST_DISTINCT = 16
 _MOST_ITEMS = 1 << 14
 _STARTS = 1 << 13
+#: Up to so many items of one size are compared with a window one by one, which finds the same ones.
+_DIRECT = 1 << 10
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -85,44 +93,66 @@ def window_prints(s: np.ndarray, first: int, last: int, n: int) -> np.ndarray:
     return np.packbits(2 * count > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def seeded(s: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """The shingles' hashes of one of the fingerprints."""
+    return mix(s + seed) if seed else s
+
+
+def _near(width: int) -> np.ndarray:
+    """All differences of a block that the radius allows."""
+    return np.array([sum(1 << b for b in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(width), r)], np.int64)
+
+
 @dataclass
 class HammingIndex:
-    """Fingerprints by size and block value, each entered under all values within the block radius."""
+    """Fingerprints by size, and by size, block and value; a search looks under all values within the block radius."""
 
     prints: np.ndarray
+    order: np.ndarray  # items by size
+    size: np.ndarray  # in that order
     key: np.ndarray  # sorted: size, block and value
     item: np.ndarray
 
     @classmethod
     def build(cls, prints: np.ndarray, size: np.ndarray) -> HammingIndex:
-        keys = []
-        for k, (at, width) in enumerate(BLOCKS):
-            near = np.array([sum(1 << b for b in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(width), r)], np.int64)
-            value = (prints >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
-            keys.append(((size * len(BLOCKS) + k) << 11)[:, None] | (value[:, None] ^ near))
-        item = np.concatenate([np.repeat(np.arange(len(prints), dtype=np.int32), x.shape[1]) for x in keys])
-        key = np.concatenate([x.ravel() for x in keys])
-        order = np.argsort(key, kind="stable")
-        return cls(prints, key[order], item[order])
+        order = np.argsort(size, kind="stable").astype(np.int32)
+        keys = [((size * len(BLOCKS) + k) << 11) | ((prints >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)) for k, (at, width) in enumerate(BLOCKS)]
+        key, item = np.concatenate(keys), np.tile(np.arange(len(prints), dtype=np.int32), len(BLOCKS))
+        at = np.argsort(key, kind="stable")
+        return cls(prints, order, size[order], key[at], item[at])
 
     def search(self, prints: np.ndarray, size: int) -> np.ndarray:
         """The items of a size within ``RADIUS`` bits of some fingerprint."""
+        lo, hi = np.searchsorted(self.size, [size, size + 1])
+        if lo == hi:
+            return np.zeros(0, np.int32)
+        if hi - lo <= _DIRECT:
+            mine, out = self.order[lo:hi], np.zeros(hi - lo, bool)
+            for k in range(0, len(prints), 1 << 10):
+                out |= (np.bitwise_count(prints[k : k + (1 << 10), None] ^ self.prints[mine]) <= RADIUS).any(axis=0)
+            return np.sort(mine[out])
+        return self.look_up(prints, size)
+
+    def look_up(self, prints: np.ndarray, size: int) -> np.ndarray:
+        """``search`` by the blocks: of two fingerprints within ``RADIUS`` bits one block is within ``BLOCK_RADIUS``."""
         out = [np.zeros(0, np.int32)]
         for k, (at, width) in enumerate(BLOCKS):
-            key = ((size * len(BLOCKS) + k) << 11) | ((prints >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1))
-            lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-            some = np.flatnonzero(hi > lo)
-            for j in range(0, len(some), 1 << 12):
-                part = some[j : j + (1 << 12)]
-                n = hi[part] - lo[part]
-                item = self.item[_spread(lo[part], n)]
-                out.append(np.unique(item[np.bitwise_count(self.prints[item] ^ np.repeat(prints[part], n)) <= RADIUS]))
+            near = _near(width)
+            for j in range(0, len(prints), 1 << 9):
+                part = prints[j : j + (1 << 9)]
+                value = (part >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
+                key = (((size * len(BLOCKS) + k) << 11) | (value[:, None] ^ near)).ravel()
+                lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+                some = np.flatnonzero(hi > lo)
+                n = hi[some] - lo[some]
+                item = self.item[_spread(lo[some], n)]
+                out.append(np.unique(item[np.bitwise_count(self.prints[item] ^ np.repeat(part[some // len(near)], n)) <= RADIUS]))
         return np.unique(np.concatenate(out))
 
 
 @dataclass
 class ItemIndex:
-    """One block of items: the shingles of each with their weights, and the fingerprints."""
+    """One block of items: the shingles of each with their weights, and the fingerprints; ``plain`` items are searched for by shingles."""
 
     ids: list
     size: np.ndarray  # words of each item
@@ -131,7 +161,8 @@ class ItemIndex:
     shingle: np.ndarray  # sorted, with item: each pair once
     item: np.ndarray
     weight: np.ndarray
-    hamming: HammingIndex
+    plain: np.ndarray
+    hamming: list[HammingIndex]
 
     @classmethod
     def build(cls, items: list[tuple[object, bytes]]) -> ItemIndex:
@@ -141,12 +172,16 @@ class ItemIndex:
         width = np.minimum(size, WIDTH)
         found = [shingles(hashes[words.first[i] : words.first[i + 1]], int(width[i])) for i in keep]
         n = np.array([len(x) for x in found], np.int64)
-        prints = np.array([window_prints(x, 0, 0, len(x))[0] for x in found], np.uint64)
+        prints = [np.array([window_prints(seeded(x, seed), 0, 0, len(x))[0] for x in found], np.uint64) for seed in SEEDS]
         s, item = np.concatenate([np.zeros(0, np.uint64), *found]), np.repeat(np.arange(len(keep)), n)
         order = np.lexsort((item, s))
         s, item = s[order], item[order]
         begin = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (item[1:] != item[:-1])])[: len(s)])
-        return cls([items[i][0] for i in keep], size[keep], width[keep], n, s[begin], item[begin], np.diff(begin, append=len(s)), HammingIndex.build(prints, size[keep]))
+        distinct = np.bincount(item[begin], minlength=len(keep))
+        return cls(
+            [items[i][0] for i in keep], size[keep], width[keep], n, s[begin], item[begin].astype(np.int32), np.diff(begin, append=len(s)).astype(np.int32), distinct < LEAST_DISTINCT,
+            [HammingIndex.build(p, size[keep]) for p in prints],
+        )
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -190,8 +225,10 @@ def _indexed(words: Words, s: np.ndarray, at: np.ndarray, entry: np.ndarray, ind
         new = np.flatnonzero(np.concatenate([[True], low[run][1:] > reach[:-1] + 1]))
         for a, b in zip(low[run][new].tolist(), reach[np.append(new[1:], len(run)) - 1].tolist(), strict=True):
             for k in range(a, b + 1, _STARTS):
-                prints = window_prints(s, k, min(b, k + _STARTS - 1), min(n, int(span[d])) - int(width[run[0]]) + 1)
-                found.append(index.hamming.search(np.unique(prints), n) + np.int64(d) * len(index.ids))
+                last, m = min(b, k + _STARTS - 1), min(n, int(span[d])) - int(width[run[0]]) + 1
+                for seed, hamming in zip(SEEDS, index.hamming, strict=True):
+                    prints = window_prints(seeded(s[k : last + m], seed), 0, last - k, m)
+                    found.append(hamming.search(np.unique(prints), n) + np.int64(d) * len(index.ids))
     return np.unique(np.concatenate(found))
 
 
@@ -227,10 +264,10 @@ def _verified(words: Words, at: np.ndarray, entry: np.ndarray, index: ItemIndex,
 
 
 def find_items(texts: pa.Array, index: ItemIndex, least: float = 0.8) -> list[np.ndarray]:
-    """Text number, item number, first word, last word + 1, similarity and whether the fingerprint index found it, of each match."""
+    """Text number, item number, first word, last word + 1 and similarity of each match."""
     words = split_words(texts)
     hashes = words.hashes()
-    found = [[np.zeros(0, np.int64)] * 6]
+    found = [[np.zeros(0, np.int64)] * 5]
     for width in sorted(set(index.width.tolist())):
         # shingles that reach into the next text are left out
         s = shingles(hashes, width)
@@ -248,10 +285,10 @@ def find_items(texts: pa.Array, index: ItemIndex, least: float = 0.8) -> list[np
         block = (np.cumsum(shared) - shared) >> 20
         for b in np.unique(block[shared > 0]):
             at, entry = _occurrences(words, s, near, index, mine[(block[index.item[mine]] == b) & (uses > 0)], least)
-            by_index = np.isin(words.doc[at] * len(index.ids) + index.item[entry], _indexed(words, s, at, entry, index))
-            for some, said in ((by_index, 1), (~by_index, 0)):
-                got = _verified(words, at[some], entry[some], index, least)
-                found.append([*got, np.full(len(got[0]), said)])
+            plain = index.plain[index.item[entry]]
+            named = _indexed(words, s, at[~plain], entry[~plain], index)
+            some = plain | np.isin(words.doc[at] * len(index.ids) + index.item[entry], named)
+            found.append(_verified(words, at[some], entry[some], index, least))
     out = [np.concatenate(c) for c in zip(*found, strict=True)]
     order = np.lexsort((out[1], out[0]))
     return [x[order] for x in out]
@@ -305,7 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "_raw"):
                 for index in _each_block(blocks):
-                    doc, who, start, end, alike, _ = find_items(b.column(1), index, least)
+                    doc, who, start, end, alike = find_items(b.column(1), index, least)
                     if len(doc):
                         items = pa.array([index.ids[k] for k in who], kind)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), items, pa.array(start), pa.array(end), pa.array(alike.astype(float))], schema.names)

@@ -715,14 +715,16 @@ def test_benchmark_passages_match_brute_force(spark, small, texts):
 def test_matches_whose_fingerprints_may_lie_far_apart():
     """Two alternating shingles shifted by one, and passages whose last fifth is one word again and again."""
     alternating = [(f"on {w} on {w} on {w} on {w} on", f"{w} on {w} on {w} on {w} on {w}") for w in ("na", "la", "ha", "so", "oh", "ah")]
-    passage = [[f"{w}{k}" for k in range(37)] for w in ("p", "q", "r", "s", "t", "u")]
-    ends = [(" ".join(p + [f"end{k}" for k in range(8)]), " ".join(p + ["tail"] * 8)) for p in passage]
-    items, texts = (dict(enumerate(x)) for x in zip(*alternating, *ends))
-    doc, who, _, _, alike, by_index = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
-    assert not by_index.all()  # the exact search finds what lies beyond the radius
+    items, texts = (dict(enumerate(x)) for x in zip(*alternating))
+    find = lambda texts, items: de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    doc, who, _, _, alike = find(texts, items)
     got, want = dict(zip(zip(doc.tolist(), who.tolist()), alike.tolist())), brute_matches(texts, items)
     assert set(want) == {(k, k) for k in items}
     assert got == pytest.approx({k: v[0] for k, v in want.items()})
+    passage = [[f"{w}p{k}" for k in range(37)] for w in range(100)]
+    items, texts = (dict(enumerate(x)) for x in zip(*[(" ".join(p + [f"end{k}" for k in range(8)]), " ".join(p + ["tail"] * 8)) for p in passage]))
+    doc, who, _, _, alike = find(texts, items)
+    assert doc.tolist() == who.tolist() and len(doc) >= 90 and alike == pytest.approx(np.full(len(doc), 66 / 82))
 
 
 def slid_matches(texts, items):
@@ -753,7 +755,7 @@ def test_windows_slide_over_every_start():
         at, n = draw.integers(0, 30), draw.integers(1, 30)
         v = w[at : at + n]
         items[k], texts[k] = " ".join(v[n // 3 :] + v[: n // 3]), " ".join(w)
-    doc, who, start, end, alike, _ = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
+    doc, who, start, end, alike = de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), de.ItemIndex.build([(k, i.encode()) for k, i in items.items()]))
     names, of = list(texts), list(items)
     got = {(names[d], of[i]): x for d, i, x in zip(doc, who, alike, strict=True)}
     assert {k: got[k] for k in [(0, 0), (1, 1), (2, 1), (3, 0)]} == pytest.approx({(0, 0): 0.958, (1, 1): 0.913, (2, 1): 0.826, (3, 0): 0.833}, abs=5e-4)
@@ -772,7 +774,8 @@ def test_index_finds_all_within_the_radius():
         for b in draw.choice(64, int(draw.integers(0, 24)), replace=False):
             y ^= 1 << int(b)
         want = [i for i in range(300) if sizes[i] == sizes[k] and (int(base[i]) ^ y).bit_count() <= de.RADIUS]
-        assert index.search(np.array([y], np.uint64), int(sizes[k])).tolist() == want
+        for search in (index.search, index.look_up):
+            assert search(np.array([y], np.uint64), int(sizes[k])).tolist() == want
 
 
 def test_window_fingerprints_are_majorities():
@@ -782,26 +785,73 @@ def test_window_fingerprints_are_majorities():
         assert de.window_prints(s, a, b, n).tolist() == want
 
 
-def test_index_recall_at_the_least_similarity():
-    """Items of 59 words whose text keeps just enough of the 55 shingles: the index alone finds 0.9 of them, the exact search all."""
-    draw = np.random.default_rng(11)
-    items, texts = [], []
-    for k in range(300):
-        item = [f"i{k}w{j}" for j in range(59)]
-        cut = int(draw.integers(1, 11))  # 11 shingles changed: one end of cut words and another of 11 - cut
-        text = [f"x{j}" for j in range(30)] + [f"c{j}" for j in range(cut)] + item[cut : 59 - (11 - cut)] + [f"d{j}" for j in range(41 - cut)]
-        items.append((k, " ".join(item).encode()))
-        texts.append(" ".join(text).encode())
-    doc, who, start, _, alike, by_index = de.find_items(pa.array(texts, pa.binary()), de.ItemIndex.build(items))
-    assert doc.tolist() == who.tolist() == list(range(300)) and start.max() <= 30
-    print(by_index.mean())
-    assert alike == pytest.approx(np.full(300, 0.8)) and by_index.mean() >= 0.9
+def edited(draw, item: list[str], shared: int, clustered: bool) -> list[str]:
+    """An item's words changed in one run, or here and there, until just ``shared`` of its five-word shingles are left."""
+    n, words = len(item) - 4, list(item)
+    left = lambda w: sum(w[k : k + 5] == item[k : k + 5] for k in range(n))
+    if clustered:
+        at = int(draw.integers(0, len(item) - (n - shared - 4)))
+        for k in range(at, len(item)):
+            if left(words) <= shared:
+                break
+            words[k] = f"new{k}"
+        return words
+    while left(words) > shared:
+        words[int(draw.integers(0, len(item)))] = f"new{draw.integers(0, 1 << 30)}"
+    return words
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_index_recall_without_any_shingle_filter(clustered):
+    """All windows of a text against all items, by fingerprints alone: of edits down to a similarity of 0.8 at least 0.9 are found."""
+    draw, hit, n = np.random.default_rng(11), 0, 0
+    items = [[f"i{k}w{j}" for j in range(int(draw.integers(40, 90)))] for k in range(150)]
+    index = de.ItemIndex.build([(k, " ".join(i).encode()) for k, i in enumerate(items)])
+    for k, item in enumerate(items):
+        m = len(item) - 4
+        words = edited(draw, item, int(np.ceil(0.8 * m)) + int(draw.integers(0, 3)), clustered)
+        shared = sum(words[j : j + 5] == item[j : j + 5] for j in range(m))
+        if shared < 0.8 * m:  # one change too many
+            continue
+        text = wd.split_words(pa.array([" ".join([f"x{j}" for j in range(25)] + words + [f"y{j}" for j in range(25)]).encode()]))
+        s = de.shingles(text.hashes(), 5)
+        named = {int(x) for seed, h in zip(de.SEEDS, index.hamming) for x in h.look_up(np.unique(de.window_prints(de.seeded(s, seed), 0, len(s) - m, m)), len(item))}
+        hit, n = hit + (k in named), n + 1
+    assert n > 40 and hit / n >= 0.9
+
+
+def test_results_come_through_the_index(monkeypatch):
+    """An index that finds nothing leaves items of few different shingles only."""
+    draw = np.random.default_rng(4)
+    items = {k: " ".join(f"i{k}w{j}" for j in range(int(draw.integers(25, 60)))) for k in range(30)} | {100: "a b c d e f g", 101: "on on on on on on on on"}
+    texts = {k: f"before {i} behind" for k, i in items.items()}
+    index = de.ItemIndex.build([(k, i.encode()) for k, i in items.items()])
+    run = lambda: {(list(texts)[d], index.ids[w]) for d, w in zip(*de.find_items(pa.array([t.encode() for t in texts.values()], pa.binary()), index)[:2])}
+    assert run() == {(k, k) for k in items}
+    monkeypatch.setattr(de.HammingIndex, "search", lambda self, prints, size: np.zeros(0, np.int32))
+    assert run() == {(100, 100), (101, 101)}
+
+
+def test_large_classes_of_equal_size_go_through_the_blocks(monkeypatch):
+    monkeypatch.setattr(de, "_DIRECT", 3)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30)).encode()) for k in range(40)]
+    texts = [b"x " + i.replace(b"w29", b"other") + b" y" for _, i in items]
+    doc, who, start, _, alike = de.find_items(pa.array(texts, pa.binary()), de.ItemIndex.build(items))
+    assert doc.tolist() == who.tolist() == list(range(40)) and set(start) == {0} and alike == pytest.approx(np.full(40, 50 / 52))
+
+
+def test_an_index_is_a_few_times_the_items_text():
+    draw = np.random.default_rng(1)
+    items = [(k, " ".join(draw.integers(0, 1 << 30, 20).astype(str)).encode()) for k in range(1000)]
+    index = de.ItemIndex.build(items)
+    arrays = [index.size, index.width, index.n_shingles, index.shingle, index.item, index.weight, index.plain, *[a for h in index.hamming for a in (h.prints, h.order, h.size, h.key, h.item)]]
+    assert sum(a.nbytes for a in arrays) < 10 * sum(len(t) for _, t in items)
 
 
 def test_repetitive_texts_take_linear_time():
     items = [(k, " ".join([f"w{k % 3}"] * 400).encode()) for k in range(20)]
     began = time.time()
-    doc, _, start, end, alike, _ = de.find_items(pa.array([" ".join(["w0"] * 8000).encode()], pa.binary()), de.ItemIndex.build(items))
+    doc, _, start, end, alike = de.find_items(pa.array([" ".join(["w0"] * 8000).encode()], pa.binary()), de.ItemIndex.build(items))
     assert len(doc) == 7 and set(start) == {0} and set(end) == {400} and set(alike) == {1.0} and time.time() - began < 20
 
 
