@@ -236,16 +236,17 @@ def fit_crf(windows: list[tuple[str, bytes]], bits: int, epochs: int = 4, batch:
     return model
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_windows: int = 6000, window: int = 24, max_bytes: int = 4 << 20, bits: int = 16, **rates) -> CrfModel:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_windows: int = 6000, window: int = 24, max_bytes: int = 4 << 20, bits: int = 16, max_languages: int = 128, **rates) -> CrfModel:
     """Fit on about ``max_windows`` windows of ``window`` whole words, one from each text that a hash chooses.
 
     A window is taken at a hash-chosen word. Copies of a text in one language count once,
-    and each language has a fair part of the windows. Where the windows have more than
+    and each language has a fair part of the windows. The ``max_languages`` of most
+    different texts are learned, which bounds the model too; others are never predicted. Where the windows have more than
     ``max_bytes`` in all, as words may be of any length, a fair part in bytes of each
     language's windows is kept; the driver gets about that many bytes at most.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.encode(F.col(text_col), "UTF-8").alias("_raw"), F.xxhash64(F.encode(F.col(text_col), "UTF-8")).alias("_h"), F.col(text_col).rlike(r"[A-Za-z]|[^\x00-\x7F]").alias("_has_word"))
-    known = draw_by_label(known.filter("_lang IS NOT NULL AND _has_word").drop("_has_word"), "_lang", "_h", max_windows)
+    known = draw_by_label(known.filter("_lang IS NOT NULL AND _has_word").drop("_has_word"), "_lang", "_h", max_windows, max_languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_raw"):

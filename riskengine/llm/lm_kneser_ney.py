@@ -14,7 +14,10 @@ Layout under the model's folder: ``w<s>.hash.npy``/``w<s>.count.npy`` (words and
 (n-grams of count 1), ``g<k>.<s>.many.npy``/``g<k>.<s>.count.npy`` (the others),
 ``c<k>.<s>.one.npy`` (contexts of total 1), ``c<k>.<s>.key.npy``/``c<k>.<s>.stat.npy`` (total
 and numbers of n-grams with count 1, 2, 3 and more of the others), and ``h<k>.<s>`` the same
-for contexts of frequent words. A shard without rows has no files.
+for contexts of frequent words. A shard without rows has no files. Of more than 1,024 shards,
+those that share their first ten bits are put into one file each, with ``.off.npy`` for where
+a shard begins, and their own files go; needles are then searched for within their shards'
+parts of a file all at once, so what a batch does grows with the logarithm of the corpus only.
 
 Texts begin with as many start marks as the order asks for. Defined results: null and
 empty texts are the end token alone; repeated rows count each time; a null id counts as
@@ -33,7 +36,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,8 @@ from riskengine.session import shared_path
 END_HASH = np.uint64(0x0E1D0E1D0E1D0E1D)
 HOT_SHARE = 1024
 _BATCH = 4 << 20
+#: Files of shards are put together by so many first bits.
+FILE_BITS = 10
 
 
 def local_folder(uri: str) -> str:
@@ -84,6 +89,19 @@ def _find(sorted_array: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np
     return safe, (sorted_array[safe] == needles) if len(sorted_array) else np.zeros(len(needles), bool)
 
 
+def _find_within(stored: np.ndarray, lo: np.ndarray, hi: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of needles, each in its own sorted part ``lo:hi`` of an array, and whether they are there; all are halved at once."""
+    end, lo, hi = hi, lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        middle = (lo + hi) >> 1
+        less = open_ & (np.asarray(stored[np.minimum(middle, len(stored) - 1)]) < needles)
+        lo = np.where(less, middle + 1, lo)
+        hi = np.where(open_ & ~less, middle, hi)
+    hit = lo < end
+    hit[hit] = np.asarray(stored[lo[hit]]) == needles[hit]
+    return lo, hit
+
+
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -115,28 +133,44 @@ class Model:
     discounts: dict[int, np.ndarray] = field(default_factory=dict)  # of counts 1, 2, 3+ by order
     left_total: int = 0
     left_counts: np.ndarray = field(default_factory=lambda: np.zeros(3))  # words with 1, 2, 3+ left neighbours
+    file_bits: int = FILE_BITS
 
     @property
     def n_words(self) -> int:
         return int(self.base[-1])
 
+    def _spots(self, bits: int, prefix: str, name: str, keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[np.ndarray, str, int, np.ndarray, np.ndarray]]:
+        """Keys by file: which they are, the file's name without its kind, its first shard, their places in it and whether they are there."""
+        step = max(0, bits - self.file_bits)
+        file = shard >> step
+        for f, at in _runs(file, np.argsort(file, kind="stable")):
+            if not step:
+                path = f"{self.folder}/{prefix}{f}"
+                yield at, path, f, *_find(_map(f"{path}.{name}.npy"), keys[at])
+                continue
+            path = f"{self.folder}/{prefix}f{f}"
+            stored, off = _map(f"{path}.{name}.npy"), _map(f"{path}.{name}.off.npy")
+            if len(stored):
+                own = shard[at] - (f << step)
+                yield at, path, f << step, *_find_within(stored, off[own], off[own + 1], keys[at])
+
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; n_words + 1 where unknown. n_words itself is the start."""
         out = np.full(len(hashes), self.n_words + 1, np.int64)
-        for s, a, b in _segments(hashes, self.word_bits):
-            at, hit = _find(_map(f"{self.folder}/w{s}.hash.npy"), hashes[a:b])
-            out[a:b][hit] = at[hit] + self.base[s]
+        shard = (hashes >> np.uint64(64 - self.word_bits)).astype(np.int64) if self.word_bits else np.zeros(len(hashes), np.int64)
+        for at, _, first, where, hit in self._spots(self.word_bits, "w", "hash", hashes, shard):
+            out[at[hit]] = where[hit] + self.base[first]
         return out
 
     def of_words(self, ids: np.ndarray, name: str) -> np.ndarray:
         """A stored value of sorted ids; 0 for the start and unknown words."""
-        out = np.zeros(len(ids), np.int64)
-        edges = np.searchsorted(ids, self.base)
-        for s in range(len(self.base) - 1):
-            if edges[s] < edges[s + 1]:
-                stored = _map(f"{self.folder}/w{s}.{name}.npy")
-                if len(stored):
-                    out[edges[s] : edges[s + 1]] = stored[ids[edges[s] : edges[s + 1]] - self.base[s]]
+        out, step = np.zeros(len(ids), np.int64), max(0, self.word_bits - self.file_bits)
+        known = np.flatnonzero((ids >= 0) & (ids < self.n_words))
+        file = (np.searchsorted(self.base, ids[known], "right") - 1) >> step
+        for f, at in _runs(file, np.arange(len(file))):
+            stored = _map(f"{self.folder}/w{'f' if step else ''}{f}.{name}.npy")
+            if len(stored):
+                out[known[at]] = stored[ids[known[at]] - self.base[f << step]]
         return out
 
     def are_hot(self, ids: np.ndarray) -> np.ndarray:
@@ -148,32 +182,23 @@ class Model:
     def counts(self, k: int, keys: np.ndarray, dealt: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct n-grams of order ``k``, which are dealt by the hashes ``dealt``."""
         out, shard = np.zeros(len(keys), np.int64), self.shard(dealt)
-        for s, at in _runs(shard, np.argsort(shard, kind="stable")):
-            _, one = _find(_map(f"{self.folder}/g{k}.{s}.one.npy"), keys[at])
-            where, many = _find(_map(f"{self.folder}/g{k}.{s}.many.npy"), keys[at])
-            out[at[one]] = 1
-            out[at[many]] = _map(f"{self.folder}/g{k}.{s}.count.npy")[where[many]]
+        for at, _, _, _, hit in self._spots(self.gram_bits, f"g{k}.", "one", keys, shard):
+            out[at[hit]] = 1
+        for at, path, _, where, hit in self._spots(self.gram_bits, f"g{k}.", "many", keys, shard):
+            out[at[hit]] = _map(f"{path}.count.npy")[where[hit]]
         return out
 
     def contexts(self, k: int, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Total and numbers of n-grams with count 1, 2 and 3+ behind sorted distinct contexts of order ``k``; zeros where unseen."""
         out, shard = np.zeros((len(keys), 4), np.int64), self.shard(keys)
         for name, some in (("c", np.flatnonzero(~hot)), ("h", np.flatnonzero(hot))):
-            for s, at in _runs(shard[some], np.argsort(shard[some], kind="stable")):
-                at = some[at]
-                _, one = _find(_map(f"{self.folder}/{name}{k}.{s}.one.npy"), keys[at])
-                where, many = _find(_map(f"{self.folder}/{name}{k}.{s}.key.npy"), keys[at])
-                out[at[one]] = (1, 1, 0, 0)
-                out[at[many]] = _map(f"{self.folder}/{name}{k}.{s}.stat.npy")[where[many]]
+            for at, _, _, _, hit in self._spots(self.gram_bits, f"{name}{k}.", "one", keys[some], shard[some]):
+                out[some[at[hit]]] = (1, 1, 0, 0)
+            for at, path, _, where, hit in self._spots(self.gram_bits, f"{name}{k}.", "key", keys[some], shard[some]):
+                out[some[at[hit]]] = _map(f"{path}.stat.npy")[where[hit]]
         return out
 
 
-def _segments(sorted_hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    shard = sorted_hashes >> np.uint64(64 - bits) if bits else np.zeros(len(sorted_hashes), np.uint64)
-    edges = np.searchsorted(shard, np.arange((1 << bits) + 1, dtype=np.uint64))
-    return ((s, edges[s], edges[s + 1]) for s in range(1 << bits) if edges[s] < edges[s + 1])
-
-
 def _runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard and the places of its rows, which ``order`` sorts by shard."""
     if len(order):
@@ -222,6 +247,46 @@ def _bits(size: int, per_shard: int) -> int:
     return max(0, size // per_shard).bit_length()
 
 
+def _put_together(folder: str, prefix: str, name: str, file: int, step: int) -> int:
+    """The arrays of one kind of all shards of a file, one after the other; their own files go. The number of rows."""
+    path = f"{folder}/{prefix}f{file}.{name}.npy"
+    shards = [f"{folder}/{prefix}{s}.{name}.npy" for s in range(file << step, (file + 1) << step)]
+    if not os.path.exists(path):  # else a lost task got so far
+        held = [np.load(p, mmap_mode="r") if os.path.exists(p) else None for p in shards]
+        some = [h for h in held if h is not None]
+        off = np.concatenate([[0], np.cumsum([0 if h is None else len(h) for h in held])]).astype(np.int64)
+        if not off[-1]:
+            return 0
+        part = f"{path}.{uuid.uuid4().hex}"
+        whole = np.lib.format.open_memmap(part, "w+", max((h.dtype for h in some), key=lambda d: d.itemsize), (int(off[-1]), *some[0].shape[1:]))
+        for h, a, b in zip(held, off[:-1], off[1:], strict=True):
+            if h is not None:
+                whole[a:b] = h
+        whole.flush()
+        _save(f"{path.removesuffix('.npy')}.off.npy", off)
+        os.replace(part, path)
+    for p in shards:
+        if os.path.exists(p):
+            os.remove(p)
+    return len(np.load(path, mmap_mode="r"))
+
+
+def _bundle(spark: SparkSession, folder: str, bits: int, file_bits: int, kinds: list[tuple[str, str]]) -> None:
+    """Put the shards' files of some kinds together where there are many; a task has one file at a time."""
+    step = bits - file_bits
+    if step <= 0:
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                prefix, name = kinds[n >> file_bits]
+                rows = _put_together(folder, prefix, name, n & ((1 << file_bits) - 1), step)
+                yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    spark.range(0, len(kinds) << file_bits, 1, min(len(kinds) << file_bits, 1024)).mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
+
+
 _ROWS = "kind int, shard int, rows long, packed binary"
 _GRAMS, _CONTEXTS, _FIGURES = 0, 1, 2
 
@@ -263,11 +328,12 @@ def _figures(order: int, *n: int) -> pa.Table:
     return _rows(_FIGURES, np.array([order]), *[np.array([x], np.int64) for x in (*n, *[0] * (4 - len(n)))])
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_shard: int = 12 << 20) -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_shard: int = 12 << 20, file_bits: int = FILE_BITS) -> Model:
     """Count all texts and store the model in the shared folder.
 
-    The driver gets some rows for each shard and each frequent word only. A shard is as
-    large as ``bytes_per_shard`` of text make it, however large the corpus is.
+    The driver gets some rows for each word shard and each frequent word only. A shard is as
+    large as ``bytes_per_shard`` of text make it, however large the corpus is; the files that
+    are left hold all shards of equal first ``file_bits`` bits.
     """
     if order < 1:
         raise ValueError("the order is 1 at least")
@@ -276,7 +342,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
     os.makedirs(folder)
     texts = docs.select(F.encode(F.col(text_col), "UTF-8").alias("_raw"))
     size = texts.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
-    model = Model(folder, order, _bits(size, bytes_per_shard), _bits(2 * size, bytes_per_shard), np.zeros(2, np.int64), 0, np.zeros(0, np.int64))
+    model = Model(folder, order, _bits(size, bytes_per_shard), _bits(2 * size, bytes_per_shard), np.zeros(2, np.int64), 0, np.zeros(0, np.int64), file_bits=file_bits)
     word_bits = model.word_bits
 
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +369,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
     model.base = np.concatenate([[0], np.cumsum(sizes)])
     if model.n_words >= (1 << 32) - 2:
         raise ValueError("over 2^32 distinct words do not fit the ids")
+    _bundle(docs.sparkSession, folder, word_bits, file_bits, [("w", "hash"), ("w", "count")])
     model.n_tokens = sum(r.n for r in rows if r.at < 0)
     hot = [int(model.base[r.shard]) + r.at for r in rows if r.at >= 0 and r.n * HOT_SHARE >= model.n_tokens]
     model.hot = np.array(sorted([*hot, model.n_words]), np.int64)  # the start mark is always one
@@ -379,13 +446,34 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, bytes_per_sha
     for k in range(order, 0, -1):
         df = df.groupBy("kind", "shard").applyInArrow(stage(k), _ROWS)
     few = {k: np.zeros(4, np.int64) for k in range(order + 1)}
-    for r in df.collect():
-        few[r.shard] += np.array(_unpack(bytes(r.packed), r.rows), np.int64)[:, 0]
+    for k, n in _summed_figures(df):
+        few[k] += n
+    _bundle(docs.sparkSession, folder, word_bits, file_bits, [("w", "left")])
+    kinds = [(f"{p}{k}.", name) for k in range(2, order + 1) for p, names in (("g", ("one", "many", "count")), ("c", ("one", "key", "stat")), ("h", ("one", "key", "stat"))) for name in names]
+    _bundle(docs.sparkSession, folder, model.gram_bits, file_bits, kinds)
     model.discounts = {k: _discounts(few[k]) for k in range(1, order + 1)}
     model.left_total, model.left_counts = int(few[0][3]), few[0][:3].astype(float)
     return model
 
 
+def _summed_figures(df: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """The figures of all shards, added up in tasks first; the driver gets a row for each task and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.array(_unpack(x, n), np.int64)[:, 0]
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["k", "n"])
+
+    got = df.mapInArrow(run, "k int, n array<long>").select("k", F.posexplode("n").alias("at", "n")).groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in got:
+        out.setdefault(r.k, np.zeros(4, np.int64))[r.at] = r.n
+    return list(out.items())
+
+
 def _store_contexts(path: str, key: np.ndarray, stat: np.ndarray) -> None:
     one = stat[:, 0] == 1
     _save(f"{path}.one.npy", key[one])

@@ -1,4 +1,4 @@
-"""Bounded training samples in which copies count once and no label is lost."""
+"""Bounded training samples in which copies count once and no frequent label is lost."""
 
 from __future__ import annotations
 
@@ -19,13 +19,17 @@ def fair_part(sizes: list[int], most: int, least: int = 16) -> float:
     return float(max(most, least))
 
 
-def draw_by_label(rows: DataFrame, label: str, hash_col: str, most: int) -> DataFrame:
+def draw_by_label(rows: DataFrame, label: str, hash_col: str, most: int, most_labels: int | None = None) -> DataFrame:
     """The rows whose hash chooses them: about ``most`` distinct hashes, up to a fair part of each label.
 
-    A label with fewer distinct hashes than its part keeps all rows; any label has a part of 16 at least.
+    A label with fewer distinct hashes than its part keeps all rows; any label has a part of
+    16 at least. There are ``most_labels`` at most, by default as many as have 16 in ``most``:
+    those of most distinct hashes, of equal ones the first; rows of the others are not drawn.
     """
+    most_labels = max(1, min(most_labels or most // 16, most // 16))
     # about 2 % off; one small sketch for each task and label is shuffled
-    sizes = {r[0]: max(1, r[1]) for r in rows.groupBy(label).agg(F.approx_count_distinct(hash_col, 0.02)).collect()}
+    found = rows.groupBy(label).agg(F.approx_count_distinct(hash_col, 0.02).alias("_n")).orderBy(F.col("_n").desc(), label).limit(most_labels)
+    sizes = {r[0]: max(1, r[1]) for r in found.collect()}
     part = fair_part(list(sizes.values()), most)
     cuts = [(k, max(1, int(min(1.0, part / n) * _RANGE))) for k, n in sizes.items()]
     cut = rows.sparkSession.createDataFrame(cuts, rows.select(label).schema.add("_cut", "long"))

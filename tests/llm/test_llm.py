@@ -272,11 +272,11 @@ def brute_model(train, order=2):
     return p, count
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_model_is_kneser_ney(spark, texts, order, monkeypatch):
+@pytest.mark.parametrize(("order", "file_bits"), [(1, 10), (2, 10), (3, 10), (4, 10), (1, 1), (3, 1)])
+def test_model_is_kneser_ney(spark, texts, order, file_bits, monkeypatch):
     monkeypatch.setattr(lm, "HOT_SHARE", 300)
     train = [t for k, t in texts.items() if k % 4 == 0]
-    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), order=order, bytes_per_shard=20000)
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), order=order, bytes_per_shard=20000, file_bits=file_bits)
     p, count = brute_model(train, order)
     n, v = sum(count.values()), len(count)
     assert (model.n_tokens, model.n_words) == (n, v) and model.gram_bits > 2 and len(model.hot) > 3
@@ -292,6 +292,42 @@ def test_model_is_kneser_ney(spark, texts, order, monkeypatch):
         assert sum(p(*a[: order - 1], b) for b in count) + p(*a[: order - 1], "unseen") == pytest.approx(1) if len(a) >= order - 1 else True
 
 
+def test_files_are_bounded_whatever_the_shards(spark, texts):
+    model = lm.train(spark.createDataFrame([(t,) for t in texts.values()], "text string"), order=2, bytes_per_shard=2000, file_bits=1)
+    assert model.word_bits > 4 and model.gram_bits > 5
+    names = sorted(n for n in os.listdir(model.folder) if not n.endswith(".off.npy"))
+    kinds = ["w{}.hash", "w{}.count", "w{}.left", "g2.{}.one", "g2.{}.many", "g2.{}.count", "c2.{}.one", "c2.{}.key", "c2.{}.stat", "h2.{}.one", "h2.{}.key", "h2.{}.stat"]
+    assert set(names) <= {f"{k.format(f'f{f}')}.npy" for k in kinds for f in (0, 1)} and len(names) >= 18
+    # a task that is run again finds its file done
+    assert lm._put_together(model.folder, "w", "hash", 0, model.word_bits - 1) == len(np.load(f"{model.folder}/wf0.hash.npy"))
+
+
+def test_lookups_do_not_grow_with_the_shards(tmp_path):
+    """Words in 2^20 shards: a batch's needles take a small part of a second, and what they take is the shards' number's logarithm."""
+    draw, took = np.random.default_rng(3), {}
+    hashes = np.unique(draw.integers(0, 2**64, 2_000_000, dtype=np.uint64))
+    needles = np.unique(np.concatenate([draw.choice(hashes, 150_000), draw.integers(0, 2**64, 150_000, dtype=np.uint64)]))
+    for bits in (12, 20):
+        folder = tmp_path / str(bits)
+        folder.mkdir()
+        shard = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        base = np.searchsorted(shard, np.arange((1 << bits) + 1))
+        for f in range(1 << 10):
+            a, b = base[f << (bits - 10)], base[(f + 1) << (bits - 10)]
+            np.save(folder / f"wf{f}.hash.npy", hashes[a:b])
+            np.save(folder / f"wf{f}.hash.off.npy", base[f << (bits - 10) : ((f + 1) << (bits - 10)) + 1] - a)
+            np.save(folder / f"wf{f}.count.npy", np.arange(a, b, dtype=np.uint32))
+        model = lm.Model(str(folder), 2, bits, bits, base, 1, np.zeros(0, np.int64))
+        model.word_ids(needles)
+        began = time.time()
+        ids = model.word_ids(needles)
+        took[bits] = time.time() - began
+        known = np.isin(needles, hashes)
+        assert (ids[known] == np.searchsorted(hashes, needles[known])).all() and (ids[~known] == len(hashes) + 1).all()
+        assert (model.of_words(np.unique(ids), "count")[:-1] == np.unique(ids)[:-1]).all()
+    assert took[20] < 2 * took[12] + 0.2 and took[20] < 2
+
+
 def test_model_beats_base_on_held_out(spark, small):
     r = q.op3_lm_score(spark, small).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
@@ -764,6 +800,17 @@ def test_windows_slide_over_every_start():
         assert slid_matches({0: " ".join(texts[names[d]].split()[a:b])}, {0: items[of[i]]})[0, 0] == pytest.approx(x)
 
 
+def test_ten_thousand_labels_leave_the_samples_bounded(spark):
+    from riskengine.llm.samples import draw_by_label
+
+    rows = spark.range(13000).select(F.when(F.col("id") < 3000, F.concat(F.lit("main"), F.col("id") % 3)).otherwise(F.concat(F.lit("rare"), F.col("id"))).alias("lang"), F.concat(F.lit("some words of text "), F.col("id").cast("string"), F.lit(" and more")).alias("text"))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    drawn = draw_by_label(hashed, "lang", "h", 600)
+    assert drawn.count() < 700 and drawn.select("lang").distinct().count() == 37 and drawn.filter("lang LIKE 'main%'").select("lang").distinct().count() == 3
+    model = crf.train(rows, max_windows=400, max_languages=8, epochs=1)
+    assert len(model.languages) == 8 and {"main0", "main1", "main2"} <= set(model.languages)
+
+
 def test_index_finds_all_within_the_radius():
     draw = np.random.default_rng(8)
     base = draw.integers(0, 2**64, 300, dtype=np.uint64)
