@@ -31,13 +31,21 @@ def stream_csv(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(path)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, offsets: str = "latest", batch_rows: int | None = None) -> DataFrame:
-    """A topic as a stream of ``value`` texts, at most ``batch_rows`` in a micro-batch.
+def kafka_limits(batch_rows: int | None, batch_seconds: float | None) -> dict[str, str]:
+    """Options by which a batch waits for ``batch_rows`` messages, or ``batch_seconds`` at most, and has no more than that many."""
+    if not batch_rows:
+        return {}
+    waits = {"minOffsetsPerTrigger": str(batch_rows), "maxTriggerDelay": f"{round(batch_seconds * 1000)}ms"} if batch_seconds else {}
+    return {"maxOffsetsPerTrigger": str(batch_rows)} | waits
+
+
+def stream_kafka(spark: SparkSession, servers: str, topic: str, offsets: str = "latest", batch_rows: int | None = None, batch_seconds: float | None = None) -> DataFrame:
+    """A topic as a stream of ``value`` texts, in batches of ``batch_rows`` or of what there is after ``batch_seconds``.
 
     The checkpoint keeps the offsets; a connector package has to be installed.
     """
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offsets)
-    raw = (raw.option("maxOffsetsPerTrigger", batch_rows) if batch_rows else raw).load()
+    raw = raw.options(**kafka_limits(batch_rows, batch_seconds)).load()
     return raw.select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset", "timestamp")
 
 

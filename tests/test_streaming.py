@@ -324,3 +324,8 @@ def test_line_ends_are_found_across_blocks(tmp_path, monkeypatch):
             at, seen = _line_end(f, 0, len(text), n)
             assert seen == n and text[:at].count(b"\n") == n and text[at - 1 : at] == b"\n"
         assert _line_end(f, 0, len(text), 99) == (len(text) - 4, 30) and _line_end(f, len(text) - 2, len(text), 5) == (len(text) - 2, 0)
+
+
+def test_kafka_batches_have_the_same_limits():
+    assert rd.kafka_limits(100, 5.0) == {"maxOffsetsPerTrigger": "100", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "5000ms"}
+    assert rd.kafka_limits(100, None) == {"maxOffsetsPerTrigger": "100"} and rd.kafka_limits(None, 5.0) == {}
