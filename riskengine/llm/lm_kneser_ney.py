@@ -253,22 +253,20 @@ def _put_together(folder: str, prefix: str, name: str, file: int, step: int) ->
     shards = [f"{folder}/{prefix}{s}.{name}.npy" for s in range(file << step, (file + 1) << step)]
     if not os.path.exists(path):  # else a lost task got so far
         held = [np.load(p, mmap_mode="r") if os.path.exists(p) else None for p in shards]
-        some = [h for h in held if h is not None]
         off = np.concatenate([[0], np.cumsum([0 if h is None else len(h) for h in held])]).astype(np.int64)
-        if not off[-1]:
-            return 0
-        part = f"{path}.{uuid.uuid4().hex}"
-        whole = np.lib.format.open_memmap(part, "w+", max((h.dtype for h in some), key=lambda d: d.itemsize), (int(off[-1]), *some[0].shape[1:]))
-        for h, a, b in zip(held, off[:-1], off[1:], strict=True):
-            if h is not None:
-                whole[a:b] = h
-        whole.flush()
-        _save(f"{path.removesuffix('.npy')}.off.npy", off)
-        os.replace(part, path)
+        if off[-1]:
+            some, part = [h for h in held if h is not None], f"{path}.{uuid.uuid4().hex}"
+            whole = np.lib.format.open_memmap(part, "w+", max((h.dtype for h in some), key=lambda d: d.itemsize), (int(off[-1]), *some[0].shape[1:]))
+            for h, a, b in zip(held, off[:-1], off[1:], strict=True):
+                if h is not None:
+                    whole[a:b] = h
+            whole.flush()
+            _save(f"{path.removesuffix('.npy')}.off.npy", off)
+            os.replace(part, path)
     for p in shards:
         if os.path.exists(p):
             os.remove(p)
-    return len(np.load(path, mmap_mode="r"))
+    return len(np.load(path, mmap_mode="r")) if os.path.exists(path) else 0
 
 
 def _bundle(spark: SparkSession, folder: str, bits: int, file_bits: int, kinds: list[tuple[str, str]]) -> None:
