@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,20 @@ def test_two_tables_are_told_apart(spark):
     apart = ml.adversarial(frame(0), frame(6), ["a", "b"], trees=8, depth=3).first()
     alike = ml.adversarial(frame(0), frame(0), ["a", "b"], trees=8, depth=1).first()
     assert apart.auc > 0.99 and apart.drifted and apart.top_features == "a,b" and alike.auc < 0.7 and not alike.drifted
+
+
+def test_figures_are_formatted_as_told(spark, small):
+    """Every row of the query against Python's own formatting."""
+
+    def half_up(v: float, places: int) -> Decimal:
+        return Decimal(repr(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+
+    def money(v: float) -> str:
+        return f"${half_up(v / 1e6, 1)}M" if v >= 1e6 else f"${half_up(v / 1e3, 1)}K" if v >= 1e3 else f"${half_up(v, 2)}"
+
+    want = {r.id: (r.amt, r.p) for r in ad.scored(ad.transactions(spark, small)).select("id", "amt", "p").collect()}
+    got = catalog.QUERIES["formatted_figures"](spark, small).collect()
+    assert len(got) == len(want) and "K" in {r.amount[-1] for r in got}
+    for r in got:
+        amt, p = want[r.id]
+        assert r.amount == money(amt * 1000) and r.share == f"{half_up(p * 100, 1)}%" and r.json == ('{"id":%d,"p":%s}' % (r.id, p))

@@ -53,6 +53,28 @@ def test_records_without_a_time_and_late_ones(spark, tmp_path):
     assert got == {1: (0, 0.0), 2: (None, None), 3: (1, 1.0), 4: (1, 1.0), 5: (2, 3.0), 6: (0, 0.0), 7: (1, 4.0)}
 
 
+def throttle_loop(points, seconds, least):
+    """(seq, total) of the points that a plain loop emits."""
+    out, total, last = [], 0.0, None
+    for seq, at, delta in sorted(points, key=lambda p: (p[1], p[0])):
+        total += delta
+        if last is None or at - last[0] >= seconds or abs(total - last[1]) >= least:
+            out.append((seq, pytest.approx(total)))
+            last = (at, total)
+    return out
+
+
+def test_a_throttled_series_goes_on_over_batches(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    rows = [(str(draw.choice(["a", "b"])), k, float(k // 2 * 3), float(draw.normal(0, 20))) for k in range(400)]
+    full = spark.createDataFrame(rows, "series string, seq long, at double, delta double")
+    batches(tmp_path / "in", [full.filter(f"seq >= {a} AND seq < {b}") for a, b in ((0, 150), (150, 152), (152, 400))])
+    got = st.run_to_table(st.throttled(stream(spark, tmp_path / "in", full.schema), 10.0, 50.0), "append", "t").collect()
+    for series in "ab":
+        mine = sorted((r.seq, r.total) for r in got if r.series == series)
+        assert mine == throttle_loop([r[1:] for r in rows if r[0] == series], 10.0, 50.0) and 20 < len(mine) < 200
+
+
 # --- tables of batches
 
 
