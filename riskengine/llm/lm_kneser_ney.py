@@ -45,7 +45,7 @@ from riskengine.session import shared_path
 
 END_HASH = np.uint64(0x0E1D0E1D0E1D0E1D)
 HOT_SHARE = 1024
-_BATCH = 4 << 20
+_BATCH = 1 << 20
 #: Files of shards are put together by so many first bits.
 FILE_BITS = 10
 
