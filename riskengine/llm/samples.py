@@ -23,10 +23,10 @@ def draw_by_label(rows: DataFrame, label: str, hash_col: str, most: int, most_la
     """The rows whose hash chooses them: about ``most`` distinct hashes, up to a fair part of each label.
 
     A label with fewer distinct hashes than its part keeps all rows; any label has a part of
-    16 at least. There are ``most_labels`` at most, by default as many as have 16 in ``most``:
-    those of most distinct hashes, of equal ones the first; rows of the others are not drawn.
+    16 at least. There are ``most_labels`` at most, by default as many as have 16 in ``most``
+    (but 16): those of most distinct hashes, of equal ones the first; rows of the others are not drawn.
     """
-    most_labels = max(1, min(most_labels or most // 16, most // 16))
+    most_labels = most_labels or max(16, most // 16)
     # about 2 % off; one small sketch for each task and label is shuffled
     found = rows.groupBy(label).agg(F.approx_count_distinct(hash_col, 0.02).alias("_n")).orderBy(F.col("_n").desc(), label).limit(most_labels)
     sizes = {r[0]: max(1, r[1]) for r in found.collect()}
