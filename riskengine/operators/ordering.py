@@ -32,16 +32,16 @@ def ranged_join(ranked: DataFrame, shift: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, order: list[str], bucket: Column, share: float) -> Column:
     """Whether a row is among the first int(n * share) in the order of two columns, as a condition on them.
 
-    Three counts find the row where the rest begins: of the buckets, of the first column's
-    values in one bucket, and of the rows with one value. The driver gets one row of each,
-    and rows are neither numbered nor joined. Nulls go first.
+    Up to three counts find the row where the rest begins: of the buckets, of the first
+    column's values in one bucket, and of the rows with one value if there are several. The
+    driver gets one row of each, and rows are neither numbered nor joined. Nulls go first.
     """
     at, row = order
 
     def reach(counts: DataFrame, key: str, wanted: Column) -> DataFrame:
         """The key in which place ``wanted`` (from 0) lies, and the rows before it."""
         run = counts.withColumns({"_upto": F.sum("_n").over(Window.orderBy(F.col(key).asc_nulls_first())), "_all": F.sum("_n").over(Window.partitionBy())})
-        return run.withColumn("_want", wanted).filter((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") <= F.col("_want"))).select(key, "_want", (F.col("_upto") - F.col("_n")).alias("_before"))
+        return run.withColumn("_want", wanted).filter((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") <= F.col("_want"))).select(key, "_want", "_n", (F.col("_upto") - F.col("_n")).alias("_before"))
 
     keyed = df.select(F.col(at).alias("_t"), F.col(row).alias("_r"), bucket.alias("_b"))
     found = reach(keyed.groupBy("_b").agg(F.count("*").alias("_n")), "_b", F.floor(F.col("_all") * share)).first()
@@ -49,12 +49,15 @@ def first_rows(df: DataFrame, order: list[str], bucket: Column, share: float) ->
         return F.lit(True)
     inside = keyed.filter(F.col("_b").eqNullSafe(F.lit(found["_b"])))
     second = reach(inside.groupBy("_t").agg(F.count("*").alias("_n")), "_t", F.lit(found["_want"] - found["_before"])).first()
-    same = inside.filter(F.col("_t").eqNullSafe(F.lit(second["_t"])))
-    edge = reach(same.groupBy("_r").agg(F.count("*").alias("_n")), "_r", F.lit(second["_want"] - second["_before"])).first()
 
     def before(c: str, value) -> Column:
         return F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < value)
 
+    if second["_n"] == 1:  # the rest begins with the one row of this value
+        return F.coalesce(before(at, second["_t"]), F.lit(False))
+    same = inside.filter(F.col("_t").eqNullSafe(F.lit(second["_t"])))
+    edge = reach(same.groupBy("_r").agg(F.count("*").alias("_n")), "_r", F.lit(second["_want"] - second["_before"])).first()
+
     return F.coalesce(before(at, second["_t"]) | (F.col(at).eqNullSafe(F.lit(second["_t"])) & before(row, edge["_r"])), F.lit(False))
 
 
