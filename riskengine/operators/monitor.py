@@ -106,12 +106,12 @@ def drift_between(long: DataFrame, bins: int = 10, least: int = 100, least_live:
     s = long.groupBy("feature", "live").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     same = F.col("lo") == F.col("hi")
     old = s.filter("live = 0").select("feature", F.col("n").alias("n0"), F.col("known").alias("known0"), F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    # old values are binned by division, live ones on the edges, as stored baselines are
-    by_width = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
-    edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.col("lo") + k * width)
-    by_edge = F.least(F.size(F.filter(edges, lambda e: e <= F.col("value"))) - 1, F.lit(bins - 1))
-    at = F.when(F.col("live") == 0, by_width).when((F.col("value") >= F.col("lo")) & (F.col("value") <= F.element_at(edges, -1)), by_edge).cast("int")
+    old = old.withColumn("edges", F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.col("lo") + k * ((F.col("hi") - F.col("lo")) / bins)))
+    # old values are binned by division, live ones on the edges (off by one at most), as stored baselines are
+    by_width = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+    edge = lambda k: F.get("edges", k)
+    by_edge = F.least(by_width + F.when(edge(by_width + 1) <= F.col("value"), 1).when(edge(by_width) > F.col("value"), -1).otherwise(0), F.lit(bins - 1))
+    at = F.when(F.col("live") == 0, by_width).when((F.col("value") >= F.col("lo")) & (F.col("value") <= F.element_at("edges", -1)), by_edge)
     joined = long.filter("value IS NOT NULL").join(F.broadcast(old), "feature")
     hist = joined.groupBy("feature", "live", at.alias("bin")).agg(F.count("*").alias("m")).filter("bin IS NOT NULL")
     side = lambda k: F.map_from_entries(F.filter(F.collect_list(F.when(F.col("live") == k, F.struct("bin", "m"))), lambda x: x.isNotNull()))
