@@ -7,10 +7,11 @@ ordered. Rows without truth or score are left out.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskengine.operators.ordering import ranged
+
 FEE_FRAUD, FEE_FALSE_ALARM, FALSE_ALARM_SHARE = 30.0, 12.5, 0.15
 
 
@@ -23,21 +24,20 @@ def by_score(df: DataFrame) -> DataFrame:
     return known(df).groupBy("p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def _cumulated(scores: DataFrame, ascending: bool, bucket: float = 1024.0) -> DataFrame:
+def _cumulated(scores: DataFrame, ascending: bool, ranges: int = 256) -> DataFrame:
     """Running ``tp``/``fp`` over the order of scores, and the totals ``all_pos``/``all_neg``.
 
-    Runs within ranges of scores are shifted by the sums of the ranges before, so many
-    distinct scores do not meet in one task.
+    Runs within sampled ranges of scores are shifted by the sums of the ranges before, so
+    many distinct scores do not meet in one task, however close together they are.
     """
-    at = F.floor(F.col("p") * bucket)
     order = (F.col("p").asc() if ascending else F.col("p").desc(),)
-    ranged = scores.withColumn("_b", at)
+    split = ranged(scores, "p", (), ranges)
     inner = Window.partitionBy("_b").orderBy(*order)
-    sums = ranged.groupBy("_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    sums = split.groupBy("_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     outer = Window.orderBy(F.col("_b").asc() if ascending else F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     shift = sums.select("_b", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"before_{c}") for c in ("bp", "bn")], F.sum("bp").over(whole).alias("all_pos"), F.sum("bn").over(whole).alias("all_neg"))
-    run = ranged.withColumns({"tp": F.sum("pos").over(inner), "fp": F.sum("neg").over(inner)}).join(shift, "_b")
+    run = split.withColumns({"tp": F.sum("pos").over(inner), "fp": F.sum("neg").over(inner)}).join(shift, "_b")
     return run.withColumns({"tp": F.col("tp") + F.col("before_bp"), "fp": F.col("fp") + F.col("before_bn")}).drop("_b", "before_bp", "before_bn")
 
 

@@ -98,6 +98,25 @@ def test_ks_with_a_far_value(spark):
     assert got.ks == pytest.approx(want)
 
 
+def test_scores_that_lie_close_together_are_spread_out(spark):
+    """ROC and precision of scores of which nearly all are below 0.0001."""
+    from riskengine.operators import evaluate as ev
+
+    draw = np.random.default_rng(12)
+    p = np.append(np.unique(draw.random(3000) * 1e-4), [0.5, 0.99])
+    y = (draw.random(len(p)) < 0.1 + 3000 * p.clip(max=1e-4)).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), 1.0) for a, b in zip(y, p)], "y int, p double, amt double").repartition(3)
+    order = np.argsort(p)
+    rank = np.empty(len(p))
+    rank[order] = np.arange(1, len(p) + 1)
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+    down = order[::-1]
+    precision = np.cumsum(y[down]) / np.arange(1, len(p) + 1)
+    assert ev.roc_auc(df).first().roc_auc == pytest.approx(auc) and ev.average_precision(df).first().average_precision == pytest.approx((precision * y[down]).sum() / y.sum())
+    sizes = [r["count"] for r in ranged(ev.by_score(df), "p", (), 32).groupBy("_b").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 5 * len(p) / 32
+
+
 # --- products and densities
 
 
