@@ -690,7 +690,8 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{TXU}, k AS (SELECT *, CASE WHEN TransactionDT - lag(TransactionDT) OVER w < 21600 THEN 0 ELSE 1 END AS new FROM tx WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
 s AS (SELECT card1, TransactionDT, sum(new) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID) AS g FROM k) SELECT card1, min(TransactionDT) AS start_dt, count(*) AS n FROM s GROUP BY card1, g""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = st.run_to_table(st.sessions(_stream(spark, d), "ts", "6 hours", "1 day", ("card1",)), "complete", "stream-sessions")
+    """Sessions over all files, in whatever order they come."""
+    out = st.run_to_table(st.sessions(_stream(spark, d), "ts", "6 hours", None, ("card1",)), "complete", "stream-sessions")
     return out.select("card1", (F.unix_seconds("start") - ad.EPOCH).alias("start_dt"), "n")
 
 

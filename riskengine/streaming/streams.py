@@ -32,10 +32,15 @@ def tumbling(df: DataFrame, ts: str, length: str, late: str, keys: tuple[str, ..
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "amount")
 
 
-def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: tuple[str, ...]) -> DataFrame:
-    """Runs of a key's rows without a pause of ``gap``."""
-    out = df.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
-    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def sessions(df: DataFrame, ts: str, gap: str, late: str | None, keys: tuple[str, ...]) -> DataFrame:
+    """Runs of a key's rows without a pause of ``gap``: rows just ``gap`` apart are of two runs.
+
+    Spark's windows take in a row at their very end, so they are one microsecond shorter,
+    which is what times are counted in. Without ``late`` no row is left out.
+    """
+    df = df.withWatermark(ts, late) if late else df
+    out = df.groupBy(F.session_window(ts, f"{gap} -1 microseconds").alias("w"), *keys).agg(F.count("*").alias("n"))
+    return out.select(*keys, F.col("w.start").alias("start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), "n")
 
 
 def _ids_as_text(df: DataFrame, row: str, event_time: str | None, late: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_pieces_by_hour_give_what_the_batch_query_gives(spark, tmp_path, timed):
     assert len(got) == len(rows) and all((r.count_24h, pytest.approx(r.amt_sum_24h)) == want[r.TransactionID] for r in got)
 
 
+def test_rows_just_a_gap_apart_are_of_two_sessions(spark, tmp_path):
+    rows = [(1, 0), (1, 21600), (1, 43199), (2, 500000), (2, 500001)]
+    full = spark.createDataFrame(rows, "card1 long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    batches(tmp_path / "in", [full.filter("card1 = 2"), full.filter("card1 = 1")])  # the second batch is older by days
+    out = st.run_to_table(st.sessions(stream(spark, tmp_path / "in", full.schema), "ts", "6 hours", None, ("card1",)), "complete", "s")
+    got = out.select("card1", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "n").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 21600, 1), (1, 21600, 43199 + 21600, 2), (2, 500000, 521601, 2)]
+
+
 def test_records_without_a_time_and_late_ones(spark, tmp_path):
     a = spark.createDataFrame([(1, 100 * 3600, 1.0, "a"), (2, None, 1.0, "a"), (3, 103 * 3600, None, "a")], TX)
     b = spark.createDataFrame([(4, 101 * 3600, 2.0, "a"), (5, 104 * 3600, 4.0, "a"), (6, 140 * 3600, 4.0, "a"), (7, 164 * 3600, 8.0, "a")], TX)
