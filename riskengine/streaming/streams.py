@@ -49,6 +49,11 @@ def _ids_as_text(df: DataFrame, row: str, event_time: str | None, late: str) ->
     return df.withWatermark(event_time, late) if event_time else df
 
 
+def _seconds(spark: SparkSession, length: str) -> int:
+    """How many seconds a span like ``1 day`` has."""
+    return spark.range(1).select(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL '{length}'"))).first()[0]
+
+
 def keyed_velocity(df: DataFrame, hours: int, user: str = "UID", time_col: str = "TransactionDT", amount: str = "TransactionAmt", row: str = "TransactionID", event_time: str | None = None, late: str = "1 day", epoch: int = 0) -> DataFrame:
     """Count and sum of the user's amounts in the hours before each record, over all micro-batches.
 
@@ -57,11 +62,11 @@ def keyed_velocity(df: DataFrame, hours: int, user: str = "UID", time_col: str =
     Records of a batch see each other in time order; one that comes later than a batch with
     newer records sees what the state still holds. With ``event_time`` (the column of
     ``time_col`` plus ``epoch`` as a timestamp) an hour goes by a timer when the watermark is
-    ``hours`` past it. Records without a time have no counts and sums.
+    ``hours`` past it, and one that is so by the user's own records is not kept. Records without a time have no counts and sums.
     """
     use_rocksdb(df.sparkSession)
     out = f"{row} string, {user} string, count_{hours}h long, amt_sum_{hours}h double"
-    state = VelocityState(hours, user, time_col, amount, row, epoch, event_time is not None)
+    state = VelocityState(hours, user, time_col, amount, row, epoch, event_time is not None, _seconds(df.sparkSession, late))
     found = _ids_as_text(df, row, event_time, late).groupBy(user).transformWithStateInPandas(state, out, "Append", "EventTime" if event_time else "None")
     return found.withColumn(row, F.col(row).cast(df.schema[row].dataType))
 

@@ -45,6 +45,38 @@ def test_pieces_by_hour_give_what_the_batch_query_gives(spark, tmp_path, timed):
     assert len(got) == len(rows) and all((r.count_24h, pytest.approx(r.amt_sum_24h)) == want[r.TransactionID] for r in got)
 
 
+def test_hours_that_no_record_needs_are_not_written(monkeypatch):
+    """A year of one user in one batch: only the pieces within reach of its newest record go to the state."""
+    import pandas as pd
+
+    from riskengine.streaming.state import VelocityState
+
+    class Table(dict):
+        updateValue, removeKey, getValue = dict.__setitem__, dict.pop, dict.__getitem__
+        iterator = dict.items
+
+    class Handle(dict):
+        timers: list = []
+        getMapState = lambda self, name, *_: self.setdefault(name, Table())
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Zero:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    draw = np.random.default_rng(4)
+    at = np.sort(draw.integers(0, 365 * 86400, 3000))
+    amt = np.where(draw.random(3000) < 0.1, np.nan, draw.integers(1, 90)).astype(float)
+    amt[10] = 1e18  # does not blur the sums of later days
+    state, handle = VelocityState(24, "u", "t", "a", "r", 0, True, 86400), Handle()
+    state.init(handle)
+    frames = [pd.DataFrame({"r": np.arange(3000).astype(str), "t": at, "a": amt}).iloc[s] for s in (slice(0, 2900), slice(2900, 3000))]
+    got = pd.concat(x for f in frames for x in state.handleInputRows(("k",), iter([f]), Zero()))
+    for r in got.itertuples():
+        mine = amt[(at >= at[int(r.r)] - 86400) & (at < at[int(r.r)])]
+        assert (r.count_24h, r.amt_sum_24h) == ((~np.isnan(mine)).sum(), pytest.approx(np.nansum(mine)))
+    assert len(handle["pieces"]) < 150 and set(handle["pieces"]) == set(handle["sums"]) and len(handle.timers) < 200
+
+
 def test_rows_just_a_gap_apart_are_of_two_sessions(spark, tmp_path):
     rows = [(1, 0), (1, 21600), (1, 43199), (2, 500000), (2, 500001)]
     full = spark.createDataFrame(rows, "card1 long, at long").withColumn("ts", F.timestamp_seconds("at"))
