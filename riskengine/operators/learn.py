@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskengine.operators.boosting import fit_boosted
 from riskengine.operators.evaluate import known, roc_auc
 from riskengine.operators.search import SPACE, Range, search
 from riskengine.session import shared_path
@@ -86,13 +87,13 @@ def fit_trees(
     """
     n = df.agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
     weight = F.when(F.col(label) == 1, float(n.b) / max(1, n.a)).otherwise(1.0)
-    rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), (held if held is not None else F.lit(False)).alias("_held"))
+    rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), F.coalesce(held if held is not None else F.lit(False), F.lit(False)).alias("_held"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=step, minInstancesPerNode=least_rows, subsamplingRate=rows_share, minInfoGain=least_gain)
     if features_share < 1:
         trees = trees.setFeatureSubsetStrategy(str(features_share))
     if held is not None:
         trees = trees.setValidationIndicatorCol("_held")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
+    return PipelineModel(stages=[VectorAssembler(inputCols=features, outputCol="features"), fit_boosted(rows, features, trees)])
 
 
 def score_trees(df: DataFrame, model: PipelineModel) -> DataFrame:
