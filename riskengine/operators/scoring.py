@@ -173,11 +173,19 @@ DASHBOARD = (
 )
 
 
+#: All that the dashboard's windows, degrees and encodings are made of.
+_DASHBOARD_NEEDS = {*DASHBOARD, fe.ROW, fe.TIME, fe.AMOUNT, fe.USER, "isFraud", *fe.GROUP_KEYS, *fe.COUNT_KEYS, *fe.RISK_KEYS}
+
+
 def dashboard_features(tx: DataFrame, epoch: int) -> DataFrame:
-    """Prepared records with the country, the users' windows and sharing degrees; ``_raw`` has what the dashboard shows unchanged."""
+    """Prepared records with the country, the users' windows and sharing degrees; ``_raw`` has what the dashboard shows unchanged.
+
+    Columns that neither the dashboard nor its encoders take are left out before the windows, which shuffle whole rows.
+    """
     raw = F.struct(*[F.col(c) for c in DASHBOARD if c in tx.columns]).alias("_raw")
     df = prepare(clean.set_country(tx.select("*", raw)), epoch)
-    return fe.sharing_degrees(fe.sequence_features(fe.velocity(df.drop("DeviceInfo"))))
+    df = df.select("_raw", *[c for c in df.columns if c in _DASHBOARD_NEEDS])
+    return fe.sharing_degrees(fe.sequence_features(fe.velocity(df)))
 
 
 def dashboard(features: DataFrame, keep: tuple[str, ...] = (fe.ROW,)) -> DataFrame:

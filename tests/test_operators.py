@@ -395,3 +395,13 @@ def test_scan_reads_only_used_columns(spark, small):
 
     plan = catalog.QUERIES["roc_auc"](spark, small)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+
+
+def test_windows_of_the_dashboard_shuffle_what_it_takes(spark, small):
+    from riskengine.operators import scoring as sc
+    from riskengine.sources import adapters as ad
+
+    got = sc.dashboard_features(ad.transactions(spark, small), ad.EPOCH)
+    made = set(got.columns) - sc._DASHBOARD_NEEDS - {"_raw"}
+    assert not made & {"id_30", "id_31", "id_33", "M1", "M4", "D1", "score", "DeviceInfo", "screen_width", "product_network_combo", "TransactionAmt_decimal"}
+    assert set(sc.DASHBOARD) - set(got.columns) == {"addr1_fraud_rate", "composite_risk_score", "Amt_div_card1_mean", "user_amt_zscore"}  # the encoders' own
