@@ -43,7 +43,12 @@ def _cumulated(scores: DataFrame, ascending: bool, ranges: int = 256) -> DataFra
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """``roc_auc``, exact with ties counting half; 0.5 if a class is missing."""
-    c = _cumulated(by_score(df), ascending=True)
+    return roc_auc_of(by_score(df))
+
+
+def roc_auc_of(scores: DataFrame) -> DataFrame:
+    """``roc_auc`` of distinct scores with their positives and negatives (``by_score``)."""
+    c = _cumulated(scores, ascending=True)
     won = F.sum(F.col("pos") * (F.col("fp") - F.col("neg")) + F.col("pos") * F.col("neg") / 2)
     return c.agg((won / F.nullif(F.max("all_pos") * F.max("all_neg"), F.lit(0))).alias("a")).select(F.coalesce("a", F.lit(0.5)).alias("roc_auc"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskengine.operators.boosting import fit_boosted
-from riskengine.operators.evaluate import known, roc_auc
+from riskengine.operators.evaluate import known, roc_auc, roc_auc_of
+from riskengine.operators.forest import fit_forest, score_cells
 from riskengine.operators.search import SPACE, Range, search
-from riskengine.session import shared_path
+from riskengine.session import materialize, shared_path
 
 
 def fit_calibration(df: DataFrame, how: str = "isotonic", least: int = 50):
@@ -146,12 +147,12 @@ def importances(models: list[PipelineModel], top: int = 50) -> list[tuple[str, f
 
 def adversarial(a: DataFrame, b: DataFrame, features: list[str], trees: int = 100, depth: int = 6, most: float = 0.7) -> DataFrame:
     """Whether a forest tells two tables apart: ``auc`` (in sample), ``drifted``, and the five features that do it."""
-    both = a.select(*features).withColumn("_t", F.lit(0.0)).unionByName(b.select(*features).withColumn("_t", F.lit(1.0)))
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(both.select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], "_t"))
-    model = RandomForestClassifier(featuresCol="features", labelCol="_t", numTrees=trees, maxDepth=depth, seed=42).fit(rows)
-    scored = model.transform(rows).select(F.col("_t").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
-    top = sorted(zip(model.featureImportances.toArray().tolist(), features, strict=True), key=lambda x: (-x[0], x[1]))[:5]
-    return roc_auc(scored).select(F.col("roc_auc").alias("auc"), (F.col("roc_auc") > most).alias("drifted"), F.lit(",".join(n for _, n in top)).alias("top_features"))
+    both = a.select(*features).withColumn("_t", F.lit(False)).unionByName(b.select(*features).withColumn("_t", F.lit(True)))
+    rows = both.select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], "_t")
+    forest, cells = fit_forest(rows, features, F.col("_t"), trees, depth)
+    auc = roc_auc_of(materialize(score_cells(cells, forest), "scores"))
+    top = sorted(zip(forest.importances().tolist(), features, strict=True), key=lambda x: (-x[0], x[1]))[:5]
+    return auc.select(F.col("roc_auc").alias("auc"), (F.col("roc_auc") > most).alias("drifted"), F.lit(",".join(n for _, n in top)).alias("top_features"))
 
 
 #: The weight of a tree and its nodes: for each node (feature, threshold, left, right, cover, value); a leaf's feature is -1.
