@@ -139,7 +139,9 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.
 def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """Pairs ``fp_a`` < ``fp_b`` of distinct fingerprints that differ in at most ``threshold`` bits.
 
-    ``prints`` has distinct, non-null fingerprints in ``fp``; it is read twice.
+    ``prints`` has distinct, non-null fingerprints in ``fp``; it is read twice. The join is told
+    to shuffle, as Spark sizes replicas like the fingerprints they are made of, some 166 times
+    too low, and would broadcast them.
     """
 
     def run(home: bool):
@@ -152,7 +154,7 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
         return prints.select("fp").mapInArrow(spread, f"anchor long, {'fp_a' if home else 'fp_b'} long")
 
-    return run(True).join(run(False), "anchor").filter(F.expr(f"fp_a < fp_b AND bit_count(fp_a ^ fp_b) <= {int(threshold)}")).select("fp_a", "fp_b")
+    return run(True).join(run(False).hint("merge"), "anchor").filter(F.expr(f"fp_a < fp_b AND bit_count(fp_a ^ fp_b) <= {int(threshold)}")).select("fp_a", "fp_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, width: int = 3) -> DataFrame:

@@ -594,6 +594,15 @@ def test_near_duplicates_match_brute_force(spark, small, texts):
     assert got == {k: (f"{prints[k]:016x}", comp[k]) for k in texts}
 
 
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    """Spark sizes replicas like the fingerprints they come from; here those are a few KB, far below what it broadcasts."""
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    found = sh.links(spark.read.parquet(str(tmp_path / "fp")))
+    found.collect()
+    said = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in said and "Broadcast" not in said
+
+
 def test_links_of_planted_fingerprints(spark):
     draw = np.random.default_rng(4)
     base = [int(x) for x in draw.integers(0, 2**63, 40)]
