@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.operators.boosting import fit_boosted
+from riskengine.operators.boosting import Block, auc_by_cells, cells, fit_boosted, sampled_thresholds
 from riskengine.operators.evaluate import known, roc_auc, roc_auc_of
 from riskengine.operators.forest import fit_forest, score_cells
 from riskengine.operators.search import SPACE, Range, search
@@ -76,6 +76,12 @@ def apply_pca(df: DataFrame, fitted: PcaGroups) -> DataFrame:
     return df
 
 
+def _weighted(df: DataFrame, features: list[str], label: str, bad: int, good: int, held: Column | None = None) -> DataFrame:
+    """Records with a label as ``fit_boosted`` takes them; the rarer class weighs by the ratio of the classes."""
+    weight = F.when(F.col(label) == 1, float(good) / max(1, bad)).otherwise(1.0)
+    return df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), F.coalesce(held if held is not None else F.lit(False), F.lit(False)).alias("_held"))
+
+
 def fit_trees(
     df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 42, held: Column | None = None,
     step: float = 0.1, least_rows: int = 1, rows_share: float = 1.0, features_share: float = 1.0, least_gain: float = 0.0,
@@ -87,8 +93,7 @@ def fit_trees(
     Rows for which ``held`` is true are not learned from: rounds stop when they no longer help on these.
     """
     n = df.agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
-    weight = F.when(F.col(label) == 1, float(n.b) / max(1, n.a)).otherwise(1.0)
-    rows = df.filter(F.col(label).isNotNull()).select(*[F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features], F.col(label).cast("double").alias("label"), weight.alias("_w"), F.coalesce(held if held is not None else F.lit(False), F.lit(False)).alias("_held"))
+    rows = _weighted(df, features, label, n.a, n.b, held)
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=step, minInstancesPerNode=least_rows, subsamplingRate=rows_share, minInfoGain=least_gain)
     if features_share < 1:
         trees = trees.setFeatureSubsetStrategy(str(features_share))
@@ -107,7 +112,10 @@ def score_trees(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def fold_score(df: DataFrame, folds: str, features: list[str], label: str, **settings) -> float:
-    """The mean ROC AUC over expanding-window folds of trees with some settings."""
+    """The mean ROC AUC over expanding-window folds of trees with some settings; from cells where there are few (``fold_cells``)."""
+    gathered = fold_cells(df, folds, features, label)
+    if gathered:
+        return float(np.mean([auc_by_cells(b, _said(settings)) for b in gathered]))
     last, aucs = df.agg(F.max(folds)).first()[0] or 0, []
     for k in range(1, last + 1):
         model = fit_trees(df.filter(F.col(folds) < k), features, label, **settings)
@@ -116,10 +124,46 @@ def fold_score(df: DataFrame, folds: str, features: list[str], label: str, **set
     return float(np.mean(aucs)) if aucs else 0.5
 
 
+def fold_cells(df: DataFrame, folds: str, features: list[str], label: str, seed: int = 42) -> list[Block] | None:
+    """For each expanding-window fold its records as cells, those of the fold held; None where they may be too many."""
+    last, out = df.agg(F.max(folds)).first()[0] or 0, []
+    for k in range(1, last + 1):
+        n = df.filter(F.col(folds) < k).agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
+        rows = _weighted(df.filter(F.col(folds) <= k), features, label, n.a, n.b, F.col(folds) == k)
+        found = cells(rows, features, sampled_thresholds(rows.filter("NOT _held"), features, max(1, n.a + n.b), seed))
+        if found is None:
+            return None
+        out.append(found)
+    return out
+
+
+def _said(settings: dict) -> dict:
+    """MLlib's names of the settings of ``fit_trees``."""
+    s = {"rounds": 50, "depth": 5, "seed": 42, "step": 0.1, "least_rows": 1, "rows_share": 1.0, "features_share": 1.0, "least_gain": 0.0} | settings
+    share = "all" if s["features_share"] >= 1 else str(s["features_share"])
+    return {"maxIter": s["rounds"], "maxDepth": s["depth"], "seed": s["seed"], "stepSize": s["step"], "minInstancesPerNode": s["least_rows"], "subsamplingRate": s["rows_share"], "minInfoGain": s["least_gain"], "featureSubsetStrategy": share}
+
+
 def settings_search(df: DataFrame, folds: str, features: list[str], label: str, tries: int = 20, seed: int = 42, space: dict[str, Range] | None = None, at_random: int = 10) -> DataFrame:
-    """``try``, each setting and ``auc`` of the tries of a Parzen search, in order; ``df`` is read for each, so it should be a table."""
-    space = SPACE if space is None else space
-    done = search(lambda settings: fold_score(df, folds, features, label, **settings), space, tries, seed, at_random)
+    """``try``, each setting and ``auc`` of the tries of a Parzen search, in order; ``df`` is read for each, so it should be a table.
+
+    Where the features have few bins together, the folds' records are gathered once as cells,
+    and each fold of a try is a task that learns from and scores all of them by these; the
+    first, random tries are made at once. Else each try reads the records for each pass.
+    """
+    space, sc = SPACE if space is None else space, df.sparkSession.sparkContext
+    gathered = fold_cells(df, folds, features, label)
+    if gathered:
+        shared, k = sc.broadcast(gathered), len(gathered)
+
+        def together(some: list[dict]) -> list[float]:
+            todo = [(fold, _said(settings)) for settings in some for fold in range(k)]
+            aucs = sc.parallelize(todo, len(todo)).map(lambda t: auc_by_cells(shared.value[t[0]], t[1])).collect() if todo else []
+            return [float(np.mean(aucs[at : at + k])) for at in range(0, len(aucs), k)]
+
+        done = search(lambda settings: together([settings])[0], space, tries, seed, at_random, together)
+    else:
+        done = search(lambda settings: fold_score(df, folds, features, label, **settings), space, tries, seed, at_random)
     kinds = ", ".join(f"{n} {'int' if r.whole else 'double'}" for n, r in space.items())
     return df.sparkSession.createDataFrame([(k, *[s[n] for n in space], auc) for k, (s, auc) in enumerate(done)], f"try int, {kinds}, auc double")
 

@@ -99,10 +99,15 @@ def suggest(tries: list[Try], space: dict[str, Range], random: np.random.Generat
     return out
 
 
-def search(score: Callable[[dict[str, float | int]], float], space: dict[str, Range], tries: int = 20, seed: int = 42, at_random: int = 10) -> list[Try]:
-    """All tries in order; the same seed gives the same ones."""
-    random, done = np.random.default_rng(seed), []
-    for _ in range(tries):
+def search(score: Callable[[dict[str, float | int]], float], space: dict[str, Range], tries: int = 20, seed: int = 42, at_random: int = 10, together: Callable[[list[dict[str, float | int]]], list[float]] | None = None) -> list[Try]:
+    """All tries in order; the same seed gives the same ones.
+
+    ``together``, if there is one, scores the random tries, which do not wait for each other, at once.
+    """
+    random = np.random.default_rng(seed)
+    drawn = [suggest([], space, random, at_random) for _ in range(min(tries, at_random))]
+    done = list(zip(drawn, map(float, together(drawn) if together else map(score, drawn)), strict=True))
+    for _ in range(len(done), tries):
         settings = suggest(done, space, random, at_random)
         done.append((settings, float(score(settings))))
     return done

@@ -49,3 +49,19 @@ def test_thresholds_part_values_by_weight():
     values = np.arange(1000.0)
     cut = bo.thresholds(values, np.where(values < 100, 9.0, 1.0))
     assert len(cut) <= 31 and (cut < 100).sum() in (15, 16) and bo.thresholds(np.full(3, 7.0), np.ones(3)).size == 0
+
+
+@pytest.mark.parametrize("features_share", [1.0, 0.5])
+def test_cells_give_the_auc_that_records_give(spark, monkeypatch, features_share):
+    rows = table(spark).selectExpr("id", "a", "b", "c", "CAST(label AS INT) AS y", "CAST(id % 3 AS INT) AS fold")
+    settings = {"rounds": 8, "depth": 2, "step": 0.3, "least_rows": 20, "features_share": features_share, "least_gain": 1e-3}
+    by_cells = ml.fold_score(rows, "fold", ["a", "b", "c"], "y", **settings)
+    assert sum(b.n.sum() for b in ml.fold_cells(rows, "fold", ["a", "b", "c"], "y")) == 400 + 600
+    monkeypatch.setattr(bo, "MOST_CELLS", 10)
+    assert ml.fold_cells(rows, "fold", ["a", "b", "c"], "y") is None
+    assert by_cells == pytest.approx(ml.fold_score(rows, "fold", ["a", "b", "c"], "y", **settings), abs=1e-9) and 0.5 < by_cells < 1
+
+
+def test_a_cell_gives_a_binomial_part_of_its_records():
+    b = bo.Block(np.zeros((1, 2), np.uint8), np.ones(2), np.ones(2), np.array([False, True]), np.zeros(2), 7, np.array([10000, 10000]))
+    assert b.taken(1.0, 3).tolist() == [10000, 0] and b.taken(0.6, 3)[1] == 0 and 5800 < b.taken(0.6, 3)[0] < 6200

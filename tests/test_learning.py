@@ -61,6 +61,12 @@ def test_settings_reach_the_trees(spark):
     assert (said["stepSize"], said["subsamplingRate"], said["featureSubsetStrategy"], said["minInfoGain"], said["minInstancesPerNode"]) == (0.07, 0.5, "0.5", 0.01, 150)
 
 
+def test_the_query_searches_the_whole_space(spark, small, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ml, "search", lambda score, space, tries, seed, at_random, together=None: asked.append((space, tries, at_random)) or [])
+    assert catalog.QUERIES["hyper_search"](spark, small).count() == 0 and asked == [(SPACE, 20, 10)]
+
+
 @pytest.fixture(scope="module")
 def trained(spark, small, tmp_path_factory):
     tx = ad.transactions(spark, small).drop("score")
