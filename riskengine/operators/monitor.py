@@ -36,6 +36,7 @@ def baseline(long: DataFrame, bins: int = 10, least: int = 100) -> DataFrame:
     """
     s = long.groupBy("feature").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     s = s.withColumns({"lo": F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")), "hi": F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))})
+    s = materialize(s, "spans")  # a row for each feature, used twice
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     hist = long.filter("value IS NOT NULL").join(F.broadcast(s.select("feature", "lo", "hi")), "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("m"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from riskengine.functions import clean
 from riskengine.operators import evaluate, learn, monitor
 from riskengine.operators import features as fe
-from riskengine.session import materialize, shared_path
+from riskengine.session import materialize, shared_path, spread
 from riskengine.sources.readers import Settings
 
 
@@ -66,7 +66,11 @@ class ScoringModel:
 
     def explain(self, tx: DataFrame, member: str, top: int = 10, keep: tuple[str, ...] = (fe.ROW,)) -> DataFrame:
         """``keep`` and the ``top`` largest contributions to a member's raw score."""
-        df, names = self.features(tx), self.members[member].stages[0].getInputCols()
+        return self.explain_features(self.features(tx), member, top, keep)
+
+    def explain_features(self, df: DataFrame, member: str, top: int = 10, keep: tuple[str, ...] = (fe.ROW,)) -> DataFrame:
+        """``explain`` for records that have their ``features``."""
+        names = self.members[member].stages[0].getInputCols()
         return learn.explain_trees(df.withColumns({c: F.lit(None).cast("double") for c in names if c not in df.columns}), self.members[member], keep, top)
 
     def drift(self, tx: DataFrame) -> DataFrame:
@@ -91,8 +95,12 @@ class ScoringModel:
 
     def score(self, tx: DataFrame, now: Column | None = None) -> DataFrame:
         """One report row a record: id as text, score (4 places), action, truth if known, amount and time in ISO form."""
+        return self.report(self.features(tx), now)
+
+    def report(self, df: DataFrame, now: Column | None = None) -> DataFrame:
+        """``score`` for records that have their ``features``."""
         s, said = self.settings, now if now is not None else F.current_timestamp()
-        df = self.probabilities(self.features(tx))
+        df = self.probabilities(df)
         return df.select(
             F.col(fe.ROW).cast("string").alias("transaction_id"), F.round("p", 4).alias("probability"), (F.col("p") >= s.hard_threshold).cast("int").alias("is_fraud"),
             (F.col("isFraud").cast("int") if "isFraud" in df.columns else F.lit(None).cast("int")).alias("y_true"), clean.tier(F.col("p"), s.soft_threshold, s.hard_threshold).alias("action"),
@@ -146,7 +154,7 @@ def fit_model(tx: DataFrame, epoch: int, members: dict[str, dict] | None = None,
     and the isotonic calibration are found too. The baseline of drift is of the first part.
     """
     cut, spark = fe.train_rows(tx, share), tx.sparkSession
-    ready = materialize(prepare(tx, epoch), "prepared")
+    ready = materialize(prepare(spread(tx), epoch), "prepared")
     folder = shared_path(spark, "encoders")
     fe.fit_encoders(ready.filter(cut)).save(folder)
     enc = fe.Encoders.load(spark, folder)

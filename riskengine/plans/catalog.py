@@ -14,7 +14,7 @@ from riskengine.operators import scoring as sc
 from riskengine.plans import views as vw
 from riskengine.sources import adapters as ad
 from riskengine.operators import learn as ml
-from riskengine.session import materialize, shared_path
+from riskengine.session import materialize, shared_path, spread
 from riskengine.sources import readers as rd
 from riskengine.streaming import streams as st
 
@@ -785,9 +785,9 @@ def trained_score_pipeline(spark: SparkSession, d: str) -> DataFrame:
     cut, folder = fe.train_rows(df), shared_path(spark, "trained-model")
     sc.fit_model(df.filter(cut).drop("score"), ad.EPOCH).save(spark, folder)
     model = sc.ScoringModel.load(spark, folder)
-    rest = df.filter(~cut).drop("score")
-    said = model.explain(rest, "deep").select(F.col("TransactionID").cast("string").alias("transaction_id"), "explanations")
-    return model.score(rest, F.timestamp_seconds(F.col("TransactionDT") + ad.EPOCH)).join(said, "transaction_id")
+    rest = materialize(model.features(spread(df.filter(~cut).drop("score"))), "features")
+    said = model.explain_features(rest, "deep").select(F.col("TransactionID").cast("string").alias("transaction_id"), "explanations")
+    return model.report(rest, F.timestamp_seconds(F.col("TransactionDT") + ad.EPOCH)).join(said, "transaction_id")
 
 
 # --- further projections, filters, sources and sinks --------------------------------------

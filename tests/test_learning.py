@@ -161,3 +161,12 @@ def test_figures_are_formatted_as_told(spark, small):
     for r in got:
         amt, p = want[r.id]
         assert r.amount == money(amt * 1000) and r.share == f"{half_up(p * 100, 1)}%" and r.json == ('{"id":%d,"p":%s}' % (r.id, p))
+
+
+def test_a_small_file_is_prepared_by_all_cores(spark, small, monkeypatch):
+    """600,000 events are one or two splits of a file; their long projections have to be spread over the cores."""
+    seen = []
+    monkeypatch.setattr(sc, "prepare", lambda tx, epoch: seen.append(tx.rdd.getNumPartitions()) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sc.fit_model(ad.transactions(spark, small).drop("score"), ad.EPOCH)
+    assert seen[0] >= spark.sparkContext.defaultParallelism > ad.transactions(spark, small).rdd.getNumPartitions()
