@@ -240,21 +240,21 @@ _FEW = 64
 def apply_keys(df: DataFrame, enc: Encoders) -> DataFrame:
     """Amounts against group means, frequencies and smoothed rates. Unknown values get the defaults of their kind.
 
-    The driver gets one count for each key. Keys of few values make one row of maps, which
-    is broadcast; each of the others is joined once, in two steps of columns for all of them.
+    The driver gets one count for each key. Each key of many values is joined once, in two
+    steps of columns for all of them; then those of few values make one row of maps, which is broadcast.
     """
     amt, s = F.col(AMOUNT), enc.smoothing
     keys = list(dict.fromkeys((*enc.groups, *enc.counted, *enc.risky)))
     sizes = {r.key: r["count"] for r in enc.keys.groupBy("key").count().collect()}
     few = [c for c in keys if sizes.get(c, 0) <= _FEW]
     said = F.struct("n", "mean", "labelled", "positive")
-    if few:
-        entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("key") == c, F.struct("value", said))))
-        df = df.crossJoin(F.broadcast(enc.keys.filter(F.col("key").isin(few)).agg(*[entry(c).alias(f"_m_{c}") for c in few])))
-    for c in keys:
+    for c in sorted(keys, key=lambda c: c != USER):  # users first, as ``apply_users`` has dealt the records by them
         if c not in few:
             t = enc.keys.filter(F.col("key") == c).select(F.col("value").alias(f"_v_{c}"), said.alias(f"_s_{c}"))
-            df = df.join(t, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+            df = df.join(t, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    if few:  # behind the joins, which would shuffle all maps with each record
+        entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("key") == c, F.struct("value", said))))
+        df = df.crossJoin(F.broadcast(enc.keys.filter(F.col("key").isin(few)).agg(*[entry(c).alias(f"_m_{c}") for c in few])))
     df = df.withColumns({f"_s_{c}": F.try_element_at(f"_m_{c}", F.col(c).cast("string")) for c in few})
     out = {}
     for c in keys:
@@ -267,7 +267,7 @@ def apply_keys(df: DataFrame, enc: Encoders) -> DataFrame:
     df = df.withColumns(out)
     if enc.risky:
         df = df.withColumn("composite_risk_score", sum((F.col(f"{c}_fraud_rate") for c in enc.risky), F.lit(0.0)) / len(enc.risky))
-    return df.drop("_rate", *[f"{p}_{c}" for p in ("_s", "_m", "_v") for c in keys])
+    return df.drop("_rate", *[f"{p}_{c}" for p in ("_s", "_m") for c in keys])
 
 
 def apply_encoders(df: DataFrame, enc: Encoders) -> DataFrame:

@@ -766,9 +766,11 @@ _EXPLAINED = (
 @query()
 def gbt_explanations(spark: SparkSession, d: str) -> DataFrame:
     """Exact contributions of each of 40 features to the raw score of 50 rounds of trees of depth 6, for every record."""
-    df = _prepared(spark, d)
-    cut, folder = fe.train_rows(df), shared_path(spark, "encoders")
-    df = materialize(df, "prepared")
+    tx = _tx(spark, d)
+    cut, folder = fe.train_rows(tx), shared_path(spark, "encoders")
+    df = sc.prepare(spread(tx), ad.EPOCH)
+    needed = {*_EXPLAINED, fe.ROW, fe.TIME, fe.AMOUNT, fe.USER, "isFraud", *fe.GROUP_KEYS, *fe.COUNT_KEYS, *fe.RISK_KEYS}
+    df = materialize(df.select(*[c for c in df.columns if c in needed]), "prepared")
     fe.fit_encoders(df.filter(cut)).save(folder)
     full = materialize(fe.apply_encoders(df, fe.Encoders.load(spark, folder)).select("TransactionID", "isFraud", "TransactionDT", *_EXPLAINED), "encoded")
     model = ml.fit_trees(full.filter(cut), list(_EXPLAINED), "isFraud", rounds=50, depth=6)

@@ -405,3 +405,15 @@ def test_windows_of_the_dashboard_shuffle_what_it_takes(spark, small):
     made = set(got.columns) - sc._DASHBOARD_NEEDS - {"_raw"}
     assert not made & {"id_30", "id_31", "id_33", "M1", "M4", "D1", "score", "DeviceInfo", "screen_width", "product_network_combo", "TransactionAmt_decimal"}
     assert set(sc.DASHBOARD) - set(got.columns) == {"addr1_fraud_rate", "composite_risk_score", "Amt_div_card1_mean", "user_amt_zscore"}  # the encoders' own
+
+
+def test_records_are_shuffled_without_the_maps_of_small_keys(spark):
+    """Keys of many values are joined first: a map in each record would go through all their shuffles."""
+    rows = [(k, k, float(k % 9 + 1), f"u{k % 90}", k % 80, k % 3, k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, UID string, card1 long, card4 int, isFraud int")
+    enc = fe.fit_encoders(df)
+    got = fe.apply_encoders(df, enc)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "LeftOuter" not in joins[0] and sum("LeftOuter" in line for line in joins) == 3
+    r = got.filter("TransactionID = 7").first()
+    assert (r.card1_freq_enc, r.UID_freq_enc, r.card4_freq_enc) == (5, 5, 133)
