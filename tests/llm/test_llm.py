@@ -619,6 +619,18 @@ def test_links_of_planted_fingerprints(spark):
     assert got == want
 
 
+def test_a_worker_keeps_all_files_of_a_model_mapped_and_none_open(tmp_path):
+    """A batch looks into every file of each kind; at 6 GB of text there are 10,752 of them."""
+    assert lm._map.cache_info().maxsize >= 19 << lm.FILE_BITS
+    stored = {"a": np.arange(5, dtype=np.uint64), "b.stat": np.arange(12, dtype=np.uint32).reshape(-1, 4), "c": np.zeros(0, np.uint64)}
+    for n, x in stored.items():
+        lm._save(f"{tmp_path}/{n}.npy", x)
+    held = [lm._map(f"{tmp_path}/{n}.npy") for n in stored]
+    assert all(h.dtype == x.dtype and h.shape == x.shape and (h == x).all() for h, x in zip(held, stored.values(), strict=True))
+    assert lm._map(f"{tmp_path}/d.stat.npy").shape == (0, 4)
+    assert not [f for f in os.listdir("/proc/self/fd") if os.path.realpath(f"/proc/self/fd/{f}").startswith(str(tmp_path))]
+
+
 def test_near_duplicate_edges(odd):
     got = {r.doc_id: r for r in sh.near_duplicates(odd).filter("doc_id IS NOT NULL").collect()}
     assert got[0].fp == got[1].fp == got[2].fp == 0 and got[2].component_id == 0 and got[11].component_id == 10
